@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding
+from . import ann, langid, mixing, quality, sharding
 from .common import crc_mod, read
 
-GROUP_COLUMNS = ["doc_id"]
+
+def op1_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    vectors, idf = quality.word_vectors(docs)
+    network = quality.fit(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0), vectors, idf)
+    out = quality.scored(docs, network, vectors, idf)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +37,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(read(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.filter(F.pmod("id", F.lit(20)) == 0))
+
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -49,8 +60,10 @@ FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
 """
 
 QUERIES = {
+    "op1_quality_network": op1_quality_network,
     "op3_slot_sharding": op3_slot_sharding,
     "op4_zstd_language": op4_zstd_language,
     "op9_source_mixing": op9_source_mixing,
+    "op10_collision_ann": op10_collision_ann,
 }
 ORACLES = {"op9_source_mixing": OP9_SQL}
