@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, quality, sharding
+from . import ann, langid, mixing, ngram, quality, sharding
 from .common import crc_mod, read
 
 
@@ -32,6 +32,12 @@ def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = ngram.scored(docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) != 2).alias("train")))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_quality_network": op1_quality_network,
     "op3_slot_sharding": op3_slot_sharding,
     "op4_zstd_language": op4_zstd_language,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op9_source_mixing": op9_source_mixing,
     "op10_collision_ann": op10_collision_ann,
 }
