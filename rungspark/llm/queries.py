@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, ngram, quality, sharding
+from . import ann, jaccard, langid, mixing, ngram, quality, sharding
 from .common import crc_mod, read
 
 
@@ -38,6 +38,10 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_slot_sharding": op3_slot_sharding,
     "op4_zstd_language": op4_zstd_language,
     "op5_deleted_interpolation": op5_deleted_interpolation,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_collision_ann": op10_collision_ann,
 }
