@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, mixing, ngram, quality, sharding
+from . import ann, jaccard, langid, mixing, ngram, quality, repeats, sharding
 from .common import crc_mod, read
 
 
@@ -38,6 +38,11 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_slot_sharding": op3_slot_sharding,
     "op4_zstd_language": op4_zstd_language,
     "op5_deleted_interpolation": op5_deleted_interpolation,
+    "op6_bucket_refinement": op6_bucket_refinement,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_collision_ann": op10_collision_ann,
