@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, mixing, ngram, quality, repeats, sharding
+from . import ann, decontaminate, jaccard, langid, mixing, ngram, quality, repeats, sharding
 from .common import crc_mod, read
 
 
@@ -43,6 +43,10 @@ def op6_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op4_zstd_language": op4_zstd_language,
     "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_bucket_refinement": op6_bucket_refinement,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_collision_ann": op10_collision_ann,
