@@ -1,3 +1,69 @@
-"""The corpus pipeline: language ID, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing to target weights, sharding.
 
-STAGES: list = []
+Every stage works on all that its predecessor kept and returns the columns of `documents` (the last one the shards):
+`language` drops what it rejects (no letter, or languages that tie), `near_duplicates` keeps the document with the least id of
+each group, `decontaminate` drops documents that hold a benchmark item, `mix` emits each document as often as its source's
+repetition rate says, `shard` places every emitted row. Rows with a null id pass the stages that go by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rungspark.llm import decontaminate, jaccard, langid, mixing, sharding
+from rungspark.llm.common import read, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+FEW_IDS = 1_000_000  # up to which a list of ids is broadcast
+
+
+def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The documents whose id is not listed."""
+    ids = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), tag)
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    found = langid.classify(docs, langid.fit(docs), keep=tuple(COLUMNS[1:]))
+    return found.filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    classes = jaccard.classes_of(docs)
+    kept = _without(docs, classes.filter(F.col("doc_id") != F.col("component_id")), "near-duplicates")
+    # A row that is there several times under one id is a copy too.
+    twice = stored(kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    marked = kept.join(F.broadcast(twice) if twice.count() <= FEW_IDS else twice, F.col("doc_id") == F.col("twice"), "left")
+    again = marked.filter("twice IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
+    return marked.filter("twice IS NULL").select(*COLUMNS).unionByName(again.filter("nth = 1").select(*COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return _without(docs, decontaminate.matches(docs, read(spark, sf_dir, "benchmark")), "contaminated")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emitted(docs.select(*COLUMNS))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.sharded(docs).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated), ("mix", mix), ("shard", shard)]
+
+#: SQL cannot express the classifiers and the similarity search; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

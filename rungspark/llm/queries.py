@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, mixing, ngram, quality, repeats, sharding
+from . import ann, decontaminate, jaccard, langid, mixing, ngram, quality, repeats, sharding, tokens
 from .common import crc_mod, read
 
 
@@ -17,6 +17,18 @@ def op1_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts every whole text, then applies two edits to it (places from a hash of the id) and updates the counts."""
+    counted = tokens.trees(read(spark, sf_dir, "documents"))
+    edit = lambda k, words: F.struct(
+        F.pmod(F.xxhash64("doc_id", F.lit(k)), F.length(F.coalesce("text", F.lit(""))) + 1).alias("start"),
+        (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.length(F.coalesce("text", F.lit(""))) + 1) + F.pmod(F.xxhash64("doc_id", F.lit(k + 100)), F.lit(60))).alias("stop"),
+        F.lit(words).alias("insert"),
+    )
+    out = tokens.with_edits(counted.withColumn("edits", F.array(edit(1, " a corrected phrase"), edit(2, ""))))
+    return out.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "chars_encoded", F.size("leaf_tokens").alias("n_leaves"))
+
+
 def op3_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(read(spark, sf_dir, "documents"))
     return out.select(
@@ -78,8 +90,15 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.copies * c.size AS BIGI
 FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_network": op1_quality_network,
+    "op2_edit_token_counts": op2_edit_token_counts,
     "op3_slot_sharding": op3_slot_sharding,
     "op4_zstd_language": op4_zstd_language,
     "op5_deleted_interpolation": op5_deleted_interpolation,
@@ -88,5 +107,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_collision_ann": op10_collision_ann,
+    "pipeline": pipeline,
 }
 ORACLES = {"op9_source_mixing": OP9_SQL}
