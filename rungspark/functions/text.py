@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SHEET = r"[A-Z]{1,3}\d{5}(?:-\d{1,2})?"
 
@@ -21,7 +22,7 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.translate(text, wide, narrow)), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalised(text: pd.Series) -> pd.Series:
     """squeezed() after full NFKC normalisation."""
     return text.str.normalize("NFKC").str.upper().str.replace(r"\s+", " ", regex=True).str.strip()
