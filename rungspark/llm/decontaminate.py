@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. TF-IDF: passages of the corpus (blocks of `PASSAGE` words of every text) over the terms of the benchmark; document
+1. TF-IDF (tf * idf^2, which favours rare terms): passages of the corpus (blocks of `PASSAGE` words of every text) over the terms of the benchmark; document
    frequencies are counted over the whole corpus.
 2. Distributed randomised SVD of that matrix A: every task adds A_i' (A_i G) for a fixed random G; the sum Y is terms x
    rank, and the leading singular directions and values follow from Y and G' Y (Nystroem) on the driver.
@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 64
-RANK, OVERSAMPLE = 32, 8
+PASSAGES = 1024  # multiplied at once
+BLOCK = 6  # words; windows are made of blocks, whose vectors are computed once for all sizes
+PIECE = 2_000_000  # characters looked at together
+RANK, OVERSAMPLE = 128, 8
 ITEMS_A_BLOCK = 20_000
 LEAST_WORDS = 5
-SHARE = 0.5  # of a window's idf weight that must lie on the benchmark's terms
-COSINE = 0.55
+SHARE = 0.5  # of a window's idf^2 weight that must lie on the benchmark's terms
+COSINE = 0.5
 LCS = 0.6  # of the item's words, in order
 ANSWER = 0.5  # of the item's last quarter
 SEED = 5
@@ -61,14 +64,20 @@ class _Terms:
         known = self.ids >= 0
         return self.ids[known].astype(np.int64), number[known], int(per.sum())
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first and end word (in `ids`) of the windows of `size` words, a quarter of it apart; the last one ends the text."""
-        stride = max(1, size // 4)
-        count = np.where(self.lengths > 0, 1 + -(-np.maximum(self.lengths - size, 0) // stride), 0)
-        text = np.repeat(np.arange(len(count)), count)
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        first = np.minimum(nth * stride, np.maximum(self.lengths[text] - size, 0)) + self.starts[text]
-        return text, first, np.minimum(first + size, self.starts[text] + self.lengths[text])
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block of each word, each text's first block and number of blocks (of BLOCK words)."""
+        within = np.arange(len(self.ids)) - np.repeat(self.starts, self.lengths)
+        per = -(-self.lengths // BLOCK)
+        first = np.cumsum(per) - per
+        return np.repeat(first, self.lengths) + within // BLOCK, first, per
+
+
+def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
+    """A batch in pieces of about PIECE characters."""
+    size = texts.map(lambda t: len(t) if t else 0).cumsum().to_numpy() // PIECE
+    cuts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]])) if len(texts) else []
+    for k, end in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+        yield texts.iloc[k:end]
 
 
 def _sum_over(docs: DataFrame, per_batch, shape: tuple) -> np.ndarray:
@@ -78,8 +87,8 @@ def _sum_over(docs: DataFrame, per_batch, shape: tuple) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shape)
         for b in batches:
-            for k in range(0, len(b), 2000):
-                total += per_batch(b["text"].iloc[k : k + 2000])
+            for piece in _pieces(b["text"]):
+                total += per_batch(piece)
         for k in range(0, shape[0], rows):
             yield pd.DataFrame({"block": [k], "sums": [total[k : k + rows].tobytes()]})
 
@@ -111,11 +120,11 @@ class Latent:
 
     def __init__(self, terms: dict, items: list[tuple[object, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
         self.terms, self.idf, self.items = terms, idf, items
-        self.term_vectors = (basis * idf[:, None]).astype(np.float32)
+        self.term_vectors = (basis * (idf**2)[:, None]).astype(np.float32)
         ids = [np.array([terms[w] for w in words]) for _, words in items]
         self.vectors = np.array([self.term_vectors[i].sum(0) for i in ids]).reshape(len(items), -1)
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        self.outside = float(np.mean(np.concatenate([idf[i] for i in ids]))) if ids else 1.0
+        self.outside = float(np.mean(np.concatenate([idf[i] for i in ids]) ** 2)) if ids else 1.0
         lengths = np.array([len(words) for _, words in items])
         self.sizes = []
         low, high = (lengths.min(), lengths.max()) if len(lengths) else (1, 0)
@@ -129,26 +138,43 @@ class Latent:
         if not len(t.ids):
             return
         known = t.ids >= 0
-        weight = np.where(known, self.idf[np.maximum(t.ids, 0)], self.outside)
-        total, inside = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, np.where(known, weight, 0.0)))
-        found: dict[tuple[int, int], list] = {}
+        block, text_first, per = t.blocks()
+        weight = np.where(known, self.idf[np.maximum(t.ids, 0)] ** 2, self.outside)
+        total, inside = (np.concatenate([[0.0], np.cumsum(np.bincount(block, weights=x))]) for x in (weight, np.where(known, weight, 0.0)))
+        looked, needed = [], np.zeros(len(total), np.int64)
         for size, of in self.sizes:
-            if not len(of):
-                continue
-            text, first, end = t.windows(size)
+            m = -(-size // BLOCK)
+            stride = max(1, m // 4)
+            count = np.where(per > 0, 1 + -(-np.maximum(per - m, 0) // stride), 0)
+            text = np.repeat(np.arange(len(count)), count)
+            first = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride + text_first[text]
+            end = np.minimum(first + m, text_first[text] + per[text])
             keep = inside[end] - inside[first] >= SHARE * (total[end] - total[first])
-            text, first, end = text[keep], first[keep], end[keep]
-            for k in range(0, len(text), 4096):
-                f, e = first[k : k + 4096], end[k : k + 4096]
-                n = e - f
-                flat = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                vectors = np.where(known[flat][:, None], self.term_vectors[np.maximum(t.ids[flat], 0)], 0)
-                v = np.add.reduceat(vectors, np.cumsum(n) - n, axis=0)
+            if len(of) and keep.any():
+                looked.append((of, text[keep], first[keep], end[keep]))
+                np.add.at(needed, first[keep], 1)
+                np.add.at(needed, end[keep], -1)
+        needed = np.cumsum(needed[:-1]) > 0
+        sums = np.zeros((int(needed.sum()) + 1, self.term_vectors.shape[1]))  # running sums over the needed blocks
+        place = np.cumsum(needed) - 1
+        words = np.flatnonzero(known & needed[block])
+        for k in range(0, len(words), 100_000):
+            w = words[k : k + 100_000]
+            row = place[block[w]]
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            sums[row[starts] + 1] += np.add.reduceat(self.term_vectors[t.ids[w]], starts, axis=0)
+        np.cumsum(sums, axis=0, out=sums)
+        word_at = np.searchsorted(block, np.arange(len(needed) + 1))  # the first word of each block
+        found: dict[tuple[int, int], list] = {}
+        for of, text, first, end in looked:
+            for k in range(0, len(text), 8192):
+                f, e = first[k : k + 8192], end[k : k + 8192]
+                v = (sums[place[e - 1] + 1] - sums[place[f]]).astype(np.float32)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 for j in range(0, len(of), 4096):
                     cosine = v @ self.vectors[of[j : j + 4096]].T
                     for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        found.setdefault((int(text[k + w]), int(of[j + i])), []).append((float(cosine[w, i]), int(f[w]), int(e[w])))
+                        found.setdefault((int(text[k + w]), int(of[j + i])), []).append((float(cosine[w, i]), int(word_at[f[w]]), int(word_at[e[w]])))
         for (n, i), spots in sorted(found.items()):
             item_id, words = self.items[i]
             item = [self.terms[w] for w in words]
@@ -180,14 +206,23 @@ def _latent(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Latent:
     rank = min(RANK + OVERSAMPLE, len(terms))
     probe = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), rank)))[0]
 
+    weighted = (probe * (idf**2)[:, None]).astype(np.float32)
+
     def products(texts: pd.Series) -> np.ndarray:
         ids, passage, n = _Terms(known.value, texts).passages()
         out = np.zeros((len(known.value), rank))
-        if n:
-            w = idf[ids]
-            for j in range(rank):
-                rows = np.bincount(passage, weights=w * probe[ids, j], minlength=n)
-                out[:, j] = np.bincount(ids, weights=w * rows[passage], minlength=len(known.value))
+        cuts = np.searchsorted(passage, np.arange(0, n + PASSAGES, PASSAGES))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            i, p = ids[a:b], passage[a:b]
+            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            rows = np.add.reduceat(weighted[i], starts, axis=0)  # each passage times the random matrix
+            at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(p))))
+            order = np.argsort(i, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))
+            term = i[order][first]
+            out[term] += np.add.reduceat(rows[at[order]], first, axis=0) * (idf[term] ** 2)[:, None]
         return out
 
     y = _sum_over(docs, products, (len(terms), rank))
@@ -196,8 +231,9 @@ def _latent(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Latent:
     y = y + shift * probe
     inner = probe.T @ y
     root = np.linalg.cholesky((inner + inner.T) / 2 + 1e-12 * np.trace(inner) / rank * np.eye(rank))
-    basis = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)[0][:, :RANK]
-    return Latent(terms, items, idf, basis)
+    u, values, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    # Coordinates over singular values: else the directions of what all passages share would make every cosine large.
+    return Latent(terms, items, idf, u[:, :RANK] / np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -216,10 +252,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for k in range(0, len(b), 2000):
-                    ids, texts = b["id"].iloc[k : k + 2000], b["text"].iloc[k : k + 2000]
+                for texts in _pieces(b["text"]):
                     hits = list(model.value.matches(texts))
-                    yield pd.DataFrame({"id": ids.iloc[[h[0] for h in hits]].to_numpy(), **{c: [h[i] for h in hits] for i, c in ((1, "item_id"), (2, "lcs"), (3, "cosine"))}})
+                    yield pd.DataFrame({"id": b.loc[texts.index, "id"].iloc[[h[0] for h in hits]].to_numpy(), **{c: [h[i] for h in hits] for i, c in ((1, "item_id"), (2, "lcs"), (3, "cosine"))}})
 
         found = rows.mapInPandas(run, types)
         out = found if out is None else out.unionByName(found)
