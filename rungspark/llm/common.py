@@ -47,6 +47,18 @@ def tasks_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its task, and the next stage's work comes beside it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z lower-cased. bytes.split() splits on exactly the six ASCII white space characters."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split() if text else []
@@ -66,7 +78,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word -> 64-bit hash, remembered between batches up to a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

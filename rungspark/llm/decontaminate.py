@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 PASSAGE = 64
 PASSAGES = 1024  # multiplied at once
 BLOCK = 6  # words; windows are made of blocks, whose vectors are computed once for all sizes
-PIECE = 2_000_000  # characters looked at together
+PIECE = 1_000_000  # characters looked at together
 RANK, OVERSAMPLE = 128, 8
 ITEMS_A_BLOCK = 20_000
 LEAST_WORDS = 5
@@ -91,6 +93,7 @@ def _sum_over(docs: DataFrame, per_batch, shape: tuple) -> np.ndarray:
                 total += per_batch(piece)
         for k in range(0, shape[0], rows):
             yield pd.DataFrame({"block": [k], "sums": [total[k : k + rows].tobytes()]})
+        give_back()
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [part["block"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in part["sums"]).tobytes()]})
@@ -226,12 +229,11 @@ def _latent(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Latent:
         return out
 
     y = _sum_over(docs, products, (len(terms), rank))
-    # Nystroem: A'A ~ Y (G'Y)^-1 Y'; a small shift keeps the root real.
-    shift = 1e-9 * max(np.linalg.norm(y), 1e-12)
-    y = y + shift * probe
+    # Nystroem: A'A ~ Y (G'Y)^-1 Y'; directions without energy are held above zero.
     inner = probe.T @ y
-    root = np.linalg.cholesky((inner + inner.T) / 2 + 1e-12 * np.trace(inner) / rank * np.eye(rank))
-    u, values, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    energy, axes = np.linalg.eigh((inner + inner.T) / 2)
+    root = axes / np.sqrt(np.maximum(energy, 1e-10 * max(energy.max(), 1e-300)))
+    u, values, _ = np.linalg.svd(y @ root, full_matrices=False)
     # Coordinates over singular values: else the directions of what all passages share would make every cosine large.
     return Latent(terms, items, idf, u[:, :RANK] / np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12)))
 
@@ -255,6 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 for texts in _pieces(b["text"]):
                     hits = list(model.value.matches(texts))
                     yield pd.DataFrame({"id": b.loc[texts.index, "id"].iloc[[h[0] for h in hits]].to_numpy(), **{c: [h[i] for h in hits] for i, c in ((1, "item_id"), (2, "lcs"), (3, "cosine"))}})
+            give_back()
 
         found = rows.mapInPandas(run, types)
         out = found if out is None else out.unionByName(found)

@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, idf: np.ndarray
     # At most `sample` rows are broadcast, and at most as many feature rows come back.
     found = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("l_id")).select("id", "y", "text")
     rows = found.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>").toPandas().sort_values(["id", "y"], kind="stable")
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), DIM + 1)
     return Network(x, rows["y"].to_numpy().astype(float))
 
 

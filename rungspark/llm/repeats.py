@@ -177,8 +177,8 @@ def _sent_windows(blobs: DataFrame, marks: DataFrame, length: int, owners: int)
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         k, first, n, kind = _ordered(right)
         wanted = np.flatnonzero(kind != FULL)
-        of = np.searchsorted(k[wanted], np.unique(k[wanted]), "left")
-        range_of = {int(key): (a, b) for key, a, b in zip(k[wanted][of], of, np.append(of[1:], len(wanted)), strict=True)}
+        keys, of = np.unique(k[wanted], return_index=True)
+        range_of = {int(key): (a, b) for key, a, b in zip(keys, of, [*of, len(wanted)][1:], strict=True)}
         out, pieces, size = [], [], 0
 
         def look() -> None:

@@ -276,7 +276,7 @@ def test_token_counts_follow_edits(spark, docs, none):
     counted = tokens.trees(docs, leaf=4).cache()
     assert all(r.n_tokens == exact(r.text) == sum(r.leaf_tokens) for r in counted.collect())
     edit = "array<struct<start:int,stop:int,insert:string>>"
-    changes = F.when(F.col("doc_id") != 7, F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("stop"), F.lit(" 12ab").alias("insert")), F.struct(F.lit(0), F.lit(10**6), F.lit(None))).cast(edit))
+    changes = F.when(F.col("doc_id") != 7, F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("stop"), F.lit(" 12ab").alias("insert")), F.struct(F.lit(0).alias("start"), F.lit(10**6).alias("stop"), F.lit(None).cast("string").alias("insert"))).cast(edit))
     one = F.array(F.struct(F.lit(5).alias("start"), F.lit(6).alias("stop"), F.lit("  x").alias("insert"))).cast(edit)
     for column in (changes, one):
         for r in tokens.with_edits(counted.withColumn("edits", column)).collect():
