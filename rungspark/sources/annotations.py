@@ -32,8 +32,8 @@ def read_pages(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def nested(pages: DataFrame, symbols: DataFrame, terminals: DataFrame, connections: DataFrame) -> DataFrame:
     """The inverse of read_pages: symbols by ref, terminals by name, connections by ref. Children are grouped before the joins."""
-    stops = terminals.groupBy("page_id", "symbol_ref").agg(F.array_sort(F.collect_list(F.struct("name", "tx", "ty", "origin"))).alias("terminals"))
-    full = symbols.join(stops, (symbols["page_id"] == stops["page_id"]) & (symbols["ref"] == stops["symbol_ref"]), "left").drop(stops["page_id"])
+    stops = terminals.groupBy(F.col("page_id").alias("p__"), F.col("symbol_ref").alias("r__")).agg(F.array_sort(F.collect_list(F.struct("name", "tx", "ty", "origin"))).alias("terminals"))
+    full = symbols.join(stops, (F.col("page_id") == F.col("p__")) & (F.col("ref") == F.col("r__")), "left").drop("p__", "r__")
     schema = page_schema()
     kinds = [f.name for f in schema["symbols"].dataType.elementType.fields]
     wires = [f.name for f in schema["connections"].dataType.elementType.fields]
@@ -59,7 +59,7 @@ def read_labels(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame
 def label_lines(symbols: DataFrame, classes: DataFrame) -> DataFrame:
     """page_id, lines: the label file of each page, six decimals, in order of ref."""
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "yolo_index", "cx", "cy", "w", "h")
-    rows = symbols.join(classes.select("class_key", "yolo_index"), "class_key").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ref", line.alias("line")))).alias("x"))
+    rows = symbols.drop("yolo_index").join(classes.select("class_key", "yolo_index"), "class_key").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ref", line.alias("line")))).alias("x"))
     return rows.select("page_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("lines"))
 
 
