@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_PROJ = 32
-THRESHOLD = 0.8  # share of the projections that must collide
+N_PROJ = 48
+THRESHOLD = 0.75  # share of the projections that must collide
 WIDEN = 1.3
-WANTED = 0.18  # of a block's vectors verified before widening stops, and at least 12 * k
+WANTED = 0.2  # of a block's vectors verified before widening stops, and at least LEAST * k
+LEAST = 45
 BLOCK = 16384
 QUERY_BLOCK = 256
 SEED = 20
@@ -62,7 +63,7 @@ class BlockIndex:
     def search(self, q: np.ndarray, own: np.ndarray, k: int, threshold: float, wanted: float, widen: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its number, the places of its k nearest verified vectors, their inner products."""
         n, m = len(self.ids), len(self.sorted)
-        least, need = int(np.ceil(threshold * m)), min(n, max(12 * k, int(wanted * n)))
+        least, need = int(np.ceil(threshold * m)), min(n, max(LEAST * k, int(wanted * n)))
         scale = np.sqrt((self.x**2).sum(1).max() / np.maximum((q**2).sum(1), 1e-300))  # a query's length is free: its order of inner products stays
         qp = ((q * scale[:, None]) @ self.dirs[:-1]).T
         rungs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
