@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FEW = 1_000_000  # rows up to which a table is sent to every task
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a table in the session's shared folder (spark.checkpoint.dir; a temporary one only where none is set): written once,
     readable by every executor, so loops neither grow their plans nor depend on one machine."""
@@ -27,12 +30,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     so that rounds grow with the logarithm of the longest path; each round is two equi-joins and a partial aggregation."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     both = cut_lineage(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # Labels are no more than edge ends: of few, every task gets a copy; of more, both sides are shuffled.
+    sent = F.broadcast if both.count() <= FEW else lambda x: x
     labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("best"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
+        near = both.join(sent(labels.select(F.col("node").alias("v"), "label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("best"))
+        step = near.join(sent(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
+        step = cut_lineage(step)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut_lineage(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = cut_lineage(step.join(sent(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
