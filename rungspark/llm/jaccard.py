@@ -7,13 +7,16 @@ Both are used:
    symmetric-difference metric a set is nearest to the pivots it holds; its region is that of its lowest ranked one. A
    partner within Jaccard distance 0.2 lacks at most a fifth of the set's shingles, so by the triangle inequality its region's
    pivot lies in the window of the set's lowest ranked fifth (plus one): a set is replicated to the regions of that window
-   and no others. Of two linked sets the smaller needs a window of a ninth only. Shingles that many sets share come last in
+   and no others. If g, at places i and j of two windows, is the first shingle shared, at most |x| - i and |y| - j are shared: a
+   member stays in a region only if a partner is there for which both suffice. Shingles that many sets share come last in
    the order (any order gives exact results), so that shared passages do not make regions.
 2. Voronoi regions of document pivots. Inside a region of more than two sets, pivot sets are chosen and all members'
    Jaccard distances to them computed. Members within 0.2 of one pivot are linked through it and need no distances among
    each other. The others go to the region of their nearest pivot (at most 0.4 away, else to a region of the far), and a
    member of another region is replicated where |d(x, p) - d(y, p)| <= 0.2 leaves a link possible. Regions are joined
-   recursively, with more pivots each time, until nothing is open. No link is lost and none is guessed.
+   recursively, with more pivots each time, until nothing is open but what links already join. No link is lost and none is guessed.
+
+Exact distances are computed for pairs that sketches (see sketch()) do not put beyond every window.
 
 Equal sets are one node from the start, so copies cost one row each. Only links through pivots are kept: enough for components.
 
@@ -28,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import WordIds, mix64, stored, tasks_for, words_of
+from .common import WordIds, give_back, mix64, stored, tasks_for, words_of
 from .ngram import _keys, _pack, _planes, _unpack, _owner
 
 WORDS = 5
 NUM, DEN = 4, 5  # the least similarity, 0.8, as a fraction
+REACH = 3 * (1 - NUM / DEN) + 1e-9  # no window reaches further than three times the links' distance
 HOT = 16  # sets that share a shingle, from which on it is ordered last
 MOST_HOT = 200_000  # shingles so ordered: the bound of the broadcast list; the order is free, so results do not depend on it
 FEW_NODES = 1_000_000  # candidate nodes up to which their list is broadcast; beyond, the join is shuffled
@@ -82,11 +86,13 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(name), pending.append(g)
                     size += len(g)
             yield pd.DataFrame({"id": b["id"], "n": ns, "node": pd.array(names, "Int64"), "grams": None, "counts": None})
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield shared()
                 pending, size, seen = [], 0, set()
         if pending:
             yield shared()
+        pending.clear()
+        give_back()
 
     return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, grams binary, counts binary")
 
@@ -102,15 +108,29 @@ def _hot(nodes: DataFrame) -> np.ndarray:
     return np.sort(np.array(top.select("gram").toPandas()["gram"], np.int64).view(np.uint64))
 
 
-def _prefix(grams: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set's window of pivots in the global order, and how many of them a smaller partner needs."""
+def _prefix(grams: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's window of pivots in the global order; and for each place in it the size of the largest partner whose first shared
+    shingle can be there: intersection >= NUM / (NUM + DEN) * (both sizes) must fit into what is left of the set."""
     n = len(grams)
-    take, index = n - -(-NUM * n // DEN) + 1, n - -(-2 * NUM * n // (NUM + DEN)) + 1
+    take = n - -(-NUM * n // DEN) + 1
     if len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
         late = hot[at] == grams
         grams = np.concatenate([grams[~late], grams[late]])
-    return grams[:take], index
+    return grams[:take], (NUM + DEN) * (n - np.arange(take)) // NUM - n
+
+
+def _fitting(size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which members of a region have a partner there, by sizes and the partners' largest sizes."""
+    least, most = -(-size * NUM // DEN), np.minimum(most, size * DEN // NUM)
+    if len(size) <= 512:
+        ok = (size[None, :] >= least[:, None]) & (size[None, :] <= most[:, None])
+        ok &= ok.T
+        np.fill_diagonal(ok, False)
+        return ok.any(1)
+    ordered = np.sort(size)
+    others = np.searchsorted(ordered, most, "right") - np.searchsorted(ordered, least, "left") - ((least <= size) & (size <= most))
+    return others > 0
 
 
 def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataFrame:
@@ -137,14 +157,16 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
                 if not len(g) or (name := node_of(g)) in seen:
                     continue
                 seen.add(name)
-                window, index = _prefix(g, of.value)
-                grams.append(window), info.append((name, 2 * len(g) + (np.arange(len(window)) < index)))
+                window, most = _prefix(g, of.value)
+                grams.append(window), info.append((name, len(g) << 32 | most))
                 size += len(window)
-                if size > 2_000_000:
+                if size > 1_500_000:
                     yield flush()
                     grams, info, size, seen = [], [], 0, set()
         if grams:
             yield flush()
+        grams.clear()
+        give_back()
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([_keys(k) for k in part["keys"]])
@@ -160,18 +182,7 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
         some = np.flatnonzero(ends - starts > 1)
         regions, members = [], []
         for s, e in zip(starts[some], ends[some], strict=True):
-            size, indexed = tag[s:e] >> 1, tag[s:e] & 1 == 1
-            if not indexed.any():
-                continue
-            # A member stays if a partner of a fitting size is there, the smaller of the two being indexed.
-            if e - s == 2:
-                small = int(size[1] < size[0])
-                fits = DEN * size.min() >= NUM * size.max() and (indexed[small] or size[0] == size[1])
-                keep = np.array([fits, fits])
-            else:
-                ordered = np.sort(size)
-                others = np.searchsorted(ordered, size * DEN // NUM, "right") - np.searchsorted(ordered, -(-size * NUM // DEN), "left")
-                keep = others > 1
+            keep = _fitting(tag[s:e] >> 32, tag[s:e] & 0xFFFFFFFF)
             if keep.sum() > 1:
                 kept = node[s:e][keep]
                 members.append(kept)
@@ -184,8 +195,27 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
     return sent.groupBy("owner").applyInPandas(meet, "region long, node long").distinct()
 
 
+def _bits(n: int) -> int:
+    return max(3, int(n - 1).bit_length())
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each of 2^b >= n equal ranges of the hash. The L1 distance of two sketches is no larger than
+    the sets' symmetric difference, so it bounds their Jaccard distance from below."""
+    b = _bits(len(grams))
+    return np.minimum(np.bincount((grams >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b), 255).astype(np.uint8)
+
+
+def least_distance(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:
+    """A lower bound of the Jaccard distance from two sketches and the sets' sizes."""
+    if len(x) < len(y):
+        x, y = y, x
+    differ = np.abs(x.astype(np.int64).reshape(len(y), -1).sum(1) - y).sum() if x.max() < 255 and y.max() < 255 else abs(nx - ny)
+    return 2 * differ / (nx + ny + differ)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, grams (packed) of the given nodes, each from its first document."""
+    """node, n, sketch and grams (packed, their upper 48 bits) of the given nodes, each from its first document."""
     wanted = stored(nodes.join(classes, "node").select(F.col("first").alias("w_id"), "node"), "jaccard-wanted")
     if wanted.count() <= FEW_NODES:
         wanted = F.broadcast(wanted)
@@ -195,9 +225,24 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) ->
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
             same = np.array([node_of(g) == n for g, n in zip(sets, b["node"], strict=True)], bool)  # an id may occur with several texts
-            yield pd.DataFrame({"node": b["node"], "grams": [_planes(g) for g in sets]})[same]
+            yield pd.DataFrame({"node": b["node"], "n": [len(g) for g in sets], "sketch": [_pack(sketch(g)) for g in sets], "grams": [_planes(g >> np.uint64(16)) for g in sets]})[same]
 
-    return found.mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
+    return found.mapInPandas(run, "node long, n long, sketch binary, grams binary").dropDuplicates(["node"])
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, p, least: a lower bound of the distance from sizes and sketches; 1 where it is beyond every window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = zip(b["sx"], b["nx"], b["sp"], b["np"], strict=True)
+            yield pd.DataFrame({"x": b["x"], "p": b["p"], "least": [least_distance(_unpack(sx, np.uint8), nx, _unpack(sp, np.uint8), n_p) for sx, nx, sp, n_p in rows]})
+
+    of = lambda c, s, n: sets.select(F.col("node").alias(c), F.col("sketch").alias(s), F.col("n").alias(n))
+    joined = pairs.join(of("p", "sp", "np"), "p").join(of("x", "sx", "nx"), "x")
+    out_of_size = 1 - F.least("nx", "np") / F.greatest("nx", "np") > REACH
+    sized = joined.filter(~out_of_size).select("x", "p", "sx", "nx", "sp", "np")
+    return sized.mapInPandas(run, "x long, p long, least double").filter(F.col("least") <= REACH)
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,37 +257,58 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 inter.append(both), uni.append(len(a) + len(c) - both)
             yield pd.DataFrame({"x": b["x"], "p": b["p"], "inter": inter, "uni": uni})
 
-    joined = pairs.join(sets.select(F.col("node").alias("p"), F.col("grams").alias("gp")), "p").join(sets.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x")
-    return joined.select("x", "p", "gx", "gp").mapInPandas(run, "x long, p long, inter long, uni long")
+    pivots = pairs.select("p").distinct()
+    if pairs.count() <= FEW_NODES:  # then sets stay where they are, and only those of pairs travel
+        pairs, pivots = F.broadcast(pairs), F.broadcast(pivots)
+    of_pivots = sets.join(pivots.withColumnRenamed("p", "node"), "node", "left_semi").select(F.col("node").alias("p"), F.col("grams").alias("gp"))
+    of_members = sets.select(F.col("node").alias("x"), F.col("grams").alias("gx")).join(pairs, "x")
+    return of_members.join(of_pivots, "p").select("x", "p", "gx", "gp").mapInPandas(run, "x long, p long, inter long, uni long")
 
 
 def _links(regions: DataFrame, sets: DataFrame) -> DataFrame:
     """x, p: links, enough to connect every pair of linked sets of a region. Joins the regions recursively over document pivots."""
-    from pyspark.sql import Window
-
-    near, edges, pivots = 1 - NUM / DEN, None, 1
+    near, edges, pivots, slack = 1 - NUM / DEN, None, 2, 1e-9
+    # The most central sets come first as pivots: those in most regions (what a family's members share, they share with these).
+    degree = stored(regions.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees")
+    regions = regions.join(degree, "node").withColumn("kin", F.lit(0).cast("long")).withColumn("main", F.lit(False))
     while True:
-        by = Window.partitionBy("region").orderBy("node")
-        chosen = regions.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= pivots).select("region", F.col("node").alias("p"))
+        # Later on, those of a region's components but the largest one: once they are tested, what is left is joined already.
+        by = Window.partitionBy("region").orderBy("kin", F.desc("degree"), "node")
+        chosen = regions.filter("NOT main").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= pivots).select("region", F.col("node").alias("p"))
         tested = stored(regions.join(chosen, "region").filter(F.col("node") != F.col("p")).select("region", F.col("node").alias("x"), "p"), "jaccard-tested")
-        found = stored(_distances(tested.select("x", "p").distinct(), sets), "jaccard-distances")
+        # A pair of pivots is tested once: distances are symmetric.
+        pairs = tested.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p")).distinct()
+        close = stored(_bounded(pairs, sets), "jaccard-bounded")
+        found = stored(_distances(close.select("x", "p"), sets), "jaccard-distances")
         linked = found.filter(DEN * F.col("inter") >= NUM * F.col("uni")).select("x", "p")
         edges = linked if edges is None else edges.unionByName(linked)
-        measured = tested.join(found, ["x", "p"]).withColumn("d", 1 - F.col("inter") / F.col("uni"))
-        slack = 1e-9
-        best = measured.join(chosen.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti").groupBy("region", "x").agg(F.min(F.struct("d", "p")).alias("best"))
-        far = best.filter(F.col("best.d") > 2 * near + slack).select("region", "x").withColumn("cell", F.lit(None).cast("long"))
-        home = best.filter(F.col("best.d") <= 2 * near + slack).select("region", "x", F.col("best.p").alias("p"), F.col("best.d").alias("d"))
+        known = found.select(F.col("x").alias("a"), F.col("p").alias("b"), (1 - F.col("inter") / F.col("uni")).alias("d"))
+        pair = (F.least("x", "p") == F.col("a")) & (F.greatest("x", "p") == F.col("b"))
+        measured = tested.join(known, pair, "left").select("region", "x", "p", F.coalesce("d", F.lit(1.0)).alias("d"))
+        measured = measured.join(chosen.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti")
+        best = measured.groupBy("region", "x").agg(F.min(F.struct("d", "p")).alias("best"))
+        far = best.filter(F.col("best.d") > 2 * near + slack).select("region", F.lit(None).cast("long").alias("cell"), "x")
+        home = best.filter(F.col("best.d") <= 2 * near + slack).select("region", F.col("best.p").alias("p"), F.col("best.d").alias("d"))
         span = home.groupBy("region", "p").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        guests = measured.join(chosen.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti").join(span, ["region", "p"])
-        cells = guests.filter((F.col("d") <= F.col("hi") + near + slack) & (F.col("d") >= F.col("lo") - near - slack)).select("region", "p", "x", "d")
+        cells = measured.join(span, ["region", "p"]).filter((F.col("d") <= F.col("hi") + near + slack) & (F.col("d") >= F.col("lo") - near - slack))
         # In a cell, members near the pivot are linked through it; only those in the window of a member that is not stay.
         rest = cells.filter(F.col("d") > near + slack).groupBy("region", "p").agg(F.min("d").alias("least"))
-        open_ = cells.join(rest, ["region", "p"]).filter((F.col("d") > near + slack) | (F.col("d") >= F.col("least") - near - slack)).select("region", F.col("p").alias("cell"), "x")
-        both = open_.unionByName(far)
-        size = Window.partitionBy("region", "cell")
-        nxt = both.withColumn("members", F.count(F.lit(1)).over(size)).filter("members > 1").select(F.xxhash64("region", "cell").alias("region"), F.col("x").alias("node"))
-        regions = stored(nxt.distinct(), "jaccard-open")
+        stay = (F.col("d") > near + slack) | (F.col("d") >= F.col("least") - near - slack)
+        both = cells.join(rest, ["region", "p"]).filter(stay).select("region", F.col("p").alias("cell"), "x").unionByName(far)
+        left = stored(both.select(F.xxhash64("region", "cell").alias("region"), F.col("x").alias("node")), "jaccard-left")
+        if left.isEmpty():
+            return edges
+        # Sets that links join by now need no more tests among each other: a region stays only if it holds several components.
+        joined = connected_components(edges, "x", "p")
+        named = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("region")
+        # Equal regions (of several shingles of one family) are one.
+        kept = named.join(several, "region")
+        same = kept.groupBy("region").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("sum"), F.count(F.lit(1)).alias("size"))
+        first = same.groupBy("sum", "size").agg(F.min("region").alias("region"))
+        kin = F.count(F.lit(1)).over(Window.partitionBy("region", "component"))
+        main = F.max(F.struct("kin", "component")).over(Window.partitionBy("region"))["component"]
+        regions = stored(kept.join(first.select("region"), "region").withColumn("kin", kin).withColumn("main", F.col("component") == main).join(degree, "node").select("region", "node", "degree", "kin", "main"), "jaccard-open")
         if regions.isEmpty():
             return edges
         pivots *= 4
