@@ -11,8 +11,9 @@ a bucket are kept in play:
 2. The open rest, runs at the ends of repeated passages, is refined to single strings, sorted by their full bucket.
    Strings of one run overlap at the anchor, so the least and the greatest repeated one say which bytes go.
 
-Texts travel as compressed blobs twice, runs and strings as packed arrays; an anchor bucket or a hot passage is one number
-for each run in it. Buckets are 64-bit names (a chance of about 10^-4 that any two of 10^8 open strings collide).
+Texts travel as compressed blobs twice, runs and strings as packed arrays. No passage is hot: of the runs of one extent, and of
+the equal strings, that a sender holds together it sends one, the others being known as repeated; runs of an anchor with many
+extents are dealt by extent, all such anchors being listed first. The number of groups grows with the bytes. Buckets are 64-bit names (a chance of about 10^-4 that any two of 10^8 open strings collide).
 
 Defined results: null and empty texts have no bytes, nothing removed and an empty rest; texts shorter than `length` are kept;
 rows that are repeated as a whole, id and text, are copies of each other; null ids are allowed; very long texts are read in
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._windows import SEGMENT, buckets, runs
-from .common import stored, tasks_for
+from .common import mix64, stored, tasks_for
 from .ngram import _keys, _owner, _pack, _planes, _unpack
 
 LENGTH = 200
 Q = 32
 FULL, OPEN, PARTNER = 0, 1, 2
+RUN = (("extent", np.uint64), ("k", np.int64), ("first", np.int64), ("n", np.uint8), ("again", bool))
+OWNER_BYTES = 1 << 26  # of text for each owner and part
+HOT, HOT_SHARE = 64, 400  # an anchor is spread if a sender holds over HOT extents of it at once, and over 1 / HOT_SHARE of all its runs
 
 
 def _bytes(text: str | None) -> bytes:
@@ -50,7 +54,9 @@ def _part(k: np.ndarray, parts: int) -> np.ndarray:
     return (k.view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
-def _sent_runs(rows: DataFrame, length: int, q: int, owners: int) -> DataFrame:
+def _sent_runs(rows: DataFrame, length: int, q: int, owners: int, parts: int) -> DataFrame:
+    """Runs for their owners (of equal extents held together the first, `again`), with the anchors to spread; the others, settled, for their parts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, size, done = [], 0, []
 
@@ -67,13 +73,30 @@ def _sent_runs(rows: DataFrame, length: int, q: int, owners: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             anchor, extent, k, first, n = (np.concatenate(x) for x in zip(*done, strict=True))
             done.clear()
-            order = np.argsort(anchor, kind="stable")
+            anchor = mix64(anchor)  # least buckets lie low, their scrambled names anywhere
+            order = np.lexsort((first, k, extent, anchor))
             anchor, extent, k, first, n = (x[order] for x in (anchor, extent, k, first, n))
-            parts = _cut(anchor, owners)
-            return pd.DataFrame({
-                "owner": [o for o, _ in parts], "anchor": [_planes(anchor[s]) for _, s in parts],
-                **{name: [_pack(x[s]) for _, s in parts] for name, x in (("extent", extent), ("k", k), ("first", first), ("n", n))},
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (extent[1:] != extent[:-1])
+            again = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
+            to = _part(k[~new], parts)
+            known = [(p, *(x[~new][to == p] for x in (k, first, n))) for p in np.unique(to)]
+            least = max(HOT, len(new) // HOT_SHARE)
+            anchor, extent, k, first, n = (x[new] for x in (anchor, extent, k, first, n))
+            buckets_, extents = np.unique(anchor, return_counts=True)
+            hot = buckets_[extents > least]
+            cut = _cut(anchor, owners)
+            sent = pd.DataFrame({
+                "owner": [o for o, _ in cut], "anchor": [_planes(anchor[s]) for _, s in cut],
+                **{name: [_pack(x[s]) for _, s in cut] for name, x in (("extent", extent), ("k", k), ("first", first), ("n", n), ("again", again))},
+                "spread": False, "hot": [hot[_owner(hot, owners) == o].tobytes() or None for o, _ in cut], "part": pd.Series([None] * len(cut), dtype="Int32"), "kind": None,
+            })
+            settled = pd.DataFrame({
+                "owner": pd.Series([None] * len(known), dtype="Int32"), "anchor": None, "extent": None,
+                **{name: [_pack(x[i]) for x in known] for i, name in ((1, "k"), (2, "first"), (3, "n"))}, "again": None,
+                "spread": False, "hot": None, "part": [x[0] for x in known], "kind": [_pack(np.full(len(x[1]), FULL, np.uint8)) for x in known],
             })
+            return pd.concat([sent.astype({"owner": "Int32"}), settled.astype({"part": "Int32"})]) if known else sent
 
         for b in batches:
             for k, text in zip(b["k"], b["text"], strict=True):
@@ -92,24 +115,55 @@ def _sent_runs(rows: DataFrame, length: int, q: int, owners: int) -> DataFrame:
             yield flush()
 
     assert length - q + 1 < 256
-    return rows.mapInPandas(run, "owner int, anchor binary, extent binary, k binary, first binary, n binary")
+    return rows.mapInPandas(run, "owner int, anchor binary, extent binary, k binary, first binary, n binary, again binary, spread boolean, hot binary, part int, kind binary")
+
+
+def _spread(sent: DataFrame, owners: int) -> DataFrame:
+    """The runs of listed anchors dealt by extent."""
+    listed = [r.hot for r in sent.filter("hot IS NOT NULL").select("hot").distinct().collect()]  # at most HOT_SHARE anchors for each time a sender sends
+    sent = sent.filter("owner IS NOT NULL").select("owner", "anchor", "extent", "k", "first", "n", "again", "spread")
+    if not listed:
+        return sent
+    of = sent.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(listed), np.uint64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                anchor = _keys(row.anchor)
+                hot = np.isin(anchor, of.value)
+                if not hot.any():
+                    yield pd.DataFrame([row], columns=b.columns)
+                    continue
+                cols = [anchor, *(_unpack(getattr(row, c), t) for c, t in RUN)]
+                to = np.where(hot, _owner(cols[1], owners) + owners, row.owner)
+                order = np.argsort(to, kind="stable")
+                to, cols = to[order], [x[order] for x in cols]
+                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1), len(to)]
+                yield pd.DataFrame([
+                    {"owner": int(to[x]) % owners, "anchor": _planes(cols[0][x:y]), **{c: _pack(v[x:y]) for (c, _), v in zip(RUN, cols[1:], strict=True)}, "spread": bool(to[x] >= owners)}
+                    for x, y in zip(cuts, cuts[1:], strict=False)
+                ], columns=b.columns)
+
+    return sent.mapInPandas(run, sent.schema)
 
 
 def _marks(sent: DataFrame, parts: int) -> DataFrame:
     """Runs that may hold repeated strings: part (of their text), and packed k, first, n, kind."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        anchor = np.concatenate([_keys(x) for x in part["anchor"]])
-        extent, k, first, n = (np.concatenate([_unpack(x, t) for x in part[c]]) for c, t in (("extent", np.uint64), ("k", np.int64), ("first", np.int64), ("n", np.uint8)))
+        anchor = [_keys(x) for x in part["anchor"]]
+        spread = np.repeat(part["spread"].to_numpy(bool), [len(x) for x in anchor])
+        anchor = np.concatenate(anchor)
+        extent, k, first, n, again = (np.concatenate([_unpack(x, t) for x in part[c]]) for c, t in RUN)
         order = np.lexsort((first, k, extent, anchor))
-        anchor, extent, k, first, n = (x[order] for x in (anchor, extent, k, first, n))
+        anchor, extent, k, first, n, again, spread = (x[order] for x in (anchor, extent, k, first, n, again, spread))
         new_bucket = np.ones(len(anchor), bool)
         new_bucket[1:] = anchor[1:] != anchor[:-1]
         new_extent = new_bucket.copy()
         new_extent[1:] |= extent[1:] != extent[:-1]
         bucket, ext = np.cumsum(new_bucket) - 1, np.cumsum(new_extent) - 1
-        alone, twice = np.bincount(bucket)[bucket] == 1, np.bincount(ext)[ext] > 1
-        mixed = np.bincount(bucket, weights=new_extent)[bucket] > 1
+        alone, twice = (np.bincount(bucket, 1 + again)[bucket] == 1) & ~spread, np.bincount(ext, 1 + again)[ext] > 1
+        mixed = (np.bincount(bucket, weights=new_extent)[bucket] > 1) | spread
         kind = np.where(twice, FULL, OPEN).astype(np.uint8)
         partner = new_extent & twice & mixed
         keep = ~alone
@@ -202,35 +256,50 @@ def _sent_windows(blobs: DataFrame, marks: DataFrame, length: int, owners: int)
         if pieces:
             look()
         if not out:
-            return pd.DataFrame({"owner": [], "part": [], "key": [], "run": [], "at": [], "partner": []})
+            return pd.DataFrame({"owner": [], "part": [], "key": [], "run": [], "at": [], "partner": [], "lo": [], "hi": []})
         window, number, at = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(window, kind="stable")
         window, number, at = window[order], number[order], at[order]
-        there = _cut(window, owners)
-        return pd.DataFrame({
-            "owner": [o for o, _ in there], "part": right["part"].iloc[0], "key": [_planes(window[s]) for _, s in there], "run": [_pack(number[s]) for _, s in there],
-            "at": [_pack(at[s]) for _, s in there], "partner": [_pack(kind[number[s]] == PARTNER) for _, s in there],
+        partner = kind[number] == PARTNER
+        # Of equal strings one goes on, for those of other parts; it needs no answer.
+        new = np.ones(len(window), bool)
+        new[1:] = window[1:] != window[:-1]
+        again = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
+        held = np.repeat(again, np.diff(np.append(np.flatnonzero(new), len(new)))) & ~partner
+        settled = _ranges(number[held], at[held])
+        window, number, at, partner = window[new], number[new], at[new], partner[new] | again
+        there, part = _cut(window, owners), right["part"].iloc[0]
+        sent = pd.DataFrame({
+            "owner": [o for o, _ in there], "part": part, "key": [_planes(window[s]) for _, s in there], "run": [_pack(number[s]) for _, s in there],
+            "at": [_pack(at[s]) for _, s in there], "partner": [_pack(partner[s]) for _, s in there], "lo": None, "hi": None,
         })
+        return pd.concat([sent, pd.DataFrame([{"owner": part % owners, "part": part, "key": None, "at": None, "partner": None, **settled}])]) if held.any() else sent
 
-    schema = "owner int, part int, key binary, run binary, at binary, partner binary"
+    schema = "owner int, part int, key binary, run binary, at binary, partner binary, lo binary, hi binary"
     return blobs.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(run, schema)
 
 
+def _ranges(number: np.ndarray, at: np.ndarray) -> dict[str, bytes]:
+    """The runs' numbers, each once, with the least and the greatest place."""
+    x = pd.DataFrame({"run": number, "at": at}).groupby("run", sort=True)["at"].agg(["min", "max"]).reset_index()
+    return {"run": _pack(x["run"].to_numpy(np.int32)), "lo": _pack(x["min"].to_numpy(np.uint8)), "hi": _pack(x["max"].to_numpy(np.uint8))}
+
+
 def _hits(windows: DataFrame) -> DataFrame:
     """part, and packed: numbers of runs with repeated strings, the least and the greatest of these."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = []
+        settled, rows = rows.loc[rows["lo"].notna(), ["part", "run", "lo", "hi"]], rows[rows["lo"].isna()]
+        if not len(rows):
+            return settled
         key = [_keys(x) for x in rows["key"]]
         sizes = [len(x) for x in key]
         _, at, count = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
         number, place, partner = (np.concatenate([_unpack(x, t) for x in rows[c]]) for c, t in (("run", np.int32), ("at", np.uint8), ("partner", bool)))
         part = np.repeat(rows["part"].to_numpy(np.int64), sizes)
         again = (count[at] > 1) & ~partner
-        found = pd.DataFrame({"part": part[again], "run": number[again], "at": place[again]}).groupby(["part", "run"], sort=True)["at"].agg(["min", "max"]).reset_index()
-        return pd.DataFrame([
-            {"part": p, "run": _pack(x["run"].to_numpy(np.int32)), "lo": _pack(x["min"].to_numpy(np.uint8)), "hi": _pack(x["max"].to_numpy(np.uint8))} for p, x in found.groupby("part")
-        ], columns=["part", "run", "lo", "hi"])
+        found = pd.DataFrame({"part": part[again], "run": number[again], "at": place[again]})
+        return pd.concat([settled, pd.DataFrame([{"part": p, **_ranges(x["run"], x["at"])} for p, x in found.groupby("part")], columns=["part", "run", "lo", "hi"])])
 
     return windows.groupBy("owner").applyInPandas(run, "part int, run binary, lo binary, hi binary")
 
@@ -246,9 +315,12 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
     """id, n_bytes, n_removed, spans (start and stop of the maximal removed runs, in bytes) and kept (the remaining bytes)."""
     spark = docs.sparkSession
-    owners = parts = tasks_for(spark, 64)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    owners = parts = max(tasks_for(spark, 64), n_bytes // OWNER_BYTES + 1)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
-    marks = stored(_marks(_sent_runs(rows, length, q, owners), parts), "repeats-marks")
+    sent = stored(_sent_runs(rows, length, q, owners, parts), "repeats-runs")
+    settled = sent.filter("owner IS NULL").select("part", "k", "first", "n", "kind")
+    marks = stored(_marks(_spread(sent, owners), parts).unionByName(settled), "repeats-marks")
     blobs = _blobs(rows, parts)
     hits = stored(_hits(_sent_windows(blobs, marks, length, owners)), "repeats-hits")
     known = marks.select("part", "k", "first", "n", "kind", *[F.lit(None).cast("binary").alias(c) for c in ("run", "lo", "hi")]).unionByName(

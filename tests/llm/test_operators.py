@@ -156,6 +156,44 @@ def test_repeats(spark, docs, none, rows, length, q):
     assert repeats.without_repeats(none).count() == 0
 
 
+def _removed(texts, length):
+    count = Counter(b[s : s + length] for b in texts.values() for s in range(len(b) - length + 1))
+    hit = {i: bytearray(len(b)) for i, b in texts.items()}
+    for i, b in texts.items():
+        for s in range(len(b) - length + 1):
+            if count[b[s : s + length]] > 1:
+                hit[i][s : s + length] = b"\1" * length
+    return {i: sum(h) for i, h in hit.items()}
+
+
+def test_repeats_deal_runs_evenly(spark):
+    r = random.Random(8)
+    texts = [(i, "".join(r.choice("abcdefghijklmnop") for _ in range(20_000))) for i in range(20)]
+    rows = spark.createDataFrame(texts, "id long, text string").select("id", "text", F.xxhash64("id").alias("k"))
+    size = Counter()
+    for x in repeats._sent_runs(rows, 200, 32, 64, 64).filter("owner IS NOT NULL").collect():
+        size[x.owner] += len(ngram._unpack(bytes(x.first), np.int64))
+    assert len(size) == 64 and max(size.values()) < 3 * sum(size.values()) / 64
+
+
+def test_repeats_of_hot_passages(spark, monkeypatch):
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    long, short = noise(60), noise(12)  # every text's: one passage of several strings, one that is shorter than a string
+    texts = {i: (noise(30) + long + noise(30 + i % 3) + short + noise(30)).encode() for i in range(600)}
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in texts.items()], "doc_id long, text string").repartition(3)
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("k"))
+    sent = repeats._sent_runs(rows, 20, 8, 64, 64).cache()
+    dealt = repeats._spread(sent, 64).collect()
+    assert any(x.spread for x in dealt)
+    size = Counter()
+    for x in dealt:
+        size[x.owner] += len(ngram._unpack(bytes(x.first), np.int64))
+    assert max(size.values()) < 3 * sum(size.values()) / 64
+    monkeypatch.setattr(repeats, "SEGMENT", 4_000)
+    assert {x.doc_id: x.n_removed for x in repeats.without_repeats(docs, length=20, q=8).collect()} == _removed(texts, 20)
+
+
 def components(rows):
     sets = {}
     for x in rows:
