@@ -497,3 +497,47 @@ def adoption_rule(spark, sf):
     x = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(avg("A").alias("base"), avg("R").alias("cand"))
     rule = F.when(F.col("base").isNull() | F.col("cand").isNull(), "unknown").when(F.round(F.col("cand") - F.col("base"), 9) < -0.005, "hold").otherwise("adopt")
     return x.select("l_suppkey", rule.alias("decision"))
+
+
+# --- whole tables ---------------------------------------------------------------------------------------------------
+# The queries of these names without `_whole` answer for the part of the tables that their SQL names; these for every row.
+
+
+@query()
+def near_string_pairs_whole(spark, sf):
+    return R.near_strings(t(spark, sf, "customer").select(F.expr("substr(c_name, 10)").alias("w")), "w")
+
+
+@query()
+def absorption_whole(spark, sf):
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return R.absorbed(lines.groupBy(F.col("o_custkey").alias("i")).agg(F.collect_set("l_partkey").alias("s")), "i", "s").select("i")
+
+
+@query()
+def theil_sen_whole(spark, sf):
+    p = t(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return P.theil_sen(p, ["label"], "x", "y").select("label", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+def _all_edges(spark, sf) -> DataFrame:
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct()
+
+
+@query()
+def connected_components_whole(spark, sf):
+    return graph.connected_components(_all_edges(spark, sf))
+
+
+@query()
+def bfs_reach_depth_whole(spark, sf):
+    e = _all_edges(spark, sf)
+    return graph.reach(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), e.select("a").distinct(), 4, "a", "b")
+
+
+@query()
+def kleene_eval_whole(spark, sf):
+    v = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "click", False)
+    x = t(spark, sf, "events").select("user_id", v.alias("v"))
+    return x.groupBy("user_id").agg(logic.verdict(logic.all_of(F.col("v"))).alias("series"), logic.verdict(logic.any_of(F.col("v"))).alias("parallel"))
