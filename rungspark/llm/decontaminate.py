@@ -5,8 +5,9 @@
 2. Distributed randomised SVD of that matrix A: every task adds A_i' (A_i G) for a fixed random G; the sum Y is terms x
    rank, and the leading singular directions and values follow from Y and G' Y (Nystroem) on the driver.
 3. Candidate search: windows of a text, in sizes that follow the items' lengths, are compared by their cosine in the latent
-   space. Windows whose weight lies mostly on terms outside the benchmark are passed over: their cosine with any item is
-   bounded by that share.
+   space. Windows that cannot pass the verification are passed over: at most a share of 1 - LCS of an item's words may be
+   missing, so of any so many and k more of its words, k are there. The rarest are taken; an item that verification would
+   accept is never lost by this, whatever the words around it.
 4. Verification: longest common subsequence of the item's words and the words around the window, and the answer check: the
    item's last words must be there too.
 
@@ -35,7 +36,6 @@ PIECE = 1_000_000  # characters looked at together
 RANK, OVERSAMPLE = 128, 8
 ITEMS_A_BLOCK = 20_000
 LEAST_WORDS = 5
-SHARE = 0.5  # of a window's idf^2 weight that must lie on the benchmark's terms
 COSINE = 0.5
 LCS = 0.6  # of the item's words, in order
 ANSWER = 0.5  # of the item's last quarter
@@ -127,12 +127,18 @@ class Latent:
         ids = [np.array([terms[w] for w in words]) for _, words in items]
         self.vectors = np.array([self.term_vectors[i].sum(0) for i in ids]).reshape(len(items), -1)
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        self.outside = float(np.mean(np.concatenate([idf[i] for i in ids]) ** 2)) if ids else 1.0
         lengths = np.array([len(words) for _, words in items])
-        self.sizes = []
+        self.sizes = []  # window size, its items, terms that count, how many of them there must be, how far verification looks
         low, high = (lengths.min(), lengths.max()) if len(lengths) else (1, 0)
         while low <= high:
-            self.sizes.append((int(np.ceil(low * 1.5)), np.flatnonzero((lengths >= low) & (lengths < np.ceil(low * 1.5)))))
+            of = np.flatnonzero((lengths >= low) & (lengths < np.ceil(low * 1.5)))
+            if len(of):
+                must = {i: next(m for m in range(lengths[i] + 1) if m / lengths[i] >= LCS) for i in of}
+                k = max(1, min(must.values()) // 2)
+                counts = np.zeros(len(idf), bool)
+                for i in of:
+                    counts[ids[i][np.argsort(-idf[ids[i]], kind="stable")[: lengths[i] - must[i] + k]]] = True
+                self.sizes.append((int(np.ceil(low * 1.5)), of, counts, k, int(lengths[of].max()) // 3))
             low = int(np.ceil(low * 1.5))
 
     def matches(self, texts: pd.Series) -> Iterator[tuple[int, object, float, float]]:
@@ -142,18 +148,19 @@ class Latent:
             return
         known = t.ids >= 0
         block, text_first, per = t.blocks()
-        weight = np.where(known, self.idf[np.maximum(t.ids, 0)] ** 2, self.outside)
-        total, inside = (np.concatenate([[0.0], np.cumsum(np.bincount(block, weights=x))]) for x in (weight, np.where(known, weight, 0.0)))
-        looked, needed = [], np.zeros(len(total), np.int64)
-        for size, of in self.sizes:
+        word_at = np.searchsorted(block, np.arange(int(per.sum()) + 1))  # the first word of each block
+        looked, needed = [], np.zeros(len(word_at), np.int64)
+        for size, of, counts, least, reach in self.sizes:
             m = -(-size // BLOCK)
             stride = max(1, m // 4)
             count = np.where(per > 0, 1 + -(-np.maximum(per - m, 0) // stride), 0)
             text = np.repeat(np.arange(len(count)), count)
             first = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride + text_first[text]
             end = np.minimum(first + m, text_first[text] + per[text])
-            keep = inside[end] - inside[first] >= SHARE * (total[end] - total[first])
-            if len(of) and keep.any():
+            there = np.concatenate([[0], np.cumsum(known & counts[np.maximum(t.ids, 0)], dtype=np.int32)])
+            a, b = np.maximum(t.starts[text], word_at[first] - reach), np.minimum(t.starts[text] + t.lengths[text], word_at[end] + reach)
+            keep = there[b] - there[a] >= least
+            if keep.any():
                 looked.append((of, text[keep], first[keep], end[keep]))
                 np.add.at(needed, first[keep], 1)
                 np.add.at(needed, end[keep], -1)
@@ -167,7 +174,6 @@ class Latent:
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             sums[row[starts] + 1] += np.add.reduceat(self.term_vectors[t.ids[w]], starts, axis=0)
         np.cumsum(sums, axis=0, out=sums)
-        word_at = np.searchsorted(block, np.arange(len(needed) + 1))  # the first word of each block
         found: dict[tuple[int, int], list] = {}
         for of, text, first, end in looked:
             for k in range(0, len(text), 8192):

@@ -262,6 +262,27 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [15, 23, 35])
+def test_decontamination_among_unknown_words(spark, length):
+    """Items of the least length of their class with 60 to 75 % of the words kept in order, all other words unknown to the benchmark."""
+    r = random.Random(length)
+    new = lambda n: ["".join(r.choice("uvwxyz") for _ in range(9)) for _ in range(n)]
+    items = [(i, [f"b{i}w{k}" for k in range(length)]) for i in range(12)]
+    all_words = [w for _, x in items for w in x]
+    # Other texts use the items' words in no item's order, as a corpus does: of too few texts the latent space knows only these.
+    texts, want = [(1000 + i, " ".join(r.choice(all_words) if r.random() < 0.3 else new(1)[0] for _ in range(128))) for i in range(200)], set()
+    for i, item in items:
+        for share in (0.55, 0.6, 0.67, 0.75):
+            gone = set(r.sample(range(length - 4), length - math.ceil(share * length - 1e-9)))  # the answer stays
+            n = len(texts)
+            texts.append((n, " ".join([*new(40 + n % 7), *(new(1)[0] if k in gone else w for k, w in enumerate(item)), *new(40)])))
+            if (length - len(gone)) / length >= 0.6:
+                want.add((n, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    found = decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want
+
+
 def test_lcs_equals_dynamic_programming():
     r = random.Random(1)
     for _ in range(200):
