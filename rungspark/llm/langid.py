@@ -12,6 +12,7 @@ Repeated rows are scored alike; further columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DICT_BYTES = 96 * 1024  # of each language's dictionary
-DOCS_A_LANGUAGE = 170  # labelled documents that may go into a dictionary: the bound of the training sample
-DOC_BYTES = 600  # of each of them
+DOCS_A_LANGUAGE = 170  # distinct labelled texts that may go into a dictionary: the bound of the training sample
+DOC_BYTES = 600  # characters of a piece of them
 CHUNK = 1500  # characters compressed at once
 LEVEL = 6
 MIN_MARGIN = 0.0005
@@ -28,24 +29,47 @@ UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _ranked_pieces(text: str, size: int, most: int) -> list[str]:
+    """The distinct pieces of `size` characters of the whole text, by hash, as far as `most` characters go."""
+    pieces = {text[i : i + size] for i in range(0, len(text), size)}
+    out, n = [], 0
+    for piece in sorted(pieces, key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x)):
+        if n >= most:
+            break
+        out.append(piece)
+        n += len(piece)
+    return out
+
+
 def fit(docs: DataFrame, dict_bytes: int = DICT_BYTES, docs_a_language: int = DOCS_A_LANGUAGE, doc_bytes: int = DOC_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language from a bounded sample: the documents first by hash, at most `docs_a_language` of each."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    """A dictionary for each language from a bounded sample: the distinct texts first by hash, at most `docs_a_language` of each.
+
+    Each text is cut whole into pieces of `doc_bytes` characters; a text's pieces are taken in the order of their hash, one of
+    every text in turn, until there are `dict_bytes`.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
     picked = (
-        docs.filter(F.col("lang").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) > 0))
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("nth", F.row_number().over(order))
+        labelled.select("lang", "h").distinct()
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .filter(F.col("nth") <= docs_a_language)
-        .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "nth")
     )
-    # The sample's ids are bounded by docs_a_language for each language.
-    rows = docs.join(F.broadcast(picked), (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("lang") == F.col("l"))).select(
-        "lang", "nth", F.substring("text", 1, doc_bytes).alias("text")
-    ).collect()
+    ranked = F.udf(_ranked_pieces, "array<string>")
+    # The sample is bounded by docs_a_language for each language, and what is collected of each text by dict_bytes.
+    rows = (
+        labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("nth").alias("nth"), F.min("text").alias("text"))
+        .select("lang", "nth", ranked("text", F.lit(doc_bytes), F.lit(dict_bytes)).alias("pieces")).collect()
+    )
     out: dict[str, bytes] = {}
     for lang in sorted({r.lang for r in rows}):
-        joined = "\n".join(r.text for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.nth, r.text)))
-        out[lang] = joined.lower().encode("utf-8", "surrogatepass")[-dict_bytes:]
+        texts = [r.pieces for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.nth)]
+        turns = [p[k] for k in range(max(map(len, texts))) for p in texts if k < len(p)]
+        joined, size = [], 0
+        for piece in turns:
+            if size >= dict_bytes:
+                break
+            joined.append(piece.lower().encode("utf-8", "surrogatepass"))
+            size += len(joined[-1]) + 1
+        out[lang] = b"\n".join(joined[::-1])[-dict_bytes:]  # the first turn last, nearest to what is compressed
     return out
 
 

@@ -109,6 +109,24 @@ def test_language(docs, none, rows):
     assert langid.classify(none, learned).count() == 0
 
 
+def test_language_learns_whole_and_distinct_texts(spark):
+    r = random.Random(12)
+    word = lambda a: "".join(r.choice(a) for _ in range(7))
+    header = " ".join(word("mnopqr") for _ in range(90))  # over 600 characters that open every text
+    own = {lang: [word(a) for _ in range(40)] for lang, a in (("aa", "abcdef"), ("zz", "uvwxyz"))}
+    rows = [(i, header + " " + " ".join(r.choice(own[lang]) for _ in range(250)), lang) for i, lang in enumerate(["aa", "zz"] * 30)]
+    rows += [(1000 + i, "copied " * 60, "aa") for i in range(3000)]
+    learned = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(sum(w.encode() in learned[lang] for w in own[lang]) == 40 for lang in own)
+    assert learned["aa"].count(b"copied") == 60 and max(map(len, learned.values())) <= langid.DICT_BYTES
+    texts = [(i, " ".join(r.choice(own[lang]) for _ in range(30)), lang) for i, lang in enumerate(["aa", "zz"] * 10)]
+    got = langid.classify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), learned, keep=("lang",)).collect()
+    assert all(x.lang_pred == x.lang and not x.rejected for x in got)
+    one = langid.fit(spark.createDataFrame([(1, "".join(f"{k:05d} " for k in range(40_000)), "aa")], "doc_id long, text string, lang string"))["aa"]
+    places = [int(w) for w in one.split() if len(w) == 5]
+    assert len(one) == langid.DICT_BYTES and max(places) > 35_000 and min(places) < 5_000
+
+
 def test_ngram_scores(docs, none, rows):
     marked = docs.withColumn("train", F.when(F.col("doc_id") % 3 != 0, True))
     got = {r.doc_id: r for r in ngram.scored(marked, chunk_tokens=500).collect()}
