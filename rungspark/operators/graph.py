@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW = 200_000  # rows of a few numbers up to which a table is sent to every task
+ROWS_A_FILE = 200_000  # small tables are written by so few tasks
 
-FEW = 1_000_000  # rows up to which a table is sent to every task
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` as a table in the session's shared folder (spark.checkpoint.dir; a temporary one only where none is set): written once,
-    readable by every executor, so loops neither grow their plans nor depend on one machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session gets a temporary one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None, name: str = "step") -> DataFrame:
+    """`df` as a table in the shared folder: written once, readable by every executor, so loops neither grow their plans nor
+    depend on one machine. rows: a bound of its rows, if known, by which small tables get few files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    out = df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)
+    out.write.option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._written_to = path
+    return kept
+
+
+def forget(df: DataFrame | None) -> None:
+    """Removes the table that cut_lineage() wrote, once what was made of it is written itself."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,16 +51,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     both = cut_lineage(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     # Labels are no more than edge ends: of few, every task gets a copy; of more, both sides are shuffled.
-    sent = F.broadcast if both.count() <= FEW else lambda x: x
-    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    n = both.count()
+    sent = F.broadcast if n <= FEW else lambda x: x
+    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), n)
     while True:
         near = both.join(sent(labels.select(F.col("node").alias("v"), "label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("best"))
-        step = near.join(sent(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
-        step = cut_lineage(step)
+        moved = near.join(sent(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
+        step = cut_lineage(moved, n)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut_lineage(step.join(sent(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = step.select("node", "label")
-        if step.filter("old <> label").isEmpty():
+        jumped = step.join(sent(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        before, labels = labels, cut_lineage(jumped, n)
+        forget(before), forget(step)
+        if labels.filter("old <> label").isEmpty():
+            forget(both)
             return labels.select("node", F.col("label").alias("component"))
 
 
