@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut_lineage
+
 #: One word: a run of anything but the ASCII white space characters (as a Java or Python pattern).
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,24 +16,9 @@ _LOWER_BYTES = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 _U64 = np.uint64
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """`df` as a table in the shared folder: cuts lineage and survives lost executors."""
+    return cut_lineage(df, rows, tag)
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -47,6 +31,17 @@ def tasks_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def groups_for(spark: SparkSession, n_bytes: int) -> int:
+    """Into how many groups work on so many bytes of text is dealt, a task each. A group has 4 MB of 0.5 GB; its size grows with the
+    root of the input, up to 128 MB, so that neither the groups nor their number get out of hand."""
+    size = min(128e6, 4e6 * (max(n_bytes, 1) / 5e8) ** 0.5)
+    return max(tasks_for(spark), int(n_bytes / size) + 1)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a Python worker outlives its task, and the next stage's work comes beside it."""
     import ctypes

@@ -13,16 +13,21 @@ Both are used:
 2. Voronoi regions of document pivots. Inside a region of more than two sets, pivot sets are chosen and all members'
    Jaccard distances to them computed. Members within 0.2 of one pivot are linked through it and need no distances among
    each other. The others go to the region of their nearest pivot (at most 0.4 away, else to a region of the far), and a
-   member of another region is replicated where |d(x, p) - d(y, p)| <= 0.2 leaves a link possible. Regions are joined
-   recursively, with more pivots each time, until nothing is open but what links already join. No link is lost and none is guessed.
+   member of another region is replicated where |d(x, p) - d(y, p)| <= 0.2 leaves a link possible. Regions that links join by
+   now are done, equal ones are one. A region of at most SWEEP members is then closed: members of different components meet, but
+   for those of the largest component among each other, where sizes and parity sketches (see parity()) leave a link possible.
+   Larger ones are joined recursively, with more pivots each time. No link is lost and none is guessed.
 
-Exact distances are computed for pairs that sketches (see sketch()) do not put beyond every window.
+Exact distances are computed for pairs that sketches (see sketch()) do not put beyond every window. Rows move through Spark's joins
+and aggregations only: no region meets in one task as a whole, and a shingle that very many sets have in their windows is
+dealt by set.
 
 Equal sets are one node from the start, so copies cost one row each. Only links through pivots are kept: enough for components.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their own; a
-text of fewer words than a shingle has its whole sequence as its only shingle; a document with a null id is left out of the
-links and gets a null component; repeated rows are in one component; further columns are ignored.
+text of fewer words than a shingle has its whole sequence as its only shingle; documents with a null id link like others, but their
+ids name no component: one that reaches no other id has a null component; repeated rows, and rows of one id with several texts,
+are documents of their own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import WordIds, give_back, mix64, stored, tasks_for, words_of
+from ..operators.graph import connected_components, forget
+from .common import WordIds, give_back, groups_for, mix64, stored, text_bytes, words_of
 from .ngram import _keys, _pack, _planes, _unpack, _owner
 
 WORDS = 5
@@ -43,7 +48,10 @@ NUM, DEN = 4, 5  # the least similarity, 0.8, as a fraction
 REACH = 3 * (1 - NUM / DEN) + 1e-9  # no window reaches further than three times the links' distance
 HOT = 16  # sets that share a shingle, from which on it is ordered last
 MOST_HOT = 200_000  # shingles so ordered: the bound of the broadcast list; the order is free, so results do not depend on it
-FEW_NODES = 1_000_000  # candidate nodes up to which their list is broadcast; beyond, the join is shuffled
+WIDE = 100_000  # sets that share a shingle, from which on its region is dealt by set
+FEW_NODES = 200_000  # candidate nodes or pairs up to which their list is broadcast; beyond, the join is shuffled
+SWEEP = 8192  # members up to which a region is closed by a sweep
+PARITY = 16  # words of 64 bits
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ids = WordIds()
 
@@ -66,7 +74,7 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, node of each document; and, in rows without a node, shingles that several sets of one task share."""
+    """id, h, n, node of each document; and, in rows without a node, shingles that several sets of one task share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending, size, seen = [], 0, set()
@@ -74,7 +82,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
         def shared() -> pd.DataFrame:
             grams, counts = np.unique(np.concatenate(pending), return_counts=True)
             often = counts > 1
-            return pd.DataFrame({"id": [None], "n": [0], "node": [None], "grams": [_planes(grams[often])], "counts": [_pack(counts[often].astype(np.int32))]})
+            return pd.DataFrame({"id": [None], "h": [0], "n": [0], "node": [None], "grams": [_planes(grams[often])], "counts": [_pack(counts[often].astype(np.int32))]})
 
         for b in batches:
             ns, names = [], []
@@ -85,7 +93,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
                 if name is not None and name not in seen:
                     seen.add(name), pending.append(g)
                     size += len(g)
-            yield pd.DataFrame({"id": b["id"], "n": ns, "node": pd.array(names, "Int64"), "grams": None, "counts": None})
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": ns, "node": pd.array(names, "Int64"), "grams": None, "counts": None})
             if size > 3_000_000:
                 yield shared()
                 pending, size, seen = [], 0, set()
@@ -94,10 +102,12 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
         pending.clear()
         give_back()
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, grams binary, counts binary")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, node long, grams binary, counts binary")
 
 
-def _hot(nodes: DataFrame) -> np.ndarray:
+def _hot(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many sets share (a bounded list) and how many, by shingle."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for g, c in zip(b["grams"], b["counts"], strict=True):
@@ -105,10 +115,13 @@ def _hot(nodes: DataFrame) -> np.ndarray:
 
     rows = nodes.filter("grams IS NOT NULL").select("grams", "counts").mapInPandas(run, "gram long, c int")
     top = rows.groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT).orderBy(F.desc("c"), "gram").limit(MOST_HOT)
-    return np.sort(np.array(top.select("gram").toPandas()["gram"], np.int64).view(np.uint64))
+    found = top.toPandas()
+    grams, counts = found["gram"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    order = np.argsort(grams)
+    return grams[order], counts[order]
 
 
-def _prefix(grams: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(grams: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The set's window of pivots in the global order; and for each place in it the size of the largest partner whose first shared
     shingle can be there: intersection >= NUM / (NUM + DEN) * (both sizes) must fit into what is left of the set."""
     n = len(grams)
@@ -116,7 +129,8 @@ def _prefix(grams: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
         late = hot[at] == grams
-        grams = np.concatenate([grams[~late], grams[late]])
+        last = grams[late][np.argsort(counts[at[late]], kind="stable")]  # the most frequent at the end
+        grams = np.concatenate([grams[~late], last])
     return grams[:take], (NUM + DEN) * (n - np.arange(take)) // NUM - n
 
 
@@ -133,22 +147,25 @@ def _fitting(size: np.ndarray, most: np.ndarray) -> np.ndarray:
     return others > 0
 
 
-def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataFrame:
+def _regions(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int, owners: int) -> DataFrame:
     """region, node: the members of each shingle pivot's region that holds more than one set; equal regions once."""
-    of = docs.sparkSession.sparkContext.broadcast(hot)
+    of = docs.sparkSession.sparkContext.broadcast((*hot, hot[0][hot[1] >= WIDE]))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, info, size, seen = [], [], 0, set()
+        hot, counts, wide = of.value
 
         def flush() -> pd.DataFrame:
             key, node, tag = np.concatenate(grams), np.repeat(np.array([x[0] for x in info], np.int64), [len(g) for g in grams]), np.concatenate([x[1] for x in info])
-            order = np.argsort(key, kind="stable")
-            key, node, tag = key[order], node[order], tag[order]
-            cuts = np.searchsorted(_owner(key, owners), np.arange(owners + 1))
-            parts = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
+            to = _owner(key, owners)
+            many = np.isin(key, wide)
+            to[many] = _owner(mix64(key[many] ^ node[many].view(np.uint64)), owners)
+            order = np.lexsort((key, to))
+            key, node, tag, to = key[order], node[order], tag[order], to[order]
+            cuts = [*np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)]
             return pd.DataFrame({
-                "owner": parts, "keys": [_planes(key[cuts[k] : cuts[k + 1]]) for k in parts],
-                "nodes": [_pack(node[cuts[k] : cuts[k + 1]]) for k in parts], "tags": [_pack(tag[cuts[k] : cuts[k + 1]]) for k in parts],
+                "owner": to[cuts[:-1]], "keys": [_planes(key[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)],
+                "nodes": [_pack(node[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], "tags": [_pack(tag[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)],
             })
 
         for b in batches:
@@ -157,7 +174,7 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
                 if not len(g) or (name := node_of(g)) in seen:
                     continue
                 seen.add(name)
-                window, most = _prefix(g, of.value)
+                window, most = _prefix(g, hot, counts)
                 grams.append(window), info.append((name, len(g) << 32 | most))
                 size += len(window)
                 if size > 1_500_000:
@@ -179,8 +196,12 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
         key, node, tag = key[new], node[new], tag[new]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
-        some = np.flatnonzero(ends - starts > 1)
+        many = np.isin(key[starts], of.value[2])
         regions, members = [], []
+        for s, e in zip(starts[many], ends[many], strict=True):  # a part of a region
+            members.append(node[s:e])
+            regions.append(np.full(e - s, int(mix64(key[s : s + 1]).view(np.int64)[0])))
+        some = np.flatnonzero((ends - starts > 1) & ~many)
         for s, e in zip(starts[some], ends[some], strict=True):
             keep = _fitting(tag[s:e] >> 32, tag[s:e] & 0xFFFFFFFF)
             if keep.sum() > 1:
@@ -192,7 +213,7 @@ def _regions(docs: DataFrame, hot: np.ndarray, words: int, owners: int) -> DataF
         return pd.DataFrame({"region": np.concatenate(regions), "node": np.concatenate(members)}).drop_duplicates()
 
     sent = docs.select("text").mapInPandas(send, "owner int, keys binary, nodes binary, tags binary")
-    return sent.groupBy("owner").applyInPandas(meet, "region long, node long").distinct()
+    return sent.repartition(owners, "owner").groupBy("owner").applyInPandas(meet, "region long, node long").distinct()
 
 
 def _bits(n: int) -> int:
@@ -214,20 +235,29 @@ def least_distance(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:
     return 2 * differ / (nx + ny + differ)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY equal ranges of the hash whether it holds an odd number of the shingles, as bits. Two sets'
+    sketches differ in no more bits than the sets in shingles, so this bounds the symmetric difference from below."""
+    odd = np.bincount((grams >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, n, sketch and grams (packed, their upper 48 bits) of the given nodes, each from its first document."""
-    wanted = stored(nodes.join(classes, "node").select(F.col("first").alias("w_id"), "node"), "jaccard-wanted")
+    """node, n, sketch, parity and grams (packed, their upper 48 bits) of the given nodes, each from its first document."""
+    wanted = stored(nodes.join(classes, "node").select(F.col("f.id").alias("w_id"), F.col("f.h").alias("w_h"), "node"), "jaccard-wanted")
     if wanted.count() <= FEW_NODES:
         wanted = F.broadcast(wanted)
-    found = docs.join(wanted, F.col("id") == F.col("w_id")).select("node", "text")
+    found = docs.join(wanted, (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
-            same = np.array([node_of(g) == n for g, n in zip(sets, b["node"], strict=True)], bool)  # an id may occur with several texts
-            yield pd.DataFrame({"node": b["node"], "n": [len(g) for g in sets], "sketch": [_pack(sketch(g)) for g in sets], "grams": [_planes(g >> np.uint64(16)) for g in sets]})[same]
+            same = np.array([node_of(g) == n for g, n in zip(sets, b["node"], strict=True)], bool)
+            yield pd.DataFrame({
+                "node": b["node"], "n": [len(g) for g in sets], "sketch": [_pack(sketch(g)) for g in sets], "parity": [parity(g) for g in sets], "grams": [_planes(g >> np.uint64(16)) for g in sets],
+            })[same]
 
-    return found.mapInPandas(run, "node long, n long, sketch binary, grams binary").dropDuplicates(["node"])
+    return found.mapInPandas(run, "node long, n long, sketch binary, parity array<long>, grams binary").dropDuplicates(["node"])
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,34 +328,56 @@ def _links(regions: DataFrame, sets: DataFrame) -> DataFrame:
         left = stored(both.select(F.xxhash64("region", "cell").alias("region"), F.col("x").alias("node")), "jaccard-left")
         if left.isEmpty():
             return edges
-        # Sets that links join by now need no more tests among each other: a region stays only if it holds several components.
-        joined = connected_components(edges, "x", "p")
-        named = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = named.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("region")
-        # Equal regions (of several shingles of one family) are one.
-        kept = named.join(several, "region")
-        same = kept.groupBy("region").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("sum"), F.count(F.lit(1)).alias("size"))
-        first = same.groupBy("sum", "size").agg(F.min("region").alias("region"))
-        kin = F.count(F.lit(1)).over(Window.partitionBy("region", "component"))
-        main = F.max(F.struct("kin", "component")).over(Window.partitionBy("region"))["component"]
-        regions = stored(kept.join(first.select("region"), "region").withColumn("kin", kin).withColumn("main", F.col("component") == main).join(degree, "node").select("region", "node", "degree", "kin", "main"), "jaccard-open")
+        regions = stored(_open(left, connected_components(edges, "x", "p")).join(degree, "node"), "jaccard-open")
+        forget(left), forget(tested)
+        size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        small = regions.join(size.filter(F.col("size") <= SWEEP).select("region"), "region", "left_semi")
+        edges = edges.unionByName(stored(_swept(small, sets), "jaccard-swept"))
+        regions = regions.join(size.filter(F.col("size") > SWEEP).select("region"), "region", "left_semi")
         if regions.isEmpty():
             return edges
-        pivots *= 4
+        pivots = min(4 * pivots, 512)
+
+
+def _open(left: DataFrame, joined: DataFrame) -> DataFrame:
+    """region, node, component, kin (members of its component), main (its component is the region's largest) of the regions
+    that links do not join yet, equal regions (of several shingles of one family) once. All by partial aggregation."""
+    named = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    name = F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string")
+    of = named.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), name.alias("sum"), F.count(F.lit(1)).alias("size"))
+    first = of.filter("least <> most").groupBy("sum", "size").agg(F.min("region").alias("region")).select("region")
+    kept = named.join(first, "region")
+    kin = kept.groupBy("region", "component").agg(F.count(F.lit(1)).alias("kin"))
+    main = kin.groupBy("region").agg(F.max(F.struct("kin", "component"))["component"].alias("main"))
+    return kept.join(kin.join(main, "region").withColumn("main", F.col("component") == F.col("main")), ["region", "component"])
+
+
+def _swept(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, p: the links between different components of each region."""
+    of = lambda s: regions.join(sets.select("node", "n", "parity"), "node").select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "main", "n", "parity")])
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.lit(0))
+    other = (F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b")))
+    sizes = (F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)
+    # intersection >= NUM / (NUM + DEN) of both sizes together, so the symmetric difference is at most the rest
+    close = differ * (NUM + DEN) <= (DEN - NUM) * (F.col("n_a") + F.col("n_b"))
+    a, b = of("a").filter("NOT main_a"), of("b").withColumnRenamed("region", "region_b")
+    met = a.join(b, (F.col("region") == F.col("region_b")) & other & sizes & close)
+    pairs = stored(met.select(F.least("node_a", "node_b").alias("x"), F.greatest("node_a", "node_b").alias("p")).distinct(), "jaccard-met")
+    return _distances(pairs, sets).filter(DEN * F.col("inter") >= NUM * F.col("uni")).select("x", "p")
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """id, n_shingles, component_id (the least id reachable by links) and node (the set's name) of each document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     nodes = stored(_nodes(rows, words), "jaccard-nodes")
-    members = nodes.filter("grams IS NULL").select("id", "n", "node")
-    classes = members.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
-    regions = stored(_regions(rows.filter("id IS NOT NULL"), _hot(nodes), words, tasks_for(spark, 64)), "jaccard-regions")
+    members = nodes.filter("grams IS NULL").select("id", "h", "n", "node")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f")  # an id, if the class has one
+    classes = members.filter("node IS NOT NULL").groupBy("node").agg(first)
+    regions = stored(_regions(rows, _hot(nodes), words, groups_for(docs.sparkSession, text_bytes(docs, text_col))), "jaccard-regions")
     sets = stored(_sets(rows, classes, regions.select("node").distinct(), words), "jaccard-sets")
     joined = connected_components(_links(regions, sets), "x", "p")
     named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = named.groupBy("component").agg(F.min("f.id").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
     # One class may hold a third of all documents: its documents are dealt over several tasks.
     salts = 16
