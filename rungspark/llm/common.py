@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +45,40 @@ def groups_for(spark: SparkSession, n_bytes: int) -> int:
     return max(tasks_for(spark), int(n_bytes / size) + 1)
 
 
+def summed(docs: DataFrame, per_batch: Callable[[pd.DataFrame], np.ndarray], rows: int, columns: int, width: int = 64) -> np.ndarray:
+    """The sum over all batches of a rows x columns array of a known shape: added up in each task, then by Spark's aggregation
+    (partial sums for each row, nothing is held for a group), `width` columns at a time. That array reaches the driver."""
+    names = [f"s{i}" for i in range(width)]
+    parts = -(-columns // width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((rows, parts * width))
+        for b in batches:
+            total[:, :columns] += per_batch(b)
+        there = np.flatnonzero(total.any(axis=1))
+        for part in range(parts):
+            for k in range(0, len(there), 8192):
+                at = there[k : k + 8192]
+                yield pd.DataFrame(total[at, part * width : (part + 1) * width], columns=names).assign(key=at * parts + part)
+        del total
+        give_back()
+
+    schema = ", ".join(f"{n} double" for n in names) + ", key long"
+    found = docs.mapInPandas(run, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    out = np.zeros((rows * parts, width))
+    out[found["key"].to_numpy(np.int64)] = found[names].to_numpy()
+    return out.reshape(rows, parts * width)[:, :columns]
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a Python worker outlives its task, and the next stage's work comes beside it."""
     import ctypes
     import gc
 
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 DICT_BYTES = 96 * 1024  # of each language's dictionary
 DOCS_A_LANGUAGE = 170  # distinct labelled texts that may go into a dictionary: the bound of the training sample
 DOC_BYTES = 600  # characters of a piece of them
@@ -90,30 +92,31 @@ class _Sizer:
         parts = [text[i : i + chunk].encode("utf-8", "surrogatepass") for i in range(0, len(text), chunk)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.by]
 
+    def judged(self, text: str | None, chunk: int, min_margin: float) -> tuple[str, float, float, bool]:
+        if text is None or not self.by or not _LETTER.search(text):
+            return UND, 0.0, 0.0, True
+        sizes = self.sizes(text, chunk)
+        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        best = sizes[ranked[0]]
+        gap = (sizes[ranked[1]] - best) / sizes[ranked[1]] if len(ranked) > 1 else 1.0
+        score = 1 / (1 + sum(2.0 ** (-100 * (s - best) / best) for i, s in enumerate(sizes) if i != ranked[0]))
+        return self.langs[ranked[0]], score, gap, gap < min_margin
+
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, chunk: int = CHUNK, level: int = LEVEL, id_col: str = "doc_id", keep: tuple = ()) -> DataFrame:
-    """id, lang_pred, score (0 to 1), margin, rejected; and the columns in `keep`. Texts are read whole."""
+    """id, the columns in `keep`, lang_pred, score (0 to 1), margin, rejected. Texts are read whole; only they go to Python, in pieces."""
     of = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages x dict_bytes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean", F.PandasUDFType.SCALAR_ITER)
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sizer = _Sizer(of.value, level)
         for b in batches:
-            lang, score, margin = [], [], []
-            for text in b["text"]:
-                if text is None or not sizer.by or not _LETTER.search(text):
-                    lang.append(UND), score.append(0.0), margin.append(0.0)
-                    continue
-                sizes = sizer.sizes(text, chunk)
-                ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-                best = sizes[ranked[0]]
-                gap = (sizes[ranked[1]] - best) / sizes[ranked[1]] if len(ranked) > 1 else 1.0
-                lang.append(sizer.langs[ranked[0]]), margin.append(gap)
-                score.append(1 / (1 + sum(2.0 ** (-100 * (s - best) / best) for i, s in enumerate(sizes) if i != ranked[0])))
-            out = b.drop(columns="text") if "text" not in keep else b.copy()
-            yield out.assign(lang_pred=lang, score=score, margin=margin, rejected=[x == UND or m < min_margin for x, m in zip(lang, margin, strict=True)])
-
-    cols = [id_col, *[c for c in keep if c not in (id_col, "text")], "text"]
-    source = docs.select(*cols)
-    kept = [f for f in source.schema if f.name != "text" or "text" in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, margin double, rejected boolean"
-    return source.mapInPandas(run, schema)
+            yield pd.DataFrame([sizer.judged(text, chunk, min_margin) for text in b], columns=["lang_pred", "score", "margin", "rejected"])
+        del sizer
+        give_back()
+
+    cols = [id_col, *[c for c in keep if c != id_col]]
+    found = "found"
+    while found in cols:
+        found += "_"
+    return docs.select(*dict.fromkeys([*cols, "text"])).withColumn(found, judged("text")).select(*cols, f"{found}.*")
