@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Random indexing: every document has a sparse random vector that follows from its id; a word's vector is the sum of the
-vectors of the documents it occurs in, over the whole corpus. Words are hashed to a fixed number of rows, so the table
-has a known size at any corpus size. A word counts as two: its lower-case letters, and its shape (runs of capitals, small
-letters, digits and punctuation), so that shouting or markup has word vectors of its own. A document's features are the
+Random indexing: every text has a sparse random vector that follows from a hash of it; a word's vector is the sum of the
+vectors of the texts it occurs in, over the whole corpus. Words are hashed to a fixed number of rows (WORD_ROWS: so many at any
+corpus size, words that meet in a row share its vector), so the table has a known size. A word counts as two: its lower-case letters,
+and its shape (runs of capitals, small letters, digits and punctuation), which has rows of its own. A document's features are the
 idf-weighted mean of its words' unit vectors; a tanh layer and a logistic unit turn them into a score, whose
 temperature is fitted on labelled rows that the network was not trained on.
 
@@ -21,18 +21,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 1 << 14
+from .common import give_back, mix64, summed
+
+WORD_ROWS, SHAPE_ROWS = 28 * 1024, 4 * 1024
+ROWS = WORD_ROWS + SHAPE_ROWS
 DIM = 64
 NONZERO = 4
 HIDDEN = 32
 SAMPLE = 20_000  # labelled documents the network is fitted on, at most: the bound of the training sample
 SEED = 7
-_BLOCK_ROWS = 256
 
 
 def _shape(word: str) -> str:
     out, last = [], ""
-    for c in word[:64]:
+    for c in word:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if kind != last:
             out.append(kind)
@@ -47,8 +49,8 @@ class Rows(dict):
         import xxhash
 
         core = "".join(c for c in word.lower() if c.isalnum())
-        a = xxhash.xxh64_intdigest(core.encode("utf-8", "surrogatepass"), 1) % ROWS
-        b = xxhash.xxh64_intdigest(_shape(word).encode("utf-8", "surrogatepass"), 2) % ROWS
+        a = xxhash.xxh64_intdigest(core.encode("utf-8", "surrogatepass"), 1) % WORD_ROWS
+        b = WORD_ROWS + xxhash.xxh64_intdigest(_shape(word).encode("utf-8", "surrogatepass"), 2) % SHAPE_ROWS
         value = a * ROWS + b
         if len(self) < 400_000:
             self[word] = value
@@ -69,34 +71,26 @@ def _batch_rows(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([flat // ROWS, flat % ROWS], axis=1).ravel(), np.array(lengths, np.int64)
 
 
-def word_vectors(docs: DataFrame, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors and idf weights of all rows, summed over the whole corpus. ROWS x (DIM + 1) numbers reach the driver."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(b: pd.DataFrame) -> np.ndarray:
         import xxhash
 
-        total = np.zeros((ROWS, DIM + 1))
-        for b in batches:
-            rows, lengths = _batch_rows(b["text"])
-            number = np.repeat(np.arange(len(b)), lengths)
-            pairs = np.unique(number * ROWS + rows)  # a word counts once in a document
-            number, rows = pairs // ROWS, pairs % ROWS
-            draws = np.array([[xxhash.xxh64_intdigest(str(i), SEED * 100 + j) for j in range(NONZERO)] for i in b["id"]], np.uint64).reshape(-1, NONZERO)
+        rows, lengths = _batch_rows(b["text"])
+        number = np.repeat(np.arange(len(b)), lengths)
+        pairs = np.unique(number * ROWS + rows)  # a word counts once in a text
+        number, rows = pairs // ROWS, pairs % ROWS
+        seeds = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) for t in b["text"]], np.uint64)
+        total = np.zeros(ROWS * (DIM + 1))
+        for j in range(NONZERO):
+            draws = mix64(seeds + np.uint64(j))
             dims, signs = (draws % np.uint64(DIM)).astype(np.int64), np.where(draws >> np.uint64(63), 1.0, -1.0)
-            for j in range(NONZERO):
-                total += np.bincount(rows * (DIM + 1) + dims[number, j], weights=signs[number, j], minlength=total.size).reshape(total.shape)
-            total[:, DIM] += np.bincount(rows, minlength=ROWS)
-        for k in range(0, ROWS, _BLOCK_ROWS):
-            yield pd.DataFrame({"block": [k], "sums": [total[k : k + _BLOCK_ROWS].astype(np.int32).tobytes()]})
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in part["sums"])
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "sums": [total.tobytes()]})
-
-    sums = docs.select(F.col(id_col).alias("id"), "text").mapInPandas(partial, "block long, sums binary").groupBy("block").applyInPandas(add, "block long, sums binary")
-    table = np.zeros((ROWS, DIM + 1))
-    for r in sums.collect():
-        table[r.block : r.block + _BLOCK_ROWS] = np.frombuffer(r.sums, np.int64).reshape(-1, DIM + 1)
+            total += np.bincount(rows * (DIM + 1) + dims[number], weights=signs[number], minlength=len(total))
+        total[DIM :: DIM + 1] += np.bincount(rows, minlength=ROWS)
+        return total.reshape(ROWS, DIM + 1)
+
+    table = summed(docs.select("text"), partial, ROWS, DIM + 1, 65)
     seen = table[:, DIM]
     vectors = table[:, :DIM] / np.maximum(np.linalg.norm(table[:, :DIM], axis=1, keepdims=True), 1e-9)
     return vectors.astype(np.float32), np.log((1 + seen.max()) / (1 + seen)).astype(np.float32)
@@ -159,19 +153,18 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, idf: np.ndarray, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Network:
-    """labels: id and label of the rows to learn from; the first `sample` of them by hash are used."""
+    """labels: id and label of the rows to learn from; the first `sample` of the labelled texts by hash are used, each text and label once."""
     spark = docs.sparkSession
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
-    picked = picked.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(sample)
     table = spark.sparkContext.broadcast((vectors, idf))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": list(features(b["text"], *table.value))})
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "x": list(features(b["text"], *table.value))})
 
-    # At most `sample` rows are broadcast, and at most as many feature rows come back.
-    found = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("l_id")).select("id", "y", "text")
-    rows = found.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>").toPandas().sort_values(["id", "y"], kind="stable")
+    met = docs.select(F.col(id_col).alias("id"), "text").join(picked.distinct(), F.col("id") == F.col("l_id"))
+    found = met.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("text").alias("text")).orderBy("h", "y").limit(sample)
+    rows = found.mapInPandas(run, "h long, y int, x array<float>").toPandas().sort_values(["h", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), DIM + 1)
     return Network(x, rows["y"].to_numpy().astype(float))
 
@@ -184,5 +177,6 @@ def scored(docs: DataFrame, network: Network, vectors: np.ndarray, idf: np.ndarr
         net, v, w = model.value
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "score": net.score(features(b["text"], v, w).astype(np.float64))})
+        give_back()
 
     return docs.select(id_col, "text").mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
