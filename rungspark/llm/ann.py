@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Vectors are dealt into blocks of bounded size. A block's index holds, for each of `n_proj` random directions, the
-block's projections as one sorted array. A query looks at a window around its own projection in every array; the windows
-widen step by step (virtual rehashing: a wider window is a coarser bucket centred on the query) and a vector counts one
-collision for each array in whose window it lies. Vectors that reach the collision threshold are verified with their
-exact inner products; widening stops once a block has given enough of them. Largest inner products become nearest
-points by the usual extra coordinate sqrt(M^2 - |x|^2), M being the block's largest norm, which queries have as 0.
+Vectors are dealt into blocks of bounded size. A block's index holds, for each of a number of directions, the block's
+projections as one sorted array. The directions are random orthonormal bases, so that collisions in all of a basis speak of the whole
+distance. A query looks at a window around its own projection in every array; the windows widen step by step (virtual
+rehashing: a wider window is a coarser bucket centred on the query) and a vector counts one collision for each array in whose
+window it lies. Vectors that reach the collision threshold are verified with their exact inner products; widening stops once a
+block has given `wanted` of its vectors, or `least` * k in small blocks. Largest inner products become nearest points by
+the usual extra coordinate sqrt(M^2 - |x|^2), M being the block's largest norm, which queries have as 0.
 
 All rows are indexed and every block is searched. Measured recall: see the tests and README.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; ties go to the smaller id; repeated ids are separate candidates except for the query's own id; an empty table gives
-an empty result; further columns are ignored.
+Defined results: vectors that are null, zero, of another length than most (the longest of several such lengths), or hold null or
+non-finite components take no part; ties go to the smaller id; repeated ids are separate candidates except for the query's own id;
+rows with a null id are neither queries nor candidates; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_PROJ = 48
-THRESHOLD = 0.75  # share of the projections that must collide
-WIDEN = 1.3
-WANTED = 0.2  # of a block's vectors verified before widening stops, and at least LEAST * k
-LEAST = 45
+BASES = 2  # orthonormal bases of directions
+THRESHOLD = 0.92  # share of the projections that must collide
+WIDEN = 1.06
+WANTED = 0.05  # of a block's vectors verified before widening stops, and at least LEAST * k
+LEAST = 12
 BLOCK = 16384
-QUERY_BLOCK = 256
+QUERIES = 16384  # searched by one task at most
 SEED = 20
 
 
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return (
         vectors.select(F.col(id_col).alias("id"), x.alias("x"))
         .filter(F.col("x").isNotNull() & (F.size("x") > 0))
-        .filter(~bad & F.exists("x", lambda v: v != 0))
+        .filter(~bad & F.exists("x", lambda v: v != 0) & F.col("id").isNotNull())
     )
 
 
@@ -50,11 +51,12 @@ def _matrix(xs: pd.Series) -> np.ndarray:
 class BlockIndex:
     """The sorted projections of one block."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, n_proj: int, seed: int):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray, bases: int, seed: int):
+        self.ids, self.x, self.verified = ids, x, 0
         norms = np.einsum("ij,ij->i", x, x)
         lifted = np.hstack([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]])
-        self.dirs = np.random.default_rng(seed).standard_normal((lifted.shape[1], n_proj))
+        draw = np.random.default_rng(seed)
+        self.dirs = np.hstack([np.linalg.qr(draw.standard_normal((lifted.shape[1],) * 2))[0] for _ in range(bases)])
         p = (lifted @ self.dirs).T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order, axis=1)
@@ -63,7 +65,7 @@ class BlockIndex:
     def search(self, q: np.ndarray, own: np.ndarray, k: int, threshold: float, wanted: float, widen: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its number, the places of its k nearest verified vectors, their inner products."""
         n, m = len(self.ids), len(self.sorted)
-        least, need = int(np.ceil(threshold * m)), min(n, max(LEAST * k, int(wanted * n)))
+        least, need = int(np.ceil(threshold * m)), min(n, max(LEAST * k, int(np.ceil(wanted * n))))
         scale = np.sqrt((self.x**2).sum(1).max() / np.maximum((q**2).sum(1), 1e-300))  # a query's length is free: its order of inner products stays
         qp = ((q * scale[:, None]) @ self.dirs[:-1]).T
         rungs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -77,18 +79,19 @@ class BlockIndex:
                 )
             return rungs[rung]
 
-        rung = 0
+        rung = 12
         for i in range(len(q)):
-            rung = max(0, rung - 1)  # from just below where the query before ended; a wider first window only adds candidates
+            rung = max(0, rung - 3)  # from just below where the query before ended; a wider first window only adds candidates
             while True:
                 lo, hi = (w[:, i] for w in windows(rung))
-                everything = (lo == 0).all() and (hi == n).all()
-                if everything or int((hi - lo).sum()) >= least * need:  # fewer collisions cannot bring enough vectors to the threshold
-                    hits = np.bincount(np.concatenate([o[x:y] for o, x, y in zip(self.order, lo, hi, strict=True)]), minlength=n)
-                    found = np.flatnonzero(hits >= least)
-                    if everything or len(found) >= need:
-                        break
+                # What lies outside the windows is less: collisions are the arrays without it.
+                outside = [part for o, x, y in zip(self.order, lo, hi, strict=True) for part in (o[:x], o[y:])]
+                hits = m - np.bincount(np.concatenate(outside), minlength=n)
+                found = np.flatnonzero(hits >= least)
+                if len(found) >= need:
+                    break
                 rung += 1
+            self.verified += len(found)
             score = self.x[found] @ q[i]
             keep = self.ids[found] != own[i]
             found, score = found[keep], score[keep]
@@ -96,35 +99,36 @@ class BlockIndex:
             yield i, found[best], score[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK, n_proj: int = N_PROJ, threshold: float = THRESHOLD, wanted: float = WANTED, widen: float = WIDEN, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, bases: int = BASES, threshold: float = THRESHOLD, wanted: float = WANTED, widen: float = WIDEN, seed: int = SEED) -> DataFrame:
     """vectors, queries: id, x (see usable()). query_id, rank, vec_id, score of the k nearest found."""
     spark = vectors.sparkSession
     # Two counts and the usual length: single numbers that size the blocks.
-    n, dim = vectors.agg(F.count(F.lit(1)), F.mode(F.size("x"))).first()
-    nq = queries.count()
-    blocks, qblocks = max(1, -(-(n or 0) // block)), max(1, -(-nq // query_block))
-    dealt = lambda df, parts, name: df.filter(F.size("x") == F.lit(dim or 0)).withColumn(name, F.pmod(F.xxhash64("id", "x", F.lit(seed)), F.lit(parts)))
-    data = dealt(vectors, blocks, "b")
-    # Each block of queries goes to each block of vectors: the stated query set against all rows, block by block.
-    asked = dealt(queries, qblocks, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    sizes = vectors.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max(F.struct("n", "dim")).alias("m"), F.sum("n").alias("n")).first()
+    n, dim, nq = most.n or 0, most.m.dim if most.m else 0, queries.count()
+    blocks = max(1, -(-n // block))
+    # The queries are dealt too: into as many groups as keep all cores busy, and at most QUERIES in one.
+    groups = max(1, min(nq, max(-(-nq // QUERIES), -(-spark.sparkContext.defaultParallelism * 2 // blocks))))
+    dealt = lambda df, parts, name: df.filter(F.size("x") == F.lit(dim)).withColumn(name, F.pmod(F.xxhash64("id", "x", F.lit(seed)), F.lit(parts)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
+    # Each group of queries goes to each block of vectors: the stated query set against all rows, block by block.
+    left, right = dealt(vectors, blocks, "b").withColumn("g", every(groups)), dealt(queries, groups, "g").withColumn("b", every(blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             left = left.sort_values("id", kind="stable")
             ids = left["id"].to_numpy()
-            index = BlockIndex(ids, _matrix(left["x"]), n_proj, seed)
+            index = BlockIndex(ids, _matrix(left["x"]), bases, seed)
             q, own = _matrix(right["x"]), right["id"].to_numpy()
-            for i, found, score in index.search(q, own, k, threshold, wanted, widen):
-                columns["query_id"].append(np.full(len(found), own[i]))
-                columns["vec_id"].append(ids[found])
-                columns["score"].append(score)
+            for a in range(0, len(q), 256):  # windows of so many queries are held at once
+                for i, found, score in index.search(q[a : a + 256], own[a : a + 256], k, threshold, wanted, widen):
+                    columns["query_id"].append(np.full(len(found), own[a + i]))
+                    columns["vec_id"].append(ids[found])
+                    columns["score"].append(score)
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in columns.items()})
 
-    spread = max(1, -(-spark.sparkContext.defaultParallelism * 2 // blocks))  # groups of query blocks that share one built index
-    left = data.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(min(spread, qblocks) - 1)).cast("array<bigint>")))
-    right = asked.withColumn("s", F.pmod("g", F.lit(min(spread, qblocks))))
     id_type = vectors.schema["id"].dataType.simpleString()
-    part = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double")
+    part = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
