@@ -5,17 +5,18 @@
 2. Distributed randomised SVD of that matrix A: every task adds A_i' (A_i G) for a fixed random G; the sum Y is terms x
    rank, and the leading singular directions and values follow from Y and G' Y (Nystroem) on the driver.
 3. Candidate search: windows of a text, in sizes that follow the items' lengths, are compared by their cosine in the latent
-   space. Windows that cannot pass the verification are passed over: at most a share of 1 - LCS of an item's words may be
-   missing, so of any so many and k more of its words, k are there. The rarest are taken; an item that verification would
-   accept is never lost by this, whatever the words around it.
+   space. Windows that cannot pass the verification with an item are passed over: at most a share of 1 - LCS of an item's words
+   may be missing, so of any so many and k more of its words, k are there. The rarest are taken, and an index from terms to
+   items gives the windows where k of them lie close enough; an item that verification would accept is never lost by this.
 4. Verification: longest common subsequence of the item's words and the words around the window, and the answer check: the
-   item's last words must be there too.
+   item's last words must be there too. Items of fewer than `LEAST_WORDS` words have no latent vector to speak of: all their words
+   must be there, one after the other.
 
-Items go in blocks of bounded size, so that what is broadcast has a bound. Texts are read whole.
+There is one latent space for all items; items are searched for in blocks of bounded number. Its terms are the distinct words of the
+benchmark, at most `MOST_TERMS` (more are refused with an error: what is broadcast has a bound). Texts are read whole.
 
 Defined results: null and empty texts and items match nothing; words are compared in lower case without ASCII punctuation;
-items of fewer than `LEAST_WORDS` words are not searched for; repeated rows match alike (an id is listed once for each
-item); null ids are reported as they are; further columns are ignored.
+repeated rows match alike (an id is listed once for each item); null ids are reported as they are; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, summed
 
 PASSAGE = 64
 PASSAGES = 1024  # multiplied at once
 BLOCK = 6  # words; windows are made of blocks, whose vectors are computed once for all sizes
 PIECE = 1_000_000  # characters looked at together
 RANK, OVERSAMPLE = 128, 8
-ITEMS_A_BLOCK = 20_000
+ITEMS_A_BLOCK = 20_000  # searched for together
+MOST_TERMS = 500_000
 LEAST_WORDS = 5
 COSINE = 0.5
 LCS = 0.6  # of the item's words, in order
@@ -82,26 +84,8 @@ def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
         yield texts.iloc[k:end]
 
 
-def _sum_over(docs: DataFrame, per_batch, shape: tuple) -> np.ndarray:
-    """The sum over all batches of an array of a known shape: added up in each task, then block by block."""
-    rows = max(1, 65536 // max(1, int(np.prod(shape[1:]))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
-        for b in batches:
-            for piece in _pieces(b["text"]):
-                total += per_batch(piece)
-        for k in range(0, shape[0], rows):
-            yield pd.DataFrame({"block": [k], "sums": [total[k : k + rows].tobytes()]})
-        give_back()
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in part["sums"]).tobytes()]})
-
-    out = np.zeros(shape)
-    for r in docs.select("text").mapInPandas(run, "block long, sums binary").groupBy("block").applyInPandas(add, "block long, sums binary").collect():
-        out[r.block : r.block + rows] = np.frombuffer(r.sums).reshape((-1, *shape[1:]))
-    return out
+def _sum_over(docs: DataFrame, per_piece, rows: int, columns: int) -> np.ndarray:
+    return summed(docs.select("text"), lambda b: sum(per_piece(piece) for piece in _pieces(b["text"])), rows, columns)
 
 
 def _lcs(a: list, b: list) -> int:
@@ -119,7 +103,7 @@ def _lcs(a: list, b: list) -> int:
 
 
 class Latent:
-    """The benchmark's items in the latent space of the corpus."""
+    """A block of the benchmark's items in the latent space of the corpus."""
 
     def __init__(self, terms: dict, items: list[tuple[object, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
         self.terms, self.idf, self.items = terms, idf, items
@@ -127,20 +111,45 @@ class Latent:
         ids = [np.array([terms[w] for w in words]) for _, words in items]
         self.vectors = np.array([self.term_vectors[i].sum(0) for i in ids]).reshape(len(items), -1)
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        lengths = np.array([len(words) for _, words in items])
-        self.sizes = []  # window size, its items, terms that count, how many of them there must be, how far verification looks
-        low, high = (lengths.min(), lengths.max()) if len(lengths) else (1, 0)
+        self.lengths = np.array([len(words) for _, words in items])
+        self.must = np.array([n if n < LEAST_WORDS else next(m for m in range(n + 1) if m / n >= LCS) for n in self.lengths.tolist()], np.int64)
+        self.sizes = []  # window size in blocks, how many of the terms that count must be there, from each term to the items it counts for
+        low, high = (self.lengths.min(), self.lengths.max()) if len(items) else (1, 0)
         while low <= high:
-            of = np.flatnonzero((lengths >= low) & (lengths < np.ceil(low * 1.5)))
+            of = np.flatnonzero((self.lengths >= low) & (self.lengths < np.ceil(low * 1.5)))
             if len(of):
-                must = {i: next(m for m in range(lengths[i] + 1) if m / lengths[i] >= LCS) for i in of}
-                k = max(1, min(must.values()) // 2)
-                counts = np.zeros(len(idf), bool)
-                for i in of:
-                    counts[ids[i][np.argsort(-idf[ids[i]], kind="stable")[: lengths[i] - must[i] + k]]] = True
-                self.sizes.append((int(np.ceil(low * 1.5)), of, counts, k, int(lengths[of].max()) // 3))
+                k = max(1, min(self.must[of]) // 2)
+                pairs = [(np.unique(ids[i][np.argsort(-idf[ids[i]], kind="stable")[: self.lengths[i] - self.must[i] + k]]), i) for i in of]
+                term, item = np.concatenate([t for t, _ in pairs]), np.repeat(of, [len(t) for t, _ in pairs])
+                order = np.argsort(term, kind="stable")
+                starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
+                self.sizes.append((-(-int(np.ceil(low * 1.5)) // BLOCK), k, starts, item[order]))
             low = int(np.ceil(low * 1.5))
 
+    def _spots(self, t: _Terms, text_of: np.ndarray, per: np.ndarray, m: int, k: int, starts: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        """Rows of text, number of the window's first block, item: the windows around which k of an item's counted words lie."""
+        stride = max(1, m // 4)
+        word = np.flatnonzero(t.ids >= 0)
+        n = starts[t.ids[word] + 1] - starts[t.ids[word]]
+        word, n = word[n > 0], n[n > 0]
+        item = listed[np.repeat(starts[t.ids[word]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        word = np.repeat(word, n)
+        order = np.argsort(item, kind="stable")
+        item, word = item[order], word[order]
+        first, last = word[: len(word) - k + 1], word[k - 1 :]
+        reach = self.lengths[item[: len(first)]] // 3
+        near = (item[: len(first)] == item[k - 1 :]) & (text_of[first] == text_of[last]) & (last - first < m * BLOCK + 2 * reach)
+        item, first, last, reach = item[: len(first)][near], first[near], last[near], reach[near]
+        text = text_of[first]
+        # Windows start at multiples of the stride; what verification reads of them reaches from before the first word to after the last.
+        low = -(-(last - t.starts[text] - reach - m * BLOCK + 1) // (BLOCK * stride))
+        high = (first - t.starts[text] + reach) // (BLOCK * stride)
+        most = -(-np.maximum(per[text] - m, 0) // stride)
+        low, high = np.clip(low, 0, most), np.clip(high, 0, most)
+        n = np.maximum(high - low + 1, 0)
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.stack([np.repeat(text, n), at * stride, np.repeat(item, n)], axis=1), axis=0)
+
     def matches(self, texts: pd.Series) -> Iterator[tuple[int, object, float, float]]:
         """Number of the text, item id, share of the item's words in order, cosine."""
         t = _Terms(self.terms, texts)
@@ -148,22 +157,18 @@ class Latent:
             return
         known = t.ids >= 0
         block, text_first, per = t.blocks()
+        text_of = np.repeat(np.arange(len(t.lengths)), t.lengths)
         word_at = np.searchsorted(block, np.arange(int(per.sum()) + 1))  # the first word of each block
         looked, needed = [], np.zeros(len(word_at), np.int64)
-        for size, of, counts, least, reach in self.sizes:
-            m = -(-size // BLOCK)
-            stride = max(1, m // 4)
-            count = np.where(per > 0, 1 + -(-np.maximum(per - m, 0) // stride), 0)
-            text = np.repeat(np.arange(len(count)), count)
-            first = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride + text_first[text]
-            end = np.minimum(first + m, text_first[text] + per[text])
-            there = np.concatenate([[0], np.cumsum(known & counts[np.maximum(t.ids, 0)], dtype=np.int32)])
-            a, b = np.maximum(t.starts[text], word_at[first] - reach), np.minimum(t.starts[text] + t.lengths[text], word_at[end] + reach)
-            keep = there[b] - there[a] >= least
-            if keep.any():
-                looked.append((of, text[keep], first[keep], end[keep]))
-                np.add.at(needed, first[keep], 1)
-                np.add.at(needed, end[keep], -1)
+        for m, k, starts, listed in self.sizes:
+            spots = self._spots(t, text_of, per, m, k, starts, listed)
+            if len(spots):
+                text, first, item = spots.T
+                end = text_first[text] + np.minimum(first + m, per[text])
+                first = text_first[text] + first
+                looked.append((text, first, end, item))
+                np.add.at(needed, first, 1)
+                np.add.at(needed, end, -1)
         needed = np.cumsum(needed[:-1]) > 0
         sums = np.zeros((int(needed.sum()) + 1, self.term_vectors.shape[1]))  # running sums over the needed blocks
         place = np.cumsum(needed) - 1
@@ -175,15 +180,14 @@ class Latent:
             sums[row[starts] + 1] += np.add.reduceat(self.term_vectors[t.ids[w]], starts, axis=0)
         np.cumsum(sums, axis=0, out=sums)
         found: dict[tuple[int, int], list] = {}
-        for of, text, first, end in looked:
+        for text, first, end, item in looked:
             for k in range(0, len(text), 8192):
-                f, e = first[k : k + 8192], end[k : k + 8192]
+                f, e, i = first[k : k + 8192], end[k : k + 8192], item[k : k + 8192]
                 v = (sums[place[e - 1] + 1] - sums[place[f]]).astype(np.float32)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                for j in range(0, len(of), 4096):
-                    cosine = v @ self.vectors[of[j : j + 4096]].T
-                    for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        found.setdefault((int(text[k + w]), int(of[j + i])), []).append((float(cosine[w, i]), int(word_at[f[w]]), int(word_at[e[w]])))
+                cosine = np.einsum("ij,ij->i", v, self.vectors[i])
+                for w in np.flatnonzero((cosine >= COSINE) | (self.lengths[i] < LEAST_WORDS)):
+                    found.setdefault((int(text[k + w]), int(i[w])), []).append((float(cosine[w]), int(word_at[f[w]]), int(word_at[e[w]])))
         for (n, i), spots in sorted(found.items()):
             item_id, words = self.items[i]
             item = [self.terms[w] for w in words]
@@ -192,7 +196,8 @@ class Latent:
             best = (0.0, 0.0)
             for cosine, a, b in sorted(spots, reverse=True):
                 around = t.ids[max(start, a - len(item) // 3) : min(stop, b + len(item) // 3)].tolist()
-                share, there = _lcs(item, around) / len(item), set(around)
+                share = _lcs(item, around) / len(item) if len(item) >= LEAST_WORDS else float(any(around[x : x + len(item)] == item for x in range(len(around))))
+                there = set(around)
                 if share >= LCS and sum(x in there for x in tail) >= ANSWER * len(tail):
                     best = max(best, (share, cosine))
                     if share == 1:
@@ -201,16 +206,16 @@ class Latent:
                 yield n, item_id, *best
 
 
-def _latent(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Latent:
-    terms = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
+def _space(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the terms and their coordinates in the latent space of the corpus."""
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(texts: pd.Series) -> np.ndarray:
         ids, passage, n = _Terms(known.value, texts).passages()
         pairs = np.unique(passage * len(known.value) + ids)
-        return np.append(np.bincount(pairs % len(known.value), minlength=len(known.value)), n).astype(float)
+        return np.append(np.bincount(pairs % len(known.value), minlength=len(known.value)), n).astype(float)[:, None]
 
-    df = _sum_over(docs, frequencies, (len(terms) + 1,))
+    df = _sum_over(docs, frequencies, len(terms) + 1, 1)[:, 0]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
     rank = min(RANK + OVERSAMPLE, len(terms))
     probe = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), rank)))[0]
@@ -234,14 +239,14 @@ def _latent(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Latent:
             out[term] += np.add.reduceat(rows[at[order]], first, axis=0) * (idf[term] ** 2)[:, None]
         return out
 
-    y = _sum_over(docs, products, (len(terms), rank))
+    y = _sum_over(docs, products, len(terms), rank)
     # Nystroem: A'A ~ Y (G'Y)^-1 Y'; directions without energy are held above zero.
     inner = probe.T @ y
     energy, axes = np.linalg.eigh((inner + inner.T) / 2)
     root = axes / np.sqrt(np.maximum(energy, 1e-10 * max(energy.max(), 1e-300)))
     u, values, _ = np.linalg.svd(y @ root, full_matrices=False)
     # Coordinates over singular values: else the directions of what all passages share would make every cosine large.
-    return Latent(terms, items, idf, u[:, :RANK] / np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12)))
+    return idf, u[:, :RANK] / np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -249,14 +254,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = max(1, -(-benchmark.count() // ITEMS_A_BLOCK))
     types = f"id {rows.schema['id'].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, lcs double, cosine double"
+    texts = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    spoken = texts.select(F.explode(F.udf(lambda t: list(set(_words(t))), "array<binary>")("text")).alias("w")).distinct()
+    if (n := spoken.count()) > MOST_TERMS:
+        raise ValueError(f"the benchmark has {n} distinct words, over {MOST_TERMS}")
+    terms = {w: k for k, w in enumerate(sorted(bytes(r.w) for r in spoken.collect()))}
+    space = _space(rows, terms) if terms else None
     out = None
     for block in range(blocks):
-        part = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        part = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = sorted(((r.item_id, _words(r.text)) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
-        items = [x for x in items if len(x[1]) >= LEAST_WORDS]
+        items = [x for x in items if x[1]]
         if not items:
             continue
-        model = docs.sparkSession.sparkContext.broadcast(_latent(rows, items))
+        model = docs.sparkSession.sparkContext.broadcast(Latent(terms, items, *space))
 
         def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -303,7 +303,7 @@ def test_sketch_bounds_the_distance():
 def test_decontamination_finds_copies_and_paraphrases(spark, docs, none):
     r = random.Random(2)
     vocab = [f"t{i}" for i in range(3000)]
-    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(12)] + [(50, None), (51, ""), (52, "too short")]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(12)] + [(50, None), (51, ""), (52, "never there")]
     clean = lambda n: " ".join(r.choice(vocab) for _ in range(n))
     texts = [(i, clean(r.randrange(40, 300))) for i in range(200)]
     texts[3] = (3, clean(70) + " " + items[1][1].upper() + ". " + clean(60))
@@ -318,6 +318,25 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_and_has_one_space_for_all_blocks(spark, monkeypatch):
+    r = random.Random(22)
+    vocab = [f"t{i}" for i in range(900)]
+    clean = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, " ".join(r.choice(vocab) for _ in range(24))) for i in range(30)] + [(100, "short item here now"), (101, "lone"), (102, "t1 t2")]
+    texts = [(i, clean(200)) for i in range(60)]
+    texts += [(500, clean(40) + " " + items[4][1] + " " + clean(40)), (501, clean(30) + " Short item, here now! " + clean(30)), (502, clean(9) + " short here item now " + clean(9)), (503, "lone"), (504, clean(50) + " t1 t2")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((x.doc_id, x.item_id, round(x.lcs, 6), round(x.cosine, 4)) for x in decontaminate.matches(docs, bench).collect())
+    whole = rows()
+    want = {(500, 4), (501, 100), (503, 101), (504, 102)} | {(i, 102) for i, t in texts if " t1 t2 " in f" {t} "}
+    assert {x[:2] for x in whole} == want
+    monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", 8)
+    assert rows() == whole
+    monkeypatch.setattr(decontaminate, "MOST_TERMS", 10)
+    with pytest.raises(ValueError):
+        decontaminate.matches(docs, bench)
+
+
 @pytest.mark.parametrize("length", [15, 23, 35])
 def test_decontamination_among_unknown_words(spark, length):
     """Items of the least length of their class with 60 to 75 % of the words kept in order, all other words unknown to the benchmark."""
@@ -360,17 +379,21 @@ def test_quality(spark, none):
     net = quality.fit(docs, labels, v, w)
     got = {x.doc_id: x.score for x in quality.scored(docs, net, v, w).collect()}
     assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(200, 300)) and all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows)
+    moved, named = docs.withColumn("doc_id", F.col("doc_id") * 7 + 1000), labels.withColumn("doc_id", F.col("doc_id") * 7 + 1000)
+    again = quality.word_vectors(moved)
+    other = {x.doc_id: x.score for x in quality.scored(moved, quality.fit(moved, named, *again), *again).collect()}
+    assert all(other[i * 7 + 1000] == pytest.approx(s, abs=1e-9) for i, s in got.items())  # ids are no input
     blank = quality.fit(docs, labels.limit(0), v, w)
     assert {x.score for x in quality.scored(docs, blank, v, w).collect()} == {0.5}
     assert quality.scored(none, net, v, w).count() == 0 and quality.word_vectors(none)[0].shape == (quality.ROWS, quality.DIM)
 
 
-def test_nearest_recall_ties_and_bad_vectors(spark):
+def test_nearest_ties_and_bad_vectors(spark):
     x = np.random.default_rng(0).standard_normal((1500, 16)).round(3)
     x[700] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, []), (5005, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, []), (5005, [1.0]), (None, x[3].tolist())]
     v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")))
-    got = ann.nearest(v, v.filter("id % 50 = 0 OR id = 3"), 10, block=400).collect()
+    got = ann.nearest(v, v.filter("id % 50 = 0 OR id = 3"), 10, block=600).collect()
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: r["rank"]):
         by[r.query_id].append((r.vec_id, r.score))
@@ -385,6 +408,23 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert ann.nearest(few, few.filter("id = 0"), 10).count() == 3 and ann.nearest(v.limit(0), v.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("n,norms,most", [(16384, False, 0.1), (5000, False, 0.12), (16384, True, 0.15)])
+def test_nearest_hashes_to_few_candidates(n, norms, most):
+    """Recall against brute force at the production parameters, where few vectors of a block are verified."""
+    r = np.random.default_rng(n)
+    x = r.standard_normal((n, 64))
+    if not norms:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.BlockIndex(np.arange(n), x, ann.BASES, ann.SEED)
+    queries = np.arange(0, n, n // 60)
+    hits = 0
+    for i, found, _ in index.search(x[queries], queries, 20, ann.THRESHOLD, ann.WANTED, ann.WIDEN):
+        s = x @ x[queries[i]]
+        s[queries[i]] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found))
+    assert hits >= 0.9 * 20 * len(queries) and index.verified <= most * n * len(queries)
+
+
 def test_token_counts_follow_edits(spark, docs, none):
     encoder = tokens.Encoder.at(tokens.TOKENIZER)
     exact = lambda t: len(encoder.coder.encode_ordinary(t or ""))
