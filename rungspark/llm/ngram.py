@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, mix64, stored, tasks_for, words_of
+from .common import WordIds, give_back, groups_for, mix64, stored, text_bytes, words_of
 
 END = np.uint64(0x9D5F1A3B7C2E4D61)  # the end token's hash
 CHUNK_TOKENS = 2_000_000
@@ -86,6 +86,8 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 size += len(doc)
         if tokens:
             yield flush()
+        tokens.clear()
+        give_back()
 
     id_type = docs.schema["id"].dataType.simpleString()
     return docs.mapInPandas(run, f"chunk long, ids array<{id_type}>, train array<boolean>, lengths binary, words binary, tokens binary")
@@ -126,7 +128,7 @@ def _sent(chunks: DataFrame, owners: int) -> DataFrame:
     return chunks.mapInPandas(run, "owner int, chunk long, order int, keys binary, counts binary")
 
 
-def _answered(sent: DataFrame) -> DataFrame:
+def _answered(sent: DataFrame, owners: int) -> DataFrame:
     """For each chunk, owner and order the corpus totals of its keys; in rows of chunk -1 the owner's number of tokens and of distinct words in training."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +143,7 @@ def _answered(sent: DataFrame) -> DataFrame:
             out += [(c, o, order, _pack(totals[at[s:e]]), 0, 0) for c, o, s, e in zip(rows["chunk"], rows["owner"], ends, ends[1:])]
         return pd.DataFrame(out, columns=["chunk", "owner", "order", "totals", "n", "v"])
 
-    return sent.groupBy("owner").applyInPandas(run, "chunk long, owner int, order int, totals binary, n long, v long")
+    return sent.repartition(owners, "owner").groupBy("owner").applyInPandas(run, "chunk long, owner int, order int, totals binary, n long, v long")
 
 
 def _with_totals(chunks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -187,8 +189,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train_col, F.lit(False)).alias("train"))
     chunks = stored(_chunks(rows, chunk_tokens), "lm-chunks")
-    owners = tasks_for(spark, 64)
-    answers = stored(_answered(_sent(chunks, owners)), "lm-totals")
+    owners = groups_for(spark, text_bytes(docs, text_col))
+    answers = stored(_answered(_sent(chunks, owners), owners), "lm-totals")
     n, v = (x or 0 for x in answers.filter("chunk < 0").agg(F.sum("n"), F.sum("v")).first())
 
     def events(row, opened, cw, cv, cvw) -> pd.DataFrame:

@@ -32,7 +32,7 @@ def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(read(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version")
     )
 
 

@@ -13,7 +13,7 @@ a bucket are kept in play:
 
 Texts travel as compressed blobs twice, runs and strings as packed arrays. No passage is hot: of the runs of one extent, and of
 the equal strings, that a sender holds together it sends one, the others being known as repeated; runs of an anchor with many
-extents are dealt by extent, all such anchors being listed first. The number of groups grows with the bytes. Buckets are 64-bit names (a chance of about 10^-4 that any two of 10^8 open strings collide).
+extents are dealt by extent, all such anchors being listed first. Groups and tasks grow with the bytes. Buckets are 64-bit names (a chance of about 10^-4 that any two of 10^8 open strings collide).
 
 Defined results: null and empty texts have no bytes, nothing removed and an empty rest; texts shorter than `length` are kept;
 rows that are repeated as a whole, id and text, are copies of each other; null ids are allowed; very long texts are read in
@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._windows import SEGMENT, buckets, runs
-from .common import mix64, stored, tasks_for
+from .common import groups_for, mix64, stored, text_bytes
 from .ngram import _keys, _owner, _pack, _planes, _unpack
 
 LENGTH = 200
 Q = 32
 FULL, OPEN, PARTNER = 0, 1, 2
 RUN = (("extent", np.uint64), ("k", np.int64), ("first", np.int64), ("n", np.uint8), ("again", bool))
-OWNER_BYTES = 1 << 26  # of text for each owner and part
 HOT, HOT_SHARE = 64, 400  # an anchor is spread if a sender holds over HOT extents of it at once, and over 1 / HOT_SHARE of all its runs
 
 
@@ -147,7 +146,7 @@ def _spread(sent: DataFrame, owners: int) -> DataFrame:
     return sent.mapInPandas(run, sent.schema)
 
 
-def _marks(sent: DataFrame, parts: int) -> DataFrame:
+def _marks(sent: DataFrame, parts: int, owners: int) -> DataFrame:
     """Runs that may hold repeated strings: part (of their text), and packed k, first, n, kind."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +173,7 @@ def _marks(sent: DataFrame, parts: int) -> DataFrame:
         there = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
         return pd.DataFrame({"part": there, **{c: [_pack(x[order[cuts[p] : cuts[p + 1]]]) for p in there] for c, x in zip(("k", "first", "n", "kind"), rows, strict=True)}})
 
-    return sent.groupBy("owner").applyInPandas(run, "part int, k binary, first binary, n binary, kind binary")
+    return sent.repartition(owners, "owner").groupBy("owner").applyInPandas(run, "part int, k binary, first binary, n binary, kind binary")
 
 
 def _blobs(rows: DataFrame, parts: int) -> DataFrame:
@@ -285,7 +284,7 @@ def _ranges(number: np.ndarray, at: np.ndarray) -> dict[str, bytes]:
     return {"run": _pack(x["run"].to_numpy(np.int32)), "lo": _pack(x["min"].to_numpy(np.uint8)), "hi": _pack(x["max"].to_numpy(np.uint8))}
 
 
-def _hits(windows: DataFrame) -> DataFrame:
+def _hits(windows: DataFrame, owners: int) -> DataFrame:
     """part, and packed: numbers of runs with repeated strings, the least and the greatest of these."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +300,7 @@ def _hits(windows: DataFrame) -> DataFrame:
         found = pd.DataFrame({"part": part[again], "run": number[again], "at": place[again]})
         return pd.concat([settled, pd.DataFrame([{"part": p, **_ranges(x["run"], x["at"])} for p, x in found.groupby("part")], columns=["part", "run", "lo", "hi"])])
 
-    return windows.groupBy("owner").applyInPandas(run, "part int, run binary, lo binary, hi binary")
+    return windows.repartition(owners, "owner").groupBy("owner").applyInPandas(run, "part int, run binary, lo binary, hi binary")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,14 +314,13 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
     """id, n_bytes, n_removed, spans (start and stop of the maximal removed runs, in bytes) and kept (the remaining bytes)."""
     spark = docs.sparkSession
-    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    owners = parts = max(tasks_for(spark, 64), n_bytes // OWNER_BYTES + 1)
+    owners = parts = groups_for(spark, text_bytes(docs, text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
     sent = stored(_sent_runs(rows, length, q, owners, parts), "repeats-runs")
     settled = sent.filter("owner IS NULL").select("part", "k", "first", "n", "kind")
-    marks = stored(_marks(_spread(sent, owners), parts).unionByName(settled), "repeats-marks")
+    marks = stored(_marks(_spread(sent, owners), parts, owners).unionByName(settled), "repeats-marks")
     blobs = _blobs(rows, parts)
-    hits = stored(_hits(_sent_windows(blobs, marks, length, owners)), "repeats-hits")
+    hits = stored(_hits(_sent_windows(blobs, marks, length, owners), owners), "repeats-hits")
     known = marks.select("part", "k", "first", "n", "kind", *[F.lit(None).cast("binary").alias(c) for c in ("run", "lo", "hi")]).unionByName(
         hits.select("part", *[F.lit(None).cast("binary").alias(c) for c in ("k", "first", "n", "kind")], "run", "lo", "hi")
     )

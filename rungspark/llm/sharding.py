@@ -10,11 +10,18 @@ same slot and differ only in position; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+from .common import stored
+
 N_SLOTS = 8192
 N_SHARDS = 16
+TOLERANCE = 0.05  # by which the fullest shard may exceed an equal share before the map is edited
 
 
 def virtual_slot(id_col: Column, text_col: Column, n_slots: int = N_SLOTS) -> Column:
@@ -84,17 +91,48 @@ def rebalanced(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
 
 def save_map(the_map: DataFrame, path: str) -> None:
     """Adds a version to the stored map; versions are kept side by side."""
-    the_map.write.mode("append").partitionBy("version").parquet(path)
+    the_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def load_map(spark, path: str, version: int | None = None) -> DataFrame:
-    """The given version of a stored map, the last if none is given."""
-    table = spark.read.parquet(path)
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The given version of a stored map, the last if none is given; nothing if there is none."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     if version is None:
         version = table.agg(F.max("version")).first()[0]
     return table.filter(F.col("version") == version)
 
 
+def unevenness(the_map: DataFrame, sizes: DataFrame, n_shards: int) -> float:
+    """The fullest shard's bytes over an equal share, less 1; slots that the map does not know, or of shards that are gone, count as a whole shard."""
+    placed = sizes.join(F.broadcast(the_map.select("vslot", "shard")), "vslot", "left")
+    shard = F.when(F.col("shard") < n_shards, F.col("shard")).otherwise(-1)
+    loads = placed.groupBy(shard.alias("shard")).agg(F.sum("bytes").alias("bytes"))
+    most, total, lost = loads.agg(F.max("bytes"), F.sum("bytes"), F.count_if(F.col("shard") < 0)).first()
+    return float("inf") if lost else (most or 0) * n_shards / (total or 1) - 1
+
+
+def current_map(sizes: DataFrame, n_shards: int, path: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """The stored map at `path`: the first version is made if there is none, a next one if the last is uneven by more than `tolerance` and an edit helps."""
+    spark = sizes.sparkSession
+    last = load_map(spark, path)
+    if last is None:
+        save_map(slot_map(sizes, n_shards), path)
+    elif (off := unevenness(last, sizes, n_shards)) <= tolerance:
+        return last
+    else:
+        edited = stored(rebalanced(last, sizes, n_shards), "slot-map", N_SLOTS)
+        if unevenness(edited, sizes, n_shards) >= off:  # a few large slots may leave nothing to gain
+            return last
+        save_map(edited, path)
+    made = load_map(spark, path)
+    return sizes.select("vslot", F.lit(0).alias("shard"), F.lit(0).alias("version")) if made is None else made  # no slots, no files
+
+
 def assign(records: DataFrame, the_map: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds shard and slot (the record's position in its shard, gapless from 0).
 
@@ -103,17 +141,21 @@ def assign(records: DataFrame, the_map: DataFrame, sizes: DataFrame, id_col: str
     """
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        the_map.select("vslot", "shard").join(F.broadcast(sizes), "vslot")
+        the_map.select("vslot", "shard", "version").join(F.broadcast(sizes), "vslot")
         .withColumn("start", F.coalesce(F.sum("records").over(before), F.lit(0)))
-        .select("vslot", "shard", "start")
+        .select("vslot", "shard", "version", "start")
     )
     inside = Window.partitionBy("vslot").orderBy(id_col, "text_crc32", "size")
     numbered = records.withColumn("nth", F.row_number().over(inside))
     return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("start") + F.col("nth") - 1).drop("start", "nth")
 
 
-def sharded(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each record's id, size, text_crc32, vslot, shard and slot under the law `bytes`."""
+def sharded(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Each record's id, size, text_crc32, vslot, version of the map, shard and slot under the law `bytes`.
+
+    path: of the stored map; a new one in the shared folder, if none is given.
+    """
     records = with_slots(docs, id_col, text_col, n_slots)
-    sizes = slot_bytes(records)
-    return assign(records, slot_map(sizes, n_shards), sizes, id_col)
+    sizes = stored(slot_bytes(records), "slot-bytes", n_slots)
+    the_map = current_map(sizes, n_shards, path or f"{shared_folder(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}")
+    return assign(records, the_map, sizes, id_col)

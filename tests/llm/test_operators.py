@@ -56,9 +56,27 @@ def test_sharding(docs, none, rows):
         places[r.shard].append(r.slot)
         load[r.shard] += r.size
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    slots = Counter()
+    for r in got:
+        slots[r.vslot] += r.size
+    assert max(load.values()) - min(load.values()) <= max(slots.values())  # the largest slot first, each to the emptiest shard
     assert sharding.sharded(none, 4, 64).count() == 0
 
 
+def test_sharding_goes_by_the_stored_map_and_edits_it(spark, docs, none, tmp_path):
+    path = str(tmp_path / "map")
+    shards = lambda d, n=4: {(r.doc_id, r.text_crc32): (r.shard, r.version) for r in sharding.sharded(d, n, 64, path=path).collect()}
+    first = shards(docs)
+    assert {v for _, v in first.values()} == {0} and shards(docs) == first  # nothing to edit
+    more = docs.unionByName(docs.filter("doc_id = 117").withColumn("doc_id", F.col("doc_id") + 5000))
+    second = shards(more)
+    assert {v for _, v in second.values()} == {1} and sum(second[k][0] == s for k, (s, _) in first.items()) > len(first) / 2
+    third = shards(more, 5)
+    assert {v for _, v in third.values()} == {2} and {s for s, _ in third.values()} == set(range(5))
+    assert sharding.unevenness(sharding.load_map(spark, path, 0), sharding.slot_bytes(sharding.with_slots(docs, n_slots=64)), 4) < 2
+    assert sharding.load_map(spark, str(tmp_path / "none")) is None
+
+
 def test_rebalancing_moves_whole_slots_and_keeps_versions(spark, docs, tmp_path):
     sizes = sharding.slot_bytes(sharding.with_slots(docs, n_slots=64)).cache()
     first = sharding.slot_map(sizes, 4).cache()
@@ -142,6 +160,24 @@ def test_ngram_scores(docs, none, rows):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[a] > 0 for a in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[a] + 1) / (n + v + 1)) for a in w))
         assert r.score < 0
+    # The model by brute force: weights by bucket, fitted on counts with each token held out.
+    events = Counter()
+    level = lambda a, b: 1 + round(-math.log2(a / b) * ngram.LEVELS) if a > 0 and b > 0 else 0
+    bucket = lambda k: math.ceil(math.log2(k + 1))
+    for x in rows:
+        if x[0] % 3:
+            w = [None, *words(x[1]), None]
+            for a, b in zip(w, w[1:], strict=False):
+                events[bucket(c[a] - 1), level(pairs[a, b] - 1, c[a] - 1), level(c[b] - 1, n - 1)] += 1
+    import pandas as pd
+
+    lam = ngram._weights(pd.DataFrame([(*e, k) for e, k in events.items()], columns=["b", "l2", "l1", "n"]), 1 / (v + 1))
+    for x in rows:
+        w, total = [None, *words(x[1]), None], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            m = lam[bucket(c[a])]
+            total += math.log10(m[0] * pairs[a, b] / max(c[a], 1) + m[1] * c[b] / n + m[2] / (v + 1))
+        assert got[x[0]].score == pytest.approx(total, rel=1e-6)
     held = [got[x[0]] for x in rows if x[0] % 3 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert ngram.scored(none.withColumn("train", F.lit(True))).count() == 0
