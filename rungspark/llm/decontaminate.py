@@ -3,7 +3,7 @@
 1. TF-IDF (tf * idf^2, which favours rare terms): passages of the corpus (blocks of `PASSAGE` words of every text) over the terms of the benchmark; document
    frequencies are counted over the whole corpus.
 2. Distributed randomised SVD of that matrix A: every task adds A_i' (A_i G) for a fixed random G; the sum Y is terms x
-   rank, and the leading singular directions and values follow from Y and G' Y (Nystroem) on the driver.
+   rank, and the leading singular directions follow from Y and G' Y (Nystroem) on the driver.
 3. Candidate search: windows of a text, in sizes that follow the items' lengths, are compared by their cosine in the latent
    space. Windows that cannot pass the verification with an item are passed over: at most a share of 1 - LCS of an item's words
    may be missing, so of any so many and k more of its words, k are there. The rarest are taken, and an index from terms to
@@ -38,7 +38,7 @@ RANK, OVERSAMPLE = 128, 8
 ITEMS_A_BLOCK = 20_000  # searched for together
 MOST_TERMS = 500_000
 LEAST_WORDS = 5
-COSINE = 0.5
+COSINE = 0.25  # low: the verification decides, and few windows are left by then
 LCS = 0.6  # of the item's words, in order
 ANSWER = 0.5  # of the item's last quarter
 SEED = 5
@@ -136,7 +136,7 @@ class Latent:
         word = np.repeat(word, n)
         order = np.argsort(item, kind="stable")
         item, word = item[order], word[order]
-        first, last = word[: len(word) - k + 1], word[k - 1 :]
+        first, last = word[: max(0, len(word) - k + 1)], word[k - 1 :]
         reach = self.lengths[item[: len(first)]] // 3
         near = (item[: len(first)] == item[k - 1 :]) & (text_of[first] == text_of[last]) & (last - first < m * BLOCK + 2 * reach)
         item, first, last, reach = item[: len(first)][near], first[near], last[near], reach[near]
@@ -244,9 +244,8 @@ def _space(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, np.nda
     inner = probe.T @ y
     energy, axes = np.linalg.eigh((inner + inner.T) / 2)
     root = axes / np.sqrt(np.maximum(energy, 1e-10 * max(energy.max(), 1e-300)))
-    u, values, _ = np.linalg.svd(y @ root, full_matrices=False)
-    # Coordinates over singular values: else the directions of what all passages share would make every cosine large.
-    return idf, u[:, :RANK] / np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12))
+    # The directions alone, not over their singular values: an item that leaked often is a strong direction itself.
+    return idf, np.linalg.svd(y @ root, full_matrices=False)[0][:, :RANK]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

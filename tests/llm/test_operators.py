@@ -503,3 +503,58 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert kept["decontaminate"] == Counter(i for i in kept["near_duplicates"] if i != 9)
     shards = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
     assert Counter(r.doc_id for r in shards.collect()) == kept["mix"]
+
+
+def test_pipeline_goes_by_rows_and_takes_empty_tables(spark, none, tmp_path):
+    r = random.Random(31)
+    vocab = [f"{a}{i}" for i in range(300) for a in ("river", "stone")]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    item, base = prose(30), prose(60)
+    rows = [(i, prose(50), "aa", "s", 0) for i in range(20)]
+    rows += [(None, base, "aa", "s", 0), (50, base, "aa", "s", 0), (None, base + " end", "aa", None, 0), (3, base, "aa", "s", 0), (3, base, "aa", "s", 0)]
+    rows += [(None, prose(20) + " " + item + " " + prose(20), "aa", "s", 0), (4, prose(20) + " " + item, "aa", "s", 0), (None, None, None, None, None), (60, "", "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row_key", F.lit("clash"))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language(spark, docs, str(tmp_path)), str(tmp_path))
+    left = Counter((x.doc_id, x.text) for x in corpus_pipeline.decontaminated(spark, near, str(tmp_path)).collect())
+    assert left == Counter([(i, t) for i, t, *_ in rows[:20]] + [(3, base)])
+    frame = none.select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.count() == 0
+
+
+def test_rows_without_an_id(spark):
+    """Each operator on null ids, among null, empty and usual texts and repeated rows."""
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, None), (1, ""), (None, "seven eight nine ten eleven"), (2, "the river runs")]
+    docs = spark.createDataFrame([(i, t, "aa", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = sorted(str(t) for _, t in rows)
+    got = sharding.sharded(docs, 2, 16)
+    assert got.count() == len(rows) and got.filter("doc_id IS NULL").count() == 4
+    assert mixing.mixed(docs).count() == len(rows)
+    assert langid.classify(docs, langid.fit(docs)).filter("lang_pred = 'aa'").count() == 4
+    assert ngram.scored(docs.withColumn("train", F.lit(True))).agg(F.sum("n_tokens")).first()[0] == 6 * 2 + 5 + 3 + len(rows)
+    assert repeats.without_repeats(docs, length=10, q=4).filter("doc_id IS NULL AND n_removed = n_bytes AND n_bytes > 0").count() == 2
+    assert sorted(str(r.text) for r in tokens.trees(docs).collect()) == texts
+    labels = spark.createDataFrame([(None, 1), (2, 0)], "doc_id long, quality int")
+    v, w = quality.word_vectors(docs)
+    assert quality.scored(docs, quality.fit(docs, labels, v, w), v, w).count() == len(rows)
+    bench = spark.createDataFrame([(None, "one two three four five six"), (1, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.lcs) for r in decontaminate.matches(docs, bench).collect()] == [(None, None, 1.0)]
+
+
+def test_very_long_texts(spark):
+    """Texts that cross the sizes up to which operators look at a piece at once."""
+    r = random.Random(41)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    long = " ".join(r.choice(vocab) for _ in range(420_000))  # 2.9 MB
+    other = " ".join(r.choice(vocab) for _ in range(60))
+    docs = spark.createDataFrame([(1, long), (2, long[:1_000_000] + " " + other), (3, other)], "doc_id long, text string")
+    got = {x.doc_id: x for x in repeats.without_repeats(docs).collect()}
+    assert got[3].n_removed == got[3].n_bytes and got[2].n_removed == got[2].n_bytes - 1 and got[1].n_removed == 1_000_000
+    item = " ".join(long.split()[400_000:400_030])
+    found = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.lcs) for x in found] == [(1, 1.0)]
+    sizes = {x.doc_id: x.n_tokens for x in ngram.scored(docs.withColumn("train", F.lit(True)), chunk_tokens=50_000).collect()}
+    assert sizes == {i: len(words(t)) + 1 for i, t in ((1, long), (2, long[:1_000_000] + " " + other), (3, other))}
+    assert {x.doc_id: x.component_id for x in jaccard.classes_of(docs).collect()} == {1: 1, 2: 2, 3: 3}
