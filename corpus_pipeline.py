@@ -1,9 +1,13 @@
 """The corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing to target weights, sharding.
 
 Every stage works on all that its predecessor kept and returns the columns of `documents` (the last one the shards):
-`language` drops what it rejects (no letter, or languages that tie), `near_duplicates` keeps the document with the least id of
-each group, `decontaminate` drops documents that hold a benchmark item, `mix` emits each document as often as its source's
-repetition rate says, `shard` places every emitted row. Rows with a null id pass the stages that go by id.
+`language` drops what it rejects (null texts, texts without a letter, languages that tie), `near_duplicates` keeps the document with
+the least id of each group (ids of null last) and one of rows that are repeated as a whole, `decontaminate` drops documents that hold a
+benchmark item, `mix` emits each document as often as its source's repetition rate says, `shard` places every emitted row.
+
+Inside a stage a row goes by a hash of id and text, so null ids and ids with several texts are decided row by row. Texts
+without words are nobody's near duplicate. A null source is a source of its own. Empty tables give empty results; further columns, also
+of clashing names, are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ from rungspark.llm import decontaminate, jaccard, langid, mixing, sharding
 from rungspark.llm.common import read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-FEW_IDS = 1_000_000  # up to which a list of ids is broadcast
+FEW_KEYS = 200_000  # up to which a list of row keys is broadcast
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
 
 
-def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    """The documents whose id is not listed."""
-    ids = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), tag)
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+def _listed(keys: DataFrame, tag: str) -> DataFrame:
+    keys = stored(keys.select("row_key").distinct(), tag)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +38,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    classes = jaccard.classes_of(docs)
-    kept = _without(docs, classes.filter(F.col("doc_id") != F.col("component_id")), "near-duplicates")
-    # A row that is there several times under one id is a copy too.
-    twice = stored(kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    marked = kept.join(F.broadcast(twice) if twice.count() <= FEW_IDS else twice, F.col("doc_id") == F.col("twice"), "left")
-    again = marked.filter("twice IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
-    return marked.filter("twice IS NULL").select(*COLUMNS).unionByName(again.filter("nth = 1").select(*COLUMNS))
+    rows = _keyed(docs)
+    classes = stored(jaccard.classes_of(rows, "row_key").select("row_key", "component_id").distinct(), "near-duplicate-classes")
+    several = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    ids = rows.select("row_key", "doc_id").distinct()
+    groups = stored(classes.join(several, "component_id").join(ids, "row_key"), "near-duplicate-groups")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    kept = rows.join(_listed(groups.join(stays, "row_key", "left_anti"), "near-duplicates"), "row_key", "left_anti")
+    # A row that is there several times as a whole is a copy too.
+    twice = _listed(kept.groupBy("row_key").count().filter("count > 1"), "repeated-rows")
+    once = kept.join(twice, "row_key", "left_anti").select(*COLUMNS)
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id"))
+    return once.unionByName(kept.join(twice, "row_key", "left_semi").withColumn("nth", nth).filter("nth = 1").select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return _without(docs, decontaminate.matches(docs, read(spark, sf_dir, "benchmark")), "contaminated")
+    rows = _keyed(docs)
+    found = decontaminate.matches(rows, read(spark, sf_dir, "benchmark"), "row_key")
+    return rows.join(_listed(found, "contaminated"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
