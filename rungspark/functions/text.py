@@ -7,14 +7,74 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Fixed format: a sheet number.
 SHEET = r"[A-Z]{1,3}\d{5}(?:-\d{1,2})?"
 
+# Names of push buttons that imply a break (b) or a make (a) contact, by word boundaries of Latin letters.
+IMPLIES_B = r"(?<![A-Z])(STOP|EMG|EMS|E-?STOP|OFF)(?![A-Z])|停止|非常|切"
+IMPLIES_A = r"(?<![A-Z])(START|RUN|ON)(?![A-Z])|起動|運転|入"
+
+
+def canonical_device(name: Column) -> Column:
+    """Upper case, O, I and B as the digits they are misread for: the form by which device names are compared."""
+    return F.translate(F.upper(name), "OIB", "018")
+
+
+def match_key(name: Column) -> Column:
+    """squeezed() without spaces, O, Q and I as digits: the form by which read words are compared."""
+    return F.translate(F.replace(squeezed(name), F.lit(" "), F.lit("")), "OQI", "001")
+
 
 def folded(name: Column) -> Column:
-    """Upper case without white space, letters that are misread for digits folded onto them (O, Q -> 0; I -> 1; B -> 8)."""
+    """Both foldings at once, without white space: for joins of names from tables and from drawings."""
     return F.translate(F.regexp_replace(F.upper(name), r"\s+", ""), "OQIB", "0018")
 
 
+def compact(text: Column) -> Column:
+    """squeezed() without any white space; null is the empty text."""
+    return F.replace(squeezed(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" "), F.lit(""))
+
+
+def implied_contact(name: Column) -> Column:
+    """a or b by a push button's name; null if it implies both or none."""
+    n = squeezed(name)
+    b, a = n.rlike(IMPLIES_B), n.rlike(IMPLIES_A)
+    return F.when(b & ~a, "b").when(a & ~b, "a")
+
+
+def contact_kind(given: Column, name: Column, otherwise: str = "a") -> Column:
+    """a or b: as given (with or without `contact_`), else as the name implies, else the default."""
+    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(given, F.lit("")))), "^contact_", "")
+    return F.coalesce(F.when(plain.isin("a", "b"), plain), implied_contact(name), F.lit(otherwise))
+
+
+def bus_side(name: Column) -> Column:
+    """The node a bus name stands for: PER2100 is P_2100 (the supply's positive side; P without a number), NER... is 0; else null."""
+    n = F.upper(F.replace(F.coalesce(name, F.lit("")), F.lit(" "), F.lit("")))
+    return F.when(n == "PER", "P").when(n.startswith("PER"), F.concat(F.lit("P_"), F.substring(n, 4, 1_000_000))).when(n.startswith("NER"), "0")
+
+
+def table_numbers(terminal: Column, contact: Column) -> Column:
+    """The two terminal numbers that a contact uses of `NO-COM-NC`: common and make for a, common and break for b; else empty."""
+    parts = F.split(F.coalesce(terminal, F.lit("")), "-")
+    usable = (F.size(parts) == 3) & contact.isin("a", "b")
+    used = F.array(F.get(parts, F.lit(1)), F.when(contact == "a", F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(2))))
+    return F.when(usable, used).otherwise(F.array().cast("array<string>"))
+
+
+def tag_target(class_key: Column, label: Column) -> Column:
+    """The sheet that a tag (class `other`) names: in parentheses or alone; null if it names none."""
+    found = F.regexp_extract(compact(label), f"({SHEET})", 1)
+    return F.when(class_key == "other", F.nullif(found, F.lit("")))
+
+
+def identifiers(label: Column, target: Column) -> Column:
+    """The other words of a tag's label, distinct: without the sheet it names, particles, punctuation and lone dashes."""
+    rest = F.replace(squeezed(F.coalesce(label, F.lit(""))), F.coalesce(F.nullif(target, F.lit("")), F.lit("\x01")), F.lit(" "))
+    words = F.split(F.regexp_replace(rest, "へ|より|ヘ", " "), r"[\s()（）、,/]+")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & (w != "-"))))
+
+
 def squeezed(text: Column) -> Column:
     """Upper case, runs of white space as one space, trimmed; full-width ASCII becomes ASCII."""
     wide = "".join(chr(0xFF01 + i) for i in range(94)) + "　"

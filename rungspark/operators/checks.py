@@ -28,8 +28,7 @@ def open_terminals(circuit: Circuit) -> DataFrame:
 
 def input_names(circuit: Circuit) -> DataFrame:
     """The kind that a push button's name implies against the kind drawn; a name that implies both or none says nothing."""
-    off, on = F.col("device").rlike(r"(?i)\b(STOP|EMG)"), F.col("device").rlike(r"(?i)\b(START|RUN)")
-    implied = F.when(off & ~on, "b").when(on & ~off, "a")
+    implied = text.implied_contact(F.col("device"))
     rows = circuit.elements.filter("kind IN ('a', 'b') AND NOT has_coil").withColumn("implied", implied).filter("implied <> kind")
     return _issues(rows, "input_names", "info", F.col("ref"), F.format_string("%s suggests %s, drawn as %s", "device", "implied", "kind"))
 

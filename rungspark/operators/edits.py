@@ -7,6 +7,7 @@ operation that names something absent makes the whole set fail. Of several setti
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +61,46 @@ def _set(df: DataFrame, values: DataFrame, field: str) -> DataFrame:
 
 
 class ChangeLog:
-    """Versions of both tables under a folder. apply() fails if the base is no longer current; undo() goes back a version unless others came after."""
+    """Versions of both tables under a folder, with a table of the versions' hashes beside them, so that any session sees them.
+    apply() fails if the base is no longer current; undo() goes back a version unless others came after. Two writers of one version
+    fail at its folder, which the second finds taken."""
 
     def __init__(self, spark, path: str):
-        self.spark, self.path, self.versions = spark, path, []
+        self.spark, self.path = spark, path
+
+    @property
+    def versions(self) -> list[str]:
+        """The hashes in order: one short row a version."""
+        try:
+            rows = self.spark.read.schema("n int, hash string").json(f"{self.path}/versions").orderBy("n").collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return [r.hash for r in rows]
 
     def save(self, symbols: DataFrame, connections: DataFrame) -> str:
         n = len(self.versions)
         for name, df in (("symbols", symbols), ("connections", connections)):
-            df.write.parquet(f"{self.path}/v{n}/{name}")
-        self.versions.append(content_hash(*self.tables(n)))
-        return self.versions[-1]
+            df.write.mode("error").parquet(f"{self.path}/v{n}/{name}")
+        name = content_hash(*self._read(n))
+        self.spark.createDataFrame([(n, name)], "n int, hash string").coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        return name
 
-    def tables(self, n: int = -1) -> tuple[DataFrame, DataFrame]:
-        n = n % (len(self.versions) or 1) if n < 0 else n
+    def _read(self, n: int) -> tuple[DataFrame, DataFrame]:
         return tuple(self.spark.read.parquet(f"{self.path}/v{n}/{name}") for name in ("symbols", "connections"))
 
+    def tables(self, n: int = -1) -> tuple[DataFrame, DataFrame]:
+        return self._read(n % (len(self.versions) or 1) if n < 0 else n)
+
     def apply(self, ops: DataFrame, base: str) -> str:
         if base != self.versions[-1]:
             raise ValueError("the tables have changed meanwhile")
         return self.save(*applied(*self.tables(), ops))
 
     def undo(self, after: str, force: bool = False) -> str:
-        at = len(self.versions) - 1 - self.versions[::-1].index(after)
-        if at != len(self.versions) - 1 and not force:
+        versions = self.versions
+        at = len(versions) - 1 - versions[::-1].index(after)
+        if at != len(versions) - 1 and not force:
             raise ValueError("later changes exist")
         return self.save(*self.tables(at - 1))

@@ -59,9 +59,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     return out.filter("change IS NOT NULL")
 
 
-def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+def undirected(edges: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Distinct edges with their ends in order, without loops."""
-    return edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return edges.filter(F.col(a) != F.col(b)).select(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -119,12 +119,18 @@ def canonical_join(left: DataFrame, l_name: str, right: DataFrame, r_name: str,
 
 
 def absorbed(sets: DataFrame, id_col: str, set_col: str) -> DataFrame:
-    """Sets that hold another one (or an equal one with a smaller id) go. A set meets candidates only through its own elements."""
+    """Sets that hold another one (or an equal one with a smaller id) go; an empty set is held by every other. A set is met only through its
+    rarest element, so common elements make no pairs."""
     items = sets.select(F.col(id_col).alias("i"), F.array_distinct(set_col).alias("s")).withColumn("size", F.size("s"))
-    small = items.select(F.col("i").alias("j"), F.col("size").alias("n"), F.explode("s").alias("e"))
-    big = items.select("i", F.col("size").alias("size"), F.explode("s").alias("e"))
-    held = big.join(small, "e").filter("i <> j AND (n < size OR n = size AND j < i)").groupBy("i", "j", "n").agg(F.count(F.lit(1)).alias("both")).filter("both = n")
-    return sets.join(held.select(F.col("i").alias(id_col)).distinct(), id_col, "left_anti")
+    spread = items.select("i", "size", "s", F.explode("s").alias("e"))
+    often = spread.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
+    rarest = spread.join(often, "e").groupBy("i").agg(F.min(F.struct("often", "e"))["e"].alias("e"))
+    small = items.join(rarest, "i").select(F.col("i").alias("j"), F.col("size").alias("n"), F.col("s").alias("t"), "e")
+    held = spread.join(small, "e").filter("i <> j AND (n < size OR n = size AND j < i)").filter(F.size(F.array_except("t", "s")) == 0).select("i")
+    # Of empty sets the one with the least id holds against all others.
+    none = items.filter("size = 0").agg(F.min("i").alias("least"))
+    rest = items.crossJoin(F.broadcast(none)).filter("least IS NOT NULL AND i <> least").select("i")  # one row
+    return sets.join(held.unionByName(rest).select(F.col("i").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def shared_tokens(a: DataFrame, b: DataFrame, key: str, token: str) -> DataFrame:
@@ -134,11 +140,93 @@ def shared_tokens(a: DataFrame, b: DataFrame, key: str, token: str) -> DataFrame
 
 
 def free_numbers(wanted: DataFrame, used: DataFrame, col: str, order: list[Column]) -> DataFrame:
-    """Gives each wanted row the next number, from 1, that is not used. Both sides are numbered by range: no value is searched row by row."""
-    taken = used.select(F.col(col).cast("long").alias("u")).filter("u >= 1").distinct()
-    ranked = taken.withColumn("gap", F.col("u") - F.row_number().over(Window.orderBy("u")))  # free numbers below u
-    nth = wanted.withColumn("nth__", F.row_number().over(Window.orderBy(*order)))
-    steps = ranked.groupBy("gap").agg(F.count(F.lit(1)).alias("here")).withColumn("before", F.sum("here").over(Window.orderBy("gap")))
-    bounds = steps.select("gap", "before", F.lead("gap").over(Window.orderBy("gap")).alias("upto"))
-    out = nth.join(F.broadcast(bounds), (F.col("nth__") > F.col("gap")) & ((F.col("nth__") <= F.col("upto")) | F.col("upto").isNull()), "left")
-    return out.withColumn(col, F.col("nth__") + F.coalesce("before", F.lit(0))).drop("nth__", "gap", "before", "upto")
+    """Gives each wanted row the next number, from 1, that is not used: the nth wanted row gets the nth free number. Both sides are numbered
+    range by range (see numbered()); a wanted row meets only the gap that holds its number, found through coarse steps of the numbers."""
+    taken = numbered(used.select(F.col(col).cast("long").alias("u")).filter("u >= 1").distinct(), [], [F.col("u")], "nth")
+    # After the used number u, in its nth place, the free numbers are those from u + 1 - nth on, until the next used one.
+    steps = taken.select((F.col("u") - F.col("nth")).alias("gap"), "nth").groupBy("gap").agg(F.max("nth").alias("before"))
+    steps = numbered(steps, [], [F.col("gap")], "k")
+    after = steps.select((F.col("k") - 1).alias("k"), F.col("gap").alias("upto"))
+    spans = steps.join(after, "k", "left").select("gap", "before", "upto")
+    nth = numbered(wanted, [], order, "nth__")
+    last = nth.agg(F.max("nth__")).first()[0] or 0
+    cell = max(1, last // 1000)
+    cells = F.sequence(F.floor(F.col("gap") / cell), F.floor(F.coalesce(F.least("upto", F.lit(last)), F.lit(last)) / cell))
+    spread = spans.filter(F.col("gap") < last).withColumn("cell__", F.explode(cells))
+    here = (F.col("nth__") > F.col("gap")) & (F.col("upto").isNull() | (F.col("nth__") <= F.col("upto")))
+    out = nth.withColumn("cell__", F.floor(F.col("nth__") / cell)).join(spread, "cell__", "left")
+    out = out.filter(here | F.col("gap").isNull() | (F.col("nth__") <= F.col("gap")))
+    names = [c for c in wanted.columns if c != col]
+    return out.groupBy(*names, "nth__").agg(F.max(F.when(here, F.col("before"))).alias("before")).select(*names, (F.col("nth__") + F.coalesce("before", F.lit(0))).alias(col))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds the row number in each group without sorting a group in one task: rows are dealt by range, counted in each range, and numbered
+    from where the ranges before end. `order` should have no ties."""
+    from .graph import cut_lineage
+
+    keys = [F.col(c) for c in by]
+    ranges = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id()))
+    sizes = ranges.groupBy(*by, "range__").agg(F.count(F.lit(1)).alias("n__"))  # as many rows as ranges, and groups
+    before = F.sum("n__").over(Window.partitionBy(*by).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("range__").alias("r__"), F.coalesce(before, F.lit(0)).alias("start__"))
+    inside = F.row_number().over(Window.partitionBy("range__", *by).orderBy(*order))
+    same = F.col("range__") == F.col("r__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    out = ranges.withColumn("inside__", inside).join(starts, same)
+    return out.withColumn(name, F.col("start__") + F.col("inside__")).select(*df.columns, name)
+
+
+def prefix_merged(df: DataFrame, by: list[str], word: str, score: str) -> DataFrame:
+    """Drops words that are another one of the group without its last character; that one takes the greater score."""
+    longer = df.select(*by, F.col(word).alias("w__"), F.expr(f"substring({word}, 1, length({word}) - 1)").alias(word))
+    short = df.join(longer.select(*by, word).distinct(), [*by, word], "left_semi").select(*by, F.col(word).alias("stem__"), F.col(score).alias("s__"))
+    kept = df.join(longer.select(*by, word).distinct(), [*by, word], "left_anti").withColumn("stem__", F.expr(f"substring({word}, 1, length({word}) - 1)"))
+    merged = kept.join(short.groupBy(*by, "stem__").agg(F.max("s__").alias("s__")), [*by, "stem__"], "left")
+    return merged.withColumn(score, F.greatest(F.col(score), F.coalesce("s__", F.col(score)))).select(*df.columns)
+
+
+def limited_then(df: DataFrame, order: list[Column], n: int, keep: Column, then: int) -> DataFrame:
+    """The first rows that `keep` among the first n: the limit comes before the filter."""
+    return df.orderBy(*order).limit(n).filter(keep).orderBy(*order).limit(then)
+
+
+def distinct_by_content(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows whose columns (maps and arrays too) hold the same content once, whatever a map's order."""
+    plain = lambda c: F.to_json(F.struct(F.array_sort(F.map_entries(c)).alias("m"))) if df.schema[c].dataType.typeName() == "map" else F.to_json(F.struct(c))
+    return df.withColumn("content__", F.concat_ws("\x01", *[plain(c) for c in cols])).dropDuplicates(["content__"]).drop("content__")
+
+
+def unresolved(rows: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """column, value, n: references that name nothing. references: column -> (table, its key)."""
+    out = None
+    for c, (table, key) in references.items():
+        lost = rows.filter(F.col(c).isNotNull()).join(table.select(F.col(key).alias(c)).distinct(), c, "left_anti")
+        part = lost.groupBy(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def one_active(df: DataFrame, by: list[str], chosen: Column) -> DataFrame:
+    """Makes the chosen row of each group the active one; groups without a choice keep theirs."""
+    some = F.max(chosen.cast("int")).over(Window.partitionBy(*by)) == 1
+    return df.withColumn("is_active", F.when(some, chosen).otherwise(F.col("is_active")))
+
+
+def first_resolved(wanted: DataFrame, name: str, candidates: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Adds target and how: the first way in which a name is resolved to exactly one key. candidates: (how, table, its name column, its key)."""
+    out = wanted
+    for i, (_, table, column, key) in enumerate(candidates):
+        only = table.groupBy(F.col(column).alias(name)).agg(single_or_null(F.col(key)).alias(f"t{i}__")).filter(F.col(f"t{i}__").isNotNull())
+        out = out.join(only, name, "left")
+    found = [F.col(f"t{i}__") for i in range(len(candidates))]
+    how = F.coalesce(*[F.when(t.isNotNull(), c[0]) for t, c in zip(found, candidates, strict=True)])
+    return out.select(*wanted.columns, F.coalesce(*found).alias("target"), how.alias("how"))
+
+
+def token_match(expected: Column, observed: Column) -> Column:
+    """Whether a word was read well enough: up to 2 characters exactly, up to 4 with one edit, longer ones with 28 % of edits."""
+    d = F.levenshtein(expected, observed)
+    n = F.length(expected)
+    return F.when(n <= 2, d == 0).when(n <= 4, d <= 1).otherwise(d / F.greatest(n, F.length(observed), F.lit(1)) <= 0.28)

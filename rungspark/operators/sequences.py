@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def islands(df: DataFrame, by: list[str], at: Column, gap: float | Column, order: list[Column]) -> DataFrame:
     """Adds island: a new one starts where the step from the row before exceeds `gap`."""
@@ -60,14 +62,41 @@ def tie_percentile(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def evenly_held_out(df: DataFrame, order: list[str], k: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds held_out for k evenly spaced rows of each group: places floor((i + 1/2) n / k)."""
-    part = by or [F.lit(1)]
-    w = Window.partitionBy(*part)
-    place, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
+    placed = numbered(df, by, [F.col(c) for c in order], "place__").withColumn("place__", F.col("place__") - 1)
+    sizes = df.groupBy(*[F.col(c).alias(f"{c}__") for c in by]).agg(F.count(F.lit(1)).alias("n__"))  # a row for each group
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    placed = placed.join(sizes, same) if by else placed.crossJoin(F.broadcast(sizes))
+    place, n = F.col("place__"), F.col("n__")
     i = F.ceil((place * k) / n - 0.5)
     at = lambda j: F.floor((j + 0.5) * n / k)
-    return df.withColumn("held_out", F.when(n <= k, True).otherwise(((i >= 0) & (i < k) & (at(i) == place)) | ((i + 1 < k) & (at(i + 1) == place)) | ((i - 1 >= 0) & (at(i - 1) == place))))
+    hit = F.when(n <= k, True).otherwise(((i >= 0) & (i < k) & (at(i) == place)) | ((i + 1 < k) & (at(i + 1) == place)) | ((i - 1 >= 0) & (at(i - 1) == place)))
+    return placed.select(*df.columns, hit.alias("held_out"))
 
 
 def folds(df: DataFrame, order: list[str], k: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds fold: rows dealt out in turn."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)) - 1, F.lit(k)))
+    return numbered(df, by, [F.col(c) for c in order], "fold").withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(k)))
+
+
+def longest_gap(df: DataFrame, by: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:
+    """by, gap: the longest part of [lo, hi] that no interval covers. A row with null start and end stands for a span without intervals."""
+    w = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    cursor = F.greatest(F.col(lo), F.coalesce(F.max(end).over(w), F.col(lo)))
+    rows = df.withColumn("free__", F.greatest(F.least(F.col(start), F.col(hi)) - cursor, F.lit(0.0)))
+    return rows.groupBy(*by).agg(F.greatest(F.coalesce(F.max("free__"), F.lit(0.0)), F.max(hi) - F.greatest(F.max(lo), F.least(F.max(hi), F.coalesce(F.max(end), F.max(lo))))).alias("gap"))
+
+
+def covered_share(df: DataFrame, by: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:
+    """by, share: the part of [lo, hi] that intervals cover."""
+    clipped = df.withColumn(start, F.greatest(start, lo)).withColumn(end, F.least(end, hi)).filter(F.col(start) < F.col(end))
+    merged = interval_union(clipped.select(*by, start, end), by, start, end).groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("sum__"))
+    spans = df.groupBy(*by).agg((F.max(hi) - F.min(lo)).alias("span__"))
+    return spans.join(merged, by, "left").select(*by, F.coalesce(F.try_divide("sum__", "span__"), F.lit(0.0)).alias("share"))
+
+
+def reading_order(df: DataFrame, by: list[str], top: str, left: str, height: str, key: str, name: str = "nth") -> DataFrame:
+    """Adds the place of a word: lines from the top (a line starts where the step down exceeds half the height), words from the left; ties by key."""
+    lines = islands(df, by, F.col(top), F.col(height) / 2, [F.col(top), F.col(left), F.col(key)])
+    return lines.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("island", left, top, key))).drop("island")

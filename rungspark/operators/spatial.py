@@ -12,7 +12,7 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def _gridded(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> DataFrame:
+def gridded(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> DataFrame:
     return df.withColumn("gx", F.explode(_cells(x0, x1, size))).withColumn("gy", F.explode(_cells(y0, y1, size)))
 
 
@@ -20,7 +20,7 @@ def box_overlaps(left: DataFrame, right: DataFrame, by: list[str], least: float,
     """Pairs (l, r: structs) of boxes of one page with IoU >= least > 0. A pair meets only in the cell of its intersection's lower corner: no duplicates."""
     def side(df: DataFrame, name: str) -> DataFrame:
         x, y, w, h = (F.col(c) for c in box)
-        spread = _gridded(df, x - w / 2, x + w / 2, y - h / 2, y + h / 2, cell)
+        spread = gridded(df, x - w / 2, x + w / 2, y - h / 2, y + h / 2, cell)
         return spread.select(*by, "gx", "gy", F.struct(*df.columns).alias(name))
 
     of = lambda s: tuple(F.col(f"{s}.{c}") for c in box)
@@ -33,16 +33,17 @@ def box_overlaps(left: DataFrame, right: DataFrame, by: list[str], least: float,
 def owners(points: DataFrame, boxes: DataFrame, by: list[str], order: list[str], cell: float, margin: float = 0.0, box: tuple = ("cx", "cy", "w", "h"), point: tuple = ("px", "py"), keep: list[str] = [], point_key: str = "point_id") -> DataFrame:  # noqa: B006
     """Each point's first box, in `order`, among those it lies in: by, point_key and the box columns in `keep`."""
     x, y, w, h = (F.col(c) for c in box)
-    spread = _gridded(boxes, x - w / 2 - margin, x + w / 2 + margin, y - h / 2 - margin, y + h / 2 + margin, cell)
+    spread = gridded(boxes, x - w / 2 - margin, x + w / 2 + margin, y - h / 2 - margin, y + h / 2 + margin, cell)
     placed = points.withColumn("gx", F.floor(F.col(point[0]) / cell)).withColumn("gy", F.floor(F.col(point[1]) / cell))
     met = placed.join(spread, [*by, "gx", "gy"]).filter(G.inside(F.col(point[0]), F.col(point[1]), (x, y, w, h), margin))
     return met.groupBy(*by, point_key).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("o")).select(*by, point_key, "o.*")
 
 
 def nearest(points: DataFrame, targets: DataFrame, by: list[str], within: float, point_key: str, target_key: str, point: tuple = ("px", "py"), target: tuple = ("tx", "ty"), weights: tuple = (1.0, 1.0)) -> DataFrame:
-    """Each point's nearest target at most `within` away (ties to the lesser key): by, point_key, target_key, distance. Weights stretch the axes."""
+    """Each point's nearest target at most `within` away (ties to the lesser key): by, point_key, target_key, distance. Weights stretch
+    the axes. (For the city-block measure of bus names see detections.bus_texts().)"""
     px, py, tx, ty = F.col(point[0]) * weights[0], F.col(point[1]) * weights[1], F.col(target[0]) * weights[0], F.col(target[1]) * weights[1]
-    spread = _gridded(points, px - within, px + within, py - within, py + within, within)
+    spread = gridded(points, px - within, px + within, py - within, py + within, within)
     placed = targets.withColumn("gx", F.floor(tx / within)).withColumn("gy", F.floor(ty / within))
     d = F.sqrt((px - tx) ** 2 + (py - ty) ** 2)
     met = spread.join(placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed format: the nested page document.
 PAGE_DDL = (
     "id BIGINT, name STRING, sheet_no STRING, image_width INT, image_height INT, status STRING, "
     "symbols ARRAY<STRUCT<ref: STRING, class_key: STRING, label: STRING, cx: DOUBLE, cy: DOUBLE, w: DOUBLE, h: DOUBLE, note: STRING, origin: STRING, confidence: DOUBLE, attributes: MAP<STRING, STRING>, "
@@ -64,9 +65,9 @@ def label_lines(symbols: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def connection_rows(connections: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Connections with the classes and labels of both ends, for a CSV sink; line ends in notes become spaces."""
+    """Connections with the classes and labels of both ends, for a CSV sink; line ends in notes become spaces. Connections with a missing end are left out."""
     side = lambda s: symbols.select("page_id", F.col("ref").alias(f"{s}_symbol"), F.col("class_key").alias(f"{s}_class"), F.col("label").alias(f"{s}_label"))
-    both = connections.join(side("from"), ["page_id", "from_symbol"], "left").join(side("to"), ["page_id", "to_symbol"], "left")
+    both = connections.join(side("from"), ["page_id", "from_symbol"]).join(side("to"), ["page_id", "to_symbol"])
     return both.withColumn("note", F.regexp_replace("note", r"[\r\n]+", " "))
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from rungspark.plans.queries import ORACLES, QUERIES
+from rungspark.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -71,56 +71,54 @@ def test_components_do_not_depend_on_edge_order(spark):
         assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_whole_tables_against_brute_force(spark, tmp_path):
-    """A small fixture whose rows mostly lie outside what the queries with SQL read."""
+def test_graphs_against_brute_force(spark):
     import random
     from collections import defaultdict
-    from statistics import median
 
-    r = random.Random(3)
-    names = [590, 591, 601, 611, 700, 701, 999, 1001, 12345]
-    orders = [(i, r.randrange(1, 12), r.choice("FOP")) for i in range(1, 41)]
-    lines = [(r.randrange(1, 41), r.choice([1, 2, 3, 41, 42, 81]) + 100 * r.randrange(2), 50.0 if i % 2 else 7.0, r.choice("RAN")) for i in range(60)]
-    vectors = [(k, f"g{k % 2}", [r.random(), r.random()]) for k in range(990, 1010)]
-    events = [(i, r.randrange(8), r.choice(["purchase", "click", "view", "purchase"])) for i in range(1, 37)]
-    for name, rows, schema in (
-        ("customer", [(k, f"Customer#{k:09d}") for k in names], "c_custkey long, c_name string"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string"),
-        ("lineitem", lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string"), ("embeddings", vectors, "vec_id long, label string, embedding array<float>"),
-        ("events", events, "event_id long, user_id long, event_type string"),
-    ):
-        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = lambda name: sorted(tuple(x) for x in QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect())
-
-    text = [f"{k:09d}" for k in names]
-    assert got("near_string_pairs") == sorted((a, b) for a in text for b in text if a < b and sum(x != y for x, y in zip(a, b, strict=True)) == 1)
-
-    of = {k: f"c{c}" for k, c, _ in orders}
-    sets, near = defaultdict(set), defaultdict(set)
-    for k, p, _, _ in lines:
-        sets[int(of[k][1:])].add(p)
-        near[of[k]].add(f"p{p}"), near[f"p{p}"].add(of[k])
-    assert got("absorption") == sorted((i,) for i, s in sets.items() if not any(j != i and u <= s and (len(u) < len(s) or j < i) for j, u in sets.items()))
+    from rungspark.operators.graph import connected_components, reach
 
+    r = random.Random(3)
+    edges, near = [(r.randrange(60), r.randrange(60)) for _ in range(50)] + [(None, 3), (7, 7)], defaultdict(set)
+    for a, b in edges:
+        if a is not None and a != b:
+            near[a].add(b), near[b].add(a)
     depth = {}
     for start in near:
         seen, front = {start: 0}, [start]
         while front:
             front = [n for x in front for n in near[x] if n not in seen and not seen.update({n: seen[x] + 1})]
         depth[start] = seen
-    assert got("connected_components") == sorted((n, min(depth[n])) for n in near)
-    assert got("bfs_reach_depth") == sorted((a, n, d) for a in near if a[0] == "c" for n, d in depth[a].items() if d <= 4)
-
-    lines_of = spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()
-    want = []
-    for g in ("g0", "g1"):
-        p = [tuple(map(float, x.embedding)) for x in lines_of if x.label == g]
-        slope = median((d - b) / (c - a) for a, b in p for c, d in p if a < c)
-        want.append((g, pytest.approx(slope, abs=2e-6), pytest.approx(median(y - slope * x for x, y in p), abs=2e-6)))
-    assert got("theil_sen") == want
-
-    values = defaultdict(list)
-    for _, u, e in events:
-        values[u].append({"purchase": True, "click": False}.get(e))
-    series = lambda v: "OFF" if False in v else "UNKNOWN" if None in v else "ON"
-    parallel = lambda v: "ON" if True in v else "UNKNOWN" if None in v else "OFF"
-    assert got("kleene_eval") == sorted((u, series(v), parallel(v)) for u, v in values.items())
+    df = spark.createDataFrame(edges, "a int, b int")
+    assert {(x.node, x.component) for x in connected_components(df).collect()} == {(n, min(depth[n])) for n in near}
+    both = df.unionByName(df.selectExpr("b AS a", "a AS b"))
+    got = reach(both, spark.createDataFrame([(n,) for n in near], "a int"), 4, "a", "b")
+    assert {tuple(x) for x in got.collect()} == {(a, n, d) for a in near for n, d in depth[a].items() if d <= 4}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_absorption_and_numbers_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rungspark.operators.relational import absorbed, free_numbers, numbered
+
+    r = random.Random(5)
+    sets = {i: sorted({r.randrange(12) for _ in range(r.randrange(1, 7))}) for i in range(60)}
+    held = lambda i, s, all_: any(j != i and set(u) <= set(s) and (len(u) < len(s) or j < i) for j, u in all_.items())
+    for extra in ({}, {70: [], 71: []}):
+        every = sets | extra
+        df = spark.createDataFrame(list(every.items()), "i int, s array<int>")
+        assert {x.i for x in absorbed(df, "i", "s").collect()} == {i for i, s in every.items() if not held(i, s, every)}
+    used, wanted = [r.randrange(-3, 40) for _ in range(25)] + [None], [(i, r.randrange(9)) for i in range(30)]
+    free = [k for k in range(1, 200) if k not in used]
+    df = free_numbers(spark.createDataFrame(wanted, "id int, x int"), spark.createDataFrame([(k,) for k in used], "u int"), "u", [F.col("x"), F.col("id")])
+    assert {x.id: x.u for x in df.collect()} == {i: n for (i, _), n in zip(sorted(wanted, key=lambda w: (w[1], w[0])), free)}
+    none = spark.createDataFrame([], "u int")
+    assert sorted(x.u for x in free_numbers(spark.createDataFrame(wanted, "id int, x int"), none, "u", [F.col("id")]).collect()) == list(range(1, 31))
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(50)], "id int, g int")
+    got = {(x.id): x.nth for x in numbered(rows, ["g"], [F.desc("id")], "nth").collect()}
+    for g in (None, 0, 1, 2):
+        mine = sorted((i for i in range(50) if (None if i % 5 == 0 else i % 3) == g), reverse=True)
+        assert [got[i] for i in mine] == list(range(1, len(mine) + 1))
+    assert numbered(rows.limit(0), ["g"], [F.col("id")], "nth").count() == 0
