@@ -90,6 +90,30 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.copies * c.size AS BIGI
 FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
 """
 
+# Every pair of documents that share a shingle is counted, so this is for small tables. Shingles are lists of words.
+OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)), u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+# Bytes as pairs of hexadecimal digits; every string of 200 bytes is listed, so this is for small tables.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), e AS (SELECT doc_id, j, substr(h, 2000 * j + 1, 2398) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS j FROM d)),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * o + 1, 400)) AS k FROM (SELECT doc_id, 1000 * j + o AS i, o, h FROM (SELECT doc_id, j, h, unnest(range(0, least(greatest(len(h) // 2 - 199, 0), 1000))) AS o FROM e))),
+t AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1), c AS (SELECT doc_id, i FROM s SEMI JOIN t USING (k)),
+m AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM c),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM m) GROUP BY doc_id, g),
+y AS (SELECT x.doc_id, a, b, h, coalesce(lag(b) OVER (PARTITION BY x.doc_id ORDER BY a), 0) AS before FROM x JOIN d USING (doc_id)),
+z AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, (2 * (a - before))::BIGINT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::BIGINT) AS kept FROM y GROUP BY 1)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN z USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,4 +133,4 @@ QUERIES = {
     "op10_collision_ann": op10_collision_ann,
     "pipeline": pipeline,
 }
-ORACLES = {"op9_source_mixing": OP9_SQL}
+ORACLES = {"op6_bucket_refinement": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mixing": OP9_SQL}

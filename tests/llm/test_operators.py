@@ -558,3 +558,19 @@ def test_very_long_texts(spark):
     sizes = {x.doc_id: x.n_tokens for x in ngram.scored(docs.withColumn("train", F.lit(True)), chunk_tokens=50_000).collect()}
     assert sizes == {i: len(words(t)) + 1 for i, t in ((1, long), (2, long[:1_000_000] + " " + other), (3, other))}
     assert {x.doc_id: x.component_id for x in jaccard.classes_of(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("name", ["op6_bucket_refinement", "op8_jaccard_join", "op9_source_mixing"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from rungspark.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    cols = sorted(df.columns)
+    found = con.execute(ORACLES[name])
+    at = [[d[0] for d in found.description].index(c) for c in cols]
+    round_ = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+    assert sorted(round_(r[c] for c in cols) for r in df.collect()) == sorted(round_(x[i] for i in at) for x in found.fetchall())
