@@ -230,3 +230,26 @@ def token_match(expected: Column, observed: Column) -> Column:
     d = F.levenshtein(expected, observed)
     n = F.length(expected)
     return F.when(n <= 2, d == 0).when(n <= 4, d <= 1).otherwise(d / F.greatest(n, F.length(observed), F.lit(1)) <= 0.28)
+
+
+def equivalent(pairs: DataFrame, by: list[str], left: str, right: str, most: int = 16) -> DataFrame:
+    """by, equivalent, counterexample (the least assignment, its bits being the variables in order of name, under which the conditions differ).
+    Conditions are arrays of branches (see logic.holds()); more than `most` variables are an error: assignments are tried one by one."""
+    from ..functions import logic
+
+    names = F.array_sort(F.array_distinct(F.transform(F.flatten(F.concat(left, right)), lambda x: F.regexp_replace(x, "^!", ""))))
+    rows = pairs.withColumn("v__", names)
+    n = F.when(F.size("v__") <= most, F.size("v__")).otherwise(F.raise_error(F.lit(f"more than {most} variables")).cast("int"))
+    tried = rows.withColumn("i__", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)))
+    differ = logic.holds(F.col(left), F.col("v__"), F.col("i__")) != logic.holds(F.col(right), F.col("v__"), F.col("i__"))
+    return tried.groupBy(*by).agg((F.count_if(differ) == 0).alias("equivalent"), F.min(F.when(differ, F.col("i__"))).alias("counterexample"))
+
+
+def best_candidates(found: DataFrame, by: list[str], word: str, score: str, title: str, labelled: str, n: int = 3) -> DataFrame:
+    """by, word, score: the n likeliest words of a page. Half the reading score, 0.3 in the title block, 0.2 if the word is there several times, 0.2
+    beside a label; at most 1, the best occurrence of a word counts; ties go by the word."""
+    often = F.count(F.lit(1)).over(Window.partitionBy(*by, word)) >= 2
+    points = 0.5 * F.col(score) + F.when(F.col(title), 0.3).otherwise(0.0) + F.when(often, 0.2).otherwise(0.0) + F.when(F.col(labelled), 0.2).otherwise(0.0)
+    best = found.withColumn("p__", F.round(F.least(points, F.lit(1.0)), 3)).groupBy(*by, word).agg(F.max("p__").alias("score"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), word))
+    return best.withColumn("nth__", nth).filter(F.col("nth__") <= n).drop("nth__")

@@ -341,3 +341,23 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY top, x, doc_id ROWS UN
 def reading_order(spark, sf):
     w = t(spark, sf, "documents").select((F.col("doc_id") % 50).alias("page"), "doc_id", (F.col("n_chars") % 97).alias("top"), (F.col("n_chars") % 31).alias("x"), F.lit(8.0).alias("height"))
     return S.reading_order(w, ["page"], "top", "x", "height", key="doc_id").select("doc_id", long("nth").alias("nth"))
+
+
+@query("""
+WITH x AS (SELECT p_brand, p_type, round(least(0.5 * (p_size / 50.0) + CASE WHEN p_partkey % 3 = 0 THEN 0.3 ELSE 0 END + CASE WHEN count(*) OVER (PARTITION BY p_brand, p_type) >= 2 THEN 0.2 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 0.2 ELSE 0 END, 1.0)::DOUBLE, 3) AS s FROM part),
+b AS (SELECT p_brand, p_type, max(s) AS score FROM x GROUP BY 1, 2) SELECT p_brand, p_type, score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_type) AS n FROM b) WHERE n <= 3""")
+def sheet_number_candidates(spark, sf):
+    part = t(spark, sf, "part").select("p_brand", "p_type", (F.col("p_size") / 50.0).alias("s"), (F.col("p_partkey") % 3 == 0).alias("title"), (F.col("p_partkey") % 5 == 0).alias("labelled"))
+    return R.best_candidates(part, ["p_brand"], "p_type", "s", "title", "labelled")
+
+
+@query("""
+WITH r AS (SELECT s_suppkey, unnest(range(16)) AS i FROM supplier), v AS (SELECT s_suppkey, i, (i & 1) > 0 AS a, (i & 2) > 0 AS b, (i & 4) > 0 AS c, (i & 8) > 0 AS d FROM r),
+e AS (SELECT s_suppkey, i, ((a AND b AND NOT d) OR (a AND c)) IS DISTINCT FROM CASE s_suppkey % 3 WHEN 0 THEN (c AND a) OR (NOT d AND b AND a) WHEN 1 THEN (a AND b) OR (a AND c AND d) ELSE (a AND b AND NOT d) OR (a AND c) OR (a AND b AND c AND d) END AS differs FROM v)
+SELECT s_suppkey, NOT bool_or(differs) AS equivalent, min(CASE WHEN differs THEN i END) AS counterexample FROM e GROUP BY 1""")
+def equivalent_conditions(spark, sf):
+    """Conditions as branches: a b !d + a c against three others."""
+    tree = lambda *branches: F.array(*[F.array(*[F.lit(x) for x in b.split()]) for b in branches])
+    k = F.col("s_suppkey") % 3
+    other = F.when(k == 0, tree("c a", "!d b a")).when(k == 1, tree("a b", "a c d")).otherwise(tree("a b !d", "a c", "a b c d"))
+    return R.equivalent(t(spark, sf, "supplier").select("s_suppkey", tree("a b !d", "a c").alias("l"), other.alias("r")), ["s_suppkey"], "l", "r")
