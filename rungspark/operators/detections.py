@@ -59,6 +59,11 @@ def suppressed(df: DataFrame, by: list[str], key: str, score: str, cell: float,
     near = near.filter((F.col("iou") >= iou) | (overlap_of_smaller(of("l"), of("r")) >= share))
     rank = lambda s: F.struct((-F.col(f"{s}.{score}")).alias("s"), F.col(f"{s}.{key}").alias("k"))
     pairs = cut_lineage(near.filter(rank("l") < rank("r")).select(*by, F.col(f"l.{key}").alias("better"), F.col(f"r.{key}").alias("worse")).distinct())
+    return left_over(df, by, key, pairs)
+
+
+def left_over(df: DataFrame, by: list[str], key: str, pairs: DataFrame) -> DataFrame:
+    """The rows left when each, from the best on, drops those it is `better` than in pairs (by, better, worse), unless it was dropped itself."""
     gone = None
     while not pairs.isEmpty():
         top = pairs.select(*by, "better").distinct().join(pairs.select(*by, F.col("worse").alias("better")).distinct(), [*by, "better"], "left_anti")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import detections as D
 from . import graph
 from . import spatial as P
 
@@ -206,3 +207,64 @@ def evidence(rows: DataFrame, by: list[str], item: str, n: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(item))
     ranked = rows.select(*by, item).filter(F.col(item).isNotNull()).distinct().withColumn("nth__", nth)
     return ranked.groupBy(*by).agg(F.count(item).alias("total"), F.array_sort(F.collect_list(F.when(F.col("nth__") <= n, F.col(item)))).alias("items"))
+
+
+def accepted_dots(dots: DataFrame, by: list[str], sure: float, least: float, same: float) -> DataFrame:
+    """Dots (dot_id, x, y, score, arms) of score >= sure, and those from `least` on with three arms: the sure ones first, then by score, each
+    drops others within `same` of it."""
+    rows = dots.filter((F.col("score") >= sure) | ((F.col("score") >= least) & (F.col("arms") >= 3)))
+    rank = F.struct((F.col("score") < sure).alias("p"), (-F.col("score")).alias("s"), F.col("dot_id").alias("k"))
+    own = rows.select(*by, "dot_id", "x", "y", rank.alias("rank"), F.floor(F.col("x") / same).alias("gx"), F.floor(F.col("y") / same).alias("gy"))
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    other = own.select(*by, F.col("dot_id").alias("worse"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("rank").alias("lower"), near("gx").alias("gx"), "gy")
+    other = other.withColumn("gy", near("gy"))
+    apart = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2
+    pairs = own.join(other, [*by, "gx", "gy"]).filter((F.col("rank") < F.col("lower")) & (apart <= same * same))
+    return D.left_over(rows, by, "dot_id", graph.cut_lineage(pairs.select(*by, F.col("dot_id").alias("better"), "worse").distinct()))
+
+
+def perpendicular_bridges(ends: DataFrame, wires: DataFrame, terminals: DataFrame, by: list[str], most: float = 80, free: float = 60, near: float = 18) -> DataFrame:
+    """by, end_id, wire_id, gap: the vertical wire (x, y0 <= y1) that a horizontal wire's end (x, y, way: 1 to the right, -1 to the left, true_end) points
+    at, at least gap in (1, most]; one beyond needs a terminal (tx, ty) within `near` of the point it would meet, or a true end and gap <= free."""
+    c = F.col
+    reach = ends.withColumn("gx", F.explode(F.sequence(F.floor(c("ex") / most) - 1, F.floor(c("ex") / most) + 1))).withColumn("gy", F.floor(c("ey") / most))
+    slack = (c("y1") - c("y0")) * 0.02
+    spread = wires.withColumn("gx", F.floor(c("x") / most)).withColumn("gy", F.explode(F.sequence(F.floor((c("y0") - slack) / most), F.floor((c("y1") + slack) / most))))
+    met = reach.join(spread, [*by, "gx", "gy"]).withColumn("gap", (c("x") - c("ex")) * c("way"))
+    met = met.filter((c("gap") > 1) & (c("gap") <= most) & c("ey").between(c("y0") - slack, c("y1") + slack))
+    met = graph.cut_lineage(met.select(*by, "end_id", "wire_id", "gap", "true_end", c("x").alias("px"), c("ey").alias("py")))
+    around = lambda p: F.explode(F.sequence(F.floor(c(p) / near) - 1, F.floor(c(p) / near) + 1))
+    held = met.withColumn("hx", around("px")).withColumn("hy", around("py"))
+    held = held.join(terminals.select(*by, "tx", "ty", F.floor(c("tx") / near).alias("hx"), F.floor(c("ty") / near).alias("hy")), [*by, "hx", "hy"])
+    held = held.filter((c("tx") - c("px")) ** 2 + (c("ty") - c("py")) ** 2 <= near * near).select(*by, "end_id", "wire_id").distinct().withColumn("held", F.lit(True))
+    met = met.join(held, [*by, "end_id", "wire_id"], "left").filter(c("held").isNotNull() | (c("true_end") & (c("gap") <= free)))
+    return met.groupBy(*by, "end_id").agg(F.min(F.struct("gap", "wire_id")).alias("b")).select(*by, "end_id", "b.wire_id", "b.gap")
+
+
+def terminal_links(terminals: DataFrame, wires: DataFrame, nodes: DataFrame, by: list[str], wire_within: float = 10, node_within: float = 28) -> DataFrame:
+    """by, point_id, wire_id, node_id: a terminal's wire (its hint, or the nearest one close enough), else its nearest node.
+    terminals: by, point_id, px, py, hint; wires: by, segment_id, x0, y0, x1, y1; nodes: by, node_id, tx, ty."""
+    wire = D.nearest_segment(terminals.filter("hint IS NULL"), wires, by, wire_within).select(*by, "point_id", F.col("segment_id").alias("near__"))
+    out = terminals.join(wire, [*by, "point_id"], "left").withColumn("wire_id", F.coalesce("hint", "near__"))
+    node = P.nearest(out.filter("wire_id IS NULL"), nodes, by, node_within, "point_id", "node_id").select(*by, "point_id", "node_id")
+    return out.join(node, [*by, "point_id"], "left").select(*by, "point_id", "wire_id", "node_id")
+
+
+def peer_stops(records: DataFrame, stops: DataFrame, by: list[str]) -> DataFrame:
+    """by, record, stop: the first stop of the symbol that a record names as its peer. records: by, record, peer; stops: by, symbol, stop."""
+    first = stops.groupBy(*by, F.col("symbol").alias("peer")).agg(F.min("stop").alias("stop"))
+    return records.join(first, [*by, "peer"]).select(*by, "record", "stop")
+
+
+def merged_terminals(own: DataFrame, found: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Own terminals and, of found ones, those of names that their symbol (by) lacks; origin tells which."""
+    new = found.join(own.select(*by, name).distinct(), [*by, name], "left_anti").dropDuplicates([*by, name])
+    return own.withColumn("origin", F.lit("own")).unionByName(new.withColumn("origin", F.lit("found")), allowMissingColumns=True)
+
+
+def reconciled(listed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_listed, n_stored, status: how often each key occurs in two sources, and whether one lacks it (missing: not stored, extra: not listed)."""
+    of = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = of(listed, "n_listed").join(of(stored, "n_stored"), keys, "full").na.fill(0, ["n_listed", "n_stored"])
+    status = F.when(F.col("n_stored") == 0, "missing").when(F.col("n_listed") == 0, "extra").when(F.col("n_listed") != F.col("n_stored"), "differs").otherwise("same")
+    return both.withColumn("status", status)

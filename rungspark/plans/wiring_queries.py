@@ -221,3 +221,76 @@ SELECT l_suppkey, count(*) AS total, string_agg(l_partkey::VARCHAR, ',' ORDER BY
 def evidence_lists(spark, sf):
     found = W.evidence(t(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey", 20)
     return found.withColumn("items", F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))))
+
+
+_DOTS = """q AS (SELECT label, vec_id, floor(embedding[1]::DOUBLE * 1000) AS x, floor(embedding[2]::DOUBLE * 1000) AS y, floor(embedding[3]::DOUBLE * 1000) AS s, vec_id % 5 AS arms FROM embeddings)"""
+
+
+def _xy(spark, sf, *names: str) -> DataFrame:
+    at = lambda i: F.floor(F.col("embedding")[i].cast("double") * 1000).cast("double")
+    return t(spark, sf, "embeddings").select("label", "vec_id", *[at(i).alias(n) for i, n in enumerate(names)])
+
+
+@query("WITH RECURSIVE " + _DOTS + """, c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s < 50, s DESC, vec_id) AS n FROM q WHERE s >= 50 OR (s >= -50 AND arms >= 3)),
+x AS (SELECT a.label, a.vec_id, list(b.vec_id) AS near FROM c a JOIN c b ON a.label = b.label AND a.vec_id <> b.vec_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1600 GROUP BY 1, 2),
+n AS (SELECT c.label, c.vec_id, c.n, coalesce(near, []) AS near FROM c LEFT JOIN x USING (label, vec_id)),
+k AS (SELECT label, 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS vec_id FROM (SELECT DISTINCT label FROM n)
+  UNION ALL SELECT n.label, n.n, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, n.vec_id) END, CASE WHEN NOT list_has_any(kept, near) THEN n.vec_id END FROM k JOIN n ON n.label = k.label AND n.n = k.n + 1)
+SELECT label, vec_id AS dot_id FROM k WHERE vec_id IS NOT NULL""")
+def accepted_dots(spark, sf):
+    dots = _xy(spark, sf, "x", "y", "score").withColumn("arms", F.col("vec_id") % 5).withColumnRenamed("vec_id", "dot_id")
+    return W.accepted_dots(dots, ["label"], 50.0, -50.0, 40.0).select("label", "dot_id")
+
+
+@query("""
+WITH q AS (SELECT label, vec_id, floor(embedding[1]::DOUBLE * 1000) AS ex, floor(embedding[2]::DOUBLE * 1000) AS ey, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END AS way, vec_id % 3 = 0 AS true_end,
+  floor(embedding[3]::DOUBLE * 1000) AS x, floor(embedding[4]::DOUBLE * 1000) AS a, floor(embedding[5]::DOUBLE * 1000) AS b FROM embeddings),
+m AS (SELECT e.label, e.vec_id AS end_id, w.vec_id AS wire_id, (w.x - e.ex) * e.way AS gap, e.true_end, w.x AS px, e.ey AS py FROM q e JOIN q w ON w.label = e.label
+  WHERE (w.x - e.ex) * e.way > 1 AND (w.x - e.ex) * e.way <= 80 AND e.ey BETWEEN least(w.a, w.b) - (greatest(w.a, w.b) - least(w.a, w.b)) * 0.02 AND greatest(w.a, w.b) + (greatest(w.a, w.b) - least(w.a, w.b)) * 0.02)
+SELECT label, end_id, arg_min(wire_id, (gap, wire_id)) AS wire_id, min(gap) AS gap FROM m
+WHERE (true_end AND gap <= 60) OR EXISTS (SELECT 1 FROM q t WHERE t.label = m.label AND (t.x - px) ** 2 + (t.a - py) ** 2 <= 324) GROUP BY 1, 2""")
+def perpendicular_bridges(spark, sf):
+    x = _xy(spark, sf, "ex", "ey", "x", "a", "b")
+    ends = x.select("label", F.col("vec_id").alias("end_id"), "ex", "ey", F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1).alias("way"), (F.col("vec_id") % 3 == 0).alias("true_end"))
+    wires = x.select("label", F.col("vec_id").alias("wire_id"), "x", F.least("a", "b").alias("y0"), F.greatest("a", "b").alias("y1"))
+    return W.perpendicular_bridges(ends, wires, x.select("label", F.col("x").alias("tx"), F.col("a").alias("ty")), ["label"])
+
+
+@query("""
+WITH q AS (SELECT label, vec_id, floor(embedding[1]::DOUBLE * 1000) AS px, floor(embedding[2]::DOUBLE * 1000) AS py, floor(embedding[3]::DOUBLE * 1000) AS x0, floor(embedding[4]::DOUBLE * 1000) AS y0, floor(embedding[5]::DOUBLE * 1000) AS x1, floor(embedding[6]::DOUBLE * 1000) AS tx FROM embeddings),
+d AS (SELECT p.label, p.vec_id, w.vec_id AS wire, sqrt((p.px - least(greatest(p.px, least(w.x0, w.x1)), greatest(w.x0, w.x1))) ** 2 + (p.py - w.y0) ** 2) AS d FROM q p JOIN q w ON w.label = p.label WHERE p.vec_id % 4 <> 0),
+w AS (SELECT label, vec_id, arg_min(wire, (d, wire)) AS wire FROM d WHERE d <= 10 GROUP BY 1, 2),
+l AS (SELECT q.label, q.vec_id, px, py, CASE WHEN q.vec_id % 4 = 0 THEN q.vec_id + 1 ELSE wire END AS wire FROM q LEFT JOIN w USING (label, vec_id)),
+n AS (SELECT l.label, l.vec_id, arg_min(q.vec_id, (sqrt((q.tx - l.px) ** 2 + (q.y0 - l.py) ** 2), q.vec_id)) AS node FROM l JOIN q ON q.label = l.label AND sqrt((q.tx - l.px) ** 2 + (q.y0 - l.py) ** 2) <= 28 WHERE wire IS NULL GROUP BY 1, 2)
+SELECT label, vec_id AS point_id, wire AS wire_id, node AS node_id FROM l LEFT JOIN n USING (label, vec_id)""")
+def terminal_links(spark, sf):
+    x = _xy(spark, sf, "px", "py", "x0", "y0", "x1", "tx")
+    points = x.select("label", F.col("vec_id").alias("point_id"), "px", "py", F.when(F.col("vec_id") % 4 == 0, F.col("vec_id") + 1).alias("hint"))
+    wires = x.select("label", F.col("vec_id").alias("segment_id"), "x0", "y0", "x1", F.col("y0").alias("y1"))
+    return W.terminal_links(points, wires, x.select("label", F.col("vec_id").alias("node_id"), "tx", F.col("y0").alias("ty")), ["label"])
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, l_suppkey % 5 AS peer, min(l_partkey) AS stop FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber AS record, stop FROM lineitem JOIN f USING (l_orderkey) WHERE peer = l_partkey % 5""")
+def peer_stops(spark, sf):
+    x, c = t(spark, sf, "lineitem"), F.col
+    stops = x.select("l_orderkey", (c("l_suppkey") % 5).alias("symbol"), c("l_partkey").alias("stop"))
+    return W.peer_stops(x.select("l_orderkey", c("l_linenumber").alias("record"), (c("l_partkey") % 5).alias("peer")), stops, ["l_orderkey"])
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, l_suppkey % 9 AS name FROM lineitem WHERE l_linestatus = 'O'), f AS (SELECT DISTINCT l_orderkey, l_partkey % 9 AS name FROM lineitem WHERE l_linestatus = 'F')
+SELECT *, 'own' AS origin FROM o UNION ALL SELECT *, 'found' FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.l_orderkey = f.l_orderkey AND o.name = f.name)""")
+def merged_terminals(spark, sf):
+    x, c = t(spark, sf, "lineitem"), F.col
+    own, found = x.filter("l_linestatus = 'O'").select("l_orderkey", (c("l_suppkey") % 9).alias("name")), x.filter("l_linestatus = 'F'").select("l_orderkey", (c("l_partkey") % 9).alias("name"))
+    return W.merged_terminals(own, found, ["l_orderkey"], "name")
+
+
+@query("""
+WITH a AS (SELECT l_partkey AS k, l_suppkey % 7 AS s, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT l_partkey AS k, l_suppkey % 7 AS s, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT k, s, coalesce(a.n, 0) AS n_listed, coalesce(b.n, 0) AS n_stored, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' WHEN a.n <> b.n THEN 'differs' ELSE 'same' END AS status FROM a FULL JOIN b USING (k, s)""")
+def reconciled_sources(spark, sf):
+    x = lambda flag: t(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 7).alias("s"))
+    return W.reconciled(x("A"), x("R"), ["k", "s"])
