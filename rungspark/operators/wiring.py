@@ -268,3 +268,16 @@ def reconciled(listed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
     both = of(listed, "n_listed").join(of(stored, "n_stored"), keys, "full").na.fill(0, ["n_listed", "n_stored"])
     status = F.when(F.col("n_stored") == 0, "missing").when(F.col("n_listed") == 0, "extra").when(F.col("n_listed") != F.col("n_stored"), "differs").otherwise("same")
     return both.withColumn("status", status)
+
+
+def grid_positions(points: DataFrame, grids: DataFrame, by: list[str]) -> DataFrame:
+    """Points (by, x, y) with their column u and row v in the drawing's grid, both fractional; points of pages without a grid are left out.
+    grids: by, col_at, col_step (x of column 0, width of one), sides: one or two structs (x, at, step) of the rows as written down the
+    left and the right; between two sides the rows' place and height change in proportion, beyond them they stay."""
+    c = F.col
+    both = points.join(grids, by).withColumn("s__", F.array_sort("sides"))
+    part = lambda i, k: F.get(F.col("s__"), F.lit(i))[k]
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(c("x") - part(0, "x"), part(1, "x") - part(0, "x")), F.lit(0.0))))
+    at = lambda k: part(0, k) + share * (F.coalesce(part(1, k), part(0, k)) - part(0, k))
+    out = both.withColumns({"u": F.try_divide(c("x") - c("col_at"), c("col_step")), "v": F.try_divide(c("y") - at("at"), at("step"))})
+    return out.select(*points.columns, "u", "v")

@@ -294,3 +294,19 @@ SELECT k, s, coalesce(a.n, 0) AS n_listed, coalesce(b.n, 0) AS n_stored, CASE WH
 def reconciled_sources(spark, sf):
     x = lambda flag: t(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 7).alias("s"))
     return W.reconciled(x("A"), x("R"), ["k", "s"])
+
+
+@query("""
+WITH g AS (SELECT n_nationkey, n_nationkey / 4 AS ca, 10 + n_nationkey / 2 AS cb, n_nationkey % 2 = 0 AS two FROM nation),
+p AS (SELECT DISTINCT l_suppkey % 25 AS n_nationkey, l_quantity * 4 AS x, l_linenumber * 8.0 AS y FROM lineitem),
+s AS (SELECT *, CASE WHEN two THEN least(1, greatest(0, (x - 20) / 160)) ELSE 0 END AS t FROM p JOIN g USING (n_nationkey))
+SELECT n_nationkey, x, y, round((x - ca) / cb, 9) AS u, round((y - (1 + t * 2)) / (4 + t), 9) AS v FROM s""")
+def grid_positions(spark, sf):
+    c = F.col
+    side = lambda x, at, step: F.struct(F.lit(x).alias("x"), F.lit(at).alias("at"), F.lit(step).alias("step"))
+    left, right = side(20.0, 1.0, 4.0), side(180.0, 3.0, 5.0)
+    sides = F.when(c("n_nationkey") % 2 == 0, F.array(right, left)).otherwise(F.array(left))
+    grids = t(spark, sf, "nation").select("n_nationkey", (c("n_nationkey") / 4).alias("col_at"), (c("n_nationkey") / 2 + 10).alias("col_step"), sides.alias("sides"))
+    points = t(spark, sf, "lineitem").select((c("l_suppkey") % 25).alias("n_nationkey"), (c("l_quantity") * 4).alias("x"), (c("l_linenumber") * 8.0).alias("y")).distinct()
+    found = W.grid_positions(points, grids, ["n_nationkey"])
+    return found.withColumns({"u": F.round("u", 9), "v": F.round("v", 9)})

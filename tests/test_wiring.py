@@ -90,3 +90,33 @@ def test_small_functions(spark):
     assert {(x.dot_id, x.direction, x.other_id) for x in W.next_ahead(dots, ["page"], 5, 100).collect()} == {(1, "right", 3), (3, "left", 1), (3, "right", 2), (2, "left", 3)}
     nothing = W.evidence(dots.select("page", F.lit(None).cast("int").alias("i")), ["page"], "i", 3)
     assert nothing.count() == 0
+
+
+def test_dots_drop_weaker_ones_in_order(spark):
+    r = random.Random(4)
+    rows = [(i % 3, i, float(r.randrange(60)), float(r.randrange(60)), r.randrange(10) / 10, r.randrange(5)) for i in range(90)]
+    want = set()
+    for page in range(3):
+        kept = []
+        mine = [x for x in rows if x[0] == page and (x[4] >= 0.6 or (x[4] >= 0.3 and x[5] >= 3))]
+        for x in sorted(mine, key=lambda x: (x[4] < 0.6, -x[4], x[1])):
+            if all((x[2] - k[2]) ** 2 + (x[3] - k[3]) ** 2 > 81 for k in kept):
+                kept.append(x)
+        want |= {x[1] for x in kept}
+    df = spark.createDataFrame([*rows, (0, 500, None, 1.0, 0.9, 4)], "page int, dot_id int, x double, y double, score double, arms int")
+    assert {x.dot_id for x in W.accepted_dots(df, ["page"], 0.6, 0.3, 9.0).collect()} == want | {500}
+    assert W.accepted_dots(df.limit(0), ["page"], 0.6, 0.3, 9.0).count() == 0
+
+
+def test_bridges_links_and_merges(spark):
+    ends = spark.createDataFrame([(1, 1, 0.0, 5.0, 1, True), (1, 2, 0.0, 5.0, -1, True), (1, 3, 0.0, 5.0, 1, False), (1, 4, 9.5, 5.0, 1, True), (1, 5, -60.0, 5.0, 1, True)], "page int, end_id int, ex double, ey double, way int, true_end boolean")
+    wires = spark.createDataFrame([(1, 7, 10.0, 0.0, 50.0), (1, 8, 40.0, 0.0, 50.0)], "page int, wire_id int, x double, y0 double, y1 double")
+    terminals = spark.createDataFrame([(1, 45.0, 8.0)], "page int, tx double, ty double")
+    got = {tuple(x) for x in W.perpendicular_bridges(ends, wires, terminals, ["page"]).collect()}
+    assert got == {(1, 1, 7, 10.0), (1, 3, 8, 40.0), (1, 4, 8, 30.5)}
+    assert W.perpendicular_bridges(ends.limit(0), wires, terminals, ["page"]).count() == 0
+    own = spark.createDataFrame([(1, "A", "x"), (1, None, "y")], "s int, name string, extra string")
+    new = spark.createDataFrame([(1, "A"), (1, "B"), (1, "B"), (2, "A")], "s int, name string")
+    assert {tuple(x) for x in W.merged_terminals(own, new, ["s"], "name").collect()} == {(1, "A", "x", "own"), (1, None, "y", "own"), (1, "B", None, "found"), (2, "A", None, "found")}
+    assert {tuple(x) for x in W.reconciled(new, new.filter("s = 1 AND name = 'B'").limit(1).union(spark.createDataFrame([(9, "Z")], "s int, name string")), ["s", "name"]).collect()} == {
+        (1, "A", 1, 0, "missing"), (1, "B", 2, 1, "differs"), (2, "A", 1, 0, "missing"), (9, "Z", 0, 1, "extra")}
