@@ -53,7 +53,7 @@ class Codebooks:
 
     def integers(self, xs: pd.Series) -> np.ndarray:
         """vectors x parts x width; huge components become the bound."""
-        most = isqrt(2**62 // self.length) // 2
+        most = isqrt(2**62 // max(self.length, 1)) // 2
         parts, _, width = self.entries.shape
         with np.errstate(over="ignore"):
             whole = np.clip(np.floor(np.array(xs.tolist(), np.float64).reshape(len(xs), self.length) * self.scale), -most, most).astype(np.int64)
