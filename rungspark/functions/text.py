@@ -62,16 +62,28 @@ def table_numbers(terminal: Column, contact: Column) -> Column:
     return F.when(usable, used).otherwise(F.array().cast("array<string>"))
 
 
+# Labels of these are no tags, whatever sheet they name. The first three are looked for in the label without spaces, equipment in its words too.
+BREAKER = "MCCB|NFB|ELB|ACB|VCB|遮断器|ブレーカ"
+CARD = r"D[I1L|][O0]-?\d|D[O0]T-?\d|-C[I1L|][RF]-?\d|-C\d[RF]\d"
+TERMINAL_UNIT = r"RCVTB|TB\(\d"
+EQUIPMENT = r"^\d?R[A-Z]{2,}|\bL[O0]C\b|\bLN[Z2]\b|\bLMZ\b|\dR\s?P/C|盤|装置|ユニット"
+# What is no identifier on a tag, and what stands between those.
+PARTICLES, BETWEEN = "へ|より|ヘ", r"[\s()（）、,/]+"
+
+
 def tag_target(class_key: Column, label: Column) -> Column:
-    """The sheet that a tag (class `other`) names: in parentheses or alone; null if it names none."""
-    found = F.regexp_extract(compact(label), f"({SHEET})", 1)
-    return F.when(class_key == "other", F.nullif(found, F.lit("")))
+    """The sheet that a tag (class `other`) names: in parentheses or alone; null if it names none, and for breakers, cards, terminal units and equipment."""
+    tight = compact(label)
+    words = F.split(squeezed(F.coalesce(label, F.lit(""))), " ")
+    device = tight.rlike(f"{BREAKER}|{CARD}|{TERMINAL_UNIT}") | tight.rlike(EQUIPMENT) | F.exists(words, lambda w: w.rlike(EQUIPMENT))
+    found = F.regexp_extract(tight, f"({SHEET})", 1)
+    return F.when((class_key == "other") & ~device, F.nullif(found, F.lit("")))
 
 
 def identifiers(label: Column, target: Column) -> Column:
     """The other words of a tag's label, distinct: without the sheet it names, particles, punctuation and lone dashes."""
     rest = F.replace(squeezed(F.coalesce(label, F.lit(""))), F.coalesce(F.nullif(target, F.lit("")), F.lit("\x01")), F.lit(" "))
-    words = F.split(F.regexp_replace(rest, "へ|より|ヘ", " "), r"[\s()（）、,/]+")
+    words = F.split(F.regexp_replace(rest, PARTICLES, " "), BETWEEN)
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & (w != "-"))))
 
 
@@ -82,6 +94,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.translate(text, wide, narrow)), r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
+
+
 @F.pandas_udf(StringType())
 def normalised(text: pd.Series) -> pd.Series:
     """squeezed() after full NFKC normalisation."""

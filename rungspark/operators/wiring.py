@@ -53,14 +53,16 @@ def table_matches(rows: DataFrame, contacts: DataFrame, by: list[str]) -> DataFr
 
 
 def decided(items: DataFrame, cues: DataFrame, by: list[str], strong: list[str], class_col: str = "class_key") -> DataFrame:
-    """Items with the class that their cues (by, source, suggests) agree on, and whether that is confirmed: all agree, from two sources or a strong one."""
+    """Items with status `confirmed` if all their cues (by, source, suggests) agree, from two sources or with a strong one, and then with the class they
+    suggest; else `review_required` with the class they have."""
     votes = cues.groupBy(*by).agg(
         F.count_distinct("suggests").alias("n__"), F.count_distinct("source").alias("from__"), F.min("suggests").alias("one__"), F.max(F.col("source").isin(*strong)).alias("strong__")
     )
     agreed = F.coalesce(F.col("n__") == 1, F.lit(False))
     sure = agreed & ((F.col("from__") >= 2) | F.col("strong__"))
-    out = items.join(votes, by, "left").withColumn(class_col, F.when(agreed, F.col("one__")).otherwise(F.col(class_col)))
-    return out.withColumn("status", F.when(sure, "confirmed").otherwise("review_required")).drop("n__", "from__", "one__", "strong__")
+    out = items.join(votes, by, "left").withColumn("sure__", F.coalesce(sure, F.lit(False)))
+    out = out.withColumn(class_col, F.when(F.col("sure__"), F.col("one__")).otherwise(F.col(class_col)))
+    return out.withColumn("status", F.when(F.col("sure__"), "confirmed").otherwise("review_required")).drop("n__", "from__", "one__", "strong__", "sure__")
 
 
 def dot_role(vertical: Column, text_beside_vertical: Column, horizontal: Column, text_beside_horizontal: Column, arms: Column) -> Column:

@@ -175,7 +175,7 @@ def terminals_on_longer_axis(spark, sf):
 # --- drawing sets: pages are orders, their sheets from customers, references from lines -----------------------------------
 
 _DRAWINGS = """p AS (SELECT o_orderkey AS page_id, 'D' || o_orderkey AS name, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'AB' || lpad((10000 + o_orderkey % 9000)::VARCHAR, 5, '0') || CASE WHEN o_orderkey % 4 = 0 THEN '-2' ELSE '' END END AS sheet FROM orders),
-r AS (SELECT l_orderkey AS page_id, 'AB' || lpad((10000 + l_partkey)::VARCHAR, 5, '0') || CASE WHEN l_linenumber % 3 = 0 THEN '-1' ELSE '' END AS target FROM lineitem WHERE l_quantity >= 45),
+r AS (SELECT l_orderkey AS page_id, 'AB' || lpad((10000 + l_partkey)::VARCHAR, 5, '0') || CASE WHEN l_linenumber % 3 = 0 THEN '-1' ELSE '' END AS target FROM lineitem),
 m AS (SELECT o_custkey % 200 AS set_id, o_orderkey AS page_id FROM orders), own AS (SELECT DISTINCT set_id, split_part(sheet, '-', 1) AS sheet FROM m JOIN p USING (page_id) WHERE sheet IS NOT NULL),
 lacks AS (SELECT set_id, page_id, split_part(target, '-', 1) AS sheet FROM m JOIN r USING (page_id) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.set_id = m.set_id AND own.sheet = split_part(target, '-', 1)))"""
 
@@ -186,7 +186,7 @@ def _drawings(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     number = lambda x: F.concat(F.lit("AB"), F.lpad(x.cast("string"), 5, "0"))
     sheet = F.concat(number(10000 + c("o_orderkey") % 9000), F.when(c("o_orderkey") % 4 == 0, "-2").otherwise(""))
     pages = orders.select(c("o_orderkey").alias("page_id"), F.concat(F.lit("D"), c("o_orderkey").cast("string")).alias("name"), F.when(c("o_orderkey") % 11 != 0, sheet).alias("sheet"))
-    references = t(spark, sf, "lineitem").filter("l_quantity >= 45").select(c("l_orderkey").alias("page_id"), F.concat(number(10000 + c("l_partkey")), F.when(c("l_linenumber") % 3 == 0, "-1").otherwise("")).alias("target"))
+    references = t(spark, sf, "lineitem").select(c("l_orderkey").alias("page_id"), F.concat(number(10000 + c("l_partkey")), F.when(c("l_linenumber") % 3 == 0, "-1").otherwise("")).alias("target"))
     return orders.select((c("o_custkey") % 200).alias("set_id"), c("o_orderkey").alias("page_id")), pages, references
 
 
@@ -295,13 +295,18 @@ def contact_numbers(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(text.table_numbers(terminal, contact), ",").alias("numbers"))
 
 
-@query("""
-WITH x AS (SELECT p_partkey, 'AB' || lpad(p_partkey::VARCHAR, 5, '0') AS s, upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b, p_size % 3 AS k FROM part)
-SELECT p_partkey, CASE WHEN k <> 2 THEN s END AS target, CASE WHEN k <> 2 THEN array_to_string(list_sort(list_distinct(list_filter([a, b], lambda w: w <> ''))), ',') ELSE array_to_string(list_sort(list_distinct(list_filter([a, b, s], lambda w: w <> ''))), ',') END AS idents FROM x""")
+@query(r"""
+WITH x AS (SELECT p_partkey, 'AB' || lpad(p_partkey::VARCHAR, 5, '0') AS s, CASE p_size % 11 WHEN 3 THEN 'MCCB ' WHEN 4 THEN 'DIO-3 ' WHEN 5 THEN 'TB(2) ' WHEN 6 THEN '3RPC ' ELSE '' END AS dev, p_name, p_size % 3 AS k FROM part),
+y AS (SELECT *, CASE WHEN k <> 2 AND dev = '' AND NOT regexp_matches(upper(p_name), '(^| )\d?R[A-Z]{2,}') AND NOT regexp_matches(upper(p_name), '\b(LOC|LNZ|LMZ)\b') THEN s END AS target, upper(dev || p_name) AS words FROM x),
+z AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(words || ' ' || CASE WHEN target IS NULL THEN s ELSE '' END, '[ ()]+')), lambda w: w <> '') AS w FROM y)
+SELECT p_partkey, target, array_to_string(list_sort(w), ',') AS idents FROM z""")
 def sheet_tags(spark, sf):
-    part, k = t(spark, sf, "part"), F.col("p_size") % 3
-    sheet = F.concat(F.lit("AB"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
-    label = F.when(k == 0, F.concat("p_name", F.lit(" ("), sheet, F.lit(")"))).otherwise(F.concat("p_name", F.lit(" - "), sheet, F.lit("へ")))
+    """Parts as labels of tags, some with a device's name before."""
+    c, part, k = F.col, t(spark, sf, "part"), F.col("p_size") % 3
+    sheet = F.concat(F.lit("AB"), F.lpad(c("p_partkey").cast("string"), 5, "0"))
+    device = F.try_element_at(F.create_map(*[F.lit(x) for kv in {3: "MCCB ", 4: "DIO-3 ", 5: "TB(2) ", 6: "3RPC "}.items() for x in kv]), (c("p_size") % 11).cast("int"))
+    name = F.concat(F.coalesce(device, F.lit("")), c("p_name"))
+    label = F.when(k == 0, F.concat(name, F.lit(" ("), sheet, F.lit(")"))).otherwise(F.concat(name, F.lit(" - "), sheet, F.lit("へ")))
     rows = part.select("p_partkey", F.when(k == 2, "coil").otherwise("other").alias("class_key"), label.alias("label"))
-    target = text.tag_target(F.col("class_key"), F.col("label"))
-    return rows.select("p_partkey", target.alias("target"), F.array_join(text.identifiers(F.col("label"), target), ",").alias("idents"))
+    target = text.tag_target(c("class_key"), c("label"))
+    return rows.select("p_partkey", target.alias("target"), F.array_join(text.identifiers(c("label"), target), ",").alias("idents"))

@@ -84,7 +84,7 @@ def image_pages(spark, sf):
     return A.image_pages(images, pages)
 
 
-_ATTRIBUTES = """o AS (SELECT o_orderkey AS page_id, 'X' || o_custkey AS sheet FROM orders WHERE o_custkey % 10 < 3), s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY sheet) > 1 THEN sheet || '#' || page_id ELSE sheet END AS name FROM o),
+_ATTRIBUTES = """o AS (SELECT o_orderkey AS page_id, 'X' || o_custkey AS sheet FROM orders), s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY sheet) > 1 THEN sheet || '#' || page_id ELSE sheet END AS name FROM o),
 a AS (SELECT DISTINCT name || '/R' || l_linenumber AS object_id, page_id, l_linenumber FROM lineitem JOIN s ON page_id = l_orderkey)"""
 
 
@@ -95,7 +95,7 @@ def attribute_ids(spark, sf):
 
 def _attributes(spark, sf) -> DataFrame:
     """Objects are the line numbers of orders, rated by it; sheets are customers."""
-    orders = t(spark, sf, "orders").filter("o_custkey % 10 < 3")
+    orders = t(spark, sf, "orders")
     sheets = orders.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("X"), F.col("o_custkey").cast("string")).alias("sheet"))
     lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), "l_linenumber").distinct()
     objects = lines.select("page_id", F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("ref"), F.create_map(F.lit("rating"), F.col("l_linenumber").cast("string"), F.lit("kind"), F.lit("relay")).alias("attributes"))
@@ -170,9 +170,9 @@ def first_terminals(spark, sf):
     return A.first_reached(e.filter("b IS NOT NULL").select("a", "b"), stops, stops, e.select(F.col("a").alias("node")), 256)
 
 
-@query("""SELECT s_suppkey AS load, coalesce((SELECT string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50), '') AS sources FROM supplier""")
+@query("""SELECT s_suppkey AS load, coalesce((SELECT string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FROM lineitem WHERE l_suppkey = s_suppkey), '') AS sources FROM supplier""")
 def upstream_one_hop(spark, sf):
-    edges = t(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_linenumber").cast("string").alias("n"), "l_suppkey")
+    edges = t(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("n"), "l_suppkey")
     return A.upstream(edges, t(spark, sf, "supplier").select("s_suppkey"), "n", "l_suppkey").withColumn("sources", F.array_join("sources", ","))
 
 

@@ -49,7 +49,7 @@ def relay_table_matches(spark, sf):
 
 @query("""
 WITH c AS (SELECT l_orderkey, count(DISTINCT l_linestatus) AS n, count(DISTINCT l_linenumber % 3) AS m, min(l_linestatus) AS one, bool_or(l_linenumber % 3 = 2) AS strong FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
-SELECT o_orderkey, CASE WHEN n = 1 THEN one ELSE o_orderstatus END AS class_key, CASE WHEN n = 1 AND (m >= 2 OR strong) THEN 'confirmed' ELSE 'review_required' END AS status FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""")
+SELECT o_orderkey, CASE WHEN n = 1 AND (m >= 2 OR strong) THEN one ELSE o_orderstatus END AS class_key, CASE WHEN n = 1 AND (m >= 2 OR strong) THEN 'confirmed' ELSE 'review_required' END AS status FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""")
 def class_by_cues(spark, sf):
     cues = t(spark, sf, "lineitem").filter("l_returnflag <> 'N'").select(
         F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") % 3).cast("string").alias("source"), F.col("l_linestatus").alias("suggests"))
