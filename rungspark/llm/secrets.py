@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+FEW_FINDINGS = 100_000  # up to which they are broadcast: some 5 MB
 LEDGER = "blob string, rules array<string>, found array<struct<rule:string,start:int,stop:int>>"
 
 
@@ -144,6 +145,9 @@ def joined_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     found = found.groupBy(F.col("blob").alias("at_blob")).agg(
         F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), order[F.col("f.rule")]["nth"].alias("nth"), F.col("f.stop").alias("stop"), order[F.col("f.rule")]["kind"].alias("kind")))).alias("at_found")
     )
+    # Stored, so that both sides of the join are read in for it and a blob with very many paths can be split; few findings are sent to every task.
+    found = stored(found, "blob-findings")
+    found = F.broadcast(found) if (found.agg(F.sum(F.size("at_found"))).first()[0] or 0) <= FEW_FINDINGS else found
     spans = F.transform(F.coalesce("at_found", F.array().cast("array<struct<start:int,nth:int,stop:int,kind:string>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["nth"].alias("nth")))
     name = "blob_name"
     while name in versions.columns:
