@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Vectors are dealt into blocks of bounded size. A block's index holds, for each of a number of directions, the block's
+Vectors are dealt into blocks of bounded size, each of vectors whose lengths differ by a factor of two at most. A block's index holds, for each of a number of directions, the block's
 projections as one sorted array. The directions are random orthonormal bases, so that collisions in all of a basis speak of the whole
 distance. A query looks at a window around its own projection in every array; the windows widen step by step (virtual
 rehashing: a wider window is a coarser bucket centred on the query) and a vector counts one collision for each array in whose
 window it lies. Vectors that reach the collision threshold are verified with their exact inner products; widening stops once a
 block has given `wanted` of its vectors, or `least` * k in small blocks. Largest inner products become nearest points by
-the usual extra coordinate sqrt(M^2 - |x|^2), M being the block's largest norm, which queries have as 0.
+the usual extra coordinate sqrt(M^2 - |x|^2), M being the block's largest norm, which queries have as 0. As a block's lengths are alike, a few very long
+vectors elsewhere do not drown the rest in that coordinate. An index works on components divided by the block's largest, queries by their length, so
+that no size of numbers overflows; scores are of the vectors as they are.
 
 All rows are indexed and every block is searched. Measured recall: see the tests and README.
 
 Defined results: vectors that are null, zero, of another length than most (the longest of several such lengths), or hold null or
-non-finite components take no part; ties go to the smaller id; repeated ids are separate candidates except for the query's own id;
+non-finite components take no part; a score beyond the range of doubles is infinite, one that is no number comes last; ties go to the smaller id; repeated ids are separate candidates except for the query's own id;
 rows with a null id are neither queries nor candidates; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASES = 2  # orthonormal bases of directions
@@ -44,6 +46,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     )
 
 
+def length_class(x: Column) -> Column:
+    """The power of two below a vector's length."""
+    largest = F.array_max(F.transform(x, lambda v: F.abs(v)))
+    rest = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest))
+    return F.floor(F.log2(largest) + F.log2(rest) / 2).cast("int")
+
+
 def _matrix(xs: pd.Series) -> np.ndarray:
     return np.array(xs.tolist(), dtype=np.float64).reshape(len(xs), -1)
 
@@ -53,8 +62,10 @@ class BlockIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, bases: int, seed: int):
         self.ids, self.x, self.verified = ids, x, 0
-        norms = np.einsum("ij,ij->i", x, x)
-        lifted = np.hstack([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]])
+        scaled = x / np.abs(x).max()
+        norms = np.einsum("ij,ij->i", scaled, scaled)
+        self.longest = float(np.sqrt(norms.max()))
+        lifted = np.hstack([scaled, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]])
         draw = np.random.default_rng(seed)
         self.dirs = np.hstack([np.linalg.qr(draw.standard_normal((lifted.shape[1],) * 2))[0] for _ in range(bases)])
         p = (lifted @ self.dirs).T
@@ -66,8 +77,10 @@ class BlockIndex:
         """For each query: its number, the places of its k nearest verified vectors, their inner products."""
         n, m = len(self.ids), len(self.sorted)
         least, need = int(np.ceil(threshold * m)), min(n, max(LEAST * k, int(np.ceil(wanted * n))))
-        scale = np.sqrt((self.x**2).sum(1).max() / np.maximum((q**2).sum(1), 1e-300))  # a query's length is free: its order of inner products stays
-        qp = ((q * scale[:, None]) @ self.dirs[:-1]).T
+        # A query's length is free, its order of inner products stays: it is made that of the longest vector.
+        shape = q / np.abs(q).max(axis=1, keepdims=True)
+        shape *= self.longest / np.sqrt((shape**2).sum(1, keepdims=True))
+        qp = (shape @ self.dirs[:-1]).T
         rungs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def windows(rung: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +105,8 @@ class BlockIndex:
                     break
                 rung += 1
             self.verified += len(found)
-            score = self.x[found] @ q[i]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = self.x[found] @ q[i]
             keep = self.ids[found] != own[i]
             found, score = found[keep], score[keep]
             best = np.lexsort((self.ids[found], -score))[:k]
@@ -102,17 +116,27 @@ class BlockIndex:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, bases: int = BASES, threshold: float = THRESHOLD, wanted: float = WANTED, widen: float = WIDEN, seed: int = SEED) -> DataFrame:
     """vectors, queries: id, x (see usable()). query_id, rank, vec_id, score of the k nearest found."""
     spark = vectors.sparkSession
-    # Two counts and the usual length: single numbers that size the blocks.
+    # The usual length and the counts of the classes of length: numbers that size the blocks. Doubles have some 2,100 such classes, not more.
     sizes = vectors.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.max(F.struct("n", "dim")).alias("m"), F.sum("n").alias("n")).first()
-    n, dim, nq = most.n or 0, most.m.dim if most.m else 0, queries.count()
-    blocks = max(1, -(-n // block))
+    most = sizes.agg(F.max(F.struct("n", "dim")).alias("m")).first().m
+    dim, nq = most.dim if most else 0, queries.count()
+    counts = vectors.filter(F.size("x") == F.lit(dim)).groupBy(length_class(F.col("x")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    places, blocks = [], 0
+    for row in sorted(counts, key=lambda r: r.c):
+        parts = -(-row.n // block)
+        places.append((row.c, blocks, parts))
+        blocks += parts
+    blocks = max(blocks, 1)
     # The queries are dealt too: into as many groups as keep all cores busy, and at most QUERIES in one.
     groups = max(1, min(nq, max(-(-nq // QUERIES), -(-spark.sparkContext.defaultParallelism * 2 // blocks))))
-    dealt = lambda df, parts, name: df.filter(F.size("x") == F.lit(dim)).withColumn(name, F.pmod(F.xxhash64("id", "x", F.lit(seed)), F.lit(parts)))
+    mixed = F.xxhash64("id", "x", F.lit(seed))
+    usual = lambda df: df.filter(F.size("x") == F.lit(dim))
+    table = F.broadcast(spark.createDataFrame(places, "c int, first int, parts int"))
+    placed = usual(vectors).withColumn("c", length_class(F.col("x"))).join(table, "c").withColumn("b", F.col("first") + F.pmod(mixed, F.col("parts"))).drop("c", "first", "parts")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
     # Each group of queries goes to each block of vectors: the stated query set against all rows, block by block.
-    left, right = dealt(vectors, blocks, "b").withColumn("g", every(groups)), dealt(queries, groups, "g").withColumn("b", every(blocks))
+    asked = queries.select(F.col("id").alias("id"), F.col("x").alias("x"))  # names of its own, as queries are mostly rows of vectors
+    left, right = placed.withColumn("g", every(groups)), usual(asked).withColumn("g", F.pmod(mixed, F.lit(groups))).withColumn("b", every(blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = {"query_id": [], "vec_id": [], "score": []}
