@@ -3,7 +3,8 @@
 A text is split into pre-tokens (the tokenizer's own pattern); leaves of `LEAF` pre-tokens hold their length in characters and
 their number of tokens, and a segment tree over the leaves holds the sums. An edit replaces a range of characters. Only
 pre-tokens from the last boundary that the edit cannot have moved (one character of context before it) to the first old
-boundary that the new text meets again are encoded anew; their leaves take them over and the sums above are updated.
+boundary that the new text meets again can differ. Leaves keep sums, so the leaves that hold these pre-tokens are walked through as a whole; what is then in
+them is cut into leaves of `LEAF` again, however much was inserted, and the sums above are updated. `chars_encoded` is all that was walked through.
 
 Defined results: null and empty texts have no tokens and one empty leaf; edits apply one after the other to the text as it is by
 then, their ranges are clipped to it, and a null insert inserts nothing; a null list of edits changes nothing; repeated rows
@@ -13,7 +14,6 @@ are counted alike; further columns are ignored; white space and very long words
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +78,15 @@ class Tree:
             i >>= 1
             self._add(i)
 
+    def splice(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Puts other leaves in the place of the leaves first to last: as many as these, and only the sums above them change."""
+        if len(chars) == last - first + 1:
+            for i, (c, n) in enumerate(zip(chars, tokens, strict=True)):
+                self.put(first + i, c, n)
+            return
+        mine, counts = self.leaves()
+        self.__init__(mine[:first] + chars + mine[last + 1 :], counts[:first] + tokens + counts[last + 1 :])
+
     def leaf_at(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character (the last one, for the text's end), and where that leaf starts."""
         i, start = 1, 0
@@ -101,16 +110,15 @@ def built(text: str, encoder: Encoder, leaf: int = LEAF) -> Tree:
     return Tree(np.add.reduceat(chars, at).tolist() if len(pre) else [0], np.add.reduceat(tokens, at).tolist() if len(pre) else [0])
 
 
-def edited(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: Encoder) -> tuple[str, int]:
-    """The new text, and how many characters were encoded anew; the tree is updated."""
+def edited(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: Encoder, leaf: int = LEAF) -> tuple[str, int]:
+    """The new text, and how many characters were walked through to count it; the tree is updated."""
     start = max(0, min(start, len(text)))
     stop = max(start, min(stop, len(text)))
     new, shift = text[:start] + insert + text[stop:], len(insert) - (stop - start)
     # Old boundaries from the leaf of the character before the edit's context on.
     first, base = tree.leaf_at(max(0, start - 2))
     old = [base]
-    leaf, end = first, base + tree.chars[tree.size + first]
-    ends = [end]
+    last, end = first, base + tree.chars[tree.size + first]
     # A pre-token depends on its characters and the one after it: those that end at least 2 before the edit stay.
     at = base
     while True:
@@ -120,8 +128,8 @@ def edited(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: E
         at = m.end()
         old.append(at)
     # What lies before `at` in the first leaf keeps its tokens.
-    kept = sum(encoder.count(text[a:b]) for a, b in zip(old, old[1:]))
-    begin, here, tokens, walk = at, at, 0, at  # walk: along the old text's boundaries
+    lengths, counts = [b - a for a, b in zip(old, old[1:])], [encoder.count(text[a:b]) for a, b in zip(old, old[1:])]
+    begin, here, walk = at, at, at  # walk: along the old text's boundaries
     while here < len(new):
         if here - shift >= stop and here > begin:
             while walk < here - shift:
@@ -129,24 +137,23 @@ def edited(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: E
             if walk == here - shift:
                 break
         m = encoder.pattern.match(new, here)
-        tokens += encoder.count(m.group())
+        lengths.append(m.end() - here)
+        counts.append(encoder.count(m.group()))
         here = m.end()
     met = max(here - shift, stop)  # where the old text goes on unchanged
-    last = leaf
     while end < met:
         last += 1
         end += tree.chars[tree.size + last]
-        ends.append(end)
-    # The rest of the last leaf touched keeps its pre-tokens; the first leaf takes over everything up to there.
-    rest, a = 0, met
+    # The rest of the last leaf touched keeps its pre-tokens.
+    a = met
     while a < end:
         m = encoder.pattern.match(text, a)
-        rest += encoder.count(m.group())
+        lengths.append(m.end() - a)
+        counts.append(encoder.count(m.group()))
         a = m.end()
-    tree.put(first, end + shift - base, kept + tokens + rest)
-    for i in range(first + 1, last + 1):
-        tree.put(i, 0, 0)
-    return new, here - begin
+    cut = range(0, len(lengths), leaf)
+    tree.splice(first, last, [sum(lengths[i : i + leaf]) for i in cut], [sum(counts[i : i + leaf]) for i in cut])
+    return new, sum(lengths)
 
 
 def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, leaf: int = LEAF) -> DataFrame:
@@ -163,7 +170,7 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     return rows.mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text string, leaf_chars array<long>, leaf_tokens array<long>, n_tokens long")
 
 
-def with_edits(counted: DataFrame, edits: str = "edits", id_col: str = "doc_id", path: str = TOKENIZER) -> DataFrame:
+def with_edits(counted: DataFrame, edits: str = "edits", id_col: str = "doc_id", path: str = TOKENIZER, leaf: int = LEAF) -> DataFrame:
     """Applies a column of edits (array of struct start, stop, insert; in characters) to trees().
 
     id, text (new), leaf_chars, leaf_tokens, n_tokens (new), tokens_before, chars_encoded.
@@ -177,7 +184,7 @@ def with_edits(counted: DataFrame, edits: str = "edits", id_col: str = "doc_id",
                 tree, new, encoded = Tree(list(chars), list(tokens)), text or "", 0
                 before = tree.tokens[1]
                 for e in changes if changes is not None else ():
-                    new, n = edited(new, tree, int(e["start"]), int(e["stop"]), e["insert"] or "", encoder)
+                    new, n = edited(new, tree, int(e["start"]), int(e["stop"]), e["insert"] or "", encoder, leaf)
                     encoded += n
                 leaves = tree.leaves()
                 for c, v in zip(out, (text if text is None and not new else new, *leaves, tree.tokens[1], before, encoded), strict=True):

@@ -461,6 +461,32 @@ def test_nearest_hashes_to_few_candidates(n, norms, most):
     assert hits >= 0.9 * 20 * len(queries) and index.verified <= most * n * len(queries)
 
 
+@pytest.mark.parametrize("longer", [30.0, 1e3, 1e8, 1e200])
+def test_one_long_vector_does_not_spoil_the_index(spark, longer):
+    r = np.random.default_rng(11)
+    x = r.standard_normal((5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[77] *= longer
+    x[78] *= 1 / longer
+    v = ann.usable(spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    queries = [0, 77, *range(100, 5000, 100)]
+    found = defaultdict(dict)
+    for row in ann.nearest(v, v.filter(F.col("id").isin(queries))).collect():
+        found[row.query_id][row.vec_id] = row.score
+    hits = 0
+    for q in queries:
+        with np.errstate(over="ignore"):
+            s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found[q]))
+        assert all(s[i] == pytest.approx(score, rel=1e-12) for i, score in found[q].items())
+    assert hits >= 0.9 * 20 * len(queries)
+    rest = np.flatnonzero(~np.isin(np.arange(5000), [77, 78]))  # the block that they do not share any more
+    index = ann.BlockIndex(rest, x[rest], ann.BASES, ann.SEED)
+    list(index.search(x[queries], np.array(queries), 20, ann.THRESHOLD, ann.WANTED, ann.WIDEN))
+    assert index.verified < 0.15 * len(rest) * len(queries)
+
+
 def test_token_counts_follow_edits(spark, docs, none):
     encoder = tokens.Encoder.at(tokens.TOKENIZER)
     exact = lambda t: len(encoder.coder.encode_ordinary(t or ""))
@@ -479,11 +505,28 @@ def test_edits_fuzzed():
     encoder, r = tokens.Encoder.at(tokens.TOKENIZER), random.Random(3)
     for _ in range(500):
         text = "".join(r.choice("ab cd  \n\t'sre12.,!é中\x0b") for _ in range(r.randrange(0, 90)))
-        tree = tokens.built(text, encoder, r.choice([1, 2, 64]))
+        leaf = r.choice([1, 2, 64])
+        tree = tokens.built(text, encoder, leaf)
         for _ in range(3):
-            a, insert = r.randrange(0, len(text) + 2), "".join(r.choice("ab  '\n1") for _ in range(r.randrange(0, 5)))
-            text, _n = tokens.edited(text, tree, a, a + r.randrange(0, 9), insert, encoder)
+            a, insert = r.randrange(0, len(text) + 2), "".join(r.choice("ab  '\n1") for _ in range(r.randrange(0, 30)))
+            text, _n = tokens.edited(text, tree, a, a + r.randrange(0, 9), insert, encoder, leaf)
             assert tree.tokens[1] == len(encoder.coder.encode_ordinary(text)) and tree.chars[1] == len(text)
+            pre = encoder.pattern.findall(text)
+            for chars, n in zip(*tree.leaves(), strict=True):  # leaves are whole pre-tokens, and not more than they may hold
+                mine = []
+                while sum(map(len, mine)) < chars:
+                    mine.append(pre.pop(0))
+                assert sum(map(len, mine)) == chars and len(mine) <= leaf and sum(map(encoder.count, mine)) == n
+
+
+def test_long_inserts_are_cut_into_leaves():
+    encoder, text = tokens.Encoder.at(tokens.TOKENIZER), "some words "
+    tree = tokens.built(text, encoder)
+    text, encoded = tokens.edited(text, tree, 5, 5, "a long insert, " * 20_000, encoder)
+    assert encoded == len(text) and tree.n > 1000 and tree.tokens[1] == len(encoder.coder.encode_ordinary(text))
+    for at in (3, 150_000, len(text) - 2):
+        text, encoded = tokens.edited(text, tree, at, at + 4, "zz", encoder)
+        assert encoded < 8 * 3 * tokens.LEAF and tree.tokens[1] == len(encoder.coder.encode_ordinary(text))
 
 
 def test_pipeline(spark, docs, rows, tmp_path):
