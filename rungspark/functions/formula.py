@@ -10,6 +10,7 @@ null; doubled negations of a name cancel out.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import pandas as pd
@@ -165,7 +166,11 @@ def _factor(terms: list[frozenset]) -> str:
 
 
 @F.pandas_udf(StringType())
-def factored(branches: pd.Series) -> pd.Series:
-    """The formula of a condition, an array of branches, each an array of struct(device, kind): literals that branches share are taken out. Equal in value."""
-    terms = lambda bs: [frozenset((x["device"], x["kind"] == "b") for x in b) for b in bs]
+def _factored(branches: pd.Series) -> pd.Series:
+    terms = lambda bs: [frozenset((x["device"], x["kind"] == "b") for x in json.loads(b)) for b in bs]
     return pd.Series([None if bs is None else _factor(terms(bs)) for bs in branches], dtype=object)
+
+
+def factored(branches: Column | str) -> Column:
+    """The formula of a condition, an array of branches, each an array of struct(device, kind): literals that branches share are taken out. Equal in value."""
+    return _factored(F.transform(branches, lambda b: F.to_json(b)))  # arrays of arrays of different lengths do not reach pandas

@@ -20,9 +20,8 @@ def verdict(x: Column) -> Column:
     return F.when(x, "ON").when(~x, "OFF").otherwise("UNKNOWN")
 
 
-def holds(branches: Column, variables: Column, assignment: Column) -> Column:
-    """Whether a condition (an array of branches, each an array of names, `!` before a negated one) is true under an assignment: a number whose
-    bits are the variables' values in the order of `variables`. No branch is false, an empty branch is true."""
-    bit = lambda name: F.element_at(F.transform(variables, lambda v, i: F.getbit(assignment, i) == 1), F.array_position(variables, name).cast("int"))
-    literal = lambda x: F.when(x.startswith("!"), ~bit(F.substring(x, 2, 1_000_000))).otherwise(bit(x))
+def holds(branches: Column, states: Column) -> Column:
+    """Whether a condition (an array of branches, each an array of names, `!` before a negated one) is true in states (a map of all its names). No branch is false,
+    an empty branch is true."""
+    literal = lambda x: F.when(x.startswith("!"), ~F.element_at(states, F.substring(x, 2, 1_000_000))).otherwise(F.element_at(states, x))
     return F.exists(branches, lambda b: F.forall(b, literal))

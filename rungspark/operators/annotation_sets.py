@@ -164,22 +164,27 @@ def contracted(edges: DataFrame, inner: DataFrame) -> DataFrame:
     return R.undirected(rows, "a", "b")
 
 
-def first_reached(edges: DataFrame, starts: DataFrame, stops: DataFrame, through: DataFrame, most: int = 64) -> DataFrame:
+def first_reached(edges: DataFrame, starts: DataFrame, stops: DataFrame, through: DataFrame) -> DataFrame:
     """start, stop: the stops that paths from a start meet first, going on only through nodes of `through`. starts, stops, through: node.
-    edges: a, b, both ways. A path ends at its first stop; `most` steps bound paths in cycles, visited nodes end them before."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    front = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
-    seen, found = graph.cut_lineage(front), None
-    front = seen
-    for _ in range(most):
-        step = graph.cut_lineage(front.join(both, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
+    edges: a, b, both ways. A path ends at its first stop, however long it is. As edges go both ways, what a step comes back to lies in the two steps before it; a stop that is met
+    again changes nothing."""
+    both = graph.cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = lambda df: df.select(F.col("node").alias("at")).distinct()
+    before = front = graph.cut_lineage(starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct())
+    found, rounds = None, 0
+    while True:
+        step = front.join(both, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct()
+        step = graph.cut_lineage(step.join(front.unionByName(before).distinct(), ["start", "at"], "left_anti"))
         if step.isEmpty():
             break
-        hit = step.join(stops.select(F.col("node").alias("at")).distinct(), "at", "left_semi").select("start", F.col("at").alias("stop"))
-        found = hit if found is None else found.unionByName(hit)
-        seen = seen.unionByName(step)
-        front = step.join(stops.select(F.col("node").alias("at")).distinct(), "at", "left_anti").join(through.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
-    return found.distinct() if found is not None else seen.select("start", F.col("at").alias("stop")).limit(0)
+        hit = step.join(at(stops), "at", "left_semi").select("start", F.col("at").alias("stop"))
+        found, rounds = hit if found is None else found.unionByName(hit), rounds + 1
+        if rounds % 16 == 0:  # keeps the plan short
+            found = graph.cut_lineage(found.distinct())
+        before, front = front, graph.cut_lineage(step.join(at(stops), "at", "left_anti").join(at(through), "at", "left_semi"))
+    none = front.select("start", F.col("at").alias("stop")).limit(0)
+    # A way round may lead back to where it began.
+    return (found.distinct() if found is not None else none).filter(F.col("start") != F.col("stop"))
 
 
 def upstream(edges: DataFrame, loads: DataFrame, sources: str, target: str) -> DataFrame:

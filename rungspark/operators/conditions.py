@@ -59,11 +59,13 @@ def _fixpoint(equations: DataFrame, by: list[str]) -> DataFrame:
 
 def _core(edges: DataFrame, by: list[str]) -> DataFrame:
     """by, device: the devices on cycles, or between two of them; edges: by, device, dep. Ends are peeled off until none is left."""
+    given = edges
     while True:
         inner = edges.join(edges.select(*by, F.col("dep").alias("device")).distinct(), [*by, "device"], "left_semi")
         inner = inner.join(edges.select(*by, F.col("device").alias("dep")).distinct(), [*by, "dep"], "left_semi").select(*by, "device", "dep")
         before, edges, n = edges, graph.cut_lineage(inner), edges.count()
-        graph.forget(before)
+        if before is not given:
+            graph.forget(before)
         if edges.count() == n:
             return edges.select(*by, "device").distinct()
 
@@ -104,12 +106,14 @@ def evaluated(literals: DataFrame, given: DataFrame, before: DataFrame | None =
 def _held(rows: DataFrame, decided: DataFrame, before: DataFrame) -> DataFrame:
     """`rows` with the states beforehand where devices come upon themselves.
 
-    A variable is a device together with the devices, known from before and on cycles, that are being decided around it; these have their
-    state before. The variables that undecided targets need are found step by step, then all are decided in one fixpoint."""
+    A variable is a device together with the devices on cycles that are being decided around it; these have their state before, unknown if there is
+    none. The variables that undecided targets need are found step by step, then all are decided in one fixpoint. There are as many as simple paths among undecided
+    devices on cycles: few, as circuits hold themselves by a contact or two."""
     open_targets = rows.select(*_CASE, "device").distinct().join(decided, [*_CASE, "device"], "left_anti")
     undecided = rows.filter("known IS NULL AND dep IS NOT NULL").join(open_targets, [*_CASE, "device"], "left_semi")
     edges = graph.cut_lineage(undecided.select(*_CASE, "device", "dep").distinct())
-    pins = graph.cut_lineage(before.filter("on IS NOT NULL").groupBy(*_CASE, "device").agg(F.first("on").alias("before")).join(_core(edges, _CASE), [*_CASE, "device"], "left_semi"))
+    was = before.groupBy(*_CASE, "device").agg(F.first("on", ignorenulls=True).alias("before"))
+    pins = graph.cut_lineage(_core(edges, _CASE).join(was, [*_CASE, "device"], "left"))
     own = lambda df: df.join(pins.select(*_CASE, "device", F.lit(True).alias("pinned")), [*_CASE, "device"], "left").withColumn(
         "inside", F.when(F.col("pinned"), F.array_sort(F.array_union("around", F.array("device")))).otherwise(F.col("around"))
     ).drop("pinned")
@@ -123,7 +127,7 @@ def _held(rows: DataFrame, decided: DataFrame, before: DataFrame) -> DataFrame:
     name = lambda c: F.concat_ws("\x1f", c)
     equations = seen.join(rows, [*_CASE, "device"]).join(pins.withColumnRenamed("device", "dep"), [*_CASE, "dep"], "left")
     equations = equations.select(
-        *_CASE, name("around").alias("around"), "device", "branch", name("inside").alias("dep_around"), "dep", "named", "kind",
+        *_CASE, name("around").alias("around"), "device", "branch", name("inside").alias("dep_around"), F.when(~F.array_contains("inside", F.col("dep")), F.col("dep")).alias("dep"), "named", "kind",
         F.coalesce("known", F.when(F.array_contains("inside", F.col("dep")), F.col("before"))).alias("known"),
     )
     equations = graph.cut_lineage(equations)

@@ -1,8 +1,13 @@
-"""Edits of a circuit's tables as sets of operations, with a log, optimistic concurrency and undo.
+"""Edits of a circuit's tables as sets of operations, with a preview, a log, optimistic concurrency and undo.
 
-ops: seq, op, page_id, ref, value, other. Verbs: set_label, set_class, set_wire_no (ref is a connection), remove_component (its
-connections go too), add_component (value: class), connect (ref to other), disconnect (ref: a connection). All or nothing: any
-operation that names something absent makes the whole set fail. Of several settings of one field the last counts.
+ops: seq, op, page_id, ref, value, other and, if there are such operations, key. Verbs: set_label, set_class, set_attribute (key, value; a null value takes it away),
+set_wire_no (ref is a connection), remove_component (its connections go too), add_component (value: class), connect (ref to other), disconnect (ref: a connection),
+insert_in_series (between ref and other; value: class, key: label): the wires between the two give way to a new component and a wire on either side, the
+first of which keeps their number. At most MAX_OPS at a time. All or nothing: any operation that names something absent makes the whole set fail. Of several
+settings of one field the last counts.
+
+Defined results: empty ops change nothing; repeated rows of ops are errors where they add a ref; null values clear a field; empty tables are tables without rows;
+further columns of the tables stay, null for what is added.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SYMBOL_FIELDS = {"set_label": "label", "set_class": "class_key"}
+MAX_OPS = 200
+MAX_SCENARIOS = 24
 
 
 def content_hash(symbols: DataFrame, connections: DataFrame) -> str:
@@ -24,13 +31,18 @@ def problems(symbols: DataFrame, connections: DataFrame, ops: DataFrame) -> Data
     """seq, message of operations that cannot be applied."""
     added = ops.filter("op = 'add_component'").select("page_id", "ref")
     have = symbols.select("page_id", "ref").unionByName(added).distinct()
-    verbs = [*SYMBOL_FIELDS, "set_wire_no", "remove_component", "add_component", "connect", "disconnect"]
+    verbs = [*SYMBOL_FIELDS, "set_attribute", "insert_in_series", "set_wire_no", "remove_component", "add_component", "connect", "disconnect"]
     say = lambda df, text: df.select("seq", F.lit(text).alias("message"))
-    on_symbols = ops.filter(F.col("op").isin(*SYMBOL_FIELDS, "remove_component", "connect"))
+    on_symbols = ops.filter(F.col("op").isin(*SYMBOL_FIELDS, "set_attribute", "remove_component", "connect", "insert_in_series"))
     out = say(ops.filter(~F.col("op").isin(*verbs)), "unknown operation")
     out = out.unionByName(say(on_symbols.join(have, ["page_id", "ref"], "left_anti"), "no such symbol"))
-    out = out.unionByName(say(ops.filter("op = 'connect'").join(have.withColumnRenamed("ref", "other"), ["page_id", "other"], "left_anti"), "no such symbol"))
+    out = out.unionByName(say(ops.filter("op IN ('connect', 'insert_in_series')").join(have.withColumnRenamed("ref", "other"), ["page_id", "other"], "left_anti"), "no such symbol"))
     out = out.unionByName(say(ops.filter("op IN ('set_wire_no', 'disconnect')").join(connections.select("page_id", "ref"), ["page_id", "ref"], "left_anti"), "no such connection"))
+    ends = connections.select("page_id", F.least("from_symbol", "to_symbol").alias("a"), F.greatest("from_symbol", "to_symbol").alias("b")).distinct()
+    inserts = ops.filter("op = 'insert_in_series'").withColumns({"a": F.least("ref", "other"), "b": F.greatest("ref", "other")})
+    out = out.unionByName(say(inserts.join(ends, ["page_id", "a", "b"], "left_anti"), "no wire between the two"))
+    out = out.unionByName(say(inserts.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "a", "b").orderBy("seq"))).filter("n > 1"), "no wire between the two"))
+    out = out.unionByName(say(ops.withColumn("n", F.row_number().over(Window.orderBy("seq"))).filter(F.col("n") == MAX_OPS + 1) if ops.count() > MAX_OPS else ops.limit(0), f"at most {MAX_OPS} operations"))
     return out.unionByName(say(added.join(symbols, ["page_id", "ref"], "left_semi").join(ops.filter("op = 'add_component'"), ["page_id", "ref"]), "the ref is taken"))
 
 
@@ -42,19 +54,98 @@ def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame) -> tuple
     last = lambda op: ops.filter(F.col("op") == op).groupBy(F.col("page_id").alias("p__"), F.col("ref").alias("r__")).agg(F.max_by("value", "seq").alias("v__"))
     gone = ops.filter("op = 'remove_component'").select("page_id", "ref").distinct()
     new = ops.filter("op = 'add_component'").select("page_id", "ref", F.col("value").alias("class_key"))
-    symbols = symbols.unionByName(new, allowMissingColumns=True)
+    given = ops if "key" in ops.columns else ops.withColumn("key", F.lit(None).cast("string"))
+    inserts = _inserted(symbols, connections, given.filter("op = 'insert_in_series'"))
+    symbols = symbols.unionByName(new, allowMissingColumns=True).unionByName(inserts.select("page_id", F.col("new").alias("ref"), F.col("value").alias("class_key"), F.col("key").alias("label")), allowMissingColumns=True)
+    if "attributes" in symbols.columns:
+        symbols = _with_attributes(symbols, given.filter("op = 'set_attribute'"))
     for op, field in SYMBOL_FIELDS.items():
         symbols = _set(symbols, last(op), field)
     symbols = symbols.join(gone, ["page_id", "ref"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
     wires = ops.filter("op = 'connect'").select("page_id", F.concat(F.lit("E"), F.col("seq").cast("string"), F.lit("-"), nth.cast("string")).alias("ref"), F.col("ref").alias("from_symbol"), F.col("other").alias("to_symbol"), F.col("value").alias("wire_no"))
     connections = _set(connections, last("set_wire_no"), "wire_no").join(ops.filter("op = 'disconnect'").select("page_id", "ref").distinct(), ["page_id", "ref"], "left_anti")
-    connections = connections.unionByName(wires, allowMissingColumns=True)
+    cut = inserts.select("page_id", F.least("ref", "other").alias("a__"), F.greatest("ref", "other").alias("b__"))
+    met = (F.least("from_symbol", "to_symbol") == F.col("a__")) & (F.greatest("from_symbol", "to_symbol") == F.col("b__"))
+    connections = connections.withColumnRenamed("page_id", "p__").join(cut, (F.col("p__") == F.col("page_id")) & met, "left_anti").withColumnRenamed("p__", "page_id")
+    number = F.col("seq").cast("string")
+    sides = inserts.select("page_id", F.concat(F.lit("E"), number, F.lit("-a")).alias("ref"), F.col("ref").alias("from_symbol"), F.col("new").alias("to_symbol"), "wire_no").unionByName(
+        inserts.select("page_id", F.concat(F.lit("E"), number, F.lit("-b")).alias("ref"), F.col("new").alias("from_symbol"), F.col("other").alias("to_symbol"), F.lit(None).cast("string").alias("wire_no"))
+    )
+    connections = connections.unionByName(wires, allowMissingColumns=True).unionByName(sides, allowMissingColumns=True)
     for end in ("from_symbol", "to_symbol"):
         connections = connections.join(gone.withColumnRenamed("ref", end), ["page_id", end], "left_anti")
     return symbols, connections
 
 
+def _inserted(symbols: DataFrame, connections: DataFrame, inserts: DataFrame) -> DataFrame:
+    """inserts with new (the ref of the component, EDIT-0001 and on, free on the page) and wire_no (of the first wire it replaces)."""
+    from .bundles import wire_refs
+
+    taken = symbols.select("page_id", F.lit(-1).alias("nth"), "ref").distinct()
+    # Every ref on the page is taken; what is inserted has none yet.
+    rows = taken.withColumn("nth", -F.row_number().over(Window.partitionBy("page_id").orderBy("ref"))).unionByName(inserts.select("page_id", F.col("seq").alias("nth"), F.lit(None).cast("string").alias("ref")))
+    refs = wire_refs(rows.join(inserts.select("page_id").distinct(), "page_id", "left_semi"), "EDIT-").filter("nth >= 0").select("page_id", F.col("nth").alias("seq"), F.col("ref").alias("new"))
+    first = connections.groupBy("page_id", F.least("from_symbol", "to_symbol").alias("a__"), F.greatest("from_symbol", "to_symbol").alias("b__")).agg(F.min_by("wire_no", "ref").alias("wire_no"))
+    ends = inserts.withColumns({"a__": F.least("ref", "other"), "b__": F.greatest("ref", "other")})
+    return ends.join(refs, ["page_id", "seq"]).join(first, ["page_id", "a__", "b__"], "left").select("seq", "page_id", "ref", "other", "value", "key", "new", "wire_no")
+
+
+def _with_attributes(symbols: DataFrame, ops: DataFrame) -> DataFrame:
+    last = ops.groupBy(F.col("page_id").alias("p__"), F.col("ref").alias("r__"), "key").agg(F.max_by(F.struct("value"), "seq")["value"].alias("value"))
+    changes = last.groupBy("p__", "r__").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("new__"))
+    joined = symbols.join(changes, (F.col("page_id") == F.col("p__")) & (F.col("ref") == F.col("r__")), "left")
+    old = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
+    kept = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key("new__", k)), F.map_filter("new__", lambda k, v: v.isNotNull()))
+    return joined.withColumn("attributes", F.when(F.col("new__").isNotNull(), F.when(F.size(kept) > 0, kept)).otherwise(F.col("attributes"))).drop("p__", "r__", "new__")
+
+
+def differences(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], fields: tuple[str, ...] = ("class_key", "label")) -> DataFrame:
+    """page_id, kind (symbol, wire), name, change (added, removed, changed), fields: what an edit changes. Wires are known by their ends and number, not by refs."""
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("page_id", "ref", F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(s))
+
+    both = side(before[0], "o").join(side(after[0], "n"), ["page_id", "ref"], "full")
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields]))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.size(differs) > 0, "changed")
+    out = both.select("page_id", F.lit("symbol").alias("kind"), F.col("ref").alias("name"), change.alias("change"), F.when(change == "changed", F.array_join(differs, ",")).otherwise("").alias("fields"))
+    name = F.concat_ws(" ", "from_symbol", F.lit("-"), "to_symbol", F.coalesce("wire_no", F.lit("")))
+    wires = lambda df, s: df.select("page_id", name.alias("name")).distinct().withColumn(s, F.lit(True))
+    ends = wires(before[1], "o").join(wires(after[1], "n"), ["page_id", "name"], "full")
+    ends = ends.select("page_id", F.lit("wire").alias("kind"), "name", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").alias("change"), F.lit("").alias("fields"))
+    return out.unionByName(ends).filter("change IS NOT NULL")
+
+
+def trial_states(inputs: DataFrame, most: int = MAX_SCENARIOS) -> DataFrame:
+    """circuit_id, scenario, device, on: states to try a circuit with: none on, each input alone, all of them, and, up to `most` in all, combinations drawn by hash. Rows
+    are inputs times scenarios: as many again as a circuit has inputs."""
+    inputs = inputs.select("circuit_id", "device").distinct()
+    n = inputs.groupBy("circuit_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    plain = n.select("circuit_id", F.explode(F.array(F.lit("none"), F.lit("all"))).alias("scenario"))
+    alone = inputs.select("circuit_id", F.concat(F.lit("only "), "device").alias("scenario"))
+    drawn = n.filter(F.col("n") + 2 < most).select("circuit_id", F.explode(F.sequence(F.lit(1), F.lit(most) - F.col("n") - 2)).alias("k")).select("circuit_id", F.concat(F.lit("drawn "), F.col("k").cast("string")).alias("scenario"))
+    rows = plain.unionByName(alone).unionByName(drawn).join(inputs, "circuit_id")
+    chance = F.pmod(F.xxhash64("circuit_id", "scenario", "device"), F.lit(2)) == 1
+    on = F.when(F.col("scenario") == "all", True).when(F.col("scenario").startswith("drawn "), chance).otherwise(F.col("scenario") == F.concat(F.lit("only "), "device"))
+    return rows.select("circuit_id", "scenario", "device", on.alias("on"))
+
+
+def behaviour_changes(before: DataFrame, after: DataFrame, most: int = MAX_SCENARIOS) -> DataFrame:
+    """circuit_id, scenario, device, before, after: verdicts that an edit changes, in states to try the inputs of both with; null where a device is not there.
+    before, after: literals (see conditions.py)."""
+    from . import conditions
+
+    def inputs(lits: DataFrame) -> DataFrame:
+        return lits.select("circuit_id", F.col("dep").alias("device")).filter("device IS NOT NULL").distinct().join(lits.select("circuit_id", "device").distinct(), ["circuit_id", "device"], "left_anti")
+
+    states = trial_states(inputs(before).unionByName(inputs(after)).distinct(), most)
+    # A device that one circuit drives and the other takes as an input stays driven where it is.
+    given = lambda lits: states.join(lits.select("circuit_id", "device").distinct(), ["circuit_id", "device"], "left_anti")
+    found = lambda lits, s: conditions.evaluated(lits, given(lits)).select("circuit_id", "scenario", "device", F.col("verdict").alias(s))
+    both = found(before, "before").join(found(after, "after"), ["circuit_id", "scenario", "device"], "full")
+    return both.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def _set(df: DataFrame, values: DataFrame, field: str) -> DataFrame:
     joined = df.join(values.withColumn("hit__", F.lit(True)), (F.col("page_id") == F.col("p__")) & (F.col("ref") == F.col("r__")), "left")
     return joined.withColumn(field, F.when(F.col("hit__"), F.col("v__")).otherwise(F.col(field))).drop("p__", "r__", "v__", "hit__")

@@ -232,17 +232,19 @@ def token_match(expected: Column, observed: Column) -> Column:
     return F.when(n <= 2, d == 0).when(n <= 4, d <= 1).otherwise(d / F.greatest(n, F.length(observed), F.lit(1)) <= 0.28)
 
 
-def equivalent(pairs: DataFrame, by: list[str], left: str, right: str, most: int = 16) -> DataFrame:
-    """by, equivalent, counterexample (the least assignment, its bits being the variables in order of name, under which the conditions differ).
-    Conditions are arrays of branches (see logic.holds()); more than `most` variables are an error: assignments are tried one by one."""
+def equivalent(pairs: DataFrame, by: list[str], left: str, right: str, most: int = 16, samples: int = 4096) -> DataFrame:
+    """by, equivalent, counterexample, exhaustive. Conditions are arrays of branches (see logic.holds()). Up to `most` variables every assignment is tried, and the counterexample is
+    the least one, its bits being the variables in order of name, under which they differ; with more, `samples` drawn by hash are, and it is the number of the first sample."""
     from ..functions import logic
 
     names = F.array_sort(F.array_distinct(F.transform(F.flatten(F.concat(left, right)), lambda x: F.regexp_replace(x, "^!", ""))))
-    rows = pairs.withColumn("v__", names)
-    n = F.when(F.size("v__") <= most, F.size("v__")).otherwise(F.raise_error(F.lit(f"more than {most} variables")).cast("int"))
-    tried = rows.withColumn("i__", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)))
-    differ = logic.holds(F.col(left), F.col("v__"), F.col("i__")) != logic.holds(F.col(right), F.col("v__"), F.col("i__"))
-    return tried.groupBy(*by).agg((F.count_if(differ) == 0).alias("equivalent"), F.min(F.when(differ, F.col("i__"))).alias("counterexample"))
+    rows = pairs.withColumn("v__", names).withColumn("whole__", F.size("v__") <= most)
+    n = F.when(F.col("whole__"), F.pow(F.lit(2), F.size("v__")).cast("long")).otherwise(F.lit(samples).cast("long"))
+    tried = rows.withColumn("i__", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    bits = lambda x, k: F.when(F.col("whole__"), F.getbit(F.col("i__"), F.least(k, F.lit(62))) == 1).otherwise(F.pmod(F.xxhash64(F.col("i__"), x), F.lit(2)) == 1)
+    tried = tried.withColumn("states__", F.map_from_arrays("v__", F.transform("v__", bits)))
+    differ = logic.holds(F.col(left), F.col("states__")) != logic.holds(F.col(right), F.col("states__"))
+    return tried.groupBy(*by).agg((F.count_if(differ) == 0).alias("equivalent"), F.min(F.when(differ, F.col("i__"))).alias("counterexample"), F.first("whole__").alias("exhaustive"))
 
 
 def best_candidates(found: DataFrame, by: list[str], word: str, score: str, title: str, labelled: str, n: int = 3) -> DataFrame:

@@ -360,4 +360,4 @@ def equivalent_conditions(spark, sf):
     tree = lambda *branches: F.array(*[F.array(*[F.lit(x) for x in b.split()]) for b in branches])
     k = F.col("s_suppkey") % 3
     other = F.when(k == 0, tree("c a", "!d b a")).when(k == 1, tree("a b", "a c d")).otherwise(tree("a b !d", "a c", "a b c d"))
-    return R.equivalent(t(spark, sf, "supplier").select("s_suppkey", tree("a b !d", "a c").alias("l"), other.alias("r")), ["s_suppkey"], "l", "r")
+    return R.equivalent(t(spark, sf, "supplier").select("s_suppkey", tree("a b !d", "a c").alias("l"), other.alias("r")), ["s_suppkey"], "l", "r").drop("exhaustive")

@@ -167,7 +167,7 @@ def first_terminals(spark, sf):
     """From each purchase, click or view the next of these in both directions of the user's chain."""
     e = _steps(spark, sf)
     stops = e.filter("event_type IN ('purchase', 'click', 'view')").select(F.col("a").alias("node"))
-    return A.first_reached(e.filter("b IS NOT NULL").select("a", "b"), stops, stops, e.select(F.col("a").alias("node")), 256)
+    return A.first_reached(e.filter("b IS NOT NULL").select("a", "b"), stops, stops, e.select(F.col("a").alias("node")))
 
 
 @query("""SELECT s_suppkey AS load, coalesce((SELECT string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FROM lineitem WHERE l_suppkey = s_suppkey), '') AS sources FROM supplier""")
