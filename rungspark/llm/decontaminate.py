@@ -12,8 +12,9 @@
    item's last words must be there too. Items of fewer than `LEAST_WORDS` words have no latent vector to speak of: all their words
    must be there, one after the other.
 
-There is one latent space for all items; items are searched for in blocks of bounded number. Its terms are the distinct words of the
-benchmark, at most `MOST_TERMS` (more are refused with an error: what is broadcast has a bound). Texts are read whole.
+There is one latent space for all items, whose terms are the distinct words of the benchmark, as long as these are no more than `MOST_TERMS`: what is broadcast has a
+bound. A larger benchmark is halved by hash, and its halves again, until each part keeps to that bound (or is a single item), and every part is searched for in
+a space of its own, in blocks of a bounded number of items. Texts are read whole.
 
 Defined results: null and empty texts and items match nothing; words are compared in lower case without ASCII punctuation;
 repeated rows match alike (an id is listed once for each item); null ids are reported as they are; further columns are ignored.
@@ -248,15 +249,20 @@ def _space(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, np.nda
     return idf, np.linalg.svd(y @ root, full_matrices=False)[0][:, :RANK]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most_terms: int = MOST_TERMS, seed: int = 0
+) -> DataFrame:
     """doc id, item_id, lcs (share of the item's words found in order), cosine: one row for each document and item in it."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = max(1, -(-benchmark.count() // ITEMS_A_BLOCK))
     types = f"id {rows.schema['id'].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, lcs double, cosine double"
     texts = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     spoken = texts.select(F.explode(F.udf(lambda t: list(set(_words(t))), "array<binary>")("text")).alias("w")).distinct()
-    if (n := spoken.count()) > MOST_TERMS:
-        raise ValueError(f"the benchmark has {n} distinct words, over {MOST_TERMS}")
+    if spoken.count() > most_terms and texts.distinct().count() > 1:
+        halves = [benchmark.filter(F.pmod(F.xxhash64(item_id, item_text, F.lit(seed)), F.lit(2)) == half) for half in (0, 1)]
+        a, b = (matches(docs, half, id_col, text_col, item_id, item_text, most_terms, seed + 1) for half in halves)
+        # Rows that are repeated in the benchmark fall into the same half, an id with several texts maybe not.
+        return a.unionByName(b).groupBy(id_col, "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"))
     terms = {w: k for k, w in enumerate(sorted(bytes(r.w) for r in spoken.collect()))}
     space = _space(rows, terms) if terms else None
     out = None

@@ -31,14 +31,14 @@ UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _ranked_pieces(text: str, size: int, most: int) -> list[str]:
-    """The distinct pieces of `size` characters of the whole text, by hash, as far as `most` characters go."""
+def _ranked_pieces(text: str, size: int, most: int) -> list[tuple[str, int]]:
+    """The distinct pieces of `size` characters of the whole text, by hash, as far as `most` characters go; and what they take in a dictionary."""
     pieces = {text[i : i + size] for i in range(0, len(text), size)}
     out, n = [], 0
     for piece in sorted(pieces, key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x)):
         if n >= most:
             break
-        out.append(piece)
+        out.append((piece, len(piece.lower().encode("utf-8", "surrogatepass")) + 1))
         n += len(piece)
     return out
 
@@ -55,23 +55,18 @@ def fit(docs: DataFrame, dict_bytes: int = DICT_BYTES, docs_a_language: int = DO
         .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .filter(F.col("nth") <= docs_a_language)
     )
-    ranked = F.udf(_ranked_pieces, "array<string>")
-    # The sample is bounded by docs_a_language for each language, and what is collected of each text by dict_bytes.
-    rows = (
-        labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("nth").alias("nth"), F.min("text").alias("text"))
-        .select("lang", "nth", ranked("text", F.lit(doc_bytes), F.lit(dict_bytes)).alias("pieces")).collect()
-    )
+    ranked = F.udf(lambda text, size, most: _ranked_pieces(text, size, most), "array<struct<piece:string,size:int>>")
+    texts = labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("nth").alias("nth"), F.min("text").alias("text"))
+    pieces = texts.select("lang", "nth", F.posexplode(ranked("text", F.lit(doc_bytes), F.lit(dict_bytes))).alias("turn", "p")).select("lang", "nth", "turn", "p.*")
+    # A language's pieces are bounded by docs_a_language and dict_bytes; only those that go into its dictionary reach the driver.
+    before = Window.partitionBy("lang").orderBy("turn", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    taken = pieces.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("before") < dict_bytes)
     out: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in rows}):
-        texts = [r.pieces for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.nth)]
-        turns = [p[k] for k in range(max(map(len, texts))) for p in texts if k < len(p)]
-        joined, size = [], 0
-        for piece in turns:
-            if size >= dict_bytes:
-                break
-            joined.append(piece.lower().encode("utf-8", "surrogatepass"))
-            size += len(joined[-1]) + 1
-        out[lang] = b"\n".join(joined[::-1])[-dict_bytes:]  # the first turn last, nearest to what is compressed
+    joined: dict[str, list[bytes]] = {}
+    for r in taken.select("lang", "turn", "nth", "piece").orderBy("lang", "turn", "nth").collect():
+        joined.setdefault(r.lang, []).append(r.piece.lower().encode("utf-8", "surrogatepass"))
+    for lang, parts in joined.items():
+        out[lang] = b"\n".join(parts[::-1])[-dict_bytes:]  # the first turn last, nearest to what is compressed
     return out
 
 
@@ -107,7 +102,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     """id, the columns in `keep`, lang_pred, score (0 to 1), margin, rejected. Texts are read whole; only they go to Python, in pieces."""
     of = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages x dict_bytes
 
-    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean", F.PandasUDFType.SCALAR_ITER)
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sizer = _Sizer(of.value, level)
         for b in batches:

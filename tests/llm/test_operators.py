@@ -368,9 +368,8 @@ def test_decontamination_finds_short_items_and_has_one_space_for_all_blocks(spar
     assert {x[:2] for x in whole} == want
     monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", 8)
     assert rows() == whole
-    monkeypatch.setattr(decontaminate, "MOST_TERMS", 10)
-    with pytest.raises(ValueError):
-        decontaminate.matches(docs, bench)
+    parts = decontaminate.matches(docs, bench, most_terms=400).collect()  # in parts, each with a space of its own
+    assert {(x.doc_id, x.item_id) for x in parts} == want and {x.item_id: round(x.lcs, 6) for x in parts} == {x[1]: x[2] for x in whole}
 
 
 @pytest.mark.parametrize("length", [15, 23, 35])
