@@ -27,7 +27,7 @@ def content_hash(symbols: DataFrame, connections: DataFrame) -> str:
     return f"{part(symbols)}:{part(connections)}"
 
 
-def problems(symbols: DataFrame, connections: DataFrame, ops: DataFrame) -> DataFrame:
+def problems(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: int | None = MAX_OPS) -> DataFrame:
     """seq, message of operations that cannot be applied."""
     added = ops.filter("op = 'add_component'").select("page_id", "ref")
     have = symbols.select("page_id", "ref").unionByName(added).distinct()
@@ -42,13 +42,15 @@ def problems(symbols: DataFrame, connections: DataFrame, ops: DataFrame) -> Data
     inserts = ops.filter("op = 'insert_in_series'").withColumns({"a": F.least("ref", "other"), "b": F.greatest("ref", "other")})
     out = out.unionByName(say(inserts.join(ends, ["page_id", "a", "b"], "left_anti"), "no wire between the two"))
     out = out.unionByName(say(inserts.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "a", "b").orderBy("seq"))).filter("n > 1"), "no wire between the two"))
-    out = out.unionByName(say(ops.withColumn("n", F.row_number().over(Window.orderBy("seq"))).filter(F.col("n") == MAX_OPS + 1) if ops.count() > MAX_OPS else ops.limit(0), f"at most {MAX_OPS} operations"))
+    n = ops.count() if most is not None else 0
+    if most is not None and n > most:
+        out = out.unionByName(ops.agg(F.max("seq").alias("seq")).select("seq", F.lit(f"at most {most} operations").alias("message")))
     return out.unionByName(say(added.join(symbols, ["page_id", "ref"], "left_semi").join(ops.filter("op = 'add_component'"), ["page_id", "ref"]), "the ref is taken"))
 
 
-def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: int | None = MAX_OPS) -> tuple[DataFrame, DataFrame]:
     """symbols (page_id, ref, class_key, label, ...), connections (page_id, ref, from_symbol, to_symbol, wire_no, ...) after the operations."""
-    wrong = problems(symbols, connections, ops).orderBy("seq").limit(20).collect()  # shown to the user
+    wrong = problems(symbols, connections, ops, most).orderBy("seq").limit(20).collect()  # shown to the user
     if wrong:
         raise ValueError("; ".join(f"{r.seq}: {r.message}" for r in wrong))
     last = lambda op: ops.filter(F.col("op") == op).groupBy(F.col("page_id").alias("p__"), F.col("ref").alias("r__")).agg(F.max_by("value", "seq").alias("v__"))
