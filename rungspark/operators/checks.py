@@ -1,4 +1,7 @@
-"""Consistency checks: independent sources that must agree. Every check gives issues of one shape: check, severity, circuit_id, subject, message."""
+"""Consistency checks: independent sources that must agree. Every check gives issues of one shape: check, severity, circuit_id, subject, message.
+
+Defined results: empty tables give no issues; null labels and numbers are not compared; repeated rows raise an issue once after roll_up(); further columns are ignored.
+"""
 
 from __future__ import annotations
 

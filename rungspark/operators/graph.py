@@ -1,4 +1,8 @@
-"""Iterative graph operators: connected components and bounded breadth-first reach, as DataFrame loops."""
+"""Iterative graph operators: connected components and bounded breadth-first reach, as DataFrame loops.
+
+Defined results: edges with a null end and loops join nothing; nodes without edges are not listed by connected_components(), and reach() lists a start by itself at
+depth 0; repeated edges change nothing; empty tables give empty results; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -37,9 +41,9 @@ def cut_lineage(df: DataFrame, rows: int | None = None, name: str = "step") -> D
 
 
 def forget(df: DataFrame | None) -> None:
-    """Removes the table that cut_lineage() wrote, once what was made of it is written itself."""
+    """Removes the table that cut_lineage() wrote, once what was made of it is written itself. A session without a JVM of its own (Spark Connect) leaves it to the folder's owner."""
     path = getattr(df, "_written_to", None)
-    if path:
+    if path and hasattr(df.sparkSession, "_jvm"):
         context = df.sparkSession.sparkContext
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

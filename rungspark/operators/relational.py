@@ -1,4 +1,8 @@
-"""Joins, groupings and set operations that the list, statistics and comparison queries are made of."""
+"""Joins, groupings and set operations that the list, statistics and comparison queries are made of.
+
+Defined results: empty tables give empty results (counts of children are 0, not null); null keys join nothing and null values are no values; ties go to the lesser key;
+repeated rows count each where rows are counted, and once where sets are compared; further columns stay or are ignored as each function says.
+"""
 
 from __future__ import annotations
 

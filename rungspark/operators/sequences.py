@@ -1,4 +1,8 @@
-"""Orders, runs, intervals and states over time."""
+"""Orders, runs, intervals and states over time.
+
+Defined results: empty tables give empty results; null times come first in their group and begin nothing; ties of time go by the further order columns; repeated rows count each;
+a group of one has percentile 0; further columns stay.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Joins by place. A grid cell makes each an equi-join; a residual condition decides."""
+"""Joins by place. A grid cell makes each an equi-join; a residual condition decides.
+
+Defined results: empty tables give empty results; null coordinates meet nothing; ties go to the lesser key; repeated rows meet each; boxes and segments of no extent are points; further columns
+are ignored unless they are asked for.
+"""
 
 from __future__ import annotations
 

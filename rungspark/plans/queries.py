@@ -55,9 +55,9 @@ def list_with_child_counts(spark, sf):
 SELECT l_returnflag, l_linestatus, grouping(l_returnflag) * 2 + grouping(l_linestatus) AS level, count(*) AS n
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""")
 def status_class_origin_stats(spark, sf):
-    t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").createOrReplaceTempView("rs_lines")
-    return spark.sql("""SELECT l_returnflag, l_linestatus, CAST(grouping_id() AS BIGINT) AS level, count(*) AS n FROM rs_lines
-        GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""")
+    f, g = "l_returnflag", "l_linestatus"
+    rows = t(spark, sf, "lineitem").groupingSets([[f, g], [f], [g], []], f, g)
+    return rows.agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -289,3 +289,43 @@ def test_clusters_and_merged_lines_equal_loops(spark):
         want.update((page, *a[:4], tuple(a[4])) for a in merged + active)
     df = spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double").repartition(3)
     assert Counter((x.page, x.x0, x.y0, x.x1, x.y1, tuple(x.members)) for x in tables.merged_lines(df, ["page"]).collect()) == want
+
+
+def test_terminal_bridges_take_the_nearest_edge_or_none(spark):
+    r = random.Random(15)
+    edges, terminals = [], []
+    for page in range(3):
+        for i in range(40):
+            x, y, n = r.randrange(800), r.randrange(800), r.randrange(5, 300) * r.choice([1, -1])
+            edges.append((page, f"e{i:02d}", "h", x, y, x + n, y + r.randrange(-2, 3), f"a{i}", f"b{i}") if r.random() < 0.5 else (page, f"e{i:02d}", "v", x, y, x + r.randrange(-2, 3), y + n, f"a{i}", f"b{i}"))
+        terminals += [(page, i, "s", r.randrange(900), r.randrange(900)) for i in range(60)]
+    want = {}
+    for page, i, _, px, py in terminals:
+        best = None
+        for p, name, o, sx, sy, ex, ey, a, b in edges:
+            if p != page:
+                continue
+            at, across, s0, s1, c0, c1 = (px, py, sx, ex, sy, ey) if o == "h" else (py, px, sy, ey, sx, ex)
+            off = min(abs(across - c0), abs(across - c1))
+            if off > 28:
+                continue
+            lo, hi = min(s0, s1), max(s0, s1)
+            if at < lo or at > hi:
+                gap, start = (lo - at if at < lo else at - hi), (s0 <= s1) == (at < lo)
+                node, point = (a, (sx, sy)) if start else (b, (ex, ey))
+            else:
+                t = min(1, max(0, ((px - sx) * (ex - sx) + (py - sy) * (ey - sy)) / ((ex - sx) ** 2 + (ey - sy) ** 2)))
+                gap, node, point = off, None, (sx + t * (ex - sx), sy + t * (ey - sy))
+            if gap <= 240 and (best is None or gap + 2 * off < best[0]):
+                best = (gap + 2 * off, name, gap, node, round(point[0], 6), round(point[1], 6))
+        if best:
+            want[page, i] = best[1:]
+    e = spark.createDataFrame(edges, "page int, edge_id string, orientation string, sx int, sy int, ex int, ey int, from_node string, to_node string")
+    t = spark.createDataFrame(terminals, "page int, terminal_id int, symbol_id string, px int, py int")
+    got = crossings.nearest_collinear(t, e, ["page"])
+    assert {(x.page, x.terminal_id): (x.edge_id, x.gap, x.end_node, round(x.x1, 6), round(x.y1, 6)) for x in got.collect()} == want and len(want) > 60
+    words = spark.createDataFrame([(0, 0.0, 0.0, 900.0, 900.0)], "page int, x0 double, y0 double, x1 double, y1 double")
+    out, counts = crossings.terminal_bridges(t, e, ["page"], texts=words)
+    rejected = {(x.page, x.terminal_id) for x in out.filter("reject = 'text'").collect()}
+    assert rejected and all(p == 0 for p, _ in rejected) and out.count() == len(want) and counts.agg(F.sum("n")).first()[0] == len(want)
+    assert crossings.nearest_collinear(t.limit(0), e, ["page"]).count() == 0
