@@ -92,11 +92,15 @@ def likeness(a: tuple[Column, ...], b: tuple[Column, ...], dots: Column, match:
     return F.when(dots, F.when(d <= reach, 1 - (1 - match) * d / reach).otherwise(F.lit(0.0))).otherwise(G.iou(a, b))
 
 
-def remapped(df: DataFrame, classes: DataFrame, keep: list[str], class_col: str = "class_key") -> DataFrame:
-    """Boxes of kept classes, renamed by a table (class_key, target; no target: as it is), with dense new numbers in the order of `keep`."""
+def remapped(df: DataFrame, classes: DataFrame, keep: list[str], class_col: str = "class_key", strict: bool = False) -> DataFrame:
+    """Boxes of kept classes, renamed by a table (class_key, target; no target: as it is), with dense new numbers in the order of `keep`. strict: a class that
+    is in the table, or has no place there, is passed over only if it is known; one that is neither in the table nor kept is an error."""
     target = F.coalesce("target", F.col(class_col))
     joined = df.join(classes.select(F.col("class_key").alias("k__"), "target"), F.col(class_col) == F.col("k__"), "left").withColumn(class_col, target)
     number = F.array_position(F.array(*[F.lit(k) for k in keep]), F.col(class_col)).cast("int") - 1
+    if strict:
+        unknown = F.col("k__").isNull() & (number < 0)
+        number = F.when(unknown, F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(F.col(class_col), F.lit("null")))).cast("int")).otherwise(number)
     return joined.withColumn("class_id", number).filter("class_id >= 0").drop("k__", "target")
 
 

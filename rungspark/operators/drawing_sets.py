@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .graph import connected_components
+from .relational import numbered
 
 
 def resolved(references: DataFrame, pages: DataFrame) -> DataFrame:
@@ -52,6 +53,19 @@ def groups(pages: DataFrame, references: DataFrame) -> DataFrame:
     return named.join(named.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")), "group_id").select("page_id", "group_id", "size")
 
 
+def suggested(pages: DataFrame, references: DataFrame) -> DataFrame:
+    """place, name, page_ids, sheets, missing_sheets: the groups of pages, the largest first, then by name (the first of their sheets, or their first page's name), and the base sheets that
+    their tags name but no page has. pages: page_id, name, sheet; references: page_id, target."""
+    c = F.col
+    of = groups(pages, references).select("page_id", "group_id")
+    have = pages.filter("sheet IS NOT NULL").select(text.base_sheet(c("sheet")).alias("base")).distinct()
+    lost = references.select("page_id", text.base_sheet(c("target")).alias("base")).distinct().join(have, "base", "left_anti").join(of, "page_id")
+    lost = lost.groupBy("group_id").agg(F.array_sort(F.collect_set("base")).alias("missing_sheets"))
+    members = pages.join(of, "page_id").groupBy("group_id").agg(F.array_sort(F.collect_list("page_id")).alias("page_ids"), F.array_sort(F.collect_set("sheet")).alias("sheets"), F.min_by("name", "page_id").alias("first"))
+    rows = members.join(lost, "group_id", "left").withColumn("missing_sheets", F.coalesce("missing_sheets", F.array().cast("array<string>"))).withColumn("name", F.coalesce(F.try_element_at("sheets", F.lit(1)), c("first")))
+    return numbered(rows, [], [F.desc(F.size("page_ids")), F.asc("name"), F.asc("group_id")], "place").select("place", "name", "page_ids", "sheets", "missing_sheets")
+
+
 def table_rows(elements: DataFrame, wires: DataFrame, links: DataFrame) -> DataFrame:
     """The correspondence table: kind, element_id, other_id, text, judgement; elements without a partner have nulls there."""
     rows = elements.select(F.col("kind"), "element_id", "text")

@@ -89,10 +89,12 @@ def edge_scores(gold: DataFrame, found: DataFrame, mapping: DataFrame, by: list[
     gold, found: by, a, b (undirected); mapping: by, f, g from found ends to gold ends. Extra edges inside one gold component are
     other routes, those between two are wrong connections; a found edge with an end that maps nowhere, or both to one, is an extra."""
     ends = gold.select(*by, F.explode(F.array(F.least("a", "b"), F.greatest("a", "b"))).alias("node")).distinct()
-    wires = R.undirected(gold, "a", "b", by)
-    key = lambda c: F.to_json(F.struct(*by, F.col(c).alias("node")))
-    net = graph.connected_components(wires.select(key("a").alias("a"), key("b").alias("b")))
-    of = ends.withColumn("k", key("node")).join(net, F.col("k") == net["node"], "left").select(*by, ends["node"].alias("node"), F.coalesce("component", "k").alias("net"))
+    wires = graph.cut_lineage(R.undirected(gold, "a", "b", by))
+    # Components go by numbers, not by names, of which every round moves two for each edge.
+    ends = graph.cut_lineage(R.numbered(ends, [], [F.col(c) for c in (*by, "node")], "k"))
+    number = lambda s: ends.select(*by, F.col("node").alias(s), F.col("k").alias(f"k{s}"))
+    net = graph.connected_components(wires.join(number("a"), [*by, "a"]).join(number("b"), [*by, "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    of = ends.join(net.select(F.col("node").alias("k"), "component"), "k", "left").select(*by, "node", F.coalesce("component", "k").alias("net"))
     side = lambda s: mapping.select(*by, F.col("f").alias(s), F.col("g").alias(f"g{s}"))
     placed = R.undirected(found, "a", "b", by).join(side("a"), [*by, "a"], "left").join(side("b"), [*by, "b"], "left")
     lost = F.col("ga").isNull() | F.col("gb").isNull() | (F.col("ga") == F.col("gb"))
@@ -101,7 +103,7 @@ def edge_scores(gold: DataFrame, found: DataFrame, mapping: DataFrame, by: list[
     named = lambda s: of.select(*by, F.col("node").alias(s), F.col("net").alias(f"n{s}"))
     both = both.join(named("a"), [*by, "a"], "left").join(named("b"), [*by, "b"], "left")
     extra = F.col("g").isNull()
-    apart = ~F.coalesce(F.col("na"), key("a")).eqNullSafe(F.coalesce(F.col("nb"), key("b")))
+    apart = ~F.coalesce(F.col("na") == F.col("nb"), F.lit(False))
     counts = both.groupBy(*by).agg(
         F.count_if(F.col("f").isNotNull() & ~extra).alias("tp"), F.count_if(extra).alias("extra"), F.count_if(F.col("f").isNull()).alias("fn"), F.count_if(extra & apart).alias("wrong_connections"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula
 from ..operators import conditions as C
+from ..operators import scenarios as S
 from .queries import query, t
 
 # An order is a circuit, its lines' numbers are relays, a line gives a branch of two contacts: by part and by supplier, of the devices 0 to 8.
@@ -70,3 +71,19 @@ def factored_assignments(spark, sf):
     nodes = texts.select("text").distinct().select("text", formula.parsed(F.col("text")).alias("nodes")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
     held = nodes.groupBy("text").agg(F.count_if(formula.value(F.col("nodes"), state(F.col("i").cast("long")))).alias("assignments"))
     return texts.join(held, "text").select("l_orderkey", "assignments")
+
+
+@query(_CIRCUITS + """, k AS (SELECT c, d, v FROM s WHERE r = 9), q AS (SELECT o_orderkey AS c, CASE WHEN o_custkey % 4 = 0 THEN 9 ELSE o_custkey % 7 + 1 END AS d, CASE o_orderstatus WHEN 'F' THEN 'ON' WHEN 'O' THEN 'OFF' END AS want FROM orders),
+h AS (SELECT DISTINCT c, d FROM l)
+SELECT q.c AS circuit_id, CASE WHEN h.d IS NULL THEN 'found' ELSE 'case_1' END AS "check", CASE WHEN h.d IS NULL THEN false ELSE want = CASE WHEN v THEN 'ON' WHEN v IS NULL THEN 'UNKNOWN' ELSE 'OFF' END END AS ok
+FROM q LEFT JOIN h USING (c, d) LEFT JOIN k USING (c, d) WHERE h.d IS NULL OR want IS NOT NULL""")
+def scenario_checks(spark, sf):
+    """Each order expects of one of its relays, or of one that it does not have, what its status says; the states are those of relay_verdicts."""
+    literals, given, o = _circuits(spark, sf)
+    c, key = F.col, F.col("o_custkey")
+    subject = F.when(key % 4 == 0, 9).otherwise(key % 7 + 1).cast("string")
+    wanted = o.select(c("o_orderkey").alias("circuit_id"), F.lit("S").alias("scenario_id"), subject.alias("subject"), F.lit(False).alias("forward"), F.lit(None).cast("string").alias("condition"), F.array().cast("array<string>").alias("affected"))
+    states = given.groupBy("circuit_id").agg(F.map_from_entries(F.collect_list(F.struct("device", "on"))).alias("states"))
+    expected = F.when(c("o_orderstatus") == "F", "on").when(c("o_orderstatus") == "O", "不成立").otherwise("")
+    cases = o.select(c("o_orderkey").alias("circuit_id"), F.lit("S").alias("scenario_id"), F.lit(1).alias("nth"), expected.alias("expected")).join(states, "circuit_id")
+    return S.checked(wanted, cases, literals).select("circuit_id", "check", "ok")

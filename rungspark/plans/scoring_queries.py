@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import relational as R, scoring as C, sequences as S, spatial as P
+from ..operators import graph, relational as R, scoring as C, sequences as S, spatial as P
 from .queries import _BOXES, ORACLES, QUERIES, _boxes, long, query, seconds, t
 
 # Gold boxes are those of even ids, found ones those of odd ids; a page is a label. Greedy matching one pair after the other, by recursion.
@@ -94,7 +94,7 @@ def _nets(spark, sf) -> DataFrame:
     rows = S.islands(rows, ["user_id"], F.col("s"), 21600, [F.col("s"), F.col("event_id")]).withColumnRenamed("island", "net")
     rows = S.islands(rows, ["user_id"], F.col("s"), 43200, [F.col("s"), F.col("event_id")]).withColumnRenamed("island", "wide")
     name = lambda c: F.concat_ws("-", F.col("user_id").cast("string"), F.col(c).cast("string"))
-    return rows.withColumns({"net": name("net"), "wide": name("wide")})
+    return graph.cut_lineage(rows.withColumns({"net": name("net"), "wide": name("wide")}))  # used several times by its queries
 
 
 def _wires(n: DataFrame) -> tuple[DataFrame, DataFrame]:

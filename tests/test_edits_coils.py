@@ -139,3 +139,32 @@ def test_coil_sheets(spark):
     more = spark.createDataFrame([("RY18S", 2)], "number string, n int")
     assert {x.ref: x.fix for x in coils.coil_sheets(symbols, sheets, more).collect()}["K9"] == "coil_label"
     assert coils.coil_sheets(symbols.limit(0), sheets).count() == 0
+
+
+def test_suggested_groups_strict_classes_and_shares(spark):
+    from pyspark.errors import PySparkException
+
+    from rungspark.operators import annotation_sets, detections, drawing_sets
+
+    pages = spark.createDataFrame([(1, "a", "ER10001"), (2, "b", "ER10002-1"), (3, "c", None), (4, "d", "ER10004"), (5, "e", "ER10005")], "page_id int, name string, sheet string")
+    references = spark.createDataFrame([(1, "ER10002-9"), (4, "ER10099-1"), (5, "ER10004"), (5, "ER10098"), (4, "ER10099")], "page_id int, target string")
+    got = [(x.place, x.name, x.page_ids, x.sheets, x.missing_sheets) for x in drawing_sets.suggested(pages, references).orderBy("place").collect()]
+    assert got == [(1, "ER10001", [1, 2], ["ER10001", "ER10002-1"], []), (2, "ER10004", [4, 5], ["ER10004", "ER10005"], ["ER10098", "ER10099"]), (3, "c", [3], [], [])]
+    assert drawing_sets.suggested(pages.limit(0), references).count() == 0
+
+    boxes = spark.createDataFrame([("a",), ("b",), ("c",)], "class_key string")
+    names = spark.createDataFrame([("a", "x"), ("b", None)], "class_key string, target string")
+    assert {(x.class_key, x.class_id) for x in detections.remapped(boxes, names, ["c", "x"], strict=True).collect()} == {("x", 1), ("c", 0)}
+    with pytest.raises(PySparkException, match="unknown class: c"):
+        detections.remapped(boxes, names, ["x"], strict=True).collect()
+
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    listed = spark.createDataFrame([(1, "test"), (2, "test"), (2, "test")], "k long, split string")
+    split = annotation_sets.split_rows(rows, "k", {"train": 0.7, "val": 0.2, "test": 0.1}, 3, listed).cache()
+    n = {x.split: x["count"] for x in split.groupBy("split").count().collect()}
+    assert abs(n["train"] / 20_000 - 0.7) < 0.02 and abs(n["val"] / 20_000 - 0.2) < 0.02 and sum(n.values()) == 20_000
+    assert {x.split for x in split.filter("k IN (1, 2)").collect()} == {"test"}
+    again = annotation_sets.split_rows(rows.repartition(7), "k", {"train": 0.7, "val": 0.2, "test": 0.1}, 3, listed)
+    assert split.exceptAll(again).isEmpty()
+    with pytest.raises(PySparkException, match="listed in two splits"):
+        annotation_sets.split_rows(rows, "k", {"train": 1.0}, 3, spark.createDataFrame([(1, "a"), (1, "b")], "k long, split string")).collect()
