@@ -70,7 +70,7 @@ def test_decisions_from_cues(spark):
     cues = spark.createDataFrame([(0, "mark", "lamp"), (1, "near", "lamp"), (2, "near", "lamp"), (2, "inside", "lamp"), (3, "mark", "lamp"), (3, "table", "coil")], "id int, source string, suggests string")
     got = {x.id: (x.class_key, x.status) for x in W.decided(items, cues, ["id"], ["mark", "table"]).collect()}
     review = "review_required"
-    assert got == {0: ("lamp", "confirmed"), 1: ("lamp", review), 2: ("lamp", "confirmed"), 3: ("coil", review), 4: ("coil", review)}
+    assert got == {0: ("lamp", "confirmed"), 1: ("coil", review), 2: ("lamp", "confirmed"), 3: ("coil", review), 4: ("coil", review)}
     assert {x.status for x in W.decided(items, cues.limit(0), ["id"], ["mark"]).collect()} == {review}
 
 
