@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, summed
+from .common import give_back, stored, summed
 
 PASSAGE = 64
 PASSAGES = 1024  # multiplied at once
 BLOCK = 6  # words; windows are made of blocks, whose vectors are computed once for all sizes
-PIECE = 1_000_000  # characters looked at together
+PIECE = 170_000  # words looked at together
 RANK, OVERSAMPLE = 128, 8
 ITEMS_A_BLOCK = 20_000  # searched for together
 MOST_TERMS = 500_000
@@ -51,12 +51,24 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER, _PUNCTUATION).split() if text else []
 
 
+def _numbered(rows: DataFrame, terms) -> DataFrame:
+    """rows (id, text) as id, ids: the term numbers of a text's words as 32-bit integers, -1 for words that the benchmark does not have. terms: broadcast. Texts are split once;
+    frequencies, products and matches read this table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = terms.value.get
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "ids": [np.array([get(w, -1) for w in _words(t)], np.int32).tobytes() for t in b["text"]]})
+        give_back()
+
+    return stored(rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary"), "benchmark-terms")
+
+
 class _Terms:
-    """Texts of a batch as term numbers, -1 for words that the benchmark does not have."""
+    """Texts of a batch as term numbers (see _numbered())."""
 
-    def __init__(self, terms: dict[bytes, int], texts):
-        get = terms.get
-        parts = [np.array([get(w, -1) for w in _words(t)], np.int32) for t in texts]
+    def __init__(self, texts):
+        parts = [np.frombuffer(t, np.int32) for t in texts]
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -78,15 +90,15 @@ class _Terms:
 
 
 def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
-    """A batch in pieces of about PIECE characters."""
-    size = texts.map(lambda t: len(t) if t else 0).cumsum().to_numpy() // PIECE
+    """A batch in pieces of about PIECE words."""
+    size = (texts.map(len) // 4).cumsum().to_numpy() // PIECE
     cuts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]])) if len(texts) else []
     for k, end in zip(cuts, [*cuts[1:], len(texts)], strict=True):
         yield texts.iloc[k:end]
 
 
 def _sum_over(docs: DataFrame, per_piece, rows: int, columns: int) -> np.ndarray:
-    return summed(docs.select("text"), lambda b: sum(per_piece(piece) for piece in _pieces(b["text"])), rows, columns)
+    return summed(docs.select("ids"), lambda b: sum(per_piece(piece) for piece in _pieces(b["ids"])), rows, columns)
 
 
 def _lcs(a: list, b: list) -> int:
@@ -153,7 +165,7 @@ class Latent:
 
     def matches(self, texts: pd.Series) -> Iterator[tuple[int, object, float, float]]:
         """Number of the text, item id, share of the item's words in order, cosine."""
-        t = _Terms(self.terms, texts)
+        t = _Terms(texts)
         if not len(t.ids):
             return
         known = t.ids >= 0
@@ -207,25 +219,24 @@ class Latent:
                 yield n, item_id, *best
 
 
-def _space(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """idf of the terms and their coordinates in the latent space of the corpus."""
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+def _space(docs: DataFrame, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the terms and their coordinates in the latent space of the corpus. docs: see _numbered()."""
 
     def frequencies(texts: pd.Series) -> np.ndarray:
-        ids, passage, n = _Terms(known.value, texts).passages()
-        pairs = np.unique(passage * len(known.value) + ids)
-        return np.append(np.bincount(pairs % len(known.value), minlength=len(known.value)), n).astype(float)[:, None]
+        ids, passage, n = _Terms(texts).passages()
+        pairs = np.unique(passage * n_terms + ids)
+        return np.append(np.bincount(pairs % n_terms, minlength=n_terms), n).astype(float)[:, None]
 
-    df = _sum_over(docs, frequencies, len(terms) + 1, 1)[:, 0]
+    df = _sum_over(docs, frequencies, n_terms + 1, 1)[:, 0]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    rank = min(RANK + OVERSAMPLE, len(terms))
-    probe = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), rank)))[0]
+    rank = min(RANK + OVERSAMPLE, n_terms)
+    probe = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n_terms, rank)))[0]
 
     weighted = (probe * (idf**2)[:, None]).astype(np.float32)
 
     def products(texts: pd.Series) -> np.ndarray:
-        ids, passage, n = _Terms(known.value, texts).passages()
-        out = np.zeros((len(known.value), rank))
+        ids, passage, n = _Terms(texts).passages()
+        out = np.zeros((n_terms, rank))
         cuts = np.searchsorted(passage, np.arange(0, n + PASSAGES, PASSAGES))
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
@@ -240,7 +251,7 @@ def _space(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, np.nda
             out[term] += np.add.reduceat(rows[at[order]], first, axis=0) * (idf[term] ** 2)[:, None]
         return out
 
-    y = _sum_over(docs, products, len(terms), rank)
+    y = _sum_over(docs, products, n_terms, rank)
     # Nystroem: A'A ~ Y (G'Y)^-1 Y'; directions without energy are held above zero.
     inner = probe.T @ y
     energy, axes = np.linalg.eigh((inner + inner.T) / 2)
@@ -264,7 +275,9 @@ def matches(
         # Rows that are repeated in the benchmark fall into the same half, an id with several texts maybe not.
         return a.unionByName(b).groupBy(id_col, "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"))
     terms = {w: k for k, w in enumerate(sorted(bytes(r.w) for r in spoken.collect()))}
-    space = _space(rows, terms) if terms else None
+    if terms:
+        rows = _numbered(rows, docs.sparkSession.sparkContext.broadcast(terms))
+    space = _space(rows, len(terms)) if terms else None
     out = None
     for block in range(blocks):
         part = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -276,7 +289,7 @@ def matches(
 
         def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for texts in _pieces(b["text"]):
+                for texts in _pieces(b["ids"]):
                     hits = list(model.value.matches(texts))
                     yield pd.DataFrame({"id": b.loc[texts.index, "id"].iloc[[h[0] for h in hits]].to_numpy(), **{c: [h[i] for h in hits] for i, c in ((1, "item_id"), (2, "lcs"), (3, "cosine"))}})
             give_back()
