@@ -162,9 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, idf: np.ndarray
         for b in batches:
             yield pd.DataFrame({"h": b["h"], "y": b["y"], "x": list(features(b["text"], *table.value))})
 
-    met = docs.select(F.col(id_col).alias("id"), "text", F.xxhash64("text").alias("h")).join(picked.distinct(), F.col("id") == F.col("l_id")).select("h", "y", "text")
-    chosen = met.select("h", "y").distinct().orderBy("h", "y").limit(sample)  # at most `sample` pairs of numbers go to every task
-    found = met.join(F.broadcast(chosen), ["h", "y"]).groupBy("h", "y").agg(F.min("text").alias("text"))
+    # Labels meet documents by id and hash; only texts that are chosen move, found again by their hash.
+    met = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("h")).join(picked.distinct(), F.col("id") == F.col("l_id")).select("h", "y")
+    chosen = met.distinct().orderBy("h", "y").limit(sample)  # at most `sample` pairs of numbers go to every task
+    found = docs.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h").groupBy("h", "y").agg(F.min("text").alias("text"))
     rows = found.mapInPandas(run, "h long, y int, x array<float>").toPandas().sort_values(["h", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), DIM + 1)
     return Network(x, rows["y"].to_numpy().astype(float))
