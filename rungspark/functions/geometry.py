@@ -26,11 +26,13 @@ def inside(px: Column, py: Column, box: tuple[Column, ...], margin: float = 0.0)
 
 
 def to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Distance of a point from a segment."""
+    """Distance of a point from a segment. On an axis-parallel one the foot is cut to its ends, without a division, so that equal distances are equal."""
     dx, dy = x1 - x0, y1 - y0
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.greatest(((px - x0) * dx + (py - y0) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    return F.sqrt((px - x0 - t * dx) ** 2 + (py - y0 - t * dy) ** 2)
+    cut = lambda p, a, b: F.greatest(F.least(p, F.greatest(a, b)), F.least(a, b))
+    fx, fy = (F.when((dx == 0) | (dy == 0), cut(p, a, b)).otherwise(a + t * d) for p, a, b, d in ((px, x0, x1, dx), (py, y0, y1, dy)))
+    return F.sqrt((px - fx) ** 2 + (py - fy) ** 2)
 
 
 def clips(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[Column, ...]) -> Column:
