@@ -148,7 +148,7 @@ def nearest_labels(points: DataFrame, labels: DataFrame, by: list[str], within:
     spread = P.gridded(points, F.col("px") - within, F.col("px") + within, F.col("py") - within, F.col("py") + within, within)
     placed = labels.withColumn("gx", F.floor(F.col("tx") / within)).withColumn("gy", F.floor(F.col("ty") / within))
     d = F.sqrt((F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2)
-    met = spread.join(placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)
+    met = P.in_cells(spread, placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)
     nth = F.row_number().over(Window.partitionBy(*by, "point_id").orderBy("distance", F.desc("confidence"), "label_id"))
     return met.withColumn("nth", nth).filter(F.col("nth") <= n).select(*by, "point_id", "label_id", "distance", "nth")
 
@@ -180,7 +180,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], withi
     )
     placed = points.withColumn("gx", F.floor(c("px") / (within * 4))).withColumn("gy", F.floor(c("py") / (within * 4)))
     d = G.to_segment(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))
-    met = placed.join(spread, [*by, "gx", "gy"]).withColumn("distance", d).filter(c("distance") <= within)
+    met = P.in_cells(placed, spread, [*by, "gx", "gy"]).withColumn("distance", d).filter(c("distance") <= within)
     return met.groupBy(*by, "point_id").agg(F.min(F.struct("distance", "segment_id")).alias("b")).select(*by, "point_id", "b.segment_id", "b.distance")
 
 

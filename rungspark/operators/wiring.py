@@ -169,7 +169,7 @@ def next_ahead(dots: DataFrame, by: list[str], align: float, reach: float) -> Da
     there = dots.select(*by, F.col("dot_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("gx"), cell("y").alias("gy"))
     dx, dy = F.col("ox") - F.col("x"), F.col("oy") - F.col("y")
     along = lambda d, off, plus, minus: F.when((F.abs(off) <= align) & (d != 0) & (F.abs(d) <= reach), F.struct(F.when(d > 0, plus).otherwise(minus).alias("direction"), F.abs(d).alias("gap")))
-    met = here.join(there, [*by, "gx", "gy"]).filter("dot_id <> other_id").withColumn("way", F.explode(F.array(along(dx, dy, "right", "left"), along(dy, dx, "down", "up")))).filter("way IS NOT NULL")
+    met = P.in_cells(here, there, [*by, "gx", "gy"]).filter("dot_id <> other_id").withColumn("way", F.explode(F.array(along(dx, dy, "right", "left"), along(dy, dx, "down", "up")))).filter("way IS NOT NULL")
     best = met.groupBy(*by, "dot_id", F.col("way.direction").alias("direction")).agg(F.min(F.struct("way.gap", "other_id")).alias("b"))
     return best.select(*by, "dot_id", "direction", "b.other_id", "b.gap")
 
@@ -180,7 +180,7 @@ def collinear_bridges(terminals: DataFrame, wires: DataFrame, by: list[str], ali
     spread = P.gridded(wires, F.col("x0") - gap, F.col("x1") + gap, F.col("y") - align, F.col("y") + align, gap)
     placed = terminals.withColumn("gx", F.floor(F.col("px") / gap)).withColumn("gy", F.floor(F.col("py") / gap))
     away, off = F.greatest(F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0)), F.abs(F.col("py") - F.col("y"))
-    met = placed.join(spread, [*by, "gx", "gy"]).withColumns({"away": away, "off": off}).filter((F.col("off") <= align) & (F.col("away") <= gap))
+    met = P.in_cells(placed, spread, [*by, "gx", "gy"]).withColumns({"away": away, "off": off}).filter((F.col("off") <= align) & (F.col("away") <= gap))
     best = F.min(F.struct((F.col("away") + 2 * F.col("off")).alias("cost"), "wire_id", (F.col("away") == 0).alias("inside"))).alias("b")
     return met.groupBy(*by, "terminal_id").agg(best).select(*by, "terminal_id", "b.wire_id", "b.cost", "b.inside")
 
@@ -191,7 +191,7 @@ def words_near(boxes: DataFrame, texts: DataFrame, by: list[str], margin: float,
     spread = P.gridded(boxes, F.col("x0") - margin, F.col("x1") + margin, F.col("y0") - margin, F.col("y1") + margin, size)
     placed = texts.select(*by, "tx", "ty", "word", F.floor(F.col("tx") / size).alias("gx"), F.floor(F.col("ty") / size).alias("gy"))
     within = lambda m: F.col("tx").between(F.col("x0") - m, F.col("x1") + m) & F.col("ty").between(F.col("y0") - m, F.col("y1") + m)
-    met = spread.join(placed, [*by, "gx", "gy"]).filter(within(margin) & ~within(0.0) & (F.col("word") != ""))
+    met = P.in_cells(spread, placed, [*by, "gx", "gy"]).filter(within(margin) & ~within(0.0) & (F.col("word") != ""))
     found = met.groupBy(*by, "box_id").agg(F.count_distinct("word").alias("n_texts"), F.max(F.col("word").rlike(words)).alias("has_word"))
     out = boxes.select(*by, "box_id").join(found, [*by, "box_id"], "left")
     return out.withColumns({"n_texts": F.coalesce("n_texts", F.lit(0)), "has_word": F.coalesce("has_word", F.lit(False))})
@@ -221,7 +221,7 @@ def accepted_dots(dots: DataFrame, by: list[str], sure: float, least: float, sam
     other = own.select(*by, F.col("dot_id").alias("worse"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("rank").alias("lower"), near("gx").alias("gx"), "gy")
     other = other.withColumn("gy", near("gy"))
     apart = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2
-    pairs = own.join(other, [*by, "gx", "gy"]).filter((F.col("rank") < F.col("lower")) & (apart <= same * same))
+    pairs = P.in_cells(own, other, [*by, "gx", "gy"]).filter((F.col("rank") < F.col("lower")) & (apart <= same * same))
     return D.left_over(rows, by, "dot_id", graph.cut_lineage(pairs.select(*by, F.col("dot_id").alias("better"), "worse").distinct()))
 
 
@@ -232,12 +232,12 @@ def perpendicular_bridges(ends: DataFrame, wires: DataFrame, terminals: DataFram
     reach = ends.withColumn("gx", F.explode(F.sequence(F.floor(c("ex") / most) - 1, F.floor(c("ex") / most) + 1))).withColumn("gy", F.floor(c("ey") / most))
     slack = (c("y1") - c("y0")) * 0.02
     spread = wires.withColumn("gx", F.floor(c("x") / most)).withColumn("gy", F.explode(F.sequence(F.floor((c("y0") - slack) / most), F.floor((c("y1") + slack) / most))))
-    met = reach.join(spread, [*by, "gx", "gy"]).withColumn("gap", (c("x") - c("ex")) * c("way"))
+    met = P.in_cells(reach, spread, [*by, "gx", "gy"]).withColumn("gap", (c("x") - c("ex")) * c("way"))
     met = met.filter((c("gap") > 1) & (c("gap") <= most) & c("ey").between(c("y0") - slack, c("y1") + slack))
     met = graph.cut_lineage(met.select(*by, "end_id", "wire_id", "gap", "true_end", c("x").alias("px"), c("ey").alias("py")))
     around = lambda p: F.explode(F.sequence(F.floor(c(p) / near) - 1, F.floor(c(p) / near) + 1))
     held = met.withColumn("hx", around("px")).withColumn("hy", around("py"))
-    held = held.join(terminals.select(*by, "tx", "ty", F.floor(c("tx") / near).alias("hx"), F.floor(c("ty") / near).alias("hy")), [*by, "hx", "hy"])
+    held = P.in_cells(held, terminals.select(*by, "tx", "ty", F.floor(c("tx") / near).alias("hx"), F.floor(c("ty") / near).alias("hy")).distinct(), [*by, "hx", "hy"])
     held = held.filter((c("tx") - c("px")) ** 2 + (c("ty") - c("py")) ** 2 <= near * near).select(*by, "end_id", "wire_id").distinct().withColumn("held", F.lit(True))
     met = met.join(held, [*by, "end_id", "wire_id"], "left").filter(c("held").isNotNull() | (c("true_end") & (c("gap") <= free)))
     return met.groupBy(*by, "end_id").agg(F.min(F.struct("gap", "wire_id")).alias("b")).select(*by, "end_id", "b.wire_id", "b.gap")
