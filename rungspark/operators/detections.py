@@ -6,6 +6,9 @@ equal scores go by the key; repeated rows of one key count as rows.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +54,43 @@ def overlap_of_smaller(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 def suppressed(df: DataFrame, by: list[str], key: str, score: str, cell: float, iou: float, share: float) -> DataFrame:
     """The boxes left when, from the surest on, each drops what overlaps it by IoU >= iou or by share of the smaller area.
 
-    Rounds over neighbour pairs: a box without an undecided surer neighbour is kept, its neighbours go. The rounds end with the longest
-    chain of overlaps; a pair is built only where boxes overlap.
+    A page's boxes are ranked in Spark and go by in that order: each is held against the kept ones of its cells only, which hardly overlap and so
+    stay few; no pairs are stored.
     """
-    of = lambda s: tuple(F.col(f"{s}.{c}") for c in BOX)
-    near = P.box_overlaps(df, df, by, 1e-12, cell).filter(F.col(f"l.{key}") != F.col(f"r.{key}"))
-    near = near.filter((F.col("iou") >= iou) | (overlap_of_smaller(of("l"), of("r")) >= share))
-    rank = lambda s: F.struct((-F.col(f"{s}.{score}")).alias("s"), F.col(f"{s}.{key}").alias("k"))
-    pairs = cut_lineage(near.filter(rank("l") < rank("r")).select(*by, F.col(f"l.{key}").alias("better"), F.col(f"r.{key}").alias("worse")).distinct())
-    return left_over(df, by, key, pairs)
+    numbers = [f"{b}__" for b in BOX]
+    ranked = df.select(*by, key, score, *[F.col(b).cast("double").alias(n) for b, n in zip(BOX, numbers)]).withColumn("n__", F.row_number().over(Window.partitionBy(*by).orderBy((-F.col(score)).asc_nulls_first(), key)))
+    rows = ranked.select(*by, key, "n__", *numbers)
+
+    def fold(page: pa.Table) -> pa.Table:
+        page = page.sort_by("n__")
+        stays, kept, keys = [], {}, page[key].to_pylist()
+        for k, box in zip(keys, zip(*(page[n].to_pylist() for n in numbers))):
+            if None in box or any(v != v for v in box):
+                stays.append(True)  # meets nothing
+                continue
+            cx, cy, w, h = box
+            x0, x1, y0, y1, area = cx - w / 2, cx + w / 2, cy - h / 2, cy + h / 2, w * h
+            cells = [(i, j) for i in range(math.floor(x0 / cell), math.floor(x1 / cell) + 1) for j in range(math.floor(y0 / cell), math.floor(y1 / cell) + 1)]
+
+            def drops(other: tuple) -> bool:
+                both = max(min(other[1], x1) - max(other[0], x0), 0.0) * max(min(other[3], y1) - max(other[2], y0), 0.0)
+                union = other[4] + area - both
+                if other[5] == k or union <= 0 or both / union < 1e-12:
+                    return False
+                return both / union >= iou or (min(other[4], area) > 0 and both / min(other[4], area) >= share)
+
+            stay = not any(drops(o) for at in cells for o in kept.get(at, ()))
+            stays.append(stay)
+            if stay:
+                for at in cells:
+                    kept.setdefault(at, []).append((x0, x1, y0, y1, area, k))
+        # A key of several rows goes with all of them.
+        gone = {k for k, s in zip(keys, stays) if not s}
+        lost = sorted(gone)
+        return pa.table({**{b: pa.array([page[b][0].as_py()] * len(lost), page.schema.field(b).type) for b in by}, key: pa.array(lost, page.schema.field(key).type)})
+
+    gone = rows.groupBy(*by).applyInArrow(fold, rows.select(*by, key).schema)
+    return df.join(gone, [*by, key], "left_anti")
 
 
 def left_over(df: DataFrame, by: list[str], key: str, pairs: DataFrame) -> DataFrame:
