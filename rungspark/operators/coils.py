@@ -32,7 +32,7 @@ def clip_range(px: Column, py: Column, qx: Column, qy: Column, x0: Column, y0: C
     return F.when(~out & (low < high), F.struct(low.alias("t0"), high.alias("t1")))
 
 
-def through_wires(symbols: DataFrame, terminals: DataFrame, connections: DataFrame, pages: DataFrame, cell: float = 128.0) -> DataFrame:
+def through_wires(symbols: DataFrame, terminals: DataFrame, connections: DataFrame, pages: DataFrame, cell: float = 16.0) -> DataFrame:
     """page_id, symbol_ref, wire_ref, t0, t1, px, py, qx, qy: wires that enter and leave a coil that is not one of their ends, near its centre."""
     c = F.col
     size = pages.select("page_id", "width", "height")
@@ -50,17 +50,19 @@ def through_wires(symbols: DataFrame, terminals: DataFrame, connections: DataFra
     x, y = c("cx") * c("width"), c("cy") * c("height")
     coils = placed.filter(c("class_key").isin(*COILS)).select("page_id", c("ref").alias("symbol_ref"), (x - w / 2 + INSET).alias("x0"), (y - h / 2 + INSET).alias("y0"), (x + w / 2 - INSET).alias("x1"), (y + h / 2 - INSET).alias("y1"))
     coils = coils.filter("x0 <= x1 AND y0 <= y1")
-    low, high = lambda a, b: F.floor(F.least(a, b) / cell), lambda a, b: F.floor(F.greatest(a, b) / cell)
-    spread = wires.withColumn("gx", F.explode(F.sequence(low("px", "qx"), high("px", "qx")))).withColumn("gy", F.explode(F.sequence(low("py", "qy"), high("py", "qy"))))
-    boxes = P.gridded(coils, c("x0"), c("x1"), c("y0"), c("y1"), cell)
-    corner = (F.floor(F.greatest(F.least("px", "qx"), c("x0")) / cell) == c("gx")) & (F.floor(F.greatest(F.least("py", "qy"), c("y0")) / cell) == c("gy"))
-    met = spread.join(boxes, ["page_id", "gx", "gy"]).filter(corner & (c("symbol_ref") != c("from_symbol")) & (c("symbol_ref") != c("to_symbol")))
-    met = met.withColumn("r", clip_range(c("px"), c("py"), c("qx"), c("qy"), c("x0"), c("y0"), c("x1"), c("y1"))).filter("r IS NOT NULL AND r.t0 > 0 AND r.t1 < 1")
+    # A wire passes near enough the centre if it meets a small square around it. A pair meets in several cells: it counts in the one of the wire's point nearest to the centre.
     mx, my = (c("x0") + c("x1")) / 2, (c("y0") + c("y1")) / 2
+    core = CENTRE * F.least(c("x1") - c("x0"), c("y1") - c("y0")) + cell * 1e-6
     dx, dy = c("qx") - c("px"), c("qy") - c("py")
+    spread = P.segment_cells(wires, c("px"), c("py"), c("qx"), c("qy"), 0.0, cell)
+    boxes = P.gridded(coils, mx - core, mx + core, my - core, my + core, cell)
+    foot = ((mx - c("px")) * dx + (my - c("py")) * dy) / (dx * dx + dy * dy)
+    corner = (F.floor((c("px") + foot * dx) / cell) == c("gx")) & (F.floor((c("py") + foot * dy) / cell) == c("gy"))
     away = F.abs(dx * (c("py") - my) - (c("px") - mx) * dy) / F.sqrt(dx * dx + dy * dy)
-    near = met.filter(away <= CENTRE * F.least(c("x1") - c("x0"), c("y1") - c("y0")))
-    return near.select("page_id", "symbol_ref", "wire_ref", "r.t0", "r.t1", "px", "py", "qx", "qy")
+    near = away <= CENTRE * F.least(c("x1") - c("x0"), c("y1") - c("y0"))
+    met = P.in_cells(spread, boxes, ["page_id", "gx", "gy"]).filter(corner & near & (c("symbol_ref") != c("from_symbol")) & (c("symbol_ref") != c("to_symbol")))
+    met = met.withColumn("r", clip_range(c("px"), c("py"), c("qx"), c("qy"), c("x0"), c("y0"), c("x1"), c("y1"))).filter("r IS NOT NULL AND r.t0 > 0 AND r.t1 < 1")
+    return met.select("page_id", "symbol_ref", "wire_ref", "r.t0", "r.t1", "px", "py", "qx", "qy")
 
 
 def coil_issues(symbols: DataFrame, terminals: DataFrame, connections: DataFrame, pages: DataFrame) -> DataFrame:

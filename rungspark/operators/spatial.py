@@ -25,6 +25,17 @@ def gridded(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size:
     return df.withColumn("gx", F.explode(_cells(x0, x1, size))).withColumn("gy", F.explode(_cells(y0, y1, size)))
 
 
+def segment_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, reach: float, size: float) -> DataFrame:
+    """`df` with gx, gy: the cells along each segment that come within `reach` of it, column by column, not those of the whole box around it."""
+    wide = reach + size * 1e-6
+    low, high, dx = F.least(x0, x1), F.greatest(x0, x1), x1 - x0
+    out = df.withColumn("gx", F.explode(_cells(low - wide, high + wide, size)))
+    y = lambda x: y0 + F.coalesce((F.least(F.greatest(x, low), high) - x0) / F.nullif(dx, F.lit(0.0)), F.lit(0.0)) * (y1 - y0)
+    a, b = y(F.col("gx") * size - wide), y((F.col("gx") + 1) * size + wide)
+    bottom, top = F.when(dx == 0, F.least(y0, y1)).otherwise(F.least(a, b)), F.when(dx == 0, F.greatest(y0, y1)).otherwise(F.greatest(a, b))
+    return out.withColumn("gy", F.explode(_cells(bottom - wide, top + wide, size)))
+
+
 def in_cells(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The join of two gridded tables. Spark judges them by what they were made from, so it would send spread rows to the driver and every task: both are shuffled instead."""
     return left.hint("merge").join(right.hint("merge"), keys)
