@@ -7,6 +7,7 @@ equal scores go by the key; repeated rows of one key count as rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -224,8 +225,7 @@ def adjacent_on_longer_axis(terminals: DataFrame, by: list[str], key: str, x: st
 
 
 def bus_texts(ends: DataFrame, texts: DataFrame, by: list[str], weight: float = 0.2) -> DataFrame:
-    """by, end_id, text_id: the text beside each bus end: least abs(dy) + weight * abs(dx). A page has few bus ends and texts.
+    """by, end_id, text_id, distance: the text beside each bus end: least abs(dy) + weight * abs(dx), however far.
     ends: by, end_id, px, py; texts: by, text_id, tx, ty."""
     d = F.abs(F.col("ty") - F.col("py")) + weight * F.abs(F.col("tx") - F.col("px"))
-    met = ends.join(texts, by).withColumn("d", d)
-    return met.groupBy(*by, "end_id").agg(F.min(F.struct("d", "text_id")).alias("b")).select(*by, "end_id", "b.text_id", F.col("b.d").alias("distance"))
+    return P.nearest(ends, texts, by, None, "end_id", "text_id", weights=(weight, 1.0), distance=d)

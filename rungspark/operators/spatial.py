@@ -64,37 +64,57 @@ def owners(points: DataFrame, boxes: DataFrame, by: list[str], order: list[str],
     return met.groupBy(*by, point_key).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("o")).select(*by, point_key, "o.*")
 
 
-def nearest(points: DataFrame, targets: DataFrame, by: list[str], within: float, point_key: str, target_key: str, point: tuple = ("px", "py"), target: tuple = ("tx", "ty"), weights: tuple = (1.0, 1.0)) -> DataFrame:
-    """Each point's nearest target at most `within` away (ties to the lesser key): by, point_key, target_key, distance. Weights stretch
-    the axes. (For the city-block measure of bus names see detections.bus_texts().)
+def first_reach(targets: DataFrame, by: list[str], target: tuple, weights: tuple, within: float, wanted: float) -> float:
+    """The reach, at most `within`, of which a cell in a crowd has about `wanted` targets, or not many more than are at one place."""
+    x, y = (F.col(c) * w for c, w in zip(target, weights))
+    crowd = lambda x, y: targets.groupBy(*by, x.alias("x__"), y.alias("y__")).count().agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0] or 0.0
+    reach, most = within, max(2 * wanted, 1.5 * crowd(x, y))
+    while reach > within * 1e-9:
+        full = crowd(F.floor(x / reach), F.floor(y / reach))
+        if full <= most:
+            break
+        reach /= (full / wanted) ** 0.5
+    return reach
+
+
+def nearest(points: DataFrame, targets: DataFrame, by: list[str], within: float | None, point_key: str, target_key: str, point: tuple = ("px", "py"), target: tuple = ("tx", "ty"), weights: tuple = (1.0, 1.0), distance: Column | None = None) -> DataFrame:
+    """Each point's nearest target at most `within` (None: however far) away (ties to the lesser key): by, point_key, target_key, distance. Weights stretch
+    the axes. distance: of the columns in point and target, if it is not the Euclidean one; no less than either of the stretched axes' differences.
 
     Targets at one place count as the one with the least key. Where many share a cell, points look for a target nearby first, and only those without one farther away."""
     from .graph import cut_lineage
 
     at = [*by, *target]
     targets = cut_lineage(targets.groupBy(*at).agg(F.min(target_key).alias(target_key)))
-    size = [F.floor(F.col(c) * w / within) for c, w in zip(target, weights)]
-    full = targets.groupBy(*by, *[s.alias(n) for s, n in zip(size, ("gx", "gy"))]).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0.0
-    reach, parts, left = within / max(1.0, (full / CROWD) ** 0.5), [], points.select(*by, point_key, *point).distinct()
+    if within is None:
+        both = points.select(*[F.col(c) * w for c, w in zip(point, weights)]).union(targets.select(*[F.col(c) * w for c, w in zip(target, weights)])).toDF("x", "y")
+        # By the city block, in which no two of them are farther apart.
+        within = both.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")) * 1.001).first()[0] or 1.0
+    reach, parts, left = first_reach(targets, by, target, weights, within, CROWD), [], points.select(*by, point_key, *point).distinct()
+    args = (point_key, target_key, point, target, weights, distance)
     while reach < within:
-        found = cut_lineage(_nearest(left, targets, by, reach, point_key, target_key, point, target, weights))
+        found = cut_lineage(_nearest(left, targets, by, reach, *args))
         parts.append(found)
-        left = left.join(found.select(*by, point_key), [*by, point_key], "left_anti")
+        left = cut_lineage(left.join(found.select(*by, point_key), [*by, point_key], "left_anti"))
         reach *= 3
-    out = _nearest(left, targets, by, within, point_key, target_key, point, target, weights)
+    out = _nearest(left, targets, by, within, *args)
     for found in parts:
         out = out.unionByName(found)
     return out
 
 
-def _nearest(points: DataFrame, targets: DataFrame, by: list[str], within: float, point_key: str, target_key: str, point: tuple, target: tuple, weights: tuple) -> DataFrame:
+def near_pairs(points: DataFrame, targets: DataFrame, by: list[str], within: float, point: tuple = ("px", "py"), target: tuple = ("tx", "ty"), weights: tuple = (1.0, 1.0), distance: Column | None = None) -> DataFrame:
+    """Pairs of a point and a target at most `within` apart, with their distance."""
     px, py, tx, ty = F.col(point[0]) * weights[0], F.col(point[1]) * weights[1], F.col(target[0]) * weights[0], F.col(target[1]) * weights[1]
     spread = gridded(points, px - within, px + within, py - within, py + within, within)
     placed = targets.withColumn("gx", F.floor(tx / within)).withColumn("gy", F.floor(ty / within))
-    d = F.sqrt((px - tx) ** 2 + (py - ty) ** 2)
-    met = in_cells(spread, placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)
+    d = F.sqrt((px - tx) ** 2 + (py - ty) ** 2) if distance is None else distance
+    return in_cells(spread, placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)
+
+
+def _nearest(points: DataFrame, targets: DataFrame, by: list[str], within: float, point_key: str, target_key: str, point: tuple, target: tuple, weights: tuple, distance: Column | None) -> DataFrame:
     best = F.min(F.struct("distance", target_key)).alias("b")
-    return met.groupBy(*by, point_key).agg(best).select(*by, point_key, f"b.{target_key}", "b.distance")
+    return near_pairs(points, targets, by, within, point, target, weights, distance).groupBy(*by, point_key).agg(best).select(*by, point_key, f"b.{target_key}", "b.distance")
 
 
 def crossings(horizontal: DataFrame, vertical: DataFrame, by: list[str], cell: float, tolerance: float = 0.0) -> DataFrame:
