@@ -177,12 +177,22 @@ def accepted_lines(df: DataFrame, least: float = 45, thick: float = 32, aspect:
 def nearest_labels(points: DataFrame, labels: DataFrame, by: list[str], within: float, n: int = 8) -> DataFrame:
     """by, point_id, label_id, distance, nth: the n nearest labels of each point, the surer first of equally near ones.
     points: by, point_id, px, py; labels: by, label_id, tx, ty, confidence."""
-    spread = P.gridded(points, F.col("px") - within, F.col("px") + within, F.col("py") - within, F.col("py") + within, within)
-    placed = labels.withColumn("gx", F.floor(F.col("tx") / within)).withColumn("gy", F.floor(F.col("ty") / within))
-    d = F.sqrt((F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2)
-    met = P.in_cells(spread, placed, [*by, "gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= within)
-    nth = F.row_number().over(Window.partitionBy(*by, "point_id").orderBy("distance", F.desc("confidence"), "label_id"))
-    return met.withColumn("nth", nth).filter(F.col("nth") <= n).select(*by, "point_id", "label_id", "distance", "nth")
+    labels = cut_lineage(labels.select(*by, "label_id", "tx", "ty", "confidence"))
+    left, parts = points.select(*by, "point_id", "px", "py"), []
+    reach = P.first_reach(labels, by, ("tx", "ty"), (1.0, 1.0), within, 2.0 * n)
+    order = Window.partitionBy(*by, "point_id").orderBy("distance", F.desc("confidence"), "label_id")
+
+    def found(reach: float) -> DataFrame:
+        nth = P.near_pairs(left, labels, by, reach).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
+        return nth.select(*by, "point_id", "label_id", "distance", "nth")
+
+    # Points look nearby first; those that find n labels there need not look farther.
+    while reach < within:
+        done = cut_lineage(found(reach).withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy(*by, "point_id"))).filter(F.col("n__") == n).drop("n__"))
+        parts.append(done)
+        left = cut_lineage(left.join(done.filter("nth = 1").select(*by, "point_id"), [*by, "point_id"], "left_anti"))
+        reach *= 3
+    return reduce(DataFrame.unionByName, parts, found(within))
 
 
 def candidate_connections(edges: DataFrame, labelled: DataFrame, by: list[str]) -> DataFrame:
