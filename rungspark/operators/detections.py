@@ -18,6 +18,7 @@ from . import spatial as P
 from .graph import cut_lineage
 
 BOX = ("cx", "cy", "w", "h")
+MOST_CELLS = 64  # over which a segment of common length is spread along an axis
 
 
 def size_kind(w: Column, h: Column, area: float = 0.04, side: float = 0.40) -> Column:
@@ -217,13 +218,25 @@ def twins(df: DataFrame, by: list[str], key: str, class_col: str, cell: float) -
 def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], within: float) -> DataFrame:
     """by, point_id, segment_id, distance: each point's nearest segment (x0, y0, x1, y1), ties to the lesser id."""
     c = F.col
-    spread = P.gridded(
-        segments, F.least("x0", "x1") - within, F.greatest("x0", "x1") + within, F.least("y0", "y1") - within, F.greatest("y0", "y1") + within, within * 4
-    )
-    placed = points.withColumn("gx", F.floor(c("px") / (within * 4))).withColumn("gy", F.floor(c("py") / (within * 4)))
-    d = G.to_segment(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))
-    met = P.in_cells(placed, spread, [*by, "gx", "gy"]).withColumn("distance", d).filter(c("distance") <= within)
-    return met.groupBy(*by, "point_id").agg(F.min(F.struct("distance", "segment_id")).alias("b")).select(*by, "point_id", "b.segment_id", "b.distance")
+    ends = (c("x0"), c("y0"), c("x1"), c("y1"))
+    segments = cut_lineage(segments.select(*by, "segment_id", "x0", "y0", "x1", "y1"))
+    left, parts = points.select(*by, "point_id", "px", "py").distinct(), []
+    # Points look nearby first. A finer grid meets fewer segments but spreads each over more cells: about the square root of their number, at most MOST_CELLS.
+    crowd = segments.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max(F.greatest("x0", "x1")) - F.min(F.least("x0", "x1")), F.max(F.greatest("y0", "y1")) - F.min(F.least("y0", "y1")), F.avg(F.greatest(F.abs(c("x1") - c("x0")), F.abs(c("y1") - c("y0")))))
+    size = crowd.toDF(*by, "n", "w", "h", "long").agg(F.min(F.greatest(F.greatest("w", "h") / (2 * F.sqrt("n")), c("long") / MOST_CELLS))).first()[0]
+    reach = min(within, size / 4) if size else within
+
+    def found(reach: float) -> DataFrame:
+        spread, placed = P.segment_cells(segments, *ends, reach, 4 * reach), left.withColumn("gx", F.floor(c("px") / (4 * reach))).withColumn("gy", F.floor(c("py") / (4 * reach)))
+        met = P.in_cells(placed, spread, [*by, "gx", "gy"]).withColumn("distance", G.to_segment(c("px"), c("py"), *ends)).filter(c("distance") <= reach)
+        return met.groupBy(*by, "point_id").agg(F.min(F.struct("distance", "segment_id")).alias("b")).select(*by, "point_id", "b.segment_id", "b.distance")
+
+    while reach < within:
+        done = cut_lineage(found(reach))
+        parts.append(done)
+        left = cut_lineage(left.join(done.select(*by, "point_id"), [*by, "point_id"], "left_anti"))
+        reach *= 3
+    return reduce(DataFrame.unionByName, parts, found(within))
 
 
 def adjacent_on_longer_axis(terminals: DataFrame, by: list[str], key: str, x: str, y: str) -> DataFrame:
