@@ -146,18 +146,19 @@ def mutual_best(pairs: DataFrame, by: list[str], left: str, right: str, score: s
     """One-to-one matching: the pair of the greatest score first, then the greatest of what is left, ties by left, then right.
 
     A pair that is the best of both its ends would be taken by the greedy order too, so rounds of taking all such pairs at once
-    give the same matching.
+    give the same matching. Tables of many rows can be small files: joins are shuffled, so that none is sent through the driver.
     """
     from .graph import cut_lineage
 
     rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
     rest, taken = cut_lineage(pairs.select(*by, left, right, score)), None
-    while not rest.isEmpty():
-        w = lambda side: Window.partitionBy(*by, side)
-        ranked = rest.withColumn("k", rank).withColumn("bl", F.min("k").over(w(left))).withColumn("br", F.min("k").over(w(right)))
-        best = cut_lineage(ranked.filter("k = bl AND k = br").drop("k", "bl", "br"))
+    while n := rest.count():
+        top = lambda side: rest.groupBy(*by, side).agg(F.min(rank).alias("k")).select(*by, "k").hint("merge")
+        both = top(left).join(top(right), [*by, "k"])
+        best = cut_lineage(both.select(*by, F.col("k.l").alias(left), F.col("k.r").alias(right), (-F.col("k.s")).alias(score)), n)
         taken = best if taken is None else taken.unionByName(best)
-        rest = cut_lineage(rest.join(best.select(*by, left), [*by, left], "left_anti").join(best.select(*by, right), [*by, right], "left_anti"))
+        without = lambda df, side: df.hint("merge").join(best.select(*by, side).hint("merge"), [*by, side], "left_anti")
+        rest = cut_lineage(without(without(rest, left), right), n)
     return taken if taken is not None else rest
 
 

@@ -42,12 +42,13 @@ def table_matches(rows: DataFrame, contacts: DataFrame, by: list[str]) -> DataFr
     cells = rows.withColumn("gu", F.explode(F.sequence(F.floor(F.col("u") - 1), F.floor(F.col("u") + 1))))
     placed = contacts.withColumn("gu", F.floor("cu"))
     du, dv = F.abs(F.col("cu") - F.col("u")), F.col("cv") - F.col("v")
-    met = cells.join(placed, [*by, "gu"]).filter((du <= 1) & dv.between(-0.5, 1.5))
+    met = P.in_cells(cells, placed, [*by, "gu"]).filter((du <= 1) & dv.between(-0.5, 1.5))
     same = F.coalesce(F.col("device") == F.col("c_device"), F.lit(False))
     met = graph.cut_lineage(met.select(*by, "row_id", "contact_id", same.alias("same"), F.round(F.when(same, 10.0).otherwise(0.0) - du - 0.5 * F.abs(dv - 0.5), 9).alias("score")))
-    taken = P.mutual_best(met, by, "row_id", "contact_id", "score").join(met.select(*by, "row_id", "contact_id", "same"), [*by, "row_id", "contact_id"])
+    # Small files of many rows: joins are shuffled, so that none is sent through the driver.
+    taken = P.mutual_best(met, by, "row_id", "contact_id", "score").hint("merge").join(met.select(*by, "row_id", "contact_id", "same").hint("merge"), [*by, "row_id", "contact_id"])
     counted = met.groupBy(*by, "row_id").agg(F.count_if("same").alias("n__"))
-    out = rows.select(*by, "row_id").join(taken, [*by, "row_id"], "left").join(counted, [*by, "row_id"], "left")
+    out = rows.select(*by, "row_id").hint("merge").join(taken.hint("merge"), [*by, "row_id"], "left").join(counted.hint("merge"), [*by, "row_id"], "left")
     match = F.coalesce("same", F.lit(False))
     return out.select(*by, "row_id", "contact_id", match.alias("device_match"), (match & F.coalesce(F.col("n__") == 1, F.lit(False))).alias("unique"))
 
