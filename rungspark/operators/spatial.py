@@ -162,6 +162,27 @@ def mutual_best(pairs: DataFrame, by: list[str], left: str, right: str, score: s
     return taken if taken is not None else rest
 
 
+TIERS, FEW_BOXES = (0.8, 0.6, 0.4), 10_000  # IoU, rounded, from which on pairs are matched first; of so few boxes all pairs are matched at once
+
+
+def matched_boxes(left: DataFrame, right: DataFrame, by: list[str], key: str, least: float, cell: float, digits: int = 6) -> DataFrame:
+    """by, l, r, iou: the one-to-one matching (mutual_best()) of boxes by their rounded IoU >= least. Of many boxes the likest are matched first, as the
+    greedy order does, and only those left over meet in less like pairs, so that a crowd of boxes does not store all its pairs."""
+    from .graph import cut_lineage
+
+    left, right = cut_lineage(left), cut_lineage(right)
+    taken = None
+    for tier in [*(TIERS if left.count() + right.count() > FEW_BOXES else ()), None]:
+        pairs = box_overlaps(left, right, by, least if tier is None else max(least, tier - 10.0**-digits), cell)
+        pairs = pairs.select(*by, F.col(f"l.{key}").alias("l"), F.col(f"r.{key}").alias("r"), F.round("iou", digits).alias("iou"))
+        found = mutual_best(pairs if tier is None else pairs.filter(F.col("iou") >= tier), by, "l", "r", "iou")
+        taken = found if taken is None else taken.unionByName(found)
+        if tier is not None:
+            free = lambda df, side: cut_lineage(df.hint("merge").join(found.select(*by, F.col(side).alias(key)).hint("merge"), [*by, key], "left_anti"))
+            left, right = free(left, "l"), free(right, "r")
+    return taken
+
+
 def mutual_unique(pairs: DataFrame, left: str, right: str, strength: str) -> DataFrame:
     """Pairs that are the only strongest one of both their ends."""
     counted = pairs
