@@ -125,6 +125,27 @@ def likeness(a: tuple[Column, ...], b: tuple[Column, ...], dots: Column, match:
     return F.when(dots, F.when(d <= reach, 1 - (1 - match) * d / reach).otherwise(F.lit(0.0))).otherwise(G.iou(a, b))
 
 
+def alike(boxes: DataFrame, by: list[str], key: str, dot: Column, match: float, reach: float, cell: float) -> DataFrame:
+    """by, l, r (l < r), s: overlapping boxes of a page with a likeness() of at least `match`; a pair with a dot in it counts as dots. Pairs of dots are looked for around
+    the dots, the others by their IoU; what is not alike is hardly met."""
+    rows = boxes.select(*by, key, *BOX, F.coalesce(dot, F.lit(False)).alias("dot__"))
+    a, b = (tuple(F.col(f"{s}.{x}") for x in BOX) for s in "lr")
+    plain = rows.filter("NOT dot__")
+    met = P.box_overlaps(plain, plain, by, match, cell).filter(F.col(f"l.{key}") < F.col(f"r.{key}"))
+    met = met.select(*by, F.col(f"l.{key}").alias("l"), F.col(f"r.{key}").alias("r"), F.col("iou").alias("s"))
+
+    keys = [*by, "gx", "gy"]
+    x, y = F.col("cx"), F.col("cy")
+    wide = reach * (1 + 1e-9) + (F.abs(x) + F.abs(y)) * 1e-9
+    dots = P.gridded(rows.filter("dot__"), x - wide, x + wide, y - wide, y + wide, reach).select(*keys, F.struct(key, *BOX).alias("l"))
+    others = rows.select(*keys[:-2], F.floor(x / reach).alias("gx"), F.floor(y / reach).alias("gy"), F.struct(key, *BOX, "dot__").alias("r"))
+    one, other = F.col(f"l.{key}"), F.col(f"r.{key}")
+    once = (one < other) | (~F.col("r.dot__") & (one != other))
+    near = P.in_cells(P.spread(dots, keys), P.spread(others, keys), keys).filter(once & (G.iou(a, b) >= 1e-12))
+    near = near.select(*by, F.least(one, other).alias("l"), F.greatest(one, other).alias("r"), likeness(a, b, F.lit(True), match, reach).alias("s"))
+    return met.unionByName(near).filter(F.col("s") >= match)
+
+
 def remapped(df: DataFrame, classes: DataFrame, keep: list[str], class_col: str = "class_key", strict: bool = False) -> DataFrame:
     """Boxes of kept classes, renamed by a table (class_key, target; no target: as it is), with dense new numbers in the order of `keep`. strict: a class that
     is in the table, or has no place there, is passed over only if it is known; one that is neither in the table nor kept is an error."""

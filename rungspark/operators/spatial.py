@@ -41,17 +41,31 @@ def in_cells(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), keys)
 
 
-def box_overlaps(left: DataFrame, right: DataFrame, by: list[str], least: float, cell: float, box: tuple = ("cx", "cy", "w", "h")) -> DataFrame:
-    """Pairs (l, r: structs) of boxes of one page with IoU >= least > 0. A pair meets only in the cell of its intersection's lower corner: no duplicates."""
-    def side(df: DataFrame, name: str) -> DataFrame:
-        x, y, w, h = (F.col(c) for c in box)
-        spread = gridded(df, x - w / 2, x + w / 2, y - h / 2, y + h / 2, cell)
-        return spread.select(*by, "gx", "gy", F.struct(*df.columns).alias(name))
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` dealt by its keys over all shuffle partitions: tables of few bytes can make many pairs, so adaptive execution must not gather them into a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+LIKE = 0.1  # IoU from which on the place of a box's centre tells what it can meet
 
-    of = lambda s: tuple(F.col(f"{s}.{c}") for c in box)
+
+def box_overlaps(left: DataFrame, right: DataFrame, by: list[str], least: float, cell: float, box: tuple = ("cx", "cy", "w", "h")) -> DataFrame:
+    """Pairs (l, r: structs) of boxes of one page with IoU >= least > 0, each once. From LIKE on the centre of the right one lies in one cell, and the left one looks at
+    the cells that centres of boxes so like it can lie in; below that boxes meet in the cell of their intersection's lower corner."""
+    x, y, w, h = (F.col(c) for c in box)
+    keys, of = [*by, "gx", "gy"], lambda s: tuple(F.col(f"{s}.{c}") for c in box)
     a, b = of("l"), of("r")
-    corner = lambda i: F.floor(F.greatest(a[i] - a[i + 2] / 2, b[i] - b[i + 2] / 2) / cell)
-    met = in_cells(side(left, "l"), side(right, "r"), [*by, "gx", "gy"]).filter((corner(0) == F.col("gx")) & (corner(1) == F.col("gy")))
+    if least >= LIKE:
+        size = cell / 2
+        # The common width is at least `least` of the wider one, so the centres are (1 / least - 1) / 2 of a width apart at most; a little more for rounding.
+        far = lambda c: c * ((1 / least - 1) / 2) + (c + F.abs(x) + F.abs(y)) * 1e-9
+        looking = gridded(left, x - far(w), x + far(w), y - far(h), y + far(h), size).select(*keys, F.struct(*left.columns).alias("l"))
+        placed = right.select(*by, F.floor(x / size).alias("gx"), F.floor(y / size).alias("gy"), F.struct(*right.columns).alias("r"))
+        met = in_cells(spread(looking, keys), spread(placed, keys), keys)
+    else:
+        side = lambda df, name: gridded(df, x - w / 2, x + w / 2, y - h / 2, y + h / 2, cell).select(*keys, F.struct(*df.columns).alias(name))
+        corner = lambda i: F.floor(F.greatest(a[i] - a[i + 2] / 2, b[i] - b[i + 2] / 2) / cell)
+        met = in_cells(side(left, "l"), side(right, "r"), keys).filter((corner(0) == F.col("gx")) & (corner(1) == F.col("gy")))
     return met.select(*by, "l", "r", G.iou(a, b).alias("iou")).filter(F.col("iou") >= least)
 
 

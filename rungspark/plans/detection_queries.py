@@ -62,13 +62,8 @@ def without_covered(spark, sf):
 @query("WITH " + _PAIRS + """, s AS (SELECT label, l, r, CASE WHEN lc = 'c0' OR rc = 'c0' THEN CASE WHEN sqrt((lx - rx) ** 2 + (ly - ry) ** 2) <= 0.05 THEN 1 - 0.7 * sqrt((lx - rx) ** 2 + (ly - ry) ** 2) / 0.05 ELSE 0 END ELSE i / (la + ra - i) END AS s FROM o WHERE i > 0 AND l < r)
 SELECT label, l, r, round(s, 6) AS score FROM s WHERE s >= 0.3""")
 def class_likeness(spark, sf):
-    from ..operators.spatial import box_overlaps
-
     c = _classed(spark, sf)
-    of = lambda s: tuple(F.col(f"{s}.{x}") for x in D.BOX)
-    met = box_overlaps(c, c, ["label"], 1e-12, 0.25).filter("l.vec_id < r.vec_id")
-    score = D.likeness(of("l"), of("r"), (F.col("l.class_key") == "c0") | (F.col("r.class_key") == "c0"), 0.3, 0.05)
-    return met.withColumn("s", score).filter("s >= 0.3").select("label", F.col("l.vec_id").alias("l"), F.col("r.vec_id").alias("r"), F.round("s", 6).alias("score"))
+    return D.alike(c, ["label"], "vec_id", F.col("class_key") == "c0", 0.3, 0.05, 0.25).select("label", "l", "r", F.round("s", 6).alias("score"))
 
 
 @query(f"""WITH {_CLASSED}, m AS (SELECT vec_id, CASE class_key WHEN 'c1' THEN 'relay' WHEN 'c2' THEN 'lamp' ELSE class_key END AS class_key FROM c) SELECT vec_id, class_key, CASE class_key WHEN 'lamp' THEN 0 WHEN 'relay' THEN 1 ELSE 2 END AS class_id FROM m WHERE class_key IN ('lamp', 'relay', 'c3')""")
