@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEW = 200_000  # rows of a few numbers up to which a table is sent to every task
+ROWS_A_PART = 500_000  # rows that dealt() gives a task
 ROWS_A_FILE = 200_000  # small tables are written by so few tasks
 
 
@@ -49,6 +50,13 @@ def forget(df: DataFrame | None) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """`df` dealt by keys into as many parts as its rows ask for (ROWS_A_PART each; never fewer than shuffle partitions), so that what a task
+    gathers by these keys does not grow with the table. rows: their number, if known; else they are counted."""
+    n = df.count() if rows is None else rows
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_A_PART + 1), *keys)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node that can be reached. Minimum labels travel along edges and then jump to their label's label,
     so that rounds grow with the logarithm of the longest path; each round is two equi-joins and a partial aggregation."""

@@ -78,8 +78,9 @@ def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def set_score(gold: DataFrame, found: DataFrame, keys: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """tp, fp, fn, precision, recall, f1 of two sets of rows, for each value of `by`."""
-    marked = gold.select(*keys).distinct().withColumn("g", F.lit(1)).unionByName(found.select(*keys).distinct().withColumn("f", F.lit(1)), allowMissingColumns=True)
-    rows = marked.groupBy(*keys).agg(F.max("g").alias("g"), F.max("f").alias("f"))
+    # Marked rows are gathered once, repeated ones too.
+    marked = gold.select(*keys).withColumn("g", F.lit(1)).unionByName(found.select(*keys).withColumn("f", F.lit(1)), allowMissingColumns=True)
+    rows = graph.dealt(marked, keys).groupBy(*keys).agg(F.max("g").alias("g"), F.max("f").alias("f"))
     counts = rows.groupBy(*by).agg(
         F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn")
     )
