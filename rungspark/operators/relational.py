@@ -96,12 +96,15 @@ def conflicts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def near_strings(df: DataFrame, col: str) -> DataFrame:
     """Pairs of distinct strings at edit distance one. Strings meet by the string itself and by its forms with one character left out,
-    an equi-join: two strings that differ in one place share such a form."""
+    an equi-join: two strings that differ in one place share such a form, and only one, so no pair comes twice (what can be left out
+    elsewhere with the same result lies in a run of one character and leaves the same form)."""
     words = df.select(F.col(col).alias("w")).filter(F.col("w").isNotNull()).distinct()
     forms = F.concat(F.array("w"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w")))))
     keyed = words.select("w", F.explode(F.array_distinct(forms)).alias("form"))
-    pairs = keyed.select(F.col("w").alias("a"), "form").join(keyed.select(F.col("w").alias("b"), "form"), "form").filter("a < b").select("a", "b").distinct()
-    return pairs.filter(F.levenshtein("a", "b") == 1)
+    # Spread words are many more than the words that Spark judges them by: shuffled, never sent to every task.
+    keyed = keyed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "form")
+    pairs = keyed.select(F.col("w").alias("a"), "form").hint("merge").join(keyed.select(F.col("w").alias("b"), "form").hint("merge"), "form").filter("a < b")
+    return pairs.filter(F.levenshtein("a", "b") == 1).select("a", "b")
 
 
 def corrected(counts: DataFrame, confusable: tuple[str, str] = ("OQIB", "0018")) -> DataFrame:
