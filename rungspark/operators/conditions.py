@@ -9,14 +9,13 @@ null fixes a device as unknown; empty tables give empty results; further columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logic
 from . import graph
 
 _CASE = ["circuit_id", "scenario"]
-_LITERALS = ["circuit_id", "device", "branch", "dep", "kind"]
 
 
 def literals_of(conditions: DataFrame, loads: DataFrame) -> DataFrame:
@@ -70,6 +69,38 @@ def _core(edges: DataFrame, by: list[str]) -> DataFrame:
             return edges.select(*by, "device").distinct()
 
 
+def _together(literals: DataFrame, given: DataFrame) -> DataFrame:
+    """Equations (see _fixpoint()) of literals in each scenario that `given` names, with `named` (the contact's device) and null for `dep` where a given state fixes it.
+
+    Literals and states are shuffled once, by circuit; what follows here and in _passed() sorts within a task, and spills, and holds no circuit as a whole."""
+    own = literals.filter("circuit_id IS NOT NULL").select("circuit_id", F.lit(None).cast("string").alias("scenario"), "device", "branch", F.col("dep").alias("named"), "kind", F.lit(None).cast("boolean").alias("state"), F.lit(False).alias("given"))
+    fixed = given.filter("circuit_id IS NOT NULL").select("circuit_id", F.col("scenario").cast("string").alias("scenario"), F.col("device").alias("named"), F.col("on").alias("state"), F.lit(True).alias("given"))
+    rows = graph.dealt(own.unionByName(fixed, allowMissingColumns=True), ["circuit_id"])
+    every = F.collect_set(F.when(F.col("given"), F.struct("scenario"))).over(Window.partitionBy("circuit_id"))
+    rows = rows.withColumn("every", every).withColumn("s__", F.explode(F.when(F.col("given"), F.array(F.struct("scenario"))).otherwise(F.col("every"))))
+    rows = rows.withColumn("scenario", F.col("s__.scenario")).drop("s__", "every")
+    w, named = Window.partitionBy(*_CASE, "named"), F.col("named").isNotNull()
+    rows = rows.withColumns({"known": F.max(F.when(F.col("given") & named, F.col("state"))).over(w), "fixed": F.max(F.col("given") & named).over(w)})
+    return rows.filter("NOT given").select(*_CASE, "device", "branch", F.when(~F.col("fixed"), F.col("named")).alias("dep"), "named", "kind", "known")
+
+
+def _passed(rows: DataFrame) -> DataFrame:
+    """A round of the fixpoint on equations dealt by circuit, without a shuffle: v and on, the values of branch and device (0 off, 1 unknown, 2 on: all of is the
+    least, any of the greatest), then known, by what that decides, and moved: whether that is new."""
+    on = _conducts(F.col("kind"), F.col("known"))
+    device = Window.partitionBy(*_CASE, "device")
+    rows = rows.withColumn("v", F.min(F.when(on, 2).when(~on, 0).otherwise(1)).over(Window.partitionBy(*_CASE, "device", "branch")))
+    rows = rows.withColumns({"on": F.max("v").over(device), "nth__": F.row_number().over(device.orderBy("branch"))})
+    # One row of each device tells its state to the rows that ask for it.
+    asks = F.struct(F.lit(False).alias("tells"), F.col("dep").alias("name"))
+    tells = F.struct(F.lit(True).alias("tells"), F.col("device").alias("name"))
+    rows = rows.withColumn("x__", F.explode(F.when(F.col("nth__") == 1, F.array(asks, tells)).otherwise(F.array(asks)))).select("*", "x__.tells", "x__.name")
+    state = F.max(F.when(F.col("tells") & (F.col("on") != 1), F.col("on") == 2)).over(Window.partitionBy(*_CASE, "name"))
+    rows = rows.withColumn("state__", F.when(F.col("name").isNotNull(), state)).filter("NOT tells")
+    known = F.coalesce("known", "state__")
+    return rows.select(*_CASE, "device", "branch", "dep", "named", "kind", known.alias("known"), "v", "on", (F.col("known").isNull() & F.col("state__").isNotNull()).alias("moved"))
+
+
 def evaluated(literals: DataFrame, given: DataFrame, before: DataFrame | None = None, open_ends: DataFrame | None = None) -> DataFrame:
     """circuit_id, scenario, device, verdict (ON, OFF, UNKNOWN), unknown (the contacts' devices for want of which it is unknown).
 
@@ -77,25 +108,26 @@ def evaluated(literals: DataFrame, given: DataFrame, before: DataFrame | None =
     form; a contact whose device is itself being decided (self-hold, mutual reference) goes by that, so each device is decided with its own state
     before in its own contacts, and so are the devices met on the way, one inside the other. open_ends: circuit_id, device: whose wiring goes on
     where nobody sees it; if not ON they are UNKNOWN."""
-    literals = graph.cut_lineage(literals.select(*_LITERALS).distinct())
-    cases = given.select(*_CASE).distinct()
-    given = given.groupBy(*_CASE, "device").agg(F.first("on", ignorenulls=True).alias("on"))
-    fixed = given.select(*_CASE, F.col("device").alias("dep"), F.col("on").alias("known"), F.lit(True).alias("fixed"))
-    free = literals.join(cases, "circuit_id").join(fixed, [*_CASE, "dep"], "left")
-    relays = literals.select("circuit_id", F.col("dep")).distinct().join(literals.select("circuit_id", F.col("device").alias("dep")).distinct(), ["circuit_id", "dep"], "left_semi")
-    free = free.join(relays.withColumn("relay", F.lit(True)), ["circuit_id", "dep"], "left")
-    # A fixed device or one that no coil drives is not looked up among the decided ones.
-    looked_up = F.col("fixed").isNull() & F.col("relay")
-    equations = graph.cut_lineage(free.select(*_CASE, "device", "branch", F.when(looked_up, F.col("dep")).alias("dep"), F.col("dep").alias("named"), "kind", "known"))
-    # A fixed device's own branches are evaluated too (it is a target), but its contacts keep the fixed state: dep is null there.
-    decided = _fixpoint(equations, _CASE)
-    rows = equations.join(decided.select(*_CASE, F.col("device").alias("dep"), F.col("on").alias("v")), [*_CASE, "dep"], "left").withColumn("known", F.coalesce("known", "v")).drop("v")
-    if before is not None:
-        rows = _held(graph.cut_lineage(rows), decided, before)
-    branch = rows.groupBy(*_CASE, "device", "branch").agg(
-        logic.all_of(_conducts(F.col("kind"), F.col("known"))).alias("v"), F.collect_set(F.when(F.col("known").isNull() & (F.col("kind") != "always"), F.col("named"))).alias("missing")
-    )
+    rows = _passed(_passed(_passed(_together(literals, given))))
+    again = F.max("moved").over(Window.partitionBy(*_CASE))
+    rows = graph.cut_lineage(rows.select(*_CASE, "device", "branch", "dep", "named", "kind", "known", "v", "on", again.alias("again")))
+    # Most cases are settled by then; the others go on device by device. A fixed device's own branches are evaluated too (it is a target), but its contacts keep the fixed state: dep is null there.
+    rest = graph.cut_lineage(rows.filter("again").drop("v", "on", "again"))
+    rows = rows.filter("NOT again")
+    known = _fixpoint(rest, _CASE)
+    rest = rest.join(known.select(*_CASE, F.col("device").alias("dep"), F.col("on").alias("k__")), [*_CASE, "dep"], "left").withColumn("known", F.coalesce("known", "k__")).drop("k__")
+    lacks = F.when(F.col("known").isNull() & (F.col("kind") != "always"), F.col("named"))
+    if before is None:
+        # Branch and device of settled cases have their values on each row: 0 off, 1 unknown, 2 on.
+        settled = rows.groupBy(*_CASE, "device").agg(F.max("on").alias("n__"), F.collect_set(F.when(F.col("v") == 1, lacks)).alias("missing"))
+        settled = settled.select(*_CASE, "device", F.when(F.col("n__") != 1, F.col("n__") == 2).alias("on"), "missing")
+    else:
+        decided = rows.filter("on <> 1").select(*_CASE, "device", (F.col("on") == 2).alias("on")).distinct().unionByName(known.select(*_CASE, "device", "on"))
+        rest, settled = _held(graph.cut_lineage(rows.drop("v", "on", "again").unionByName(rest)), decided, before), None
+    branch = rest.groupBy(*_CASE, "device", "branch").agg(logic.all_of(_conducts(F.col("kind"), F.col("known"))).alias("v"), F.collect_set(lacks).alias("missing"))
     found = branch.groupBy(*_CASE, "device").agg(logic.any_of(F.col("v")).alias("on"), F.flatten(F.collect_list(F.when(F.col("v").isNull(), F.col("missing")))).alias("missing"))
+    if settled is not None:
+        found = found.unionByName(settled)
     verdict = logic.verdict(F.col("on"))
     if open_ends is not None:
         found = found.join(open_ends.select("circuit_id", "device").distinct().withColumn("open", F.lit(True)), ["circuit_id", "device"], "left")

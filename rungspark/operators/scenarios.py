@@ -63,10 +63,12 @@ def checked(scenarios: DataFrame, cases: DataFrame, literals: DataFrame, before:
     lost = backward.join(devices, ["circuit_id", "subject"], "left_anti").unionByName(forward.join(every, ["circuit_id", "subject"], "left_anti"))
     out = row(lost, F.lit("found"), F.lit(False), F.col("subject"), F.lit("not_found"))
 
-    own = backward.join(condition_texts(literals).withColumnRenamed("device", "subject"), ["circuit_id", "subject"])
-    own = graph.cut_lineage(own.filter("condition IS NOT NULL").select(*key, "condition", "text", formula.parsed(F.col("condition")).alias("l"), formula.parsed(F.col("text")).alias("r")))
-    same = formulas_differ(own, key, "l", "r")
-    out = out.unionByName(row(own.join(same, key), F.lit("condition"), F.col("equal"), F.col("condition"), F.col("text")))
+    written = backward.filter("condition IS NOT NULL")
+    if not written.isEmpty():  # literals are gathered only for those who ask
+        own = written.join(condition_texts(literals).withColumnRenamed("device", "subject"), ["circuit_id", "subject"])
+        own = graph.cut_lineage(own.select(*key, "condition", "text", formula.parsed(F.col("condition")).alias("l"), formula.parsed(F.col("text")).alias("r")))
+        same = formulas_differ(own, key, "l", "r")
+        out = out.unionByName(row(own.join(same, key), F.lit("condition"), F.col("equal"), F.col("condition"), F.col("text")))
 
     asked = cases.join(backward.join(devices, ["circuit_id", "subject"]).select(*key, "subject"), key).withColumn("want", verdict_of(F.col("expected"))).filter("want IS NOT NULL")
     asked = graph.cut_lineage(asked.withColumn("scenario", F.concat_ws("#", "scenario_id", F.col("nth").cast("string"))))
@@ -78,6 +80,8 @@ def checked(scenarios: DataFrame, cases: DataFrame, literals: DataFrame, before:
     met = asked.join(found, ["circuit_id", "scenario", "subject"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("UNKNOWN")))
     out = out.unionByName(row(met, F.concat(F.lit("case_"), F.col("nth").cast("string")), F.col("verdict") == F.col("want"), F.col("want"), F.col("verdict")))
 
+    if forward.isEmpty():
+        return out
     scoped = literals.select(F.concat_ws("|", F.col("circuit_id").cast("string"), "device").alias("load"), "branch", F.concat_ws("|", F.col("circuit_id").cast("string"), "dep").alias("device"))
     starts = forward.join(every, ["circuit_id", "subject"]).select(*key, "affected", F.concat_ws("|", F.col("circuit_id").cast("string"), "subject").alias("start"))
     reached = wiring.effects(scoped, starts.select("start").distinct()).groupBy("start").agg(F.array_sort(F.collect_set(F.regexp_replace("target", r"^[^|]*\|", ""))).alias("got"))
