@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..functions.slopes import median_slope
 
 
+FIRST = 64  # boxes of a cell that owners() tries first
 CROWD = 8.0  # targets in a cell from which on a smaller reach is tried first
 
 
@@ -70,12 +71,34 @@ def box_overlaps(left: DataFrame, right: DataFrame, by: list[str], least: float,
 
 
 def owners(points: DataFrame, boxes: DataFrame, by: list[str], order: list[str], cell: float, margin: float = 0.0, box: tuple = ("cx", "cy", "w", "h"), point: tuple = ("px", "py"), keep: list[str] = [], point_key: str = "point_id") -> DataFrame:  # noqa: B006
-    """Each point's first box, in `order`, among those it lies in: by, point_key and the box columns in `keep`."""
+    """Each point's first box, in `order`, among those it lies in: by, point_key and the box columns in `keep`. In each cell points meet the first boxes, then, those that lie in
+    none of these, the next ones: no more pairs are made than it takes to find the first."""
+    from .graph import cut_lineage
+
     x, y, w, h = (F.col(c) for c in box)
-    spread = gridded(boxes, x - w / 2 - margin, x + w / 2 + margin, y - h / 2 - margin, y + h / 2 + margin, cell)
-    placed = points.withColumn("gx", F.floor(F.col(point[0]) / cell)).withColumn("gy", F.floor(F.col(point[1]) / cell))
-    met = in_cells(placed, spread, [*by, "gx", "gy"]).filter(G.inside(F.col(point[0]), F.col(point[1]), (x, y, w, h), margin))
-    return met.groupBy(*by, point_key).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("o")).select(*by, point_key, "o.*")
+    keys = [*by, "gx", "gy"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    boxes_in = gridded(boxes, x - w / 2 - margin, x + w / 2 + margin, y - h / 2 - margin, y + h / 2 + margin, cell)
+    boxes_in = cut_lineage(boxes_in.select(*dict.fromkeys([*keys, *box, *order, *keep])).withColumn("nth__", nth))
+    left = points.withColumn("gx", F.floor(F.col(point[0]) / cell)).withColumn("gy", F.floor(F.col(point[1]) / cell))
+    left = left.select(*keys, F.col(point_key).alias("p__"), F.col(point[0]).alias("px__"), F.col(point[1]).alias("py__")).distinct()
+    last, upto, begin, parts = boxes_in.agg(F.max("nth__")).first()[0] or 0, FIRST, 0, []
+    inside = G.inside(F.col("px__"), F.col("py__"), (x, y, w, h), margin)
+    while True:
+        some = boxes_in.filter((F.col("nth__") > begin) & (F.col("nth__") <= upto)).drop("nth__")
+        met = in_cells(spread(left, keys), spread(some, keys), keys).filter(inside)
+        at = ["p__", "px__", "py__"]
+        parts.append(cut_lineage(met.groupBy(*keys, *at).agg(F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, *keep])])).alias("o"))))
+        if upto >= last:
+            break
+        left = cut_lineage(left.join(parts[-1].select(*keys, *at), [*keys, *at], "left_anti"))
+        begin, upto = upto, upto * 8
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    # A key at several places has several first boxes.
+    best = found.groupBy(*by, F.col("p__").alias(point_key)).agg(F.min("o").alias("o"))
+    return best.select(*by, point_key, *[F.col(f"o.o{len(order) + i}").alias(c) for i, c in enumerate(keep)])
 
 
 def first_reach(targets: DataFrame, by: list[str], target: tuple, weights: tuple, within: float, wanted: float) -> float:
