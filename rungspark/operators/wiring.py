@@ -178,11 +178,31 @@ def next_ahead(dots: DataFrame, by: list[str], align: float, reach: float) -> Da
 def collinear_bridges(terminals: DataFrame, wires: DataFrame, by: list[str], align: float = 28, gap: float = 240) -> DataFrame:
     """by, terminal_id, wire_id, cost, inside: each terminal's horizontal wire (y, x0 <= x1) of the least gap + 2 * offset; inside: it meets the
     wire between its ends. Turn the axes for vertical wires. terminals: by, terminal_id, px, py."""
-    spread = P.gridded(wires, F.col("x0") - gap, F.col("x1") + gap, F.col("y") - align, F.col("y") + align, gap)
-    placed = terminals.withColumn("gx", F.floor(F.col("px") / gap)).withColumn("gy", F.floor(F.col("py") / gap))
+    # Where many wires lie at one height, those of little cost are looked for first: what costs at most `reach` lies within that along and half of it across.
+    most, wires, parts = gap + 2 * align, graph.cut_lineage(wires.select(*by, "wire_id", "x0", "x1", "y")), []
+    left = terminals.select(*by, "terminal_id", "px", "py")
+    reach = P.first_reach(wires, by, ("y", "y"), (1.0, 1.0), most, 4 * P.CROWD)
+    while reach < most:
+        found = graph.cut_lineage(_bridges(left, wires, by, min(align, reach / 2), min(gap, reach), gap, reach))
+        parts.append(found)
+        left = graph.cut_lineage(left.join(found.select(*by, "terminal_id"), [*by, "terminal_id"], "left_anti"))
+        reach *= 3
+    out = _bridges(left, wires, by, align, gap, gap, most)
+    for found in parts:
+        out = out.unionByName(found)
+    return out
+
+
+def _bridges(terminals: DataFrame, wires: DataFrame, by: list[str], align: float, gap: float, wide: float, reach: float) -> DataFrame:
+    """The best bridges of a cost of at most `reach`; cells are `wide` along the wires, twice `align` across."""
+    keys, high = [*by, "gx", "gy"], 2 * align
+    x, y = (lambda c: F.explode(P._cells(F.col("x0") - gap, F.col("x1") + gap, c))), (lambda c: F.explode(P._cells(F.col("y") - align, F.col("y") + align, c)))
+    laid = wires.withColumn("gx", x(wide)).withColumn("gy", y(high))
+    placed = terminals.withColumn("gx", F.floor(F.col("px") / wide)).withColumn("gy", F.floor(F.col("py") / high))
     away, off = F.greatest(F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0)), F.abs(F.col("py") - F.col("y"))
-    met = P.in_cells(placed, spread, [*by, "gx", "gy"]).withColumns({"away": away, "off": off}).filter((F.col("off") <= align) & (F.col("away") <= gap))
-    best = F.min(F.struct((F.col("away") + 2 * F.col("off")).alias("cost"), "wire_id", (F.col("away") == 0).alias("inside"))).alias("b")
+    cost = F.col("away") + 2 * F.col("off")
+    met = P.in_cells(P.spread(placed, keys), P.spread(laid, keys), keys).withColumns({"away": away, "off": off}).filter((F.col("off") <= align) & (F.col("away") <= gap) & (cost <= reach))
+    best = F.min(F.struct(cost.alias("cost"), "wire_id", (F.col("away") == 0).alias("inside"))).alias("b")
     return met.groupBy(*by, "terminal_id").agg(best).select(*by, "terminal_id", "b.wire_id", "b.cost", "b.inside")
 
 
