@@ -168,23 +168,38 @@ def first_reached(edges: DataFrame, starts: DataFrame, stops: DataFrame, through
     """start, stop: the stops that paths from a start meet first, going on only through nodes of `through`. starts, stops, through: node.
     edges: a, b, both ways. A path ends at its first stop, however long it is. As edges go both ways, what a step comes back to lies in the two steps before it; a stop that is met
     again changes nothing."""
-    both = graph.cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = lambda df: df.select(F.col("node").alias("at")).distinct()
-    before = front = graph.cut_lineage(starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct())
-    found, rounds = None, 0
-    while True:
-        step = front.join(both, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct()
-        step = graph.cut_lineage(step.join(front.unionByName(before).distinct(), ["start", "at"], "left_anti"))
-        if step.isEmpty():
+    deal = lambda df, keys, n: df if n <= graph.FEW else graph.dealt(df, keys, n).hint("merge")
+    marked = lambda df, stop: df.select(F.col("node").alias("b"), F.lit(stop).alias("stop__"), F.lit(not stop).alias("go__"))
+    marks, ways = marked(stops, True).unionByName(marked(through, False)), edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n = max(marks.count(), ways.count())
+    marks = deal(marks, ["b"], n).groupBy("b").agg(F.bool_or("stop__").alias("stop__"), F.bool_or("go__").alias("go__"))
+    # Edges know what they lead to, so that a step is one join; those to other nodes lead nowhere.
+    both = graph.cut_lineage(deal(ways, ["b"], n).distinct().join(marks, "b").select("a", "b", "stop__", "go__"))
+    front = starts.select(F.col("node").alias("start"), F.col("node").alias("at"))
+    before = front = graph.cut_lineage(deal(front, ["start"], front.count()).distinct())
+    edge_rows, rows, rows_before, found, rounds, made = both.count(), front.count(), 0, None, 0, 0
+    while rows:
+        # Few are sent to all edges, more are dealt with them: by as many tasks as there are rows for.
+        near = F.broadcast(front) if rows <= graph.FEW else graph.dealt(front, ["at"], max(rows, edge_rows)).hint("merge")
+        ways = both if rows <= graph.FEW else graph.dealt(both, ["a"], max(rows, edge_rows)).hint("merge")
+        step = graph.cut_lineage(near.join(ways, F.col("at") == F.col("a")).select("start", F.col("b").alias("at"), "stop__", "go__", F.lit(False).alias("old__")))
+        met = step.count()
+        if not met:
             break
-        hit = step.join(at(stops), "at", "left_semi").select("start", F.col("at").alias("stop"))
-        found, rounds = hit if found is None else found.unionByName(hit), rounds + 1
+        for old in (front, before):
+            step = step.unionByName(old.select("start", "at", *[F.lit(x).alias(c) for c, x in (("stop__", False), ("go__", False), ("old__", True))]))
+        new = deal(step, ["start", "at"], met + rows + rows_before).groupBy("start", "at").agg(*[F.bool_or(c).alias(c) for c in ("stop__", "go__", "old__")])
+        step = graph.cut_lineage(new.filter("NOT old__").drop("old__"))
+        hit = step.filter("stop__").select("start", F.col("at").alias("stop"))
+        found, rounds, made = hit if found is None else found.unionByName(hit), rounds + 1, made + met
         if rounds % 16 == 0:  # keeps the plan short
-            found = graph.cut_lineage(found.distinct())
-        before, front = front, graph.cut_lineage(step.join(at(stops), "at", "left_anti").join(at(through), "at", "left_semi"))
-    none = front.select("start", F.col("at").alias("stop")).limit(0)
+            found = graph.cut_lineage(deal(found, ["start", "stop"], made).distinct())
+        before, front, rows_before = front, step.filter("go__ AND NOT stop__").select("start", "at"), rows
+        rows = front.count()
+    if found is None:
+        return front.select("start", F.col("at").alias("stop")).limit(0)
     # A way round may lead back to where it began.
-    return (found.distinct() if found is not None else none).filter(F.col("start") != F.col("stop"))
+    return deal(found, ["start", "stop"], made).distinct().filter(F.col("start") != F.col("stop"))
 
 
 def upstream(edges: DataFrame, loads: DataFrame, sources: str, target: str) -> DataFrame:
