@@ -58,8 +58,10 @@ def symbol_refs(symbols: DataFrame, prefix: str = "SYM-") -> DataFrame:
     return own.join(numbers, ["page_id", "nth"], "left").select("page_id", "nth", F.when(F.col("dealt").isNull(), F.col("given")).otherwise(name).alias("ref"))
 
 
-def wire_refs(connections: DataFrame, prefix: str = "W-") -> DataFrame:
-    """page_id, nth, ref: the given ref of the first that has it, else the lowest numbers that nobody on the page was given, in order."""
+def wire_refs(connections: DataFrame, prefix: str = "W-", rows: int = 0) -> DataFrame:
+    """page_id, nth, ref: the given ref of the first that has it, else the lowest numbers that nobody on the page was given, in order.
+    rows: a bound of the rows, if known, for as many tasks."""
+    deal = lambda df, keys: df if rows <= graph.FEW else graph.dealt(df, keys, rows)
     given = connections.select("page_id", "nth", _blank("ref").alias("given"))
     own = given.withColumn("own", F.col("given").isNotNull() & (F.row_number().over(Window.partitionBy("page_id", "given").orderBy("nth")) == 1))
     number = F.expr(f"try_cast(nullif(regexp_extract(given, '^{prefix}([0-9]{{4,}})$', 1), '') AS BIGINT)")
@@ -69,9 +71,9 @@ def wire_refs(connections: DataFrame, prefix: str = "W-") -> DataFrame:
     want = own.filter("NOT own").select("page_id", "nth", F.row_number().over(Window.partitionBy("page_id").orderBy("nth")).alias("j"))
     both = want.select("page_id", F.col("j").cast("long").alias("at"), F.lit(0).alias("shift"), "nth").unionByName(gaps.select("page_id", (F.col("free") + 1).alias("at"), "shift", F.lit(None).cast("int").alias("nth")))
     # Shifts at j and before count for j.
-    shifted = both.withColumn("over", F.sum("shift").over(Window.partitionBy("page_id").orderBy("at", F.desc("shift")).rowsBetween(Window.unboundedPreceding, 0)))
+    shifted = deal(both, ["page_id"]).withColumn("over", F.sum("shift").over(Window.partitionBy("page_id").orderBy("at", F.desc("shift")).rowsBetween(Window.unboundedPreceding, 0)))
     numbers = shifted.filter("nth IS NOT NULL").select("page_id", "nth", F.format_string(f"{prefix}%04d", F.col("at") + F.col("over")).alias("dealt"))
-    return own.join(numbers, ["page_id", "nth"], "left").select("page_id", "nth", F.coalesce("dealt", "given").alias("ref"))
+    return deal(own, ["page_id", "nth"]).join(numbers, ["page_id", "nth"], "left").select("page_id", "nth", F.coalesce("dealt", "given").alias("ref"))
 
 
 def kept_attributes(attributes: Column) -> Column:

@@ -16,11 +16,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 SYMBOL_FIELDS = {"set_label": "label", "set_class": "class_key"}
 MAX_OPS = 200
 MAX_SCENARIOS = 24
 
 
+def _dealt(df: DataFrame, keys: list, n: int) -> DataFrame:
+    """`df`, of tables of about n rows, dealt by keys to as many tasks as there are rows for; few rows stay as they are."""
+    return df if n <= graph.FEW else graph.dealt(df, keys, n)
+
+
 def content_hash(symbols: DataFrame, connections: DataFrame) -> str:
     """A hash of both tables that does not depend on row order: sums of row hashes."""
     part = lambda df: df.agg(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")).cast("string")).first()[0]
@@ -29,23 +36,25 @@ def content_hash(symbols: DataFrame, connections: DataFrame) -> str:
 
 def problems(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: int | None = MAX_OPS) -> DataFrame:
     """seq, message of operations that cannot be applied."""
+    rows = symbols.count() + connections.count() + ops.count()
+    a, b = F.least("from_symbol", "to_symbol"), F.greatest("from_symbol", "to_symbol")
     added = ops.filter("op = 'add_component'").select("page_id", "ref")
-    have = symbols.select("page_id", "ref").unionByName(added).distinct()
+    have = _dealt(symbols.select("page_id", "ref").unionByName(added), ["page_id", "ref"], rows).distinct()
     verbs = [*SYMBOL_FIELDS, "set_attribute", "insert_in_series", "set_wire_no", "remove_component", "add_component", "connect", "disconnect"]
     say = lambda df, text: df.select("seq", F.lit(text).alias("message"))
     on_symbols = ops.filter(F.col("op").isin(*SYMBOL_FIELDS, "set_attribute", "remove_component", "connect", "insert_in_series"))
     out = say(ops.filter(~F.col("op").isin(*verbs)), "unknown operation")
     out = out.unionByName(say(on_symbols.join(have, ["page_id", "ref"], "left_anti"), "no such symbol"))
     out = out.unionByName(say(ops.filter("op IN ('connect', 'insert_in_series')").join(have.withColumnRenamed("ref", "other"), ["page_id", "other"], "left_anti"), "no such symbol"))
-    out = out.unionByName(say(ops.filter("op IN ('set_wire_no', 'disconnect')").join(connections.select("page_id", "ref"), ["page_id", "ref"], "left_anti"), "no such connection"))
-    ends = connections.select("page_id", F.least("from_symbol", "to_symbol").alias("a"), F.greatest("from_symbol", "to_symbol").alias("b")).distinct()
+    out = out.unionByName(say(ops.filter("op IN ('set_wire_no', 'disconnect')").join(_dealt(connections.select("page_id", "ref"), ["page_id", "ref"], rows), ["page_id", "ref"], "left_anti"), "no such connection"))
+    ends = _dealt(connections.select("page_id", a.alias("a"), b.alias("b")), ["page_id", "a", "b"], rows).distinct()
     inserts = ops.filter("op = 'insert_in_series'").withColumns({"a": F.least("ref", "other"), "b": F.greatest("ref", "other")})
     out = out.unionByName(say(inserts.join(ends, ["page_id", "a", "b"], "left_anti"), "no wire between the two"))
-    out = out.unionByName(say(inserts.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "a", "b").orderBy("seq"))).filter("n > 1"), "no wire between the two"))
+    out = out.unionByName(say(_dealt(inserts, ["page_id", "a", "b"], rows).withColumn("n", F.row_number().over(Window.partitionBy("page_id", "a", "b").orderBy("seq"))).filter("n > 1"), "no wire between the two"))
     n = ops.count() if most is not None else 0
     if most is not None and n > most:
         out = out.unionByName(ops.agg(F.max("seq").alias("seq")).select("seq", F.lit(f"at most {most} operations").alias("message")))
-    return out.unionByName(say(added.join(symbols, ["page_id", "ref"], "left_semi").join(ops.filter("op = 'add_component'"), ["page_id", "ref"]), "the ref is taken"))
+    return out.unionByName(say(added.join(_dealt(symbols, ["page_id", "ref"], rows), ["page_id", "ref"], "left_semi").join(ops.filter("op = 'add_component'"), ["page_id", "ref"]), "the ref is taken"))
 
 
 def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: int | None = MAX_OPS) -> tuple[DataFrame, DataFrame]:
@@ -53,12 +62,15 @@ def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: in
     wrong = problems(symbols, connections, ops, most).orderBy("seq").limit(20).collect()  # shown to the user
     if wrong:
         raise ValueError("; ".join(f"{r.seq}: {r.message}" for r in wrong))
-    last = lambda op: ops.filter(F.col("op") == op).groupBy(F.col("page_id").alias("p__"), F.col("ref").alias("r__")).agg(F.max_by("value", "seq").alias("v__"))
-    gone = ops.filter("op = 'remove_component'").select("page_id", "ref").distinct()
+    rows = symbols.count() + connections.count() + ops.count()
+    last = lambda op: _dealt(ops.filter(F.col("op") == op), ["page_id", "ref"], rows).groupBy(F.col("page_id").alias("p__"), F.col("ref").alias("r__")).agg(F.max_by("value", "seq").alias("v__"))
+    named = lambda op: _dealt(ops.filter(F.col("op") == op).select("page_id", "ref"), ["page_id", "ref"], rows).distinct()
+    gone = named("remove_component")
     new = ops.filter("op = 'add_component'").select("page_id", "ref", F.col("value").alias("class_key"))
     given = ops if "key" in ops.columns else ops.withColumn("key", F.lit(None).cast("string"))
-    inserts = _inserted(symbols, connections, given.filter("op = 'insert_in_series'"))
+    inserts = _inserted(symbols, connections, given.filter("op = 'insert_in_series'"), rows)
     symbols = symbols.unionByName(new, allowMissingColumns=True).unionByName(inserts.select("page_id", F.col("new").alias("ref"), F.col("value").alias("class_key"), F.col("key").alias("label")), allowMissingColumns=True)
+    symbols = _dealt(symbols, ["page_id", "ref"], rows)
     if "attributes" in symbols.columns:
         symbols = _with_attributes(symbols, given.filter("op = 'set_attribute'"))
     for op, field in SYMBOL_FIELDS.items():
@@ -66,8 +78,9 @@ def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: in
     symbols = symbols.join(gone, ["page_id", "ref"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
     wires = ops.filter("op = 'connect'").select("page_id", F.concat(F.lit("E"), F.col("seq").cast("string"), F.lit("-"), nth.cast("string")).alias("ref"), F.col("ref").alias("from_symbol"), F.col("other").alias("to_symbol"), F.col("value").alias("wire_no"))
-    connections = _set(connections, last("set_wire_no"), "wire_no").join(ops.filter("op = 'disconnect'").select("page_id", "ref").distinct(), ["page_id", "ref"], "left_anti")
-    cut = inserts.select("page_id", F.least("ref", "other").alias("a__"), F.greatest("ref", "other").alias("b__"))
+    connections = _set(_dealt(connections, ["page_id", "ref"], rows), last("set_wire_no"), "wire_no").join(named("disconnect"), ["page_id", "ref"], "left_anti")
+    # An anti join is moved to below what deals its left side, so the other one is dealt, here and in named().
+    cut = _dealt(inserts.select("page_id", F.least("ref", "other").alias("a__"), F.greatest("ref", "other").alias("b__")), ["page_id", "a__", "b__"], rows)
     met = (F.least("from_symbol", "to_symbol") == F.col("a__")) & (F.greatest("from_symbol", "to_symbol") == F.col("b__"))
     connections = connections.withColumnRenamed("page_id", "p__").join(cut, (F.col("p__") == F.col("page_id")) & met, "left_anti").withColumnRenamed("p__", "page_id")
     number = F.col("seq").cast("string")
@@ -80,17 +93,20 @@ def applied(symbols: DataFrame, connections: DataFrame, ops: DataFrame, most: in
     return symbols, connections
 
 
-def _inserted(symbols: DataFrame, connections: DataFrame, inserts: DataFrame) -> DataFrame:
-    """inserts with new (the ref of the component, EDIT-0001 and on, free on the page) and wire_no (of the first wire it replaces)."""
+def _inserted(symbols: DataFrame, connections: DataFrame, inserts: DataFrame, n: int) -> DataFrame:
+    """inserts with new (the ref of the component, EDIT-0001 and on, free on the page) and wire_no (of the first wire it replaces). n: about the rows of all three."""
     from .bundles import wire_refs
 
-    taken = symbols.select("page_id", F.lit(-1).alias("nth"), "ref").distinct()
-    # Every ref on the page is taken; what is inserted has none yet.
+    # Every ref on the page is taken, though only those of the same form (and none at all) matter; what is inserted has none yet.
+    ref, pages = F.col("ref"), _dealt(inserts.select("page_id"), ["page_id"], n).distinct()
+    taken = symbols.filter(ref.isNull() | ref.contains("EDIT-") | ~ref.rlike("[!-~]")).select("page_id", F.lit(-1).alias("nth"), "ref")
+    taken = _dealt(taken, ["page_id"], n).distinct()
     rows = taken.withColumn("nth", -F.row_number().over(Window.partitionBy("page_id").orderBy("ref"))).unionByName(inserts.select("page_id", F.col("seq").alias("nth"), F.lit(None).cast("string").alias("ref")))
-    refs = wire_refs(rows.join(inserts.select("page_id").distinct(), "page_id", "left_semi"), "EDIT-").filter("nth >= 0").select("page_id", F.col("nth").alias("seq"), F.col("ref").alias("new"))
-    first = connections.groupBy("page_id", F.least("from_symbol", "to_symbol").alias("a__"), F.greatest("from_symbol", "to_symbol").alias("b__")).agg(F.min_by("wire_no", "ref").alias("wire_no"))
+    refs = wire_refs(_dealt(rows, ["page_id"], n).join(pages, "page_id", "left_semi"), "EDIT-", n).filter("nth >= 0").select("page_id", F.col("nth").alias("seq"), F.col("ref").alias("new"))
+    first = connections.select("page_id", F.least("from_symbol", "to_symbol").alias("a__"), F.greatest("from_symbol", "to_symbol").alias("b__"), "wire_no", "ref")
+    first = _dealt(first, ["page_id", "a__", "b__"], n).groupBy("page_id", "a__", "b__").agg(F.min_by("wire_no", "ref").alias("wire_no"))
     ends = inserts.withColumns({"a__": F.least("ref", "other"), "b__": F.greatest("ref", "other")})
-    return ends.join(refs, ["page_id", "seq"]).join(first, ["page_id", "a__", "b__"], "left").select("seq", "page_id", "ref", "other", "value", "key", "new", "wire_no")
+    return _dealt(ends, ["page_id", "seq"], n).join(refs, ["page_id", "seq"]).join(first, ["page_id", "a__", "b__"], "left").select("seq", "page_id", "ref", "other", "value", "key", "new", "wire_no")
 
 
 def _with_attributes(symbols: DataFrame, ops: DataFrame) -> DataFrame:
@@ -107,12 +123,13 @@ def differences(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, Dat
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("page_id", "ref", F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(s))
 
-    both = side(before[0], "o").join(side(after[0], "n"), ["page_id", "ref"], "full")
+    n = before[0].count() + before[1].count()
+    both = _dealt(side(before[0], "o"), ["page_id", "ref"], n).join(side(after[0], "n"), ["page_id", "ref"], "full")
     differs = F.array_compact(F.array(*[F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields]))
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.size(differs) > 0, "changed")
     out = both.select("page_id", F.lit("symbol").alias("kind"), F.col("ref").alias("name"), change.alias("change"), F.when(change == "changed", F.array_join(differs, ",")).otherwise("").alias("fields"))
     name = F.concat_ws(" ", "from_symbol", F.lit("-"), "to_symbol", F.coalesce("wire_no", F.lit("")))
-    wires = lambda df, s: df.select("page_id", name.alias("name")).distinct().withColumn(s, F.lit(True))
+    wires = lambda df, s: _dealt(df.select("page_id", name.alias("name")), ["page_id", "name"], n).distinct().withColumn(s, F.lit(True))
     ends = wires(before[1], "o").join(wires(after[1], "n"), ["page_id", "name"], "full")
     ends = ends.select("page_id", F.lit("wire").alias("kind"), "name", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").alias("change"), F.lit("").alias("fields"))
     return out.unionByName(ends).filter("change IS NOT NULL")
