@@ -199,7 +199,7 @@ def mutual_best(pairs: DataFrame, by: list[str], left: str, right: str, score: s
     return taken if taken is not None else rest
 
 
-TIERS, FEW_BOXES = (0.8, 0.6, 0.4), 50_000  # IoU, rounded, from which on pairs are matched first; of so few boxes all pairs are matched at once
+TIERS, FEW_BOXES = (0.95, 0.9, 0.8, 0.6, 0.4), 50_000  # IoU, rounded, from which on pairs are matched first; of so few boxes all pairs are matched at once
 
 
 def matched_boxes(left: DataFrame, right: DataFrame, by: list[str], key: str, least: float, cell: float, digits: int = 6) -> DataFrame:
@@ -208,9 +208,13 @@ def matched_boxes(left: DataFrame, right: DataFrame, by: list[str], key: str, le
     from .graph import cut_lineage
 
     left, right = cut_lineage(left), cut_lineage(right)
-    taken = None
-    for tier in [*(TIERS if left.count() + right.count() > FEW_BOXES else ()), None]:
-        pairs = box_overlaps(left, right, by, least if tier is None else max(least, tier - 10.0**-digits), cell)
+    taken, n = None, left.count() + right.count()
+    # The denser the boxes, the more alike are the first pairs, so that a box has no more of them.
+    tiers = [x for x in TIERS if n > FEW_BOXES and n * (1 - x) ** 3 > FEW_BOXES * (1 - 0.801) ** 3]
+    for tier in [*tiers, None]:
+        # Centres of like boxes are near each other: smaller cells hold fewer that are not.
+        near = cell * min(1.0, 1 / tier - 1) if tier else cell
+        pairs = box_overlaps(left, right, by, least if tier is None else max(least, tier - 10.0**-digits), near)
         pairs = pairs.select(*by, F.col(f"l.{key}").alias("l"), F.col(f"r.{key}").alias("r"), F.round("iou", digits).alias("iou"))
         found = mutual_best(pairs if tier is None else pairs.filter(F.col("iou") >= tier), by, "l", "r", "iou")
         taken = found if taken is None else taken.unionByName(found)
