@@ -14,16 +14,19 @@ from . import graph, relational as R
 
 def import_plan(candidates: DataFrame, existing: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
     """by, f, ref, action (kept, added): what becomes of candidates on a page. candidates: by, f; existing: by, g, ref; matches: by, f, g.
-    New ones get SYM- numbers in order of f: the free numbers above how many the page has. Arrays here are a page's, by nature small."""
+    New ones get SYM- numbers in order of f: the free numbers above how many the page has."""
     placed = candidates.select(*by, "f").join(matches.select(*by, "f", "g"), [*by, "f"], "left").join(existing.select(*by, "g", "ref"), [*by, "g"], "left")
     number = F.expr("try_cast(nullif(regexp_extract(ref, '^SYM-([0-9]{4,})$', 1), '') AS INT)")
-    have = existing.withColumn("number__", number).groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("have__"), F.collect_set("number__").alias("used__"))
-    rows = placed.join(have, by, "left").withColumns({"have__": F.coalesce("have__", F.lit(0)), "used__": F.coalesce("used__", F.array().cast("array<int>"))})
+    have = existing.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("have__"))
     new = F.col("ref").isNull()
-    nth = F.sum(new.cast("int")).over(Window.partitionBy(*by).orderBy("f"))
-    rows = rows.withColumn("nth__", nth)
-    free = F.array_except(F.sequence(F.col("have__") + 1, F.col("have__") + F.col("nth__") + F.size("used__")), F.col("used__"))
-    ref = F.when(new, F.format_string("SYM-%04d", F.get(free, F.col("nth__").cast("int") - 1))).otherwise(F.col("ref"))
+    rows = placed.withColumn("at__", F.sum(new.cast("int")).over(Window.partitionBy(*by).orderBy("f")))
+    # Above the page's number of rows, in its place k among those used, the number have + n leaves n - k free: the j-th free one lies beyond all with n - k < j.
+    used = existing.select(*by, number.alias("n__")).distinct().join(have, by).filter("n__ > have__")
+    gaps = used.select(*by, (F.col("n__") - F.col("have__") - F.row_number().over(Window.partitionBy(*by).orderBy("n__")) + 1).cast("long").alias("at__"), F.lit(1).alias("shift__"))
+    both = rows.withColumn("shift__", F.lit(0)).unionByName(gaps, allowMissingColumns=True)
+    over = F.sum("shift__").over(Window.partitionBy(*by).orderBy("at__", F.desc("shift__")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("over__", over).filter("shift__ = 0").join(have, by, "left")
+    ref = F.when(new, F.format_string("SYM-%04d", F.coalesce("have__", F.lit(0)) + F.col("at__") + F.col("over__"))).otherwise(F.col("ref"))
     return rows.select(*by, "f", ref.alias("ref"), F.when(new, "added").otherwise("kept").alias("action"))
 
 
