@@ -249,18 +249,41 @@ def accepted_dots(dots: DataFrame, by: list[str], sure: float, least: float, sam
 def perpendicular_bridges(ends: DataFrame, wires: DataFrame, terminals: DataFrame, by: list[str], most: float = 80, free: float = 60, near: float = 18) -> DataFrame:
     """by, end_id, wire_id, gap: the vertical wire (x, y0 <= y1) that a horizontal wire's end (x, y, way: 1 to the right, -1 to the left, true_end) points
     at, at least gap in (1, most]; one beyond needs a terminal (tx, ty) within `near` of the point it would meet, or a true end and gap <= free."""
-    c = F.col
-    reach = ends.withColumn("gx", F.explode(F.sequence(F.floor(c("ex") / most) - 1, F.floor(c("ex") / most) + 1))).withColumn("gy", F.floor(c("ey") / most))
-    slack = (c("y1") - c("y0")) * 0.02
-    spread = wires.withColumn("gx", F.floor(c("x") / most)).withColumn("gy", F.explode(F.sequence(F.floor((c("y0") - slack) / most), F.floor((c("y1") + slack) / most))))
-    met = P.in_cells(reach, spread, [*by, "gx", "gy"]).withColumn("gap", (c("x") - c("ex")) * c("way"))
-    met = met.filter((c("gap") > 1) & (c("gap") <= most) & c("ey").between(c("y0") - slack, c("y1") + slack))
+    # Where many wires lie side by side, those of a small gap are looked for first; only ends that none of them takes go on.
+    ends, wires, parts = graph.cut_lineage(ends.select(*by, "end_id", "ex", "ey", "way", "true_end")), graph.cut_lineage(wires.select(*by, "wire_id", "x", "y0", "y1")), []
+    stops = graph.cut_lineage(terminals.select(*by, "tx", "ty").distinct())
+    reach, least = 1.0 + P.first_reach(wires, by, ("x", "x"), (1.0, 1.0), most, 4 * P.CROWD), 1.0
+    while reach < most:
+        found = graph.cut_lineage(_perpendicular(ends, wires, stops, by, least, reach, free, near))
+        parts.append(found)
+        ends, least, reach = graph.cut_lineage(ends.hint("merge").join(found.select(*by, "end_id").hint("merge"), [*by, "end_id"], "left_anti")), reach, reach * 3
+    out = _perpendicular(ends, wires, stops, by, least, most, free, near)
+    for found in parts:
+        out = out.unionByName(found)
+    return out
+
+
+def _perpendicular(ends: DataFrame, wires: DataFrame, stops: DataFrame, by: list[str], least: float, most: float, free: float, near: float) -> DataFrame:
+    """The bridges of perpendicular_bridges() of a gap in (least, most]."""
+    c, tall = F.col, 80.0
+    # An end looks only the way it points.
+    from_x, to_x = c("ex") + c("way") * least, c("ex") + c("way") * most
+    reach = ends.withColumn("gx", F.explode(P._cells(F.least(from_x, to_x), F.greatest(from_x, to_x), most))).withColumn("gy", F.floor(c("ey") / tall))
+    slack, keys = (c("y1") - c("y0")) * 0.02, [*by, "gx", "gy"]
+    spread = wires.withColumn("gx", F.floor(c("x") / most)).withColumn("gy", F.explode(P._cells(c("y0") - slack, c("y1") + slack, tall)))
+    met = P.in_cells(P.spread(reach, keys), P.spread(spread, keys), keys).withColumn("gap", (c("x") - c("ex")) * c("way"))
+    met = met.filter((c("gap") > least) & (c("gap") <= most) & c("ey").between(c("y0") - slack, c("y1") + slack))
     met = graph.cut_lineage(met.select(*by, "end_id", "wire_id", "gap", "true_end", c("x").alias("px"), c("ey").alias("py")))
+    # A place is left at the first terminal that holds it: no pairs are made.
     around = lambda p: F.explode(F.sequence(F.floor(c(p) / near) - 1, F.floor(c(p) / near) + 1))
-    held = met.withColumn("hx", around("px")).withColumn("hy", around("py"))
-    held = P.in_cells(held, terminals.select(*by, "tx", "ty", F.floor(c("tx") / near).alias("hx"), F.floor(c("ty") / near).alias("hy")).distinct(), [*by, "hx", "hy"])
-    held = held.filter((c("tx") - c("px")) ** 2 + (c("ty") - c("py")) ** 2 <= near * near).select(*by, "end_id", "wire_id").distinct().withColumn("held", F.lit(True))
-    met = met.join(held, [*by, "end_id", "wire_id"], "left").filter(c("held").isNotNull() | (c("true_end") & (c("gap") <= free)))
+    cell = [*by, "hx", "hy"]
+    places = met.select(*by, "px", "py").distinct().withColumn("hx", around("px")).withColumn("hy", around("py"))
+    posts = stops.select(*[c(k).alias(f"{k}__") for k in by], "tx", "ty", F.floor(c("tx") / near).alias("hx__"), F.floor(c("ty") / near).alias("hy__"))
+    same = (c("tx") - c("px")) ** 2 + (c("ty") - c("py")) ** 2 <= near * near
+    for k in cell:
+        same = same & (c(k) == c(f"{k}__"))
+    held = P.spread(places, cell).hint("merge").join(P.spread(posts, [f"{k}__" for k in cell]).hint("merge"), same, "left_semi").select(*by, "px", "py").distinct().withColumn("held", F.lit(True))
+    met = met.hint("merge").join(held.hint("merge"), [*by, "px", "py"], "left").filter(c("held").isNotNull() | (c("true_end") & (c("gap") <= free)))
     return met.groupBy(*by, "end_id").agg(F.min(F.struct("gap", "wire_id")).alias("b")).select(*by, "end_id", "b.wire_id", "b.gap")
 
 
