@@ -20,16 +20,20 @@ COILS = ("coil", "relay_coil", "lamp")
 CENTRE, INSET = 0.3, 1.0  # how near the centre a wire must pass, of the shorter side; how much smaller than drawn a box counts, in pixels
 
 
+def _clip(px: Column, py: Column, qx: Column, qy: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column]:
+    """Whether a segment gets inside a box, and from which share of it to which. Each axis occurs once in the shares: an axis that the segment does not move along has none (greatest and least pass over nulls)."""
+    d = [F.nullif(q - p, F.lit(0.0)) for p, q in ((px, qx), (py, qy))]
+    at = [((lo - p) / dd, (hi - p) / dd) for p, lo, hi, dd in ((px, x0, x1, d[0]), (py, y0, y1, d[1]))]
+    low = F.greatest(F.lit(0.0), *[F.least(a, b) for a, b in at])
+    high = F.least(F.lit(1.0), *[F.greatest(a, b) for a, b in at])
+    between = [(q != p) | ((lo < p) & (p < hi)) for p, q, lo, hi in ((px, qx, x0, x1), (py, qy, y0, y1))]
+    return between[0] & between[1] & (low < high), low, high
+
+
 def clip_range(px: Column, py: Column, qx: Column, qy: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """struct(t0, t1): the part of a segment inside a box, as shares of it; null if it does not get in. A segment along a side of the box is outside."""
-    low, high, out = F.lit(0.0), F.lit(1.0), F.lit(False)
-    for p, q, lo, hi in ((px, qx, x0, x1), (py, qy, y0, y1)):
-        d = q - p
-        a, b = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
-        low = F.when(d == 0, low).otherwise(F.greatest(low, F.least(a, b)))
-        high = F.when(d == 0, high).otherwise(F.least(high, F.greatest(a, b)))
-        out = out | ((d == 0) & ~((lo < p) & (p < hi)))
-    return F.when(~out & (low < high), F.struct(low.alias("t0"), high.alias("t1")))
+    inside, low, high = _clip(px, py, qx, qy, x0, y0, x1, y1)
+    return F.when(inside, F.struct(low.alias("t0"), high.alias("t1")))
 
 
 def through_wires(symbols: DataFrame, terminals: DataFrame, connections: DataFrame, pages: DataFrame, cell: float = 16.0) -> DataFrame:
@@ -56,13 +60,18 @@ def through_wires(symbols: DataFrame, terminals: DataFrame, connections: DataFra
     dx, dy = c("qx") - c("px"), c("qy") - c("py")
     spread = P.segment_cells(wires, c("px"), c("py"), c("qx"), c("qy"), 0.0, cell)
     boxes = P.gridded(coils, mx - core, mx + core, my - core, my + core, cell)
-    foot = ((mx - c("px")) * dx + (my - c("py")) * dy) / (dx * dx + dy * dy)
-    corner = (F.floor((c("px") + foot * dx) / cell) == c("gx")) & (F.floor((c("py") + foot * dy) / cell) == c("gy"))
-    away = F.abs(dx * (c("py") - my) - (c("px") - mx) * dy) / F.sqrt(dx * dx + dy * dy)
-    near = away <= CENTRE * F.least(c("x1") - c("x0"), c("y1") - c("y0"))
-    met = P.in_cells(spread, boxes, ["page_id", "gx", "gy"]).filter(corner & near & (c("symbol_ref") != c("from_symbol")) & (c("symbol_ref") != c("to_symbol")))
-    met = met.withColumn("r", clip_range(c("px"), c("py"), c("qx"), c("qy"), c("x0"), c("y0"), c("x1"), c("y1"))).filter("r IS NOT NULL AND r.t0 > 0 AND r.t1 < 1")
-    return met.select("page_id", "symbol_ref", "wire_ref", "r.t0", "r.t1", "px", "py", "qx", "qy")
+    # What a wire or a coil has by itself is worked out before they meet, and a pair's costly part comes last.
+    spread = P.spread(spread.withColumns({"dx": dx, "dy": dy, "square": dx * dx + dy * dy, "long": F.sqrt(dx * dx + dy * dy)}), ["page_id", "gx", "gy"])
+    boxes = P.spread(boxes.withColumns({"mx": mx, "my": my, "core": CENTRE * F.least(c("x1") - c("x0"), c("y1") - c("y0"))}), ["page_id", "gx", "gy"])
+    foot = ((c("mx") - c("px")) * c("dx") + (c("my") - c("py")) * c("dy")) / c("square")
+    corner = (F.floor((c("px") + foot * c("dx")) / cell) == c("gx")) & (F.floor((c("py") + foot * c("dy")) / cell) == c("gy"))
+    near = F.abs(c("dx") * (c("py") - c("my")) - (c("px") - c("mx")) * c("dy")) / c("long") <= c("core")
+    inside, t0, t1 = _clip(c("px"), c("py"), c("qx"), c("qy"), c("x0"), c("y0"), c("x1"), c("y1"))
+    other = (c("symbol_ref") != c("from_symbol")) & (c("symbol_ref") != c("to_symbol"))
+    met = P.in_cells(spread, boxes, ["page_id", "gx", "gy"]).filter(near & corner & other)
+    # Explode keeps the clipping out of the join's condition: code of that length is run uncompiled, at a hundred times the cost.
+    met = met.select("page_id", "symbol_ref", "wire_ref", "px", "py", "qx", "qy", F.explode(F.array(F.struct(t0.alias("t0"), t1.alias("t1"), inside.alias("inside")))).alias("r"))
+    return met.filter("r.inside AND r.t0 > 0 AND r.t1 < 1").select("page_id", "symbol_ref", "wire_ref", "r.t0", "r.t1", "px", "py", "qx", "qy")
 
 
 def coil_issues(symbols: DataFrame, terminals: DataFrame, connections: DataFrame, pages: DataFrame) -> DataFrame:
