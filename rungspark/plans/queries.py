@@ -337,8 +337,9 @@ def json_attributes(spark, sf):
 WITH s AS (SELECT o_custkey AS i, list_distinct(list(l_partkey % 40)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT i FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.i <> x.i AND list_has_all(x.s, y.s) AND (len(y.s) < len(x.s) OR y.i < x.i))""")
 def absorption(spark, sf):
-    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sets = lines.groupBy(F.col("o_custkey").alias("i")).agg(F.collect_set(F.col("l_partkey") % 40).alias("s"))
+    lines = t(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("e")).join(t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("i")), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Dealt as numbers: sets that each task has begun are many times as long. Written once, since they are read twice.
+    sets = graph.cut_lineage(P.spread(lines.select("i", "e"), ["i"]).groupBy("i").agg(F.collect_set("e").alias("s")))
     return R.absorbed(sets, "i", "s").select("i")
 
 
